@@ -93,24 +93,31 @@ def ragged(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.
 # -- document ranges ------------------------------------------------------------------------------------------------
 
 
-def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
-    """At most ``parts`` - 1 cut points that deal the column's values out about evenly."""
-    if parts < 2:
-        return []
-    cuts = df.select(F.percentile_approx(column, [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"]
-    return sorted(set(cuts or []))
+#: Cut points that the driver holds; finer ranges are equal slices of the values between two of them.
+CUTS = 64
 
 
-def range_of(column: str, cuts: list[int]):
-    """Number of the range a value falls in; null goes to the first. A balanced tree of comparisons."""
+def ordered_ranges(df: DataFrame, column: str, parts: int):
+    """A Column with the number of the range that a value of the integer ``column`` falls in, and of its coarse range.
+
+    The ranges are about ``parts``, follow the order of the values, and hold about as many rows each if values are
+    spread evenly between neighbours of the ``CUTS`` percentiles. Null goes to the first. What the driver holds
+    doesn't grow with the table.
+    """
+    found = df.select(F.percentile_approx(column, [i / CUTS for i in range(1, CUTS)], 2000).alias("q"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    cuts = sorted(set(found["q"] or [])) if parts > 1 else []
+    edges = [found["lo"] or 0, *[c + 1 for c in cuts], (found["hi"] or 0) + 1]
+    per = max(1, -(-parts // (len(cuts) + 1)))
 
     def tree(lo: int, hi: int):
         if lo == hi:
-            return F.lit(lo)
+            width = max(1, -(-(edges[lo + 1] - edges[lo]) // per))
+            return F.lit(lo * per).cast("long") + F.coalesce(F.floor((F.col(column) - F.lit(edges[lo])) / F.lit(width)), F.lit(0)).cast("long")
         mid = (lo + hi) // 2
         return F.when(F.col(column) > F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(cuts))
+    at = tree(0, len(cuts))
+    return at, per
 
 
 # -- connected components -------------------------------------------------------------------------------------------
