@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgate.llm import langid, simhash
+import public_tokenizers
+from factgate.llm import langid, pack, private, simhash, suffixes
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", lambda spark, docs, sf_dir: langid.keep_identified(docs)),
     ("simhash_near_dedup", lambda spark, docs, sf_dir: simhash.keep_one_each(docs)),
+    ("suffix_array_dedup", lambda spark, docs, sf_dir: suffixes.cut_repeats(docs)),
+    ("pii_surrogates", lambda spark, docs, sf_dir: private.replaced(docs)),
+    ("packing", lambda spark, docs, sf_dir: pack.pack(docs, public_tokenizers.path("word_bpe_49k.json"))),
 ]
 
 #: The stages tokenise, hash with XXH64 and compress, which SQL cannot express; tests compare with brute force.

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, langid, pack, recompress, simhash, suffixes, vectors
+from . import bpe, imatch, langid, pack, private, recompress, simhash, suffixes, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pack.op1_packing, imatch.op3_imatch, suffixes.op4_suffix_array_dedup, simhash.op5_simhash_near_dedup, vectors.op6_embedding_near_dedup, recompress.op8_recompression_dedup, bpe.op9_byte_bpe, langid.op10_language_id)}
+    return {f.__name__: f for f in (pack.op1_packing, toxicity.op2_toxicity, imatch.op3_imatch, suffixes.op4_suffix_array_dedup, simhash.op5_simhash_near_dedup, vectors.op6_embedding_near_dedup, private.op7_pii_surrogates, recompress.op8_recompression_dedup, bpe.op9_byte_bpe, langid.op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
