@@ -37,7 +37,7 @@ GIVEN = {
 }
 #: Syllables that family names are made of.
 SYLLABLES = {"latin": ("bar", "den", "fal", "gor", "hel", "kem", "lun", "mor", "nis", "pol", "ran", "sel", "tor", "vik", "wen", "zan"), "cyrillic": ("бар", "ден", "фал", "гор", "кем", "лун", "мор", "нис", "пол", "ран", "сел", "тор", "вик", "зан")}
-NAMED = re.compile(r"\b(" + "|".join(TITLES) + r")\.? (\p{Lu}\p{Ll}+)(?: (\p{Lu}\p{Ll}+))?".replace(r"\p{Lu}", "[A-ZÀ-ÖØ-ÞА-ЯЁ]").replace(r"\p{Ll}", "[a-zß-öø-ÿа-яё]"))
+NAMED = re.compile(r"\b(" + "|".join(TITLES) + r")\.? (\p{Lu}\p{Ll}+)(?: (?!TITLE\b)(\p{Lu}\p{Ll}+))?".replace("TITLE", "(?:" + "|".join(TITLES) + ")").replace(r"\p{Lu}", "[A-ZÀ-ÖØ-ÞА-ЯЁ]").replace(r"\p{Ll}", "[a-zß-öø-ÿа-яё]"))
 #: The same test for Spark's filter, which tells the rows that may hold names.
 NAMED_ROWS = r"(?:^|[^\p{L}])(?:" + "|".join(TITLES) + r")\.? \p{Lu}\p{Ll}"
 

@@ -123,35 +123,43 @@ def votes_of(counts: np.ndarray, size: np.ndarray, terms: list[str]) -> np.ndarr
 
 
 class LabelModel:
-    """P(vote | class) of each voter, learned by expectation maximisation from vote patterns alone, without labels.
+    """P(vote | class) of each voter and correlations between voters, learned from vote patterns alone, without labels.
 
-    Given the class, voters are first taken as independent; then the correlations left given the class are estimated,
-    and a voter counts for 1 / (1 + the sum of its positive ones), so that voters that repeat each other count once.
+    If voters agreed only through the class, the correlation of two would be the product of each one's with the class,
+    so any two others tell a voter's; the median over all such pairs isn't misled by a few that copy each other. What
+    two voters agree more than that is their own correlation. A voter counts for 1 / (1 + the sum of these), so voters
+    that repeat each other count once. With these weights, expectation maximisation fits the tables of votes by class.
     """
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float):
         self.prior = prior
-        n, voters = patterns.shape
+        voters = patterns.shape[1]
+        self.correlation = self._correlations(np.where(patterns == 2, 0, 2 * patterns - 1).astype(float), counts)
+        self.weight = 1 / (1 + self.correlation.sum(1))
         hot = (patterns[:, :, None] == np.arange(3)).astype(float)
         self.table = np.tile(np.array([[0.85, 0.05, 0.10], [0.15, 0.6, 0.25]])[:, None], (1, voters, 1))
-        self.weight = np.ones(voters)
         for _ in range(50):
             p = self._posterior(hot)
             for y, w in ((0, (1 - p) * counts), (1, p * counts)):
                 mass = np.einsum("n,nvk->vk", w, hot) + 0.5
                 self.table[y] = mass / mass.sum(1, keepdims=True)
             self.prior = float(np.clip((p @ counts + 1) / (counts.sum() + 2), 1e-4, 0.5))
-        p, x = self._posterior(hot), np.where(patterns == 2, 0.5, patterns).astype(float)
-        held = np.zeros((voters, voters))
-        for w in ((1 - p) * counts, p * counts):
-            if w.sum() > 1:
-                d = x - (w @ x) / w.sum()
-                c = (d * w[:, None]).T @ d / w.sum()
-                s = np.sqrt(np.maximum(np.diag(c), 1e-9))
-                held = np.maximum(held, c / np.outer(s, s) * (np.outer(s, s) > 1e-6))
-        np.fill_diagonal(held, 0)
-        self.correlation = np.clip(held, 0, 1)
-        self.weight = 1 / (1 + self.correlation.sum(1))
+
+    @staticmethod
+    def _correlations(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        d = x - (counts @ x) / counts.sum()
+        c = (d * counts[:, None]).T @ d / counts.sum()
+        s = np.sqrt(np.maximum(np.diag(c), 1e-12))
+        r = c / np.outer(s, s)
+        voters = len(r)
+        own = np.zeros(voters)
+        for i in range(voters):
+            found = [abs(r[i, j] * r[i, k] / r[j, k]) for j in range(voters) for k in range(j) if i not in (j, k) and abs(r[j, k]) > 0.02]
+            own[i] = np.sqrt(min(1.0, float(np.median(found)))) if found else 0.0
+        spare = np.sqrt(np.maximum(1 - own**2, 0.05))
+        out = np.clip((r - np.outer(own, own)) / np.outer(spare, spare), 0, 1)
+        np.fill_diagonal(out, 0)
+        return out
 
     def _posterior(self, hot: np.ndarray) -> np.ndarray:
         ratio = np.einsum("nvk,vk,v->n", hot, np.log(self.table[1]) - np.log(self.table[0]), self.weight)
