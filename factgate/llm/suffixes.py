@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, durable, slices
+from .common import documents, slices
 from .words import MIX, covered, mix, word_hashes, word_spans
 
 #: Words of a repeat at least, and of the grams among which minimisers are chosen.
@@ -75,42 +75,46 @@ def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, h, marks): per document with repeats, stretches (lo, hi, src) of words that the smaller doc_id src has too.
 
-    Every stretch of ``length`` words holds its minimiser, at the same place wherever the stretch occurs. So two equal
-    stretches belong to two kept suffixes with the same first gram, and what is before and after these decides.
+    ``docs`` has doc_id, h (a hash of the text), text and maybe more. Every stretch of ``length`` words holds its
+    minimiser, at the same place wherever the stretch occurs. So two equal stretches belong to two kept suffixes with
+    the same first gram, and what is before and after these decides.
 
-    1. Suffixes are sorted by the shuffle on (gram, tail, front). All that agree on the three are one class, whose first
-       document is kept for the others: they match it over the full width in both directions.
+    1. Suffixes are dealt and sorted by content in one shuffle and compared with those next to them. All that agree on
+       gram, tail and front are one class, whose first document is kept for the others: they match it over the full
+       width in both directions.
     2. Classes that share a gram only differ somewhere in that width. The first of each class is extended left and
        right word by word: its stretches are named and met with equal ones.
-    A neighbour in sorted order would not do for 2: the longest match to the right need not be the longest to the left.
-    Grouping takes minima before the shuffle, so a passage in very many documents is one key with a row from each task.
+    One neighbour in sorted order would not do for 2: the longest match to the right need not be the longest to the left.
     """
-    kept = durable(suffixes(docs.where("doc_id is not null"), length, gram))
-    classes = kept.groupBy("gram", "front", "tail").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = classes.groupBy("gram").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    classes = classes.join(shared.select("gram", "n"), "gram").where("first < last or n > 1").select("gram", "front", "tail", "first", "n")
-    met = durable(kept.join(classes, ["gram", "front", "tail"]).select("doc_id", "h", "at", "first", "n"))
+    kept = suffixes(docs, length, gram)
+    by_gram, alike = Window.partitionBy("gram"), Window.partitionBy("gram", "tail", "front")
+    form = F.xxhash64("tail", "front")
+    kept = kept.withColumns({"lo": F.min("doc_id").over(by_gram), "hi": F.max("doc_id").over(by_gram), "forms": F.min(form).over(by_gram) != F.max(form).over(by_gram)}).where("lo < hi")
+    met = kept.withColumn("first", F.min("doc_id").over(alike)).select("doc_id", "h", "at", "first", "forms")
     wide = length - gram
     full = met.where("doc_id > first").select("doc_id", "h", F.greatest(F.col("at") - wide, F.lit(0)).alias("lo"), (F.col("at") + length).alias("hi"), F.col("first").alias("src"))
-    edges = met.where("doc_id = first and n > 1").groupBy("doc_id", "h").agg(F.collect_set("at").alias("at"))
+    edges = met.where("doc_id = first and forms").groupBy("doc_id", "h").agg(F.collect_set("at").alias("__at"))
+    both = docs.join(edges, ["doc_id", "h"])
+    where = [both.columns.index(c) for c in ("doc_id", "h", "text", "__at")]
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            words, at = word_hashes(batch.column(2))
+        for batch in slices(batches, where[2]):
+            doc_id, h, text, places = (batch.column(k) for k in where)
+            words, at = word_hashes(text)
             name = Stretches(words)
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(3).offsets.to_numpy()))
-            p = batch.column(3).flatten().to_numpy() + at[doc]
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+            p = places.flatten().to_numpy() + at[doc]
             s = (p[:, None] - np.arange(wide + 1)).ravel()
             doc = np.repeat(doc, wide + 1)
             s = np.unique(s[(s >= at[doc]) & (s + length <= at[doc + 1])])
             doc = np.searchsorted(at, s, "right") - 1
             take = pa.array(doc)
-            cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(s - at[doc]), pa.array(name(s, s + length).view(np.int64))]
+            cols = [doc_id.take(take), h.take(take), pa.array(s - at[doc]), pa.array(name(s, s + length).view(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "lo", "name"])
 
-    own = durable(docs.join(edges, ["doc_id", "h"]).select("doc_id", "h", "text", "at").mapInArrow(stretches, "doc_id long, h long, lo long, name long"))
-    twice = own.groupBy("name").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")).where("src < last").select("name", "src")
-    part = own.join(twice, "name").where("doc_id > src").select("doc_id", "h", "lo", (F.col("lo") + length).alias("hi"), "src")
+    own = both.mapInArrow(stretches, "doc_id long, h long, lo long, name long")
+    own = own.withColumn("src", F.min("doc_id").over(Window.partitionBy("name")))
+    part = own.where("doc_id > src").select("doc_id", "h", "lo", (F.col("lo") + length).alias("hi"), "src")
     return full.unionByName(part).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "src")).alias("marks"))
 
 
@@ -159,7 +163,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc
                 out.append({"doc_id": doc, "n_words": len(gone), "n_removed": int(gone.sum()), "spans": [{"start": a, "end": b} for a, b in spans], "sources": src, "kept": kept.decode(), "kept_sha256": hashlib.sha256(kept).hexdigest()})
             yield pa.RecordBatch.from_pylist(out, OUT)
 
-    return rows.join(passages(rows, length, gram), ["doc_id", "h"], "left").select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, sources array<long>, kept string, kept_sha256 string")
+    fields = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, sources array<long>, kept string, kept_sha256 string"
+    known = rows.where("doc_id is not null")  # shuffled once: both joins deal the documents alike
+    marked = known.join(passages(known, length, gram), ["doc_id", "h"], "left").select("doc_id", "text", "marks").mapInArrow(run, fields)
+    loose = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<lo: long, hi: long, src: long>>").alias("marks"))
+    return marked.unionByName(loose.mapInArrow(run, fields))
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("sources", pa.list_(pa.int64())), ("kept", pa.string()), ("kept_sha256", pa.string())])
@@ -167,10 +175,10 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Documents with repeated passages cut out of ``text``; those of which nothing is left go. Other columns stay."""
-    rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marks = passages(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("__h").alias("h")), length, gram)
-    marked = rows.join(marks.select(F.col("doc_id").alias("__id"), F.col("h").alias("__k"), "marks"), (rows["doc_id"] == F.col("__id")) & (rows["__h"] == F.col("__k")), "left").select(*docs.columns, F.col("marks").alias("__marks"))
-    where = docs.columns.index("text")
+    names, kinds = docs.columns, T.StructType(docs.schema.fields)
+    rows = docs.where("doc_id is not null").select([F.col(c).alias(f"__{c}") if c not in ("doc_id", "text") else F.col(c) for c in names]).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    marked = rows.join(passages(rows, length, gram), ["doc_id", "h"], "left").select(*[F.col(c if c in ("doc_id", "text") else f"__{c}").alias(c) for c in names], F.col("marks").alias("__marks"))
+    where = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, where):
@@ -184,7 +192,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             out = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
             yield pa.RecordBatch.from_arrays(out.columns[:-1], out.schema.names[:-1]).filter(pa.array(stay, pa.bool_()))
 
-    return marked.mapInArrow(run, T.StructType(docs.schema.fields))
+    return marked.mapInArrow(run, kinds).unionByName(docs.where("doc_id is null"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
