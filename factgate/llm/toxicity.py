@@ -23,7 +23,7 @@ SAMPLE = {1: 6000, 0: 12000}
 STEMS = (3, 4, 5, 6, 7, 8)
 TERMS, LEXICONS = 384, 6
 #: A mined term is at least so many times as frequent among toxic rows, and in this share of them.
-LIFT, SUPPORT = 4.0, 0.002
+LIFT, SUPPORT = 10.0, 0.002
 CUT = 0.3
 RUNS = re.compile(r"[^\W\d_]+")
 
