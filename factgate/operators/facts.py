@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical, cell_fact, composite, derived_fact, digest, row_fact
+from ..functions.canonical import canonical, cell_fact, composite, derived_fact, row_fact
 from ..plans.build import name, paged_provenance, provenance, visible
 from ..plans.plan import Plan, output_type
 from ..sources.products import PRODUCTS
@@ -54,7 +54,7 @@ def influence(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, obj
     proofs = paged_provenance(spark, sf_dir, plan, scope) if paged else provenance(spark, sf_dir, plan, scope)
     parts = row_witness(plan)
     union = [f.column for b in plan.union for f in b]
-    for c in dict.fromkeys([*plan.columns, *plan.group_by, *[a.column for a in plan.aggregates if a.column != "*"], *union]):
+    for c in dict.fromkeys([*plan.columns, *plan.distinct_on, *plan.group_by, *[a.column for a in plan.aggregates if a.column != "*"], *union]):
         parts[role_of(c)].append(cell(plan, c))
     out = None
     for role, facts in parts.items():
@@ -123,8 +123,8 @@ def release(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, objec
 def union_witnesses(proofs: DataFrame, plan: Plan) -> DataFrame:
     """(tuple, fact_hash, n): for each distinct row the largest multiplicity of a fact over its candidates."""
     role = next(iter(plan.sources))
-    whole = [canonical(F.col(name(c)), plan.type_of(c)) for c in plan.columns]
-    facts = row_witness(plan)[role] + [cell(plan, c) for c in plan.columns]
+    whole = [canonical(F.col(name(c)), plan.type_of(c)) for c in plan.tuple_columns]
+    facts = row_witness(plan)[role] + [cell(plan, c) for c in plan.tuple_columns]
     each = proofs.select(composite("tuple", *whole).alias("tuple"), F.col(f"{role}__key").alias("candidate"), F.explode(F.array(*facts)).alias("fact_hash"))
     return each.groupBy("tuple", "candidate", "fact_hash").agg(F.count("*").alias("n")).groupBy("tuple", "fact_hash").agg(F.max("n").alias("n"))
 
@@ -132,7 +132,7 @@ def union_witnesses(proofs: DataFrame, plan: Plan) -> DataFrame:
 def union_release(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
     proofs = provenance(spark, sf_dir, plan, scope)
     commit = set_digest(union_witnesses(proofs, plan), "fact_hash", ["tuple"], "n").select("tuple", F.col("digest").alias("commitment"))
-    whole = composite("tuple", *[canonical(F.col(name(c)), plan.type_of(c)) for c in plan.columns])
+    whole = composite("tuple", *[canonical(F.col(name(c)), plan.type_of(c)) for c in plan.tuple_columns])
     cells = [F.struct(F.lit(c).alias("field"), F.lit(plan.type_of(c)).alias("type"), canonical(F.col(name(c)), plan.type_of(c)).alias("value"), cell(plan, c).alias("base")) for c in plan.columns]
     each = proofs.select(whole.alias("tuple"), F.explode(F.array(*cells)).alias("c")).select("tuple", "c.*").groupBy("tuple", "field", "type", "value").agg(F.min("base").alias("lo"), F.max("base").alias("hi"))
     fact = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(derived_fact(bundle(plan), F.col("tuple"), F.concat(F.lit("union:"), "field"), F.col("type"), F.col("value"), F.col("commitment")))
@@ -194,7 +194,3 @@ def upper_bound(spark: SparkSession, sf_dir: str, plan: Plan) -> int:
     from ..sources.products import load
 
     return sum(load(spark, sf_dir, p).count() * (1 + sum(1 for c in evidence(plan) if role_of(c) == r)) for r, p in plan.sources.items())
-
-
-def fact_digest(*parts: Column | str) -> Column:
-    return digest(*parts)

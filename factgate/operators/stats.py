@@ -43,7 +43,7 @@ def bootstrap_median(samples: DataFrame, value: str, draws: int = 200, seed: int
 
     rows = numbered(samples.select(value), [value], "at")
     n = rows.count()
-    picks = rows.select(F.col("at").alias("k")).crossJoin(samples.sparkSession.range(draws).withColumnRenamed("id", "resample")).select("resample", F.pmod(F.xxhash64("resample", "k", F.lit(seed)), F.lit(max(n, 1))).alias("at"))
+    picks = rows.select(F.col("at").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("resample")).select("resample", F.pmod(F.xxhash64("resample", "k", F.lit(seed)), F.lit(max(n, 1))).alias("at"))
     medians = picks.join(rows, "at").groupBy("resample").agg(F.percentile(value, 0.5).alias("m"))
     return medians.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 

@@ -94,7 +94,7 @@ def provenance(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, ob
 
 def evidence(plan: Plan) -> list[str]:
     """Columns that a row's facts are about: shown, grouped, aggregated, joined on, filtered by the caller."""
-    cols = [*plan.columns, *plan.group_by, *[a.column for a in plan.aggregates if a.column != "*"], *[c for j in plan.joins for on in j.on for c in on], *[f.column for f in plan.filters], *[f.column for b in plan.union for f in b]]
+    cols = [*plan.columns, *plan.distinct_on, *plan.group_by, *[a.column for a in plan.aggregates if a.column != "*"], *[c for j in plan.joins for on in j.on for c in on], *[f.column for f in plan.filters], *[f.column for b in plan.union for f in b]]
     return list(dict.fromkeys(cols))
 
 
@@ -119,8 +119,7 @@ def visible(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, objec
         keys = [name(c) for c in plan.group_by]
     elif plan.union:
         parts = [reduce(lambda d, f: apply_filter(d, plan, f), b, df) for b in plan.union]
-        role = next(iter(plan.sources))
-        whole = [f"{role}__{c}" for c in PRODUCTS[plan.sources[role]].columns] if not plan.columns else [name(c) for c in plan.columns]
+        whole = [name(c) for c in plan.tuple_columns]
         df = parts[0].select(*whole).unionByName(parts[1].select(*whole)).distinct()
         shown, keys = list(plan.columns), whole
     else:

@@ -50,7 +50,10 @@ class Order:
 
 @dataclass(frozen=True)
 class Plan:
-    """``sources`` maps roles to products. ``limit`` 0 means none. ``union`` holds the filters of each branch of a distinct union."""
+    """``sources`` maps roles to products. ``limit`` 0 means none. ``union`` holds the filters of each branch of a distinct union,
+
+    ``distinct_on`` the columns by which its rows are told apart (the shown ones if none are given; hidden ones may be more).
+    """
 
     sources: dict[str, str]
     columns: tuple[str, ...] = ()
@@ -62,8 +65,13 @@ class Plan:
     limit: int = 0
     offset: int = 0
     union: tuple[tuple[Filter, ...], ...] = ()
+    distinct_on: tuple[str, ...] = ()
     aliases: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def tuple_columns(self) -> tuple[str, ...]:
+        return self.distinct_on or self.columns
+
     def product(self, column: str) -> tuple[Product, str]:
         role, _, name = column.partition(".")
         if role not in self.sources:
@@ -128,7 +136,9 @@ def validate(plan: Plan) -> Plan:
         raise PlanError("limit and offset must not be negative")
     if not plan.columns and not plan.aggregates:
         raise PlanError("nothing is selected")
-    for c in (*plan.columns, *plan.group_by):
+    if plan.distinct_on and (not plan.union or not set(plan.columns) <= set(plan.distinct_on)):
+        raise PlanError("what a union shows must be part of what tells its rows apart")
+    for c in (*plan.columns, *plan.group_by, *plan.distinct_on):
         plan.product(c)
     for what, names in (("column", plan.columns), ("group key", plan.group_by), ("order", [o.column for o in plan.order_by]), ("name", [a.name for a in plan.aggregates])):
         if len(set(names)) != len(names):
