@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical, cell_fact, composite, derived_fact, row_fact
+from ..functions.canonical import canonical, cell_fact, composite, derived_fact, digest, row_fact
 from ..plans.build import name, paged_provenance, provenance, visible
-from ..plans.plan import Plan, output_type
+from ..plans.plan import Plan, base, output_type
 from ..sources.products import PRODUCTS
 from .digest import set_digest
 
@@ -26,19 +26,49 @@ def row(plan: Plan, role: str) -> Column:
     return row_fact(p.namespace, p.snapshot, F.col(f"{role}__key"))
 
 
-def row_witness(plan: Plan) -> dict[str, list[Column]]:
-    """By role, what testifies that a joined row exists: the row, cells of caller filters, once each, and join-key cells once per equality."""
-    out = {role: [row(plan, role)] for role in plan.sources}
+def row_witness(plan: Plan) -> dict[str, list[str | None]]:
+    """By role, what testifies that a joined row exists: the row (None), cells of caller filters, once each, and join-key cells once per equality."""
+    out: dict[str, list[str | None]] = {role: [None] for role in plan.sources}
     for leaf in (True, False):
         for c in dict.fromkeys(f.column for f in plan.filters if f.leaf is leaf):
-            out[role_of(c)].append(cell(plan, c))
+            out[role_of(c)].append(c)
     for j in plan.joins:
         for pair in j.on:
             for c in pair:
-                out[role_of(c)].append(cell(plan, c))
+                out[role_of(c)].append(c)
     return out
 
 
+def by_source(proofs: DataFrame, plan: Plan, wanted: dict[str, list[tuple[str, str | None]]], keep: list[str]) -> DataFrame:
+    """(keep..., namespace, snapshot, key, cells): for every proof and source its row's key and the canonical texts of the wanted cells.
+
+    ``wanted`` lists (output, column) by role; a column of None stands for the row. All sources come out of one pass over
+    the proofs, and rows are made distinct or counted on this form before any fact is hashed.
+    """
+    sources = []
+    for role, entries in wanted.items():
+        if not entries:
+            continue
+        p = PRODUCTS[plan.sources[role]]
+        cells = []
+        for output, c in entries:
+            kind = p.columns[role_column(c)] if c else ""
+            value = canonical(F.col(name(c)), kind) if c else F.lit("")
+            cells.append(F.struct(F.lit(output).alias("output"), F.lit(role_column(c) if c else "").alias("field"), F.lit(base(kind)).alias("type"), value.alias("value")))
+        sources.append(F.struct(F.lit(p.namespace).alias("namespace"), F.lit(p.snapshot).alias("snapshot"), F.col(f"{role}__key").alias("key"), F.array(*cells).alias("cells")))
+    return proofs.select(*keep, F.explode(F.array(*sources)).alias("s")).select(*keep, "s.*")
+
+
+def role_column(column: str) -> str:
+    return column.partition(".")[2]
+
+
+def fact_of() -> Column:
+    """The fact of a cell ``c`` of ``by_source``: the same hashes as row_fact and cell_fact."""
+    where = (F.col("namespace"), F.col("snapshot"), F.col("key"))
+    return F.when(F.col("c.field") == "", digest("row", *where)).otherwise(digest("cell", *where, F.col("c.field"), F.col("c.type"), F.col("c.value")))
+
+
 def bundle(plan: Plan) -> str:
     """The snapshots a plan reads, one per namespace."""
     return "|".join(sorted(f"{PRODUCTS[p].namespace}@{PRODUCTS[p].snapshot}" for p in plan.sources.values()))
@@ -48,20 +78,17 @@ def influence(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, obj
     """(fact_hash): base rows and cells that took part in any result row.
 
     Each source's contributing rows are made distinct before cells are exploded, so the joined rows are never multiplied
-    by their evidence.
+    by their evidence, and are joined once for all sources.
     """
     paged = (plan.limit or plan.offset) and not plan.aggregates and not plan.union
     proofs = paged_provenance(spark, sf_dir, plan, scope) if paged else provenance(spark, sf_dir, plan, scope)
     parts = row_witness(plan)
     union = [f.column for b in plan.union for f in b]
-    for c in dict.fromkeys([*plan.columns, *plan.distinct_on, *plan.group_by, *[a.column for a in plan.aggregates if a.column != "*"], *union]):
-        parts[role_of(c)].append(cell(plan, c))
-    out = None
-    for role, facts in parts.items():
-        cols = [f"{role}__key", *[c for c in proofs.columns if c.startswith(f"{role}__") and c != f"{role}__key"]]
-        one = proofs.select(*cols).distinct().select(F.explode(F.array(*facts)).alias("fact_hash"))
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    for c in [*plan.columns, *plan.distinct_on, *plan.group_by, *[a.column for a in plan.aggregates if a.column != "*"], *union]:
+        parts[role_of(c)].append(c)
+    wanted = {role: [("", c) for c in dict.fromkeys(cols)] for role, cols in parts.items()}
+    once = by_source(proofs, plan, wanted, []).distinct()
+    return once.select("namespace", "snapshot", "key", F.explode("cells").alias("c")).select(fact_of().alias("fact_hash")).distinct()
 
 
 def witnesses(proofs: DataFrame, plan: Plan) -> DataFrame:
@@ -70,19 +97,16 @@ def witnesses(proofs: DataFrame, plan: Plan) -> DataFrame:
     COUNT(*) is witnessed by its members' row witnesses, other aggregates by their argument's cells, a key by its cells.
     Proofs are counted per group and source row before facts are exploded.
     """
-    key = group_key(plan)
-    outputs: dict[str, dict[str, list[Column]]] = {a.name: row_witness(plan) if a.column == "*" else {role_of(a.column): [cell(plan, a.column)]} for a in plan.aggregates}
-    outputs |= {c: {role_of(c): [cell(plan, c)]} for c in plan.columns}
-    out = None
-    keyed = proofs.withColumn("group_key", key)
-    for role in plan.sources:
-        facts = [F.struct(F.lit(o).alias("output"), f.alias("fact_hash")) for o, by in outputs.items() for f in by.get(role, [])]
-        if not facts:
-            continue
-        cols = [c for c in proofs.columns if c.startswith(f"{role}__")]
-        one = keyed.groupBy("group_key", *cols).agg(F.count("*").alias("n")).select("group_key", F.explode(F.array(*facts)).alias("f"), "n").select("group_key", "f.output", "f.fact_hash", "n")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("group_key", "output", "fact_hash").agg(F.sum("n").alias("n"))
+    wanted: dict[str, list[tuple[str, str | None]]] = {role: [] for role in plan.sources}
+    for a in plan.aggregates:
+        for role, cols in (row_witness(plan) if a.column == "*" else {role_of(a.column): [a.column]}).items():
+            wanted[role] += [(a.name, c) for c in cols]
+    for c in plan.columns:
+        wanted[role_of(c)].append((c, c))
+    each = by_source(proofs.withColumn("group_key", group_key(plan)), plan, wanted, ["group_key"])
+    counted = each.groupBy(*each.columns).agg(F.count("*").alias("n"))
+    long = counted.select("group_key", "namespace", "snapshot", "key", F.explode("cells").alias("c"), "n").select("group_key", F.col("c.output").alias("output"), fact_of().alias("fact_hash"), "n")
+    return long.groupBy("group_key", "output", "fact_hash").agg(F.sum("n").alias("n"))
 
 
 def group_key(plan: Plan) -> Column:
@@ -124,7 +148,7 @@ def union_witnesses(proofs: DataFrame, plan: Plan) -> DataFrame:
     """(tuple, fact_hash, n): for each distinct row the largest multiplicity of a fact over its candidates."""
     role = next(iter(plan.sources))
     whole = [canonical(F.col(name(c)), plan.type_of(c)) for c in plan.tuple_columns]
-    facts = row_witness(plan)[role] + [cell(plan, c) for c in plan.tuple_columns]
+    facts = [cell(plan, c) if c else row(plan, role) for c in row_witness(plan)[role]] + [cell(plan, c) for c in plan.tuple_columns]
     each = proofs.select(composite("tuple", *whole).alias("tuple"), F.col(f"{role}__key").alias("candidate"), F.explode(F.array(*facts)).alias("fact_hash"))
     return each.groupBy("tuple", "candidate", "fact_hash").agg(F.count("*").alias("n")).groupBy("tuple", "fact_hash").agg(F.max("n").alias("n"))
 
