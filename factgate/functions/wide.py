@@ -1,4 +1,4 @@
-"""Scalar functions of the wide profile where Spark's built-ins differ from the reference semantics (PostgreSQL's)."""
+"""Scalar functions of the wide profile where Spark's built-ins differ from PostgreSQL's semantics."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ ALLOWED = {
     "operator": ("=", "<>", "!=", "<", "<=", ">", ">=", "+", "-", "*", "/", "%", "||", "~~", "!~~", "~~*", "!~~*", "->", "->>", "#>", "#>>", "@>", "<@"),
 }
 
-# Date patterns of the reference and what they are called in Spark.
+# The date patterns that are supported, and what they are called in Spark.
 TO_CHAR = {"YYYY-MM-DD": "yyyy-MM-dd", "YYYY-MM": "yyyy-MM", "YYYY": "yyyy", "MM": "MM", "DD": "dd", "HH24:MI:SS": "HH:mm:ss", "YYYY-MM-DD HH24:MI:SS": "yyyy-MM-dd HH:mm:ss"}
 
 
