@@ -19,8 +19,8 @@ BLOCK = 4096
 #: A prediction is rejected if the best language saves less than this share of the second best's size.
 MARGIN = 0.01
 LEVEL = 6
-#: Texts of fewer bytes are searched harder, and four times over: a single short block is stored as it is if hardly compressible.
-SHORT, SHORT_LEVEL = 256, 19
+#: Texts of fewer bytes are compressed four times over: a single short block is stored as it is if hardly compressible.
+SHORT = 256
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 NAMES = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -55,12 +55,10 @@ class Judge:
 
     def __init__(self, texts: dict[str, bytes], margin: float):
         self.names, self.coders, self.margin = list(texts), [], margin
-        self.hard = []
-        for level, coders in ((LEVEL, self.coders), (SHORT_LEVEL, self.hard)):
-            for k in self.names:
-                held = zstandard.ZstdCompressionDict(texts[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                held.precompute_compress(level=level)
-                coders.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+        for k in self.names:
+            held = zstandard.ZstdCompressionDict(texts[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=LEVEL)
+            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def __call__(self, column: pa.Array) -> list[tuple[str, float, bool]]:
         data, offsets = buffers(column)
@@ -71,7 +69,7 @@ class Judge:
                 out.append(("und", 0.0, True))
                 continue
             if len(letters) < SHORT:
-                sizes = [len(c.compress((letters + b" ") * 4)) for c in self.hard]
+                sizes = [len(c.compress((letters + b" ") * 4)) for c in self.coders]
             else:
                 parts = [letters[k : k + BLOCK] for k in range(0, len(letters), BLOCK)]
                 sizes = [sum(len(c.compress(p)) for p in parts) for c in self.coders]
