@@ -105,3 +105,28 @@ def next_version(df: DataFrame, key: str, price: str, percent: int) -> DataFrame
     """A later version: the price of every row whose key modulo 100 is below ``percent`` goes up by one."""
     kind = dict(df.dtypes)[price]
     return df.withColumn(price, F.when(F.col(key) % 100 < percent, F.col(price) + F.lit(1)).otherwise(F.col(price)).cast(kind))
+
+
+def hot_and_cold(dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A dictionary's hashes with their ordinals, which settlement needs, apart from the payloads, which only decoding needs."""
+    rest = [c for c in dictionary.columns if c not in ("fact_hash", "ordinal")]
+    return dictionary.select("ordinal", "fact_hash"), dictionary.select("ordinal", *rest)
+
+
+def decode(refs: DataFrame, cold: DataFrame) -> DataFrame:
+    """The payloads of ordinals."""
+    return refs.select("ordinal").distinct().join(cold, "ordinal")
+
+
+def manifest_digest(publications: DataFrame) -> DataFrame:
+    """(n, digest) of a set of publications (name, snapshot, content_digest), whatever their order."""
+    from ..functions.canonical import digest
+    from .digest import set_digest
+
+    return set_digest(publications.select(digest(F.col("name"), F.col("snapshot"), F.col("content_digest")).alias("h")), "h")
+
+
+def resolve(requests: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(request, name, snapshot, content_digest, ok): the publication a request is pinned to; not ok if it is gone or changed."""
+    m = manifest.select("name", "snapshot", F.col("content_digest").alias("__d"))
+    return requests.join(m, ["name", "snapshot"], "left").select("request", "name", "snapshot", "content_digest", F.coalesce(F.col("__d") == F.col("content_digest"), F.lit(False)).alias("ok"))

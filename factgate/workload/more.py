@@ -259,3 +259,44 @@ def visible_and_proofs(spark: SparkSession, sf: str) -> DataFrame:
     shown = visible(spark, sf, join2_plan()).select("o_orderstatus")
     proven = provenance(spark, sf, join2_plan()).select(F.col("orders__o_orderstatus").alias("o_orderstatus")).distinct()
     return shown.join(proven, "o_orderstatus", "left_semi").agg(F.count("*").alias("groups"))
+
+
+@query("SELECT o_orderstatus AS s, count(*) AS n FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 1")
+def hot_cold_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordinals of some rows, found by hash in the hot part and decoded with the cold one."""
+    p = PRODUCTS["orders"]
+    rows = load(spark, sf, "orders").select(digest("row", p.namespace, p.snapshot, entity_key(p)).alias("fact_hash"), "o_orderkey", "o_orderstatus")
+    hot, cold = snapshots.hot_and_cold(snapshots.numbered(rows, ["fact_hash"]))
+    wanted = rows.where("o_orderkey % 10 = 0").select("fact_hash").join(hot, "fact_hash")
+    return snapshots.decode(wanted, cold).groupBy(F.col("o_orderstatus").alias("s")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand AS name, count(*) FILTER (WHERE p_size % 7 <> 0 AND p_size % 5 <> 0) AS pinned, count(*) AS asked FROM part GROUP BY p_brand")
+def publication_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests pinned to publications by name, snapshot and content; some are gone, some have changed."""
+    p = load(spark, sf, "part")
+    at = F.col("p_partkey").cast("string")
+    asked = p.select(F.col("p_partkey").alias("request"), F.col("p_brand").alias("name"), at.alias("snapshot"), F.sha2(at, 256).alias("content_digest"))
+    known = p.where("p_size % 7 <> 0").select(F.col("p_brand").alias("name"), at.alias("snapshot"), F.when(F.col("p_size") % 5 == 0, "changed").otherwise(F.sha2(at, 256)).alias("content_digest"))
+    return snapshots.resolve(asked, known).groupBy("name").agg(F.count_if("ok").alias("pinned"), F.count("*").alias("asked"))
+
+
+@query("SELECT count(DISTINCT p_partkey) AS n FROM part")
+def manifest_digests(spark: SparkSession, sf: str) -> DataFrame:
+    p = load(spark, sf, "part").select(F.col("p_brand").alias("name"), F.col("p_partkey").cast("string").alias("snapshot"), F.col("p_type").alias("content_digest"))
+    return snapshots.manifest_digest(p).select("n")
+
+
+@query(f"SELECT o_orderkey, [o_orderstatus, o_orderpriority][2] AS second, (o_orderstatus, o_orderkey) < ('F', 100) AS before, CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18,2)) AS again FROM {ORDERS}")
+def row_and_array_expressions(spark: SparkSession, sf: str) -> DataFrame:
+    o = load(spark, sf, "orders")
+    return o.select("o_orderkey", F.array("o_orderstatus", "o_orderpriority")[1].alias("second"), (F.struct("o_orderstatus", "o_orderkey") < F.struct(F.lit("F").alias("o_orderstatus"), F.lit(100).cast("bigint").alias("o_orderkey"))).alias("before"), F.col("o_totalprice").cast("string").cast("decimal(18,2)").alias("again"))
+
+
+@query("SELECT user_id % 10 AS root, CASE WHEN seq = first THEN 'novel' ELSE 'hit' END AS path, count(*) AS n, round(quantile_cont(CAST(value AS DOUBLE), 0.5), 6) AS p50 FROM (SELECT user_id, event_id AS seq, value, min(event_id) OVER (PARTITION BY user_id % 10, event_type, user_id) AS first FROM (SELECT event_id, user_id, event_type, CAST(round(value, 2) AS DECIMAL(18,2)) AS value FROM events)) GROUP BY ALL")
+def latency_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Latency samples by path: the first request of a kind is novel, later ones hit the history."""
+    e = load(spark, sf, "events").withColumn("root", F.col("user_id") % 10)
+    first = e.groupBy("root", "event_type", "user_id").agg(F.min("event_id").alias("event_id")).select("event_id", F.lit("novel").alias("path"))
+    labelled = e.join(first, "event_id", "left").select("root", F.coalesce("path", F.lit("hit")).alias("path"), F.col("value").cast("double").alias("value"))
+    return stats.quantiles(labelled, ["root", "path"], "value", [0.5]).select("root", "path", "n", F.round("p50", 6).alias("p50"))
