@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buffers, components, documents, durable, slices
+from .vectors import join_labels
 
 SEED = 42
 
@@ -58,9 +59,9 @@ def near_fingerprints(fps: DataFrame, bits: int = 2) -> DataFrame:
     without a list of a 256th of all fingerprints. A list holds at most 256 ** ``bits`` different fingerprints.
 
     Within a list the remaining bytes are verified without comparing all pairs: values at distance 1 or 2 meet in a
-    value at distance 0 or 1 of both, so each posts itself and its one-bit neighbours, and all that meet are linked to
-    their minimum. For ``bits`` = 2 everything that meets in one hub is within distance 2 of everything else there,
-    so each link is direct and none is lost.
+    value at distance 0 or 1 of both, so each meets in itself and in its one-bit neighbours, and all that meet are
+    linked to their minimum unless other links of the list join them already. For ``bits`` = 2 everything that meets in
+    one such hub is within distance 2 of everything else there, so each link is direct and no component is lost.
     """
     if bits != 2:
         raise ValueError("verification by shared one-bit neighbours is for two bits")
@@ -74,11 +75,32 @@ def near_fingerprints(fps: DataFrame, bits: int = 2) -> DataFrame:
         postings.append(F.struct(F.lit(k).alias("entry"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("shared"), rest.cast("int").alias("rest")))
     posted = fps.select("fp").distinct().select("fp", F.explode(F.array(*postings)).alias("p")).select("fp", "p.*")
     lists = posted.groupBy("entry", "shared").agg(F.count("*").alias("n"), F.collect_list(F.struct("rest", "fp")).alias("members")).where("n > 1")
-    members = lists.select("entry", "shared", F.explode("members").alias("m")).select("entry", "shared", "m.*")
-    hubs = F.array(F.lit(0), *[F.lit(1 << i) for i in range(16)])
-    met = members.select("entry", "shared", "fp", F.explode(F.transform(hubs, lambda h: F.col("rest").bitwiseXOR(h))).alias("hub"))
-    least = met.groupBy("entry", "shared", "hub").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
-    return met.join(least, ["entry", "shared", "hub"]).where("fp != a").select("a", F.col("fp").alias("b")).distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(0)
+            fp, rest = members.flatten().field("fp").to_numpy(), members.flatten().field("rest").to_numpy().astype(np.int64)
+            list_ = np.repeat(np.arange(len(members)), np.diff(members.offsets.to_numpy()))
+            a, b = meeting(list_, rest, fp)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return lists.select("members").mapInArrow(verify, "a long, b long").distinct()
+
+
+def meeting(list_: np.ndarray, rest: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between fingerprints of one list whose 16 remaining bits differ in one or two."""
+    flips = np.concatenate(([0], 1 << np.arange(16)))
+    hub = (list_[:, None] << 16) | (rest[:, None] ^ flips)
+    order = np.argsort(fp, kind="stable")
+    hubs, first = np.unique(hub[order].ravel(), return_index=True)
+    least = order[first // len(flips)]  # the smallest fingerprint at each hub
+    labels, found = np.arange(len(fp)), []
+    for k in range(len(flips)):
+        other = least[np.searchsorted(hubs, hub[:, k])]
+        new = np.flatnonzero(labels != labels[other])
+        found.append((fp[other[new]], fp[new]))
+        join_labels(labels, new, other[new])
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, bits: int = 2) -> DataFrame:
