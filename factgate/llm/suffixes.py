@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices
+from .common import documents, durable, slices
 from .words import MIX, covered, mix, word_hashes, word_spans
 
 #: Words of a repeat at least, and of the grams among which minimisers are chosen.
@@ -79,18 +79,20 @@ def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
     minimiser, at the same place wherever the stretch occurs. So two equal stretches belong to two kept suffixes with
     the same first gram, and what is before and after these decides.
 
-    1. Suffixes are dealt and sorted by content in one shuffle and compared with those next to them. All that agree on
+    1. Suffixes are dealt and sorted by content; those whose gram no other document has are dropped. All that agree on
        gram, tail and front are one class, whose first document is kept for the others: they match it over the full
        width in both directions.
     2. Classes that share a gram only differ somewhere in that width. The first of each class is extended left and
        right word by word: its stretches are named and met with equal ones.
     One neighbour in sorted order would not do for 2: the longest match to the right need not be the longest to the left.
+    What very many suffixes share is combined before the shuffle and joined back, so that AQE can split a hot key.
     """
     kept = suffixes(docs, length, gram)
-    by_gram, alike = Window.partitionBy("gram"), Window.partitionBy("gram", "tail", "front")
-    form = F.xxhash64("tail", "front")
-    kept = kept.withColumns({"lo": F.min("doc_id").over(by_gram), "hi": F.max("doc_id").over(by_gram), "forms": F.min(form).over(by_gram) != F.max(form).over(by_gram)}).where("lo < hi")
-    met = kept.withColumn("first", F.min("doc_id").over(alike)).select("doc_id", "h", "at", "first", "forms")
+    grams = kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram")
+    live = durable(kept.join(grams, "gram"))
+    classes = live.groupBy("gram", "tail", "front").agg(F.min("doc_id").alias("first"))
+    forms = classes.groupBy("gram").agg((F.count("*") > 1).alias("forms"))
+    met = live.join(classes.join(forms, "gram"), ["gram", "tail", "front"]).select("doc_id", "h", "at", "first", "forms")
     wide = length - gram
     full = met.where("doc_id > first").select("doc_id", "h", F.greatest(F.col("at") - wide, F.lit(0)).alias("lo"), (F.col("at") + length).alias("hi"), F.col("first").alias("src"))
     edges = met.where("doc_id = first and forms").groupBy("doc_id", "h").agg(F.collect_set("at").alias("__at"))
@@ -113,8 +115,7 @@ def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "lo", "name"])
 
     own = both.mapInArrow(stretches, "doc_id long, h long, lo long, name long")
-    own = own.withColumn("src", F.min("doc_id").over(Window.partitionBy("name")))
-    part = own.where("doc_id > src").select("doc_id", "h", "lo", (F.col("lo") + length).alias("hi"), "src")
+    part = own.join(own.groupBy("name").agg(F.min("doc_id").alias("src")), "name").where("doc_id > src").select("doc_id", "h", "lo", (F.col("lo") + length).alias("hi"), "src")
     return full.unionByName(part).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "src")).alias("marks"))
 
 
