@@ -17,16 +17,25 @@ from .vectors import join_labels
 SEED = 42
 
 
-def simhash(words: list[bytes], size: int) -> int:
-    """64 bits; a bit is set if over half of the word shingles' XXH64 have it. Fewer words than ``size``: one shingle of all; none: 0."""
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of every run of ``size`` words. Fewer words: one shingle of all; none: no shingle."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(at[: -size].tolist(), (at[size:] - 1).tolist())], np.uint64)
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(at[: -size].tolist(), (at[size:] - 1).tolist())], np.uint64)
+
+
+def simhash(words: list[bytes], size: int) -> int:
+    """64 bits; a bit is set if over half of the word shingles' XXH64 have it. Fewer words than ``size``: one shingle of all; none: 0."""
+    return majority(shingles(words, size))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     total = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 8192):
         total += np.unpackbits(hashes[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -131,3 +140,127 @@ def keep_one_each(docs: DataFrame, size: int = 5, bits: int = 2) -> DataFrame:
     found = near_duplicates(docs, size=size, bits=bits).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     named = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("__keep"), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
+# -- similarity of shingle sets --------------------------------------------------------------------------------------
+
+#: Band keys of a text, and least hashes that each is made of. Texts of similarity J share none with probability (1 - J ** ROWS) ** BANDS: 3 in a million at 0.8.
+BANDS, ROWS = 24, 4
+LEAST_SIMILARITY = 0.8
+#: In lists of up to so many different shingle sets all pairs are compared; in longer ones each with the list's least.
+ALL_PAIRS = 16
+#: Buckets of the filter for sets that stand in a pair.
+FILTER = 1 << 22
+_draw = np.random.default_rng(SEED)
+FLIP = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+ODD = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of the bands of least hashes, a list that two texts share with the probability of their sets' similarity to the power of ROWS each."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 512):
+        np.minimum(least, ((hashes[k : k + 512, None] ^ FLIP) * ODD).min(0), out=least)
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))] if len(hashes) else []
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """64 bits that name a sorted set of hashes."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def marks(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, fp, name, n, bands): the SimHash of every text, the name and size of its shingle set, and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            data, offsets = buffers(batch.column(1))
+            low, fp, name, n, bands = bytes(data).lower(), [], [], [], []
+            for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                hashes = shingles(low[i:j].split(), size)
+                different = np.unique(hashes)
+                fp.append(majority(hashes)), name.append(set_name(different)), n.append(len(different)), bands.append(band_keys(different))
+            flat = np.array([k for b in bands for k in b], np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(b) for b in bands]))), pa.int32()), pa.array(flat))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(fp), signed(name), pa.array(n, pa.int64()), lists], ["doc_id", "fp", "name", "n", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, name long, n long, bands array<long>")
+
+
+def alike_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of set names that share a band key and whose sizes allow ``similarity``.
+
+    A list of up to ALL_PAIRS sets gives all its pairs; a longer one gives each set's with the least of the list, so
+    pairs grow with the sets and not with their square.
+    """
+    posted = sets.select("name", "n", F.explode("bands").alias("key"))
+    long_ = F.count("*").alias("m"), F.min(F.struct("name", "n")).alias("least")
+    lists = durable(posted.join(posted.groupBy("key").agg(*long_).where("m > 1"), "key"))
+    stars = lists.where(F.col("m") > ALL_PAIRS).select(F.col("least.name").alias("a"), F.col("least.n").alias("na"), F.col("name").alias("b"), F.col("n").alias("nb"))
+    short = lists.where(F.col("m") <= ALL_PAIRS).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("name", "n"))).alias("x"))
+    pairs = short.select("x", F.explode("x").alias("p")).select("p", F.explode(F.filter("x", lambda q: q["name"] > F.col("p.name"))).alias("q"))
+    pairs = pairs.select(F.col("p.name").alias("a"), F.col("p.n").alias("na"), F.col("q.name").alias("b"), F.col("q.n").alias("nb"))
+    allowed = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity)
+    return stars.unionByName(pairs).where((F.col("a") != F.col("b")) & allowed).select("a", "b").distinct()
+
+
+def alike(docs: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Those of the pairs of set names whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    The sets are made again for texts that stand in a pair (a filter of FILTER buckets lets few others pass) and joined
+    with the pairs by name.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("name"))
+    wanted = np.zeros(FILTER, bool)
+    wanted[ends.select(F.pmod("name", F.lit(FILTER)).cast("int").alias("k")).distinct().toArrow().column(0).to_numpy()] = True
+    held = np.packbits(wanted).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, seen = np.unpackbits(np.frombuffer(held, np.uint8)).view(bool), set()
+        for batch in slices(batches, 0):
+            data, offsets = buffers(batch.column(0))
+            low, name, sets = bytes(data).lower(), [], []
+            for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                different = np.unique(shingles(low[i:j].split(), size))
+                k = set_name(different)
+                if wanted[k % FILTER] and k not in seen:
+                    seen.add(k), name.append(k), sets.append(different.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], ["name", "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    sets = durable(docs.select("text").mapInArrow(run, "name long, shingles binary").groupBy("name").agg(F.first("shingles").alias("shingles")))
+    of = lambda c: sets.select(F.col("name").alias(c), F.col("shingles").alias(f"s{c}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+
+
+def keep_one_alike(docs: DataFrame, size: int = 5, similarity: float = LEAST_SIMILARITY, bits: int = 2) -> DataFrame:
+    """Documents with one row left of each component of near-duplicates: that with the smallest doc_id.
+
+    Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles is at least ``similarity``,
+    or if their SimHashes differ in at most ``bits`` bits. Pairs that share a band key are verified on whole sets. A
+    component may miss a link with the probability at BANDS, and where a pair meets only in lists of over ALL_PAIRS
+    different sets and neither reaches their least ones. Null doc_id and repeats as in ``keep_one_each``.
+    """
+    if similarity < LEAST_SIMILARITY:
+        raise ValueError(f"bands are for similarities of {LEAST_SIMILARITY} or more")
+    marked = durable(marks(docs, size))
+    sets = durable(marked.groupBy("name").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("rep")))
+    links = alike(docs, durable(alike_pairs(sets, similarity)), similarity, size)
+    # what repeats shingles may share a set and no fingerprint, or the other way round: documents link the two
+    heads = marked.groupBy("fp").agg(F.min("name").alias("head"))
+    same = marked.select("fp", "name").distinct().join(heads, "fp").select(F.col("head").alias("a"), F.col("name").alias("b"))
+    near = near_fingerprints(heads, bits).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    names = components(links.unionByName(same).unionByName(near)).withColumnRenamed("node", "name")
+    classes = sets.select("name", "rep").join(names, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    found = classes.groupBy("component").agg(F.min("rep").alias("__keep")).where("__keep is not null").select("__keep")
+    named = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("__keep"), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
