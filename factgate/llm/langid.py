@@ -21,6 +21,10 @@ MARGIN = 0.01
 LEVEL = 6
 #: Texts of fewer bytes are compressed four times over: a single short block is stored as it is if hardly compressible.
 SHORT = 256
+#: Dictionaries of at least this share of the longest text are cut to one size; rarer languages keep what they have.
+COMMON = 0.5
+#: A language with less text than this (or a quarter of the longest, in small tables) is not learned: 8 KB tell no language from a wrong label.
+LEAST_BYTES = 8192
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 NAMES = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -35,6 +39,9 @@ def dictionaries(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_C
 
     Counts come from all rows; then about ``rows`` of each language, chosen by a hash of the id, give at most ``chars``
     characters each. The driver holds languages x rows x chars characters however many documents there are.
+
+    Common languages, those with at least COMMON of the longest text, get a like amount of text. What rarer ones have
+    doesn't change those: it is kept whole, for ``Judge`` to compare at its own size, or dropped under LEAST_BYTES.
     """
     learn = docs.where(~held_out(doc_id) & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).where(F.length(text) > 20)
     counts = {r[lang]: r["n"] for r in learn.groupBy(lang).agg(F.count("*").alias("n")).collect()}
@@ -46,19 +53,31 @@ def dictionaries(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_C
     out: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: r["h"])[: 2 * rows * len(counts)]:
         out.setdefault(r[lang], []).append(NOT_LETTERS.sub(" ", r["t"].lower()))
-    size = min(sum(map(len, v)) for v in out.values())  # a like amount of text for each
-    return {k: " ".join(v).encode()[-max(size, 2048) :] for k, v in sorted(out.items())}
+    most = max((sum(map(len, v)) for v in out.values()), default=0)
+    size = min((n for v in out.values() if (n := sum(map(len, v))) >= COMMON * most), default=0)
+    held = {k: " ".join(v).encode()[-max(size, 2048) :] for k, v in sorted(out.items())}
+    return {k: v for k, v in held.items() if len(v) >= min(LEAST_BYTES, max(map(len, held.values())) / 4)}
 
 
 class Judge:
-    """Compresses texts with each language's dictionary; gives (language, score, rejected) for each."""
+    """Compresses texts with each language's dictionary; gives (language, score, rejected) for each.
+
+    Common languages are compared with each other. A rarer one, whose dictionary is shorter, is compared with the best
+    of them cut to the same size, and takes the text only if it saves the margin against that (of several, the one that
+    saves most): other texts keep their language and score.
+    """
 
     def __init__(self, texts: dict[str, bytes], margin: float):
-        self.names, self.coders, self.margin = list(texts), [], margin
-        for k in self.names:
-            held = zstandard.ZstdCompressionDict(texts[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+        most = max(map(len, texts.values()), default=0)
+        self.names, self.margin = [k for k in texts if len(texts[k]) >= COMMON * most], margin
+        self.coders = [self.coder(texts[k]) for k in self.names]
+        self.rare = [(k, self.coder(t), [self.coder(texts[c][-len(t) :]) for c in self.names]) for k, t in texts.items() if k not in self.names]
+
+    @staticmethod
+    def coder(text: bytes) -> zstandard.ZstdCompressor:
+        held = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def __call__(self, column: pa.Array) -> list[tuple[str, float, bool]]:
         data, offsets = buffers(column)
@@ -68,15 +87,14 @@ class Judge:
             if not self.names or not letters.strip():
                 out.append(("und", 0.0, True))
                 continue
-            if len(letters) < SHORT:
-                sizes = [len(c.compress((letters + b" ") * 4)) for c in self.coders]
-            else:
-                parts = [letters[k : k + BLOCK] for k in range(0, len(letters), BLOCK)]
-                sizes = [sum(len(c.compress(p)) for p in parts) for c in self.coders]
+            parts = [(letters + b" ") * 4] if len(letters) < SHORT else [letters[k : k + BLOCK] for k in range(0, len(letters), BLOCK)]
+            sizes = [sum(len(c.compress(p)) for p in parts) for c in self.coders]
             best = sizes.index(min(sizes))
             second = min(sizes[:best] + sizes[best + 1 :], default=float("inf"))
             score = 1.0 - sizes[best] / second
-            out.append((self.names[best], score, score < self.margin))
+            saved = [(1.0 - sum(len(own.compress(p)) for p in parts) / sum(len(cut[best].compress(p)) for p in parts), k) for k, own, cut in self.rare]
+            found, score = max([(x, k) for x, k in saved if x >= self.margin and x > 0], key=lambda x: x[0], default=(score, self.names[best]))[::-1]
+            out.append((found, score, score < self.margin))
         return out
 
 
@@ -84,7 +102,7 @@ def identify(docs: DataFrame, texts: dict[str, bytes], margin: float = MARGIN, d
     """(doc_id, lang_pred, score, rejected) for every whole text.
 
     Letters of the lower-cased text are compressed block by block with each language's dictionary; the smallest sum
-    wins (ties: the first by name). ``score`` is the share that the best saves against the second best. Null texts and
+    wins (ties: the first by name; rare languages: see ``Judge``). ``score`` is the share that the best saves against the second best. Null texts and
     texts without a letter are ``und`` with score 0 and are rejected; so are margins under ``margin``. With no
     language to learn from everything is ``und``; with one, its score is 1. Repeated rows get a row each.
     """
