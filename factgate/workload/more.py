@@ -119,7 +119,16 @@ def rewrite_invariance(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderkey % 4 AS kind, count(*) AS nodes, CAST(1 AS BIGINT) AS keys FROM orders WHERE o_orderkey <= 400 GROUP BY 1")
 def algebra_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Nested algebra under order-free keys: joins of the same two scans are one, whichever comes first."""
-    o = load(spark, sf, "orders").where("o_orderkey <= 400").select("o_orderkey")
+    return keys_by_kind(spark, load(spark, sf, "orders").where("o_orderkey <= 400").select("o_orderkey"))
+
+
+@query("SELECT o_orderkey % 4 AS kind, count(*) AS nodes, CAST(1 AS BIGINT) AS keys FROM orders GROUP BY 1")
+def algebra_keys_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a node for every order."""
+    return keys_by_kind(spark, load(spark, sf, "orders").select("o_orderkey"))
+
+
+def keys_by_kind(spark: SparkSession, o: DataFrame) -> DataFrame:
     scans = spark.createDataFrame([(-1, "scan", "orders", []), (-2, "scan", "lineitem", [])], "node long, kind string, text string, children array<long>")
     kind = F.element_at(F.array(F.lit("join"), F.lit("union"), F.lit("filter"), F.lit("join")), (F.col("o_orderkey") % 4 + 1).cast("int"))
     pair = F.when(F.col("o_orderkey") % 8 < 4, F.array(F.lit(-1), F.lit(-2))).otherwise(F.array(F.lit(-2), F.lit(-1)))
@@ -148,6 +157,16 @@ def replay_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return total
 
 
+@query("SELECT page, dim, CASE WHEN page = 0 THEN n * facts ELSE CAST(0 AS BIGINT) END AS charged FROM (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P') CROSS JOIN (VALUES ('release', 1), ('influence', 4)) d(dim, facts) CROSS JOIN (VALUES (0), (1)) v(page)")
+def replay_charges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same question asked twice: what is charged in each dimension, an order's row and its three cells as influence."""
+    plan = lambda f: Plan(O, ("orders.o_totalprice",), filters=f)
+    f = (Filter("orders.o_orderstatus", "=", "P"), Filter("orders.o_orderkey", ">", 0))
+    ask = lambda k, g: facts.observation(spark, sf, plan(g)).where("dim <> 'outcome'").select(F.lit("root").alias("root"), F.lit(k).alias("seq"), "dim", "fact_hash")
+    both = ledger.charges(ask(0, f).unionByName(ask(1, f[::-1])))
+    return both.groupBy(F.col("seq").alias("page"), "dim").agg(F.sum("charged").alias("charged"))
+
+
 @query(f"SELECT root, count(*) AS novel FROM (SELECT DISTINCT root, f FROM {STREAM} WHERE dim = 'release' AND seq % 3 = 0 EXCEPT SELECT root, f FROM {STREAM} WHERE dim = 'release' AND seq % 3 <> 0) GROUP BY root")
 def touched_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     """Novelty against a ledger stored by hash prefix, of which only the prefixes asked for are read."""
@@ -197,6 +216,17 @@ def view_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return governance.view_gaps(c, c.where("view % 3 = 0").select("view", F.lit("segment").alias("name")), bases.where("base % 2 = 1").withColumn("name", F.lit("segment")), names.withColumn("level", level))
 
 
+@query("SELECT c_custkey AS view, -1 - c_custkey // 2 AS base, 'scope segment' AS reason FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey // 2 % 2 = 1 UNION ALL SELECT c_custkey, -1 - c_custkey // 2, 'sensitivity' FROM customer WHERE c_custkey // 2 % 4 > c_custkey % 4")
+def view_gaps_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a view for every customer, over base tables that two views share."""
+    half = F.floor(F.col("c_custkey") / 2)
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("view"), (-1 - half).alias("depends_on"))
+    bases = c.select(F.col("depends_on").alias("base")).distinct()
+    names = c.select(F.col("view").alias("name"), (F.col("view") % 4).alias("k")).unionByName(bases.select(F.col("base").alias("name"), ((-1 - F.col("base")) % 4).alias("k")))
+    level = F.element_at(F.array(*[F.lit(x) for x in governance.LEVELS]), (F.col("k") + 1).cast("int"))
+    return governance.view_gaps(c, c.where("view % 3 = 0").select("view", F.lit("segment").alias("name")), bases.where("(-1 - base) % 2 = 1").withColumn("name", F.lit("segment")), names.select("name", level.alias("level")))
+
+
 @query("SELECT c_custkey AS request, CASE WHEN c_custkey % 4 < 2 THEN 'auto' WHEN c_custkey % 4 = 2 THEN 'owner' ELSE 'refused' END AS route, CASE c_custkey % 4 WHEN 0 THEN CAST(1000 AS INTEGER) WHEN 1 THEN 500 WHEN 2 THEN 100 END AS max_rows FROM customer")
 def task_policy(spark: SparkSession, sf: str) -> DataFrame:
     """Products to sensitivity, to approval route, to budget."""

@@ -131,6 +131,15 @@ def join_composite_key(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).join(n, (F.col("n_nationkey") == F.col("c_nationkey")) & (F.col("n_nationkey") == F.col("s_nationkey"))).select("c_custkey", "s_suppkey", "n_name")
 
 
+@query("SELECT n_name, count(*) AS pairs FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON n_nationkey = c_nationkey AND n_nationkey = s_nationkey GROUP BY n_name")
+def join_composite_key_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same join over whole tables, counted: both sides are grouped by nation before they meet."""
+    c = load(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c"))
+    s = load(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("s"))
+    both = c.join(s, F.col("c_nationkey") == F.col("s_nationkey"))
+    return both.join(load(spark, sf, "nation"), (F.col("n_nationkey") == F.col("c_nationkey")) & (F.col("n_nationkey") == F.col("s_nationkey"))).select("n_name", (F.col("c") * F.col("s")).alias("pairs"))
+
+
 @query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders WHERE (o_orderstatus = 'F') OR (o_orderpriority LIKE '1%')")
 def union_distinct_subset(spark: SparkSession, sf: str) -> DataFrame:
     cols = ("orders.o_orderstatus", "orders.o_orderpriority")
@@ -228,6 +237,14 @@ def full_and_right_outer(spark: SparkSession, sf: str) -> DataFrame:
     return both.join(load(spark, sf, "nation"), F.col("n_nationkey") == F.col("k"), "right").select("n_name", "suppliers", "customers")
 
 
+@query("SELECT n_name, s.n AS suppliers, c.n AS customers FROM (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s FULL JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON s_nationkey = c_nationkey RIGHT JOIN nation ON n_nationkey = coalesce(s_nationkey, c_nationkey)")
+def full_and_right_outer_whole(spark: SparkSession, sf: str) -> DataFrame:
+    s = load(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("suppliers"))
+    c = load(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    both = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"), "full").withColumn("k", F.coalesce("s_nationkey", "c_nationkey"))
+    return both.join(load(spark, sf, "nation"), F.col("n_nationkey") == F.col("k"), "right").select("n_name", "suppliers", "customers")
+
+
 @query("SELECT a.n_name AS left_name, b.n_name AS right_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 def self_join_theta(spark: SparkSession, sf: str) -> DataFrame:
     n = load(spark, sf, "nation")
