@@ -1,4 +1,8 @@
-"""The first lineage algebra: rows carry the set of base facts they came from, as an array column."""
+"""The first lineage algebra: rows carry the set of base facts they came from.
+
+A base or joined row has its facts in an array column, which its width bounds. A merged row can come from any number of
+base rows, so its facts are a long table (keys..., fact_hash) that a shuffle makes distinct; no task gathers a group's.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical, digest
+from .digest import set_digest
 
 LINE = "__lineage"
 
@@ -39,23 +44,30 @@ def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> Da
     return both.withColumn(LINE, F.array_sort(F.array_union(LINE, "__right"))).drop("__right")
 
 
-def union(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct union; a row's lineage is that of all rows that equal it."""
-    return _merged(left.unionByName(right), [c for c in left.columns if c != LINE], [])
+def union(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct union, and the facts of all rows that equal each of its rows."""
+    both = left.unionByName(right)
+    keys = [c for c in both.columns if c != LINE]
+    return both.select(*keys).distinct(), facts(both, keys)
+
+
+def aggregate(df: DataFrame, keys: list[str], aggs: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Grouped aggregates, and the facts of all members of each group."""
+    return df.groupBy(*keys).agg(*aggs), facts(df, keys)
 
 
-def aggregate(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
-    """Grouped aggregates; lineage is that of all members, repeated facts once."""
-    return _merged(df, keys, aggs)
+def facts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., fact_hash): the different facts of each group."""
+    return df.select(*keys, F.explode(LINE).alias("fact_hash")).distinct()
 
 
-def _merged(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
-    lines = df.select(*keys, F.explode(LINE).alias("f")).groupBy(*keys).agg(F.array_sort(F.collect_set("f")).alias(LINE))
-    values = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
-    if not keys:
-        return values.crossJoin(lines)
-    cond = [F.col(f"v.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
-    return values.alias("v").join(lines.alias("l"), cond, "left").select("v.*", F.coalesce(F.col(f"l.{LINE}"), F.array().cast("array<string>")).alias(LINE))
+def sized(rows: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The merged rows with ``facts`` and ``digest``, the number and two-level digest of their facts."""
+    d = set_digest(lines, "fact_hash", keys)
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"v.{k}").eqNullSafe(F.col(f"l.{k}"))
+    return rows.alias("v").join(d.alias("l"), cond, "left").select("v.*", F.coalesce("l.n", F.lit(0)).alias("facts"), "l.digest")
 
 
 def observed(df: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def lineage_customers(spark: SparkSession, sf: str) -> DataFrame:
 def lineage_join_group(spark: SparkSession, sf: str) -> DataFrame:
     both = lineage.join(lineage_orders(spark, sf), lineage_customers(spark, sf), "o_custkey", "c_custkey")
     out = lineage.aggregate(both, ["c_mktsegment"], [F.count("*").alias("orders")])
-    return out.select("c_mktsegment", "orders", F.size(lineage.LINE).cast("bigint").alias("facts"))
+    return lineage.sized(*out, ["c_mktsegment"]).select("c_mktsegment", "orders", "facts")
 
 
 @query("SELECT o_orderstatus, count(*) * 3 AS facts FROM orders WHERE o_orderstatus = 'F' OR o_orderkey % 2 = 0 GROUP BY o_orderstatus")
@@ -96,7 +96,7 @@ def lineage_union(spark: SparkSession, sf: str) -> DataFrame:
     o = lineage_orders(spark, sf)
     a, b = lineage.select(o, F.col("o_orderstatus") == "F"), lineage.select(o, F.col("o_orderkey") % 2 == 0)
     out = lineage.union(lineage.project(a, "o_orderstatus"), lineage.project(b, "o_orderstatus"))
-    return out.select("o_orderstatus", F.size(lineage.LINE).cast("bigint").alias("facts"))
+    return lineage.sized(*out, ["o_orderstatus"]).select("o_orderstatus", "facts")
 
 
 @query("SELECT count(*) * 3 AS facts FROM orders WHERE o_orderstatus = 'O'")
