@@ -22,14 +22,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, on storage that all executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without that setting gets a temporary one.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session without that setting gets a temporary one; on a
+    cluster, where no other machine could read that, it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp("checkpoints")
+    return base
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Marks a small frame that several branches read; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buffers, components, documents, durable, slices
@@ -46,7 +47,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     """(doc_id, fp): the SimHash of every whole text as a signed 64-bit number.
 
     Letters A-Z are lower-cased, words are runs of non-white ASCII, shingles have ``size`` words and count as often as
-    they occur. Null and blank texts have fingerprint 0.
+    they occur. Null and blank texts have fingerprint 0. A text of any length is read whole, 8,192 shingles at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,41 +60,83 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+#: Positional bytes of a fingerprint; posting lists are kept by two pairs of neighbouring positions.
+BYTES = 8
+LISTS = [(*p, *q) for p, q in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
+#: Fingerprints of a posting list whose pairs are tallied where it is; a longer list is split by two more positional bytes.
+LIST = 1024
+
+
+def positions(at: tuple[int, ...]) -> Column:
+    """The bytes of ``fp`` at the given positions, all others zero."""
+    mask = sum(0xFF << (8 * p) for p in at)
+    return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+
+
 def near_fingerprints(fps: DataFrame, bits: int = 2) -> DataFrame:
     """(a, b): links between different fingerprints of the column ``fp`` that connect all those at ``bits`` or fewer.
 
-    A fingerprint is eight positional bytes. Two at most ``bits`` bits apart share at least 8 - ``bits`` of them, the
-    guaranteed minimum; a pair is a candidate if it shares that many, that is, if both stand in the posting list of one
-    set of 8 - ``bits`` (position, byte) entries. Indexing such sets rather than single bytes tallies to the minimum
-    without a list of a 256th of all fingerprints. A list holds at most 256 ** ``bits`` different fingerprints.
-
-    Within a list the remaining bytes are verified without comparing all pairs: values at distance 1 or 2 meet in a
-    value at distance 0 or 1 of both, so each meets in itself and in its one-bit neighbours, and all that meet are
-    linked to their minimum unless other links of the list join them already. For ``bits`` = 2 everything that meets in
-    one such hub is within distance 2 of everything else there, so each link is direct and no component is lost.
+    1. Inverted index: a fingerprint is eight positional bytes. Two at most 2 bits apart differ in at most two of them,
+       so they share at least six, the guaranteed minimum, and at least two of the four pairs of neighbouring positions
+       whole. A posting list holds the fingerprints that share the bytes at two such pairs.
+    2. Count filter: for every pair of a list the positional bytes that both share are tallied; pairs that reach the
+       minimum are verified by their differing bits. A pair in several lists is returned once.
+    3. A list of over LIST fingerprints is split, none dropped: of its other four positions two that are near share two,
+       so its members are posted again by each two of these. In such a list all pairs share six bytes. It has at most
+       65,536 members, and is verified without listing pairs: values at distance 1 or 2 meet in one at distance 0 or 1
+       of both, so what meets there is linked to its least. All that meet in one such hub are within 2 bits of each
+       other, so each link is direct.
+
+    List sizes are counted before anything is gathered, so no task holds a long list; the counts stand on storage, so
+    that AQE can split the join with them.
     """
     if bits != 2:
-        raise ValueError("verification by shared one-bit neighbours is for two bits")
-    byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255) for p in range(8)]
-    postings = []
-    for k, left in enumerate(combinations(range(8), bits)):
-        mask = sum(0xFF << (8 * p) for p in left)
-        keep = ~mask & 0xFFFFFFFFFFFFFFFF
-        signed = keep - (1 << 64) if keep >> 63 else keep
-        rest = byte[left[0]].bitwiseOR(F.shiftleft(byte[left[1]], 8))
-        postings.append(F.struct(F.lit(k).alias("entry"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("shared"), rest.cast("int").alias("rest")))
-    posted = fps.select("fp").distinct().select("fp", F.explode(F.array(*postings)).alias("p")).select("fp", "p.*")
-    lists = posted.groupBy("entry", "shared").agg(F.count("*").alias("n"), F.collect_list(F.struct("rest", "fp")).alias("members")).where("n > 1")
+        raise ValueError("two neighbouring pairs of four stay whole for two bits")
+    nodes = fps.select("fp").distinct()
+    posted = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("list"), positions(at).alias("shared")) for k, at in enumerate(LISTS)])).alias("e")).select("fp", "e.*")
+    sizes = durable(posted.groupBy("list", "shared").agg(F.count("*").alias("n")).where("n > 1"))
+    met = posted.join(sizes, ["list", "shared"])
+    short = met.where(F.col("n") <= LIST).groupBy("list", "shared").agg(F.collect_list("fp").alias("members")).select("members")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(0)
+            for a, b in pairs_within(members.flatten().to_numpy().view(np.uint64), np.diff(members.offsets.to_numpy())):
+                differ = a ^ b
+                shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
+                on = np.flatnonzero(shared >= BYTES - bits)
+                on = on[np.bitwise_count(differ[on]) <= bits]
+                yield pa.RecordBatch.from_arrays([pa.array(a[on].view(np.int64)), pa.array(b[on].view(np.int64))], ["a", "b"])
+
+    more = [at + two for at in LISTS for two in combinations([p for p in range(BYTES) if p not in at], 2)]
+    six = sorted({tuple(sorted(at)) for at in more})
+    again = [F.struct(F.lit(k).alias("list"), F.lit(six.index(tuple(sorted(at)))).alias("six"), positions(at).alias("shared")) for k, own in enumerate(LISTS) for at in more if at[:4] == own]
+    split = met.where(F.col("n") > LIST).select("fp", F.col("list").alias("own"), F.explode(F.array(*again)).alias("e")).where("own = e.list").select("fp", "e.six", "e.shared").distinct()
+    split = split.groupBy("six", "shared").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("six", "members")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members = batch.column(0)
-            fp, rest = members.flatten().field("fp").to_numpy(), members.flatten().field("rest").to_numpy().astype(np.int64)
-            list_ = np.repeat(np.arange(len(members)), np.diff(members.offsets.to_numpy()))
-            a, b = meeting(list_, rest, fp)
+            members = batch.column(1)
+            fp, sizes_ = members.flatten().to_numpy(), np.diff(members.offsets.to_numpy())
+            rest = np.array([[p for p in range(BYTES) if p not in at] for at in six])[np.repeat(batch.column(0).to_numpy(), sizes_)]
+            byte = fp.view(np.uint8).reshape(-1, BYTES).astype(np.int64)
+            row = np.arange(len(fp))
+            a, b = meeting(np.repeat(np.arange(len(members)), sizes_), byte[row, rest[:, 0]] | byte[row, rest[:, 1]] << 8, fp)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return lists.select("members").mapInArrow(verify, "a long, b long").distinct()
+    return short.mapInArrow(tally, "a long, b long").unionByName(split.mapInArrow(verify, "a long, b long")).distinct()
+
+
+def pairs_within(members: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of each list, of a flattened column of lists, some at a time."""
+    start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    for m in np.unique(sizes[sizes > 1]).tolist():
+        lists = start[sizes == m]
+        i, j = np.triu_indices(m, 1)
+        per = max(1, most // len(i))
+        for k in range(0, len(lists), per):
+            block = members[lists[k : k + per, None] + np.arange(m)]
+            yield block[:, i].ravel(), block[:, j].ravel()
 
 
 def meeting(list_: np.ndarray, rest: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,36 +175,65 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that ``found`` (doc_id, h) names, h being the hash of the text; of equal ones one, and all without doc_id."""
+    found = found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    rows = docs.where("doc_id is not null").select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text"))
+    rows = rows.join(found, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text") == F.col("__h")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(docs.where("doc_id is null"))
+
+
 def keep_one_each(docs: DataFrame, size: int = 5, bits: int = 2) -> DataFrame:
-    """Documents with one row left of each near-duplicate component: that with the smallest doc_id.
+    """Documents with one row left of each near-duplicate component: that with the smallest doc_id, then hash of text.
 
-    Rows with null doc_id stay. Rows that repeat a kept doc_id stay only once (the smallest text).
+    Rows are told apart by doc_id and text, so different texts under one doc_id are judged each on its own; of repeated
+    rows one stays. Rows with null doc_id all stay. An empty table stays empty; other columns are not read.
     """
-    found = near_duplicates(docs, size=size, bits=bits).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("__keep"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    marked = durable(marks(docs, size).select("doc_id", "h", "fp"))
+    nodes = marked.groupBy("fp").agg(least_row().alias("rep"))
+    names = components(near_fingerprints(nodes, bits)).withColumnRenamed("node", "fp")
+    classes = nodes.join(names, "fp", "left").select("rep", F.coalesce("component", "fp").alias("component"))
+    return one_of_each(docs, classes.groupBy("component").agg(F.min("rep").alias("rep")).where("rep is not null").select("rep.*"))
 
 
 # -- similarity of shingle sets --------------------------------------------------------------------------------------
 
-#: Band keys of a text, and least hashes that each is made of. Texts of similarity J share none with probability (1 - J ** ROWS) ** BANDS: 3 in a million at 0.8.
+#: Least hashes of a text's shingles, of which every four are a band. Texts of similarity J share no band with probability (1 - J ** ROWS) ** BANDS: 3 in a million at 0.8.
 BANDS, ROWS = 24, 4
+WIDE = BANDS * ROWS
 LEAST_SIMILARITY = 0.8
-#: In lists of up to so many different shingle sets all pairs are compared; in longer ones each with the list's least.
+#: Chance that a pair of the least similarity shares fewer positional bytes than the count filter asks for.
+MISSED = 1e-6
+#: In lists of up to so many different shingle sets all pairs are compared; in longer ones each with chosen members, round by round.
 ALL_PAIRS = 16
-#: Buckets of the filter for sets that stand in a pair.
+#: Members of a longer list that all its others are compared with in the first round, and how many times more in each later one.
+PIVOTS, MORE = 8, 4
+#: Buckets of the filter for sets that stand in a list.
 FILTER = 1 << 22
 _draw = np.random.default_rng(SEED)
-FLIP = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-ODD = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+FLIP = _draw.integers(0, 1 << 64, WIDE, np.uint64)
+ODD = _draw.integers(0, 1 << 64, WIDE, np.uint64) | np.uint64(1)
+
+
+def least_row() -> Column:
+    """The smallest (doc_id, h) of the rows that have a doc_id."""
+    return F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h")))
+
+
+def least_shared(similarity: float) -> int:
+    """Positional bytes that two texts of this similarity share at least, but for a chance of MISSED."""
+    chance, n = 0.0, 0
+    while (chance := chance + comb(WIDE, n) * similarity**n * (1 - similarity) ** (WIDE - n)) <= MISSED:
+        n += 1
+    return n
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """Keys of the bands of least hashes, a list that two texts share with the probability of their sets' similarity to the power of ROWS each."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of each of WIDE hash functions over a set of shingles."""
+    least = np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 512):
         np.minimum(least, ((hashes[k : k + 512, None] ^ FLIP) * ODD).min(0), out=least)
-    return [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))] if len(hashes) else []
+    return least
 
 
 def set_name(hashes: np.ndarray) -> int:
@@ -170,50 +242,67 @@ def set_name(hashes: np.ndarray) -> int:
 
 
 def marks(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, fp, name, n, bands): the SimHash of every text, the name and size of its shingle set, and its band keys."""
+    """(doc_id, h, fp, name, n, wide, bands): hash and SimHash of every text, the name and size of its shingle set, its wide fingerprint and its bands.
+
+    The wide fingerprint is one byte of each of the least hashes, WIDE positional bytes in all; a band is the name of
+    four whole least hashes. A text without words has no bands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             data, offsets = buffers(batch.column(1))
-            low, fp, name, n, bands = bytes(data).lower(), [], [], [], []
+            low, fp, name, n, wide, bands = bytes(data).lower(), [], [], [], [], []
             for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 hashes = shingles(low[i:j].split(), size)
                 different = np.unique(hashes)
-                fp.append(majority(hashes)), name.append(set_name(different)), n.append(len(different)), bands.append(band_keys(different))
-            flat = np.array([k for b in bands for k in b], np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(b) for b in bands]))), pa.int32()), pa.array(flat))
+                least = least_hashes(different)
+                fp.append(majority(hashes)), name.append(set_name(different)), n.append(len(different))
+                wide.append((least >> np.uint64(32)).astype(np.uint8).view(np.int64))
+                bands.append([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))] if len(different) else [])
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(fp), signed(name), pa.array(n, pa.int64()), lists], ["doc_id", "fp", "name", "n", "bands"])
+            ragged_ = lambda x, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(b) for b in x]))), pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signed(fp), signed(name), pa.array(n, pa.int64()), ragged_(wide, pa.array(np.concatenate(wide))), ragged_(bands, signed([k for b in bands for k in b]))], ["doc_id", "h", "fp", "name", "n", "wide", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, name long, n long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    return rows.mapInArrow(run, "doc_id long, h long, fp long, name long, n long, wide array<long>, bands array<long>")
 
 
-def alike_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of set names that share a band key and whose sizes allow ``similarity``.
+def shared_bytes(a: str, b: str) -> Column:
+    """How many positional bytes two wide fingerprints share: eight at once, a byte that differs folded into its lowest bit."""
+    total = F.lit(WIDE)
+    for k in range(WIDE // 8):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
 
-    A list of up to ALL_PAIRS sets gives all its pairs; a longer one gives each set's with the least of the list, so
-    pairs grow with the sets and not with their square.
-    """
+
+def lists_of(sets: DataFrame) -> DataFrame:
+    """(key, name, n, m): the sets that share a band with others, and how many do."""
     posted = sets.select("name", "n", F.explode("bands").alias("key"))
-    long_ = F.count("*").alias("m"), F.min(F.struct("name", "n")).alias("least")
-    lists = durable(posted.join(posted.groupBy("key").agg(*long_).where("m > 1"), "key"))
-    stars = lists.where(F.col("m") > ALL_PAIRS).select(F.col("least.name").alias("a"), F.col("least.n").alias("na"), F.col("name").alias("b"), F.col("n").alias("nb"))
+    return durable(posted.join(durable(posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")), "key"))
+
+
+def short_pairs(lists: DataFrame) -> DataFrame:
+    """(a, na, b, nb): all pairs of each list of up to ALL_PAIRS sets, with their sizes."""
     short = lists.where(F.col("m") <= ALL_PAIRS).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("name", "n"))).alias("x"))
     pairs = short.select("x", F.explode("x").alias("p")).select("p", F.explode(F.filter("x", lambda q: q["name"] > F.col("p.name"))).alias("q"))
-    pairs = pairs.select(F.col("p.name").alias("a"), F.col("p.n").alias("na"), F.col("q.name").alias("b"), F.col("q.n").alias("nb"))
-    allowed = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity)
-    return stars.unionByName(pairs).where((F.col("a") != F.col("b")) & allowed).select("a", "b").distinct()
+    return pairs.select(F.col("p.name").alias("a"), F.col("p.n").alias("na"), F.col("q.name").alias("b"), F.col("q.n").alias("nb"))
 
 
-def alike(docs: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Those of the pairs of set names whose shingle sets have a Jaccard similarity of at least ``similarity``.
+def candidates(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose sizes allow the similarity and whose wide fingerprints share enough positional bytes."""
+    allowed = pairs.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity)))
+    of = lambda c: sets.select(F.col("name").alias(c), F.col("wide").alias(f"w{c}"))
+    both = allowed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("b"), "b").join(of("a"), "a")
+    return both.where(shared_bytes("wa", "wb") >= least_shared(similarity)).select("a", "b")
 
-    The sets are made again for texts that stand in a pair (a filter of FILTER buckets lets few others pass) and joined
-    with the pairs by name.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("name"))
+
+def shingle_sets(docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
+    """(name, shingles): the sets that ``names`` lists (a filter of FILTER buckets lets few others pass), made again from the texts."""
     wanted = np.zeros(FILTER, bool)
-    wanted[ends.select(F.pmod("name", F.lit(FILTER)).cast("int").alias("k")).distinct().toArrow().column(0).to_numpy()] = True
+    wanted[names.select(F.pmod("name", F.lit(FILTER)).cast("int").alias("k")).distinct().toArrow().column(0).to_numpy()] = True
     held = np.packbits(wanted).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +317,12 @@ def alike(docs: DataFrame, pairs: DataFrame, similarity: float, size: int) -> Da
                     seen.add(k), name.append(k), sets.append(different.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], ["name", "shingles"])
 
+    return durable(docs.select("text").mapInArrow(run, "name long, shingles binary").groupBy("name").agg(F.first("shingles").alias("shingles")))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs of set names whose shingle sets have a Jaccard similarity of at least ``similarity``."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -237,30 +332,64 @@ def alike(docs: DataFrame, pairs: DataFrame, similarity: float, size: int) -> Da
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    sets = durable(docs.select("text").mapInArrow(run, "name long, shingles binary").groupBy("name").agg(F.first("shingles").alias("shingles")))
     of = lambda c: sets.select(F.col("name").alias(c), F.col("shingles").alias(f"s{c}"))
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
 
 
+def pivot_pairs(state: DataFrame, used: DataFrame | None, many: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, na, b, nb) of a round over the long lists (key, name, n, component), and the (key, name) compared with all.
+
+    Only lists of several components have work left: up to ``many`` members outside of the list's largest component
+    that were not taken before are compared with all members of other components. When none is left, every two
+    members of different components have been compared.
+    """
+    sizes = state.groupBy("key", "component").agg(F.count("*").alias("n"))
+    open_ = durable(sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "component")).alias("most")).where("k > 1").select("key", F.col("most.component").alias("most")))
+    rest = state.join(open_, "key").where("component != most")
+    rest = rest.join(used, ["key", "name"], "left_anti") if used is not None else rest
+    taken = rest.groupBy("key", F.pmod(F.xxhash64("name"), F.lit(many)).alias("deal")).agg(F.min(F.struct("name", "n", "component")).alias("p"))
+    taken = durable(taken.select("key", F.col("p.name").alias("b"), F.col("p.n").alias("nb"), F.col("p.component").alias("of")))
+    pairs = state.join(taken, "key").where("component != of").select(F.col("name").alias("a"), F.col("n").alias("na"), "b", "nb")
+    return pairs, taken.select("key", F.col("b").alias("name"))
+
+
 def keep_one_alike(docs: DataFrame, size: int = 5, similarity: float = LEAST_SIMILARITY, bits: int = 2) -> DataFrame:
-    """Documents with one row left of each component of near-duplicates: that with the smallest doc_id.
+    """Documents with one row left of each component of near-duplicates: that with the smallest doc_id, then hash of text.
 
     Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles is at least ``similarity``,
-    or if their SimHashes differ in at most ``bits`` bits. Pairs that share a band key are verified on whole sets. A
-    component may miss a link with the probability at BANDS, and where a pair meets only in lists of over ALL_PAIRS
-    different sets and neither reaches their least ones. Null doc_id and repeats as in ``keep_one_each``.
+    or if their SimHashes differ in at most ``bits`` bits. For the first, the index is that of a wider fingerprint,
+    WIDE positional bytes of least hashes: texts that share four neighbouring least hashes share a list; the positional
+    bytes that a pair shares are tallied, pairs that reach the least for the similarity are verified on whole sets. A
+    list of over ALL_PAIRS different sets is not paired up: members that its largest component has not reached are
+    compared with all others, ever more of them in each round, until every two are in one component or were compared.
+    So what can be missed is a pair that shares no band or too few bytes (chances at BANDS and MISSED), no more.
+
+    Rows as in ``keep_one_each``: different texts under one doc_id are judged each on its own, of repeated rows one
+    stays, rows with null doc_id all stay; an empty table stays empty. Long texts count whole.
     """
     if similarity < LEAST_SIMILARITY:
         raise ValueError(f"bands are for similarities of {LEAST_SIMILARITY} or more")
     marked = durable(marks(docs, size))
-    sets = durable(marked.groupBy("name").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("rep")))
-    links = alike(docs, durable(alike_pairs(sets, similarity)), similarity, size)
+    first = [F.first(c).alias(c) for c in ("fp", "n", "wide", "bands")]
+    sets = durable(marked.groupBy("name").agg(*first, least_row().alias("rep")))
+    lists = lists_of(sets)
+    pairs = durable(candidates(short_pairs(lists), sets, similarity))
+    long_ = lists.where(F.col("m") > ALL_PAIRS).select("key", "name", "n")
+    held = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(long_.select("name")), size)
     # what repeats shingles may share a set and no fingerprint, or the other way round: documents link the two
     heads = marked.groupBy("fp").agg(F.min("name").alias("head"))
     same = marked.select("fp", "name").distinct().join(heads, "fp").select(F.col("head").alias("a"), F.col("name").alias("b"))
     near = near_fingerprints(heads, bits).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    names = components(links.unionByName(same).unionByName(near)).withColumnRenamed("node", "name")
+    names = components(alike(pairs, held, similarity).unionByName(same).unionByName(near)).withColumnRenamed("node", "name")
+    used, many = None, PIVOTS
+    while not long_.isEmpty():
+        state = durable(long_.join(names, "name", "left").withColumn("component", F.coalesce("component", "name")))
+        pairs, taken = pivot_pairs(state, used, many)
+        if taken.isEmpty():
+            break
+        found = alike(candidates(pairs, sets, similarity), held, similarity)
+        names = components(found.unionByName(names.select(F.col("name").alias("a"), F.col("component").alias("b")))).withColumnRenamed("node", "name")
+        used = taken if used is None else durable(used.unionByName(taken))
+        many *= MORE
     classes = sets.select("name", "rep").join(names, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    found = classes.groupBy("component").agg(F.min("rep").alias("__keep")).where("__keep is not null").select("__keep")
-    named = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("__keep"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return one_of_each(docs, classes.groupBy("component").agg(F.min("rep").alias("rep")).where("rep is not null").select("rep.*"))

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from factgate.llm import simhash
 
@@ -68,5 +71,46 @@ def test_a_long_list_gives_few_pairs(spark, monkeypatch):
     base = [f"w{k}" for k in range(400)]
     rows = [(i, " ".join([*base[: 3 * i], "edited", *base[3 * i + 1 :]])) for i in range(60)]
     sets = simhash.marks(spark.createDataFrame(rows, "doc_id long, text string"), 5)
-    assert simhash.alike_pairs(sets, 0.8).count() <= 60 * simhash.BANDS
+    lists = simhash.lists_of(sets)
+    state = lists.where(F.col("m") > 4).select("key", "name", "n", F.col("name").alias("component"))
+    pairs, _ = simhash.pivot_pairs(state, None, simhash.PIVOTS)
+    assert simhash.candidates(pairs.unionByName(simhash.short_pairs(lists)), sets, 0.8).count() <= 60 * simhash.BANDS
     assert [r.doc_id for r in simhash.keep_one_alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    """A chain of texts, each like its neighbours only, whose lists are all long, and many texts that share half of theirs."""
+    monkeypatch.setattr(simhash, "ALL_PAIRS", 2)
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    draw = random.Random(5)
+    say = lambda n: [f"w{draw.randrange(9000)}" for _ in range(n)]
+    words, rows = say(300), []
+    for i in range(25):
+        rows.append((i, " ".join(words)))
+        for k in range(5):
+            words[(60 * k + 12 * i) % 300] = f"new{i}.{k}"
+    half = say(150)
+    rows += [(100 + i, " ".join([*half, *say(60)])) for i in range(25)]
+    got = [r.doc_id for r in simhash.keep_one_alike(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got) == sorted(kept(rows)) and len(got) > 20
+
+
+def test_different_texts_under_one_id(spark):
+    """The copy goes, the other text under its doc_id stays; of repeated rows one stays."""
+    t, u = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, t), (2, t), (2, u), (2, u)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for stage in (simhash.keep_one_alike, simhash.keep_one_each):
+        assert sorted(tuple(r) for r in stage(df).collect()) == [(1, t), (2, u)]
+
+
+def test_shared_bytes_are_counted(spark):
+    draw = np.random.default_rng(2)
+    rows = []
+    for _ in range(50):
+        a = draw.integers(0, 256, simhash.WIDE).astype(np.uint8)
+        b = np.where(draw.random(simhash.WIDE) < 0.5, a, draw.integers(0, 256, simhash.WIDE)).astype(np.uint8)
+        rows.append((a.view(np.int64).tolist(), b.view(np.int64).tolist(), int((a == b).sum())))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
+    assert df.where(simhash.shared_bytes("a", "b") != F.col("n")).count() == 0
+    assert 50 <= simhash.least_shared(0.8) <= 60

@@ -52,7 +52,9 @@ def test_simhash_query(spark, sf):
     assert sorted(tuple(r) for r in simhash.op5_simhash_near_dedup(spark, sf).collect()) == want
 
 
-def test_links_find_every_near_pair(spark):
+@pytest.mark.parametrize("most", [1024, 2])
+def test_links_find_every_near_pair(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "LIST", most)
     draw = np.random.default_rng(9)
     base = draw.integers(0, 2**63, 6).astype(np.uint64)
     prints = {int(b) for b in base}
