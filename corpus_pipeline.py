@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 from factgate.llm import langid, pack, private, simhash, suffixes
+from factgate.llm.common import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,11 +27,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each stage's result is written to the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp("pipeline")
+    base = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{base}/pipeline-{uuid.uuid4().hex}/{name}"
