@@ -1,4 +1,4 @@
-"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, grouped by content and extended both ways."""
+"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, sorted, compared with neighbours and extended both ways."""
 
 from __future__ import annotations
 
@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, durable, slices
+from .common import buffers, documents, durable, slices
 from .words import MIX, covered, mix, word_hashes, word_spans
 
 #: Words of a repeat at least, and of the grams among which minimisers are chosen.
 LENGTH, GRAM = 50, 8
+#: Suffixes of one gram that are sorted in one task; those of a more frequent gram meet by the names of their stretches.
+RUN = 4096
 
 
 class Stretches:
@@ -72,38 +74,136 @@ def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, at long, gram long, front long, tail long")
 
 
-def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, h, marks): per document with repeats, stretches (lo, hi, src) of words that the smaller doc_id src has too.
+def contexts(docs: DataFrame, edges: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc_id, h, at, gram, right, left): for each place of ``edges`` the ``length`` words from it on and the words before it, nearest first.
 
-    ``docs`` has doc_id, h (a hash of the text), text and maybe more. Every stretch of ``length`` words holds its
-    minimiser, at the same place wherever the stretch occurs. So two equal stretches belong to two kept suffixes with
-    the same first gram, and what is before and after these decides.
-
-    1. Suffixes are dealt and sorted by content; those whose gram no other document has are dropped. All that agree on
-       gram, tail and front are one class, whose first document is kept for the others: they match it over the full
-       width in both directions.
-    2. Classes that share a gram only differ somewhere in that width. The first of each class is extended left and
-       right word by word: its stretches are named and met with equal ones.
-    One neighbour in sorted order would not do for 2: the longest match to the right need not be the longest to the left.
-    What very many suffixes share is combined before the shuffle and joined back, so that AQE can split a hot key.
+    Words are 64-bit hashes, eight bytes each, as many as the text has.
+    """
+    both = docs.join(edges.groupBy("doc_id", "h").agg(F.collect_set("at").alias("__at")), ["doc_id", "h"])
+    where = [both.columns.index(c) for c in ("doc_id", "h", "text", "__at")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, where[2]):
+            doc_id, h, text, places = (batch.column(k) for k in where)
+            words, at = word_hashes(text)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+            p = places.flatten().to_numpy() + at[doc]
+            right, left = np.minimum(at[doc + 1] - p, length), np.minimum(p - at[doc], length - gram)
+            ends = lambda n: np.concatenate(([0], np.cumsum(n)))
+            inner = lambda n: np.arange(n.sum()) - np.repeat(ends(n)[:-1], n)
+            flat = lambda n, w: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((8 * ends(n)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(w))])
+            take = pa.array(doc)
+            cols = [doc_id.take(take), h.take(take), pa.array(p - at[doc]), pa.array(Stretches(words)(p, p + gram).view(np.int64))]
+            cols += [flat(right, words[np.repeat(p, right) + inner(right)]), flat(left, words[np.repeat(p, left) - 1 - inner(left)])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "at", "gram", "right", "left"])
+
+    return both.mapInArrow(run, "doc_id long, h long, at long, gram long, right binary, left binary")
+
+
+def wide_rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A column of hashed words as a matrix, short rows filled with zeros, and the words of each row."""
+    data, offsets = buffers(column)
+    n = np.diff(offsets) // 8
+    out = np.zeros((len(n), width), np.uint64)
+    out[np.arange(width) < n[:, None]] = np.frombuffer(data.tobytes(), np.uint64)
+    return out, n
+
+
+def extended(doc: np.ndarray, right: np.ndarray, n_right: np.ndarray, left: np.ndarray, n_left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of sorted suffixes with those of smaller documents: (row, source, words before, words after the place).
+
+    Neighbours are compared: the words that two adjacent suffixes share from their start on. Suffixes that share the
+    next r words are a stretch of neighbours none of which share fewer. A repeat of ``length`` words that has o words
+    before the place has length - o from it on, so for each o, from 0 on, suffixes are taken within such stretches by
+    their o words to the left, one word more at a time; the first document of each such set is the source of the
+    others, and the words of both are compared. What holds for several o joins, as all contain the place.
+    """
+    length, none = right.shape[1], np.zeros(0, np.int64)
+    if len(doc) < 2:
+        return none, none, none, none
+    differ = right[1:] != right[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), length)
+    shared = np.concatenate(([0], shared, [0]))  # with the one before; the last has none after it
+    by_doc = np.argsort(doc, kind="stable")
+    name = np.zeros(len(doc), np.uint64)
+    rows, sources, befores = [], [], []
+    for o in range(left.shape[1] + 1):
+        if o:
+            name = mix(name * MIX + left[:, o - 1] + np.uint64(1))
+        r = length - o
+        fits = (n_right >= r) & (n_left >= o) & ((shared[:-1] >= r) | (shared[1:] >= r))
+        at = by_doc[fits[by_doc]]
+        if len(at) < 2:
+            continue
+        stretch = np.cumsum(shared[:-1] < r)
+        key = mix(stretch[at].astype(np.uint64) * MIX ^ name[at])
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(at), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        first = np.empty(len(at), np.int64)
+        first[order] = at[order[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+        later = doc[first] < doc[at]
+        i, j = at[later], first[later]
+        same = (stretch[i] == stretch[j]) & (left[i, :o] == left[j, :o]).all(1)
+        rows.append(i[same]), sources.append(doc[j[same]]), befores.append(np.full(int(same.sum()), o))
+    if not rows:
+        return none, none, none, none
+    row, source, before = map(np.concatenate, (rows, sources, befores))
+    order = np.lexsort((before, source, row))
+    row, source, before = row[order], source[order], before[order]
+    head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (source[1:] != source[:-1])))) if len(row) else none
+    if not len(head):
+        return none, none, none, none
+    return row[head], source[head], np.maximum.reduceat(before, head), length - np.minimum.reduceat(before, head)
+
+
+def neighbours(found: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc_id, h, lo, hi, src): suffixes with their contexts dealt by their first words, sorted by content, compared and extended.
+
+    A task goes through its sorted suffixes batch by batch and holds the last gram's back until it is complete.
+    """
+    names = ["doc_id", "h", "at", "gram", "right", "left"]
+
+    def marks(rows: pa.Table) -> pa.RecordBatch:
+        column = lambda c: rows[c].combine_chunks() if rows[c].num_chunks != 1 else rows[c].chunk(0)
+        doc, at = rows["doc_id"].to_numpy(), rows["at"].to_numpy()
+        row, src, before, after = extended(doc, *wide_rows(column("right"), length), *wide_rows(column("left"), length - gram))
+        take = lambda c: rows[c].combine_chunks().take(pa.array(row))
+        return pa.RecordBatch.from_arrays([take("doc_id"), take("h"), pa.array(at[row] - before), pa.array(at[row] + after), pa.array(src)], ["doc_id", "h", "lo", "hi", "src"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            last = rows["gram"].to_numpy()
+            end = int(np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))[-1])
+            if end:
+                yield marks(rows.slice(0, end))
+            held = rows.slice(end).combine_chunks()
+        if held is not None:
+            yield marks(held)
+
+    dealt = found.repartition("gram").sortWithinPartitions("gram", "right", "left").select(*names)
+    return dealt.mapInArrow(run, "doc_id long, h long, lo long, hi long, src long")
+
+
+def named_stretches(docs: DataFrame, edges: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same marks for grams too frequent for one task: all stretches of ``length`` words around the places meet by name.
+
+    A name is two independent 64-bit hashes. The smallest doc_id of each name is combined before the shuffle and stands
+    on storage before it is joined back, so that a stretch which very many documents share can be split.
     """
-    kept = suffixes(docs, length, gram)
-    grams = kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram")
-    live = durable(kept.join(grams, "gram"))
-    classes = live.groupBy("gram", "tail", "front").agg(F.min("doc_id").alias("first"))
-    forms = classes.groupBy("gram").agg((F.count("*") > 1).alias("forms"))
-    met = live.join(classes.join(forms, "gram"), ["gram", "tail", "front"]).select("doc_id", "h", "at", "first", "forms")
     wide = length - gram
-    full = met.where("doc_id > first").select("doc_id", "h", F.greatest(F.col("at") - wide, F.lit(0)).alias("lo"), (F.col("at") + length).alias("hi"), F.col("first").alias("src"))
-    edges = met.where("doc_id = first and forms").groupBy("doc_id", "h").agg(F.collect_set("at").alias("__at"))
-    both = docs.join(edges, ["doc_id", "h"])
+    both = docs.join(edges.groupBy("doc_id", "h").agg(F.collect_set("at").alias("__at")), ["doc_id", "h"])
     where = [both.columns.index(c) for c in ("doc_id", "h", "text", "__at")]
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, where[2]):
             doc_id, h, text, places = (batch.column(k) for k in where)
             words, at = word_hashes(text)
-            name = Stretches(words)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
             p = places.flatten().to_numpy() + at[doc]
             s = (p[:, None] - np.arange(wide + 1)).ravel()
@@ -111,12 +211,44 @@ def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
             s = np.unique(s[(s >= at[doc]) & (s + length <= at[doc + 1])])
             doc = np.searchsorted(at, s, "right") - 1
             take = pa.array(doc)
-            cols = [doc_id.take(take), h.take(take), pa.array(s - at[doc]), pa.array(name(s, s + length).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "lo", "name"])
+            cols = [doc_id.take(take), h.take(take), pa.array(s - at[doc])]
+            cols += [pa.array(Stretches(w)(s, s + length).view(np.int64)) for w in (words, mix(words ^ MIX))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "lo", "name", "check"])
+
+    own = durable(both.mapInArrow(run, "doc_id long, h long, lo long, name long, check long"))
+    first = durable(own.groupBy("name", "check").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("other")).where("src < other").select("name", "check", "src"))
+    return own.join(first, ["name", "check"]).where("doc_id > src").select("doc_id", "h", "lo", (F.col("lo") + length).alias("hi"), "src")
+
 
-    own = both.mapInArrow(stretches, "doc_id long, h long, lo long, name long")
-    part = own.join(own.groupBy("name").agg(F.min("doc_id").alias("src")), "name").where("doc_id > src").select("doc_id", "h", "lo", (F.col("lo") + length).alias("hi"), "src")
-    return full.unionByName(part).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "src")).alias("marks"))
+def passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc_id, h, marks): per document with repeats, stretches (lo, hi, src) of words that the smaller doc_id src has too.
+
+    ``docs`` has doc_id, h (a hash of the text), text and maybe more. Every stretch of ``length`` words holds its
+    minimiser, at the same place wherever the stretch occurs. So two equal stretches belong to two kept suffixes with
+    the same first gram, and the words before and after these decide.
+
+    1. Suffixes are kept at minimisers; those whose gram no other document has are dropped.
+    2. Copies of a whole context (gram, the ``length`` words from the place on, those before it) are a class, whose first
+       document stands for it: the others match it over the full width. So a passage that very many documents share
+       goes on as one suffix.
+    3. The suffixes left, if their gram goes on in different ways, are dealt by gram and sorted by the words that follow;
+       neighbours are compared and matches extended to the left and right on the words (``extended``).
+    4. A gram with over RUN suffixes left would be one task's; its stretches meet by name (``named_stretches``).
+    Counts and minima stand on storage before they are joined back, so that AQE can split what is frequent.
+    """
+    kept = suffixes(docs, length, gram)
+    grams = durable(kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram"))
+    live = durable(kept.join(grams, "gram"))
+    classes = durable(live.groupBy("gram", "tail", "front").agg(F.min("doc_id").alias("first")))
+    met = durable(live.join(classes, ["gram", "tail", "front"]).select("doc_id", "h", "at", "gram", F.xxhash64("tail", "front").alias("form"), "first"))
+    full = met.where("doc_id > first").select("doc_id", "h", F.greatest(F.col("at") - (length - gram), F.lit(0)).alias("lo"), (F.col("at") + length).alias("hi"), F.col("first").alias("src"))
+    heads = met.where("doc_id = first").select("doc_id", "h", "at", "gram", "form")
+    forms = durable(heads.groupBy("gram").agg(F.count("*").alias("n"), F.min("form").alias("a"), F.max("form").alias("b")).where("a < b").select("gram", "n"))
+    edges = heads.join(forms, "gram")
+    found = full.unionByName(neighbours(contexts(docs, edges.where(F.col("n") <= RUN), length, gram), length, gram))
+    if not forms.where(F.col("n") > RUN).isEmpty():
+        found = found.unionByName(named_stretches(docs, edges.where(F.col("n") > RUN), length, gram))
+    return found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "src")).alias("marks"))
 
 
 def gone_of(marks: list[dict] | None, n: int) -> np.ndarray:
@@ -146,8 +278,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc
 
     A word goes if it lies in ``length`` consecutive words that also start in a document with a smaller doc_id; the
     spans of words that went and the doc_ids that have them come along. Words are runs of anything but ASCII white
-    space and compared exactly as 64-bit hashes of the stretch. Null and empty texts have no words; rows with the same
-    doc_id don't shorten each other; rows without doc_id are kept whole and shorten none.
+    space, compared as 64-bit hashes. Null and empty texts have no words; a text of any length is read whole, as are
+    repeated rows, each with its own row; rows with the same doc_id don't shorten each other; rows without doc_id are
+    kept whole and shorten none. An empty table gives no rows; other columns are not read.
     """
     if not 1 <= gram < length:
         raise ValueError("gram must be at least 1 and less than length")
@@ -175,7 +308,11 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Documents with repeated passages cut out of ``text``; those of which nothing is left go. Other columns stay."""
+    """Documents with repeated passages cut out of ``text``; those of which nothing is left go. Other columns stay.
+
+    Null, empty and very long texts, repeated rows, rows without doc_id and an empty table as in ``without_repeats``;
+    a column may have any name, as those of the work in between are set apart.
+    """
     names, kinds = docs.columns, T.StructType(docs.schema.fields)
     rows = docs.where("doc_id is not null").select([F.col(c).alias(f"__{c}") if c not in ("doc_id", "text") else F.col(c) for c in names]).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     marked = rows.join(passages(rows, length, gram), ["doc_id", "h"], "left").select(*[F.col(c if c in ("doc_id", "text") else f"__{c}").alias(c) for c in names], F.col("marks").alias("__marks"))

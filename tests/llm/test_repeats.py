@@ -60,8 +60,9 @@ def test_names_tell_stretches_apart():
         assert len(set.union(*seen.values())) == len(seen)
 
 
-@pytest.mark.parametrize("length, gram", [(50, 8), (20, 5), (9, 8)])
-def test_suffixes_find_all_passages(docs, rows, length, gram):
+@pytest.mark.parametrize("length, gram, run", [(50, 8, 4096), (20, 5, 4096), (9, 8, 4096), (50, 8, 3), (20, 5, 0)])
+def test_suffixes_find_all_passages(docs, rows, monkeypatch, length, gram, run):
+    monkeypatch.setattr(suffixes, "RUN", run)
     want = sorted((str(i), len(w), int(g.sum())) for i, w, g in brute(rows, length))
     got = suffixes.without_repeats(docs, length, gram).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in got) == want
@@ -81,6 +82,21 @@ def test_suffix_query_leaves_whole_texts_as_they_are(spark, sf):
             assert r.kept_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_extension_in_both_directions(spark):
+    """Pieces of one passage that start and end anywhere, so that the longest match to the left is not the longest to the right."""
+    draw = np.random.default_rng(4)
+    say = lambda n: [f"w{k}" for k in draw.integers(0, 10**6, n)]
+    passage, rows = say(200), []
+    for i in range(150):
+        a = int(draw.integers(0, 170))
+        b = min(200, a + int(draw.integers(20, 120)))
+        rows.append((i, " ".join([*say(int(draw.integers(0, 30))), *passage[a:b], *say(int(draw.integers(0, 30)))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((i, len(w), int(g.sum())) for i, w, g in brute(rows, 50))
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in suffixes.without_repeats(df).collect()) == want
+    assert sum(n for _, _, n in want) > 3000
+
+
 def test_empty_tables(none):
     assert recompress.repeated(none).count() == 0
     assert suffixes.without_repeats(none).count() == 0
