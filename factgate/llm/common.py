@@ -104,31 +104,31 @@ def ragged(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.
 # -- document ranges ------------------------------------------------------------------------------------------------
 
 
-#: Cut points that the driver holds; finer ranges are equal slices of the values between two of them.
-CUTS = 64
+#: Ranges that one level of cuts makes of a range, and cut lists that are broadcast at most (64 numbers each).
+CUTS, BROADCAST_CUTS = 64, 100_000
 
 
-def ordered_ranges(df: DataFrame, column: str, parts: int):
-    """A Column with the number of the range that a value of the integer ``column`` falls in, and of its coarse range.
+def ordered_ranges(df: DataFrame, column: str, parts: int) -> tuple[DataFrame, int]:
+    """The rows with a column ``range`` that follows the order of the integer ``column``, and ranges per coarse range.
 
-    The ranges are about ``parts``, follow the order of the values, and hold about as many rows each if values are
-    spread evenly between neighbours of the ``CUTS`` percentiles. Null goes to the first. What the driver holds
-    doesn't grow with the table.
+    About ``parts`` ranges hold about as many rows each, however the values lie: each level of at most CUTS percentiles
+    splits every range of the level before by percentiles of its own values. Rows of one value stay together; null goes
+    to the first range. The driver holds one level's cuts; further levels are tables, broadcast only while they are
+    small.
     """
-    found = df.select(F.percentile_approx(column, [i / CUTS for i in range(1, CUTS)], 2000).alias("q"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-    cuts = sorted(set(found["q"] or [])) if parts > 1 else []
-    edges = [found["lo"] or 0, *[c + 1 for c in cuts], (found["hi"] or 0) + 1]
-    per = max(1, -(-parts // (len(cuts) + 1)))
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            width = max(1, -(-(edges[lo + 1] - edges[lo]) // per))
-            return F.lit(lo * per).cast("long") + F.coalesce(F.floor((F.col(column) - F.lit(edges[lo])) / F.lit(width)), F.lit(0)).cast("long")
-        mid = (lo + hi) // 2
-        return F.when(F.col(column) > F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    at = tree(0, len(cuts))
-    return at, per
+    out, made, coarse = df.withColumn("range", F.lit(0).cast("long")), 1, 1
+    while made < parts:
+        n = min(CUTS, -(-parts // made))
+        found = F.percentile_approx(column, [i / n for i in range(1, n)], 2000).alias("__cuts")
+        if made == 1:
+            cuts, coarse = F.array(*[F.lit(c).cast("long") for c in out.agg(found).first()[0] or []]), n
+        else:
+            level = durable(out.where(F.col(column).isNotNull()).groupBy("range").agg(found))
+            out, cuts = out.join(F.broadcast(level) if made <= BROADCAST_CUTS else level, "range", "left"), F.col("__cuts")
+        below = F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(column))), F.lit(0))
+        out = out.withColumn("range", F.col("range") * n + F.greatest(below, F.lit(0))).select(*df.columns, "range")
+        made *= n
+    return out, max(1, made // coarse)
 
 
 # -- connected components -------------------------------------------------------------------------------------------

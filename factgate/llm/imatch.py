@@ -74,8 +74,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     count = docs.count()
     parts = -(-count // RANGE_ROWS)
-    at, per = ordered_ranges(docs, "doc_id", parts)
-    rows = docs.withColumn("range", at)
+    rows, per = ordered_ranges(docs, "doc_id", parts)
     firsts = rows.groupBy("range").agg(F.min("doc_id").alias("doc_id")).withColumn("coarse", F.floor(F.col("range") / per))
     edge = firsts.groupBy("coarse").agg(F.max("range").alias("last"))
     edge = edge.select("coarse", F.coalesce(F.lag("last").over(Window.orderBy("coarse")), F.max("last").over(Window.orderBy("coarse").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("last"))

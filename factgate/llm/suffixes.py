@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import buffers, documents, durable, slices
-from .words import MIX, covered, mix, word_hashes, word_spans
+from .words import MIX, Stretches, covered, mix, word_hashes, word_spans
 
 #: Words of a repeat at least, and of the grams among which minimisers are chosen.
 LENGTH, GRAM = 50, 8
@@ -20,22 +20,6 @@ LENGTH, GRAM = 50, 8
 RUN = 4096
 
 
-class Stretches:
-    """Hashes of stretches of a word sequence, from prefix sums of words times powers of an odd number modulo 2 ** 64."""
-
-    def __init__(self, words: np.ndarray):
-        n = len(words)
-        power = np.full(n + 1, MIX)
-        power[0] = 1
-        self.inverse = np.full(n + 1, np.uint64(pow(int(MIX), -1, 1 << 64)))
-        self.inverse[0] = 1
-        power, self.inverse = np.cumprod(power), np.cumprod(self.inverse)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[:-1])))
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * MIX)
-
-
 def minimisers(words: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Ascending positions of words where, for some stretch of ``length`` words in one text, its (leftmost) smallest gram starts."""
     wide = length - gram + 1

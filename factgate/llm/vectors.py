@@ -143,8 +143,8 @@ def links(reps: DataFrame, size: int, threshold: float) -> DataFrame:
     dims = [f"y{k}" for k in range(min(BOX, size))]
     kind = dict(reps.dtypes)["embedding"]
     placed = durable(reps.select("rep", "copies", "embedding").mapInArrow(project, f"rep long, copies long, embedding {kind}, at long, tail double, {', '.join(f'{d} double' for d in dims)}"))
-    stripe, _ = ordered_ranges(placed, "at", -(-placed.count() // STRIPE))
-    placed = placed.withColumn("stripe", stripe)
+    placed, _ = ordered_ranges(placed, "at", -(-placed.count() // STRIPE))
+    placed = placed.withColumnRenamed("range", "stripe")
     box = placed.groupBy("stripe").agg(F.max("tail").alias("tail"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
     last = box.agg(F.max("stripe")).first()[0]
     other = box.select([F.col(c).alias(f"o_{c}") for c in box.columns])

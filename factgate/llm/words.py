@@ -18,6 +18,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Stretches:
+    """Hashes of stretches of a word sequence, from prefix sums of words times powers of an odd number modulo 2 ** 64."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        power = np.full(n + 1, MIX)
+        power[0] = 1
+        self.inverse = np.full(n + 1, np.uint64(pow(int(MIX), -1, 1 << 64)))
+        self.inverse[0] = 1
+        power, self.inverse = np.cumprod(power), np.cumprod(self.inverse)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[:-1])))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * MIX)
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs of anything but ASCII white space) of every text, flattened, and offsets by text."""
     data, offsets = buffers(column)

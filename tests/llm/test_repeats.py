@@ -34,7 +34,9 @@ def test_recompression_is_exact(docs, rows, window):
     assert got == want
 
 
-def test_recompression_over_many_ranges(docs, rows, monkeypatch):
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_recompression_over_many_ranges(docs, rows, monkeypatch, levels):
+    monkeypatch.setattr(recompress, "LEVELS", levels)
     monkeypatch.setattr(recompress, "RANGE_BYTES", 2000)
     monkeypatch.setattr(recompress, "GROUP_NAMES", 100)
     want = sorted((str(i), int(g.sum())) for i, w, g in brute(rows, 13))
