@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import buffers, documents, slices
 
-#: Rows of each language that the dictionaries are filled from (about), and characters taken of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 150, 1500
-#: Bytes that are compressed at once: every block of a text meets the whole dictionary.
+#: Characters of each language that the dictionaries are filled from (about), and of the passages that texts are cut into for that.
+SAMPLE_CHARS, PASSAGE = 225_000, 1500
+#: Bytes that are compressed at once: every block of a text meets the whole dictionary. The last block is filled up by
+#: repeating the text, as a block that hardly compresses is stored as it is and tells nothing.
 BLOCK = 4096
 #: A prediction is rejected if the best language saves less than this share of the second best's size.
 MARGIN = 0.01
 LEVEL = 6
-#: Texts of fewer bytes are compressed four times over: a single short block is stored as it is if hardly compressible.
-SHORT = 256
 #: Dictionaries of at least this share of the longest text are cut to one size; rarer languages keep what they have.
 COMMON = 0.5
 #: A language with less text than this (or a quarter of the longest, in small tables) is not learned: 8 KB tell no language from a wrong label.
@@ -34,31 +33,40 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def dictionaries(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Text of each language to compress with, from a bounded sample of the rows that may be learned from.
+def dictionaries(docs: DataFrame, chars: int = SAMPLE_CHARS, passage: int = PASSAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+    """Text of each language to compress with, from a bounded sample of the passages that may be learned from.
 
-    Counts come from all rows; then about ``rows`` of each language, chosen by a hash of the id, give at most ``chars``
-    characters each. The driver holds languages x rows x chars characters however many documents there are.
+    Characters are counted over all rows; then about ``chars`` of each language are drawn, passage by passage, by a hash
+    of the id and the passage's number. Every passage of every text, short ones and the ends of long ones too, is as
+    likely to be drawn. The driver holds languages x chars characters however many documents there are.
 
-    Common languages, those with at least COMMON of the longest text, get a like amount of text. What rarer ones have
+    Common languages, those with at least COMMON of the longest text, get as many characters each. What rarer ones have
     doesn't change those: it is kept whole, for ``Judge`` to compare at its own size, or dropped under LEAST_BYTES.
+    No rows to learn from, an empty table among them, give no dictionaries.
     """
-    learn = docs.where(~held_out(doc_id) & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).where(F.length(text) > 20)
-    counts = {r[lang]: r["n"] for r in learn.groupBy(lang).agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    learn = docs.where(~held_out(doc_id) & (F.length(text) > 0) & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
+    total = {r[lang]: r["n"] for r in learn.groupBy(lang).agg(F.sum(F.length(text)).alias("n")).collect()}
+    if not total:
         return {}
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows / n))])
-    picked = learn.where(draw < share[F.col(lang)]).select(lang, F.substring(text, 1, chars).alias("t"), F.xxhash64(doc_id).alias("h")).collect()
+    number = F.explode(F.sequence(F.lit(0), F.ceil(F.length(text) / passage).cast("int") - 1)).alias("__k")
+    mark = F.xxhash64(F.col(doc_id), F.col("__k"), F.lit("language"))
+    share = F.create_map(*[F.lit(x) for k, n in total.items() for x in (k, min(1.0, chars / n))])
+    drawn = learn.select(doc_id, lang, text, number).where(F.pmod(mark, F.lit(1 << 30)) / (1 << 30) < share[F.col(lang)])
+    picked = drawn.select(F.col(lang).alias("lang"), F.substring(text, F.col("__k") * passage + 1, F.lit(passage)).alias("t"), mark.alias("h")).collect()
     out: dict[str, list[str]] = {}
-    for r in sorted(picked, key=lambda r: r["h"])[: 2 * rows * len(counts)]:
-        out.setdefault(r[lang], []).append(NOT_LETTERS.sub(" ", r["t"].lower()))
-    most = max((sum(map(len, v)) for v in out.values()), default=0)
-    size = min((n for v in out.values() if (n := sum(map(len, v))) >= COMMON * most), default=0)
-    held = {k: " ".join(v).encode()[-max(size, 2048) :] for k, v in sorted(out.items())}
+    for r in sorted(picked, key=lambda r: (r["h"], r["t"])):
+        out.setdefault(r["lang"], []).append(NOT_LETTERS.sub(" ", r["t"].lower()))
+    texts = {k: " ".join(v) for k, v in sorted(out.items())}
+    most = max(map(len, texts.values()), default=0)
+    size = min((len(t) for t in texts.values() if len(t) >= COMMON * most), default=0)
+    held = {k: last_chars(t, size if len(t) >= COMMON * most else len(t)).encode() for k, t in texts.items()}
     return {k: v for k, v in held.items() if len(v) >= min(LEAST_BYTES, max(map(len, held.values())) / 4)}
 
 
+def last_chars(text: str, n: int) -> str:
+    return text[-n:] if n else ""
+
+
 class Judge:
     """Compresses texts with each language's dictionary; gives (language, score, rejected) for each.
 
@@ -71,7 +79,8 @@ class Judge:
         most = max(map(len, texts.values()), default=0)
         self.names, self.margin = [k for k in texts if len(texts[k]) >= COMMON * most], margin
         self.coders = [self.coder(texts[k]) for k in self.names]
-        self.rare = [(k, self.coder(t), [self.coder(texts[c][-len(t) :]) for c in self.names]) for k, t in texts.items() if k not in self.names]
+        short = lambda c, t: last_chars(texts[c].decode(), len(t.decode())).encode()
+        self.rare = [(k, self.coder(t), [self.coder(short(c, t)) for c in self.names]) for k, t in texts.items() if k not in self.names]
 
     @staticmethod
     def coder(text: bytes) -> zstandard.ZstdCompressor:
@@ -87,7 +96,10 @@ class Judge:
             if not self.names or not letters.strip():
                 out.append(("und", 0.0, True))
                 continue
-            parts = [(letters + b" ") * 4] if len(letters) < SHORT else [letters[k : k + BLOCK] for k in range(0, len(letters), BLOCK)]
+            letters += b" "
+            whole = -(-len(letters) // BLOCK) * BLOCK
+            letters = (letters * -(-whole // len(letters)))[:whole]
+            parts = [letters[k : k + BLOCK] for k in range(0, whole, BLOCK)]
             sizes = [sum(len(c.compress(p)) for p in parts) for c in self.coders]
             best = sizes.index(min(sizes))
             second = min(sizes[:best] + sizes[best + 1 :], default=float("inf"))
@@ -102,9 +114,10 @@ def identify(docs: DataFrame, texts: dict[str, bytes], margin: float = MARGIN, d
     """(doc_id, lang_pred, score, rejected) for every whole text.
 
     Letters of the lower-cased text are compressed block by block with each language's dictionary; the smallest sum
-    wins (ties: the first by name; rare languages: see ``Judge``). ``score`` is the share that the best saves against the second best. Null texts and
-    texts without a letter are ``und`` with score 0 and are rejected; so are margins under ``margin``. With no
-    language to learn from everything is ``und``; with one, its score is 1. Repeated rows get a row each.
+    wins (ties: the first by name; rare languages: see ``Judge``). ``score`` is the share that the best saves against
+    the second best. Null texts and texts without a letter are ``und`` with score 0 and are rejected; so are margins
+    under ``margin``. With no language to learn from everything is ``und``; with one, its score is 1. Texts of any
+    length count whole. Repeated rows get a row each; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +139,8 @@ def keep_identified(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """Documents whose language is told with a margin; the columns stay as they are.
 
     A document goes if its text is null, has no letter, or is as likely in another language. Decisions are made in the
-    task that holds the row, which passes the row on, so nothing is joined or shuffled.
+    task that holds the row, which passes the row on, so nothing is joined or shuffled. Repeated rows fare alike, texts
+    of any length count whole, an empty table stays empty, and no column but ``text`` is read once learning is done.
     """
     texts = dictionaries(docs)
     key = docs.schema

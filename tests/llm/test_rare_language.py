@@ -36,3 +36,26 @@ def test_a_rare_language_is_found_at_its_own_size(spark, rows):
     assert {k: got[k] for k in alone} == alone
     assert len(texts["it"]) < langid.COMMON * max(map(len, texts.values()))
     assert all(got[i][1] == "it" and not got[i][3] for i, _, _ in few)
+
+
+def test_one_row_of_a_third_language_costs_the_others_nothing(spark, rows):
+    few = [r for r in rows if r[2] != "fr"] + [(7001, "un testo breve con parole rare qui", "it")]
+    df = spark.createDataFrame(few, "doc_id long, text string, lang string")
+    texts = langid.dictionaries(df)
+    assert set(texts) == {"en", "de"} and min(map(len, texts.values())) > 20000
+
+
+def test_what_comes_late_in_a_text_is_learned_and_judged(spark):
+    """Texts whose first 1,500 characters have no letters: only what follows tells their language."""
+    draw = np.random.default_rng(13)
+    rows = [(i, "12345 " * 260 + spoken(draw, list(LANGS)[i % 3], 150), list(LANGS)[i % 3]) for i in range(300)]
+    got, texts = judged(spark, rows)
+    assert set(texts) == set(LANGS)
+    assert all(got[i][1] == lang and not got[i][3] for i, _, lang in rows)
+
+
+def test_short_rows_are_learned_from(spark):
+    draw = np.random.default_rng(14)
+    rows = [(i, spoken(draw, list(LANGS)[i % 3], 3), list(LANGS)[i % 3]) for i in range(3000)]
+    got, texts = judged(spark, rows)
+    assert set(texts) == set(LANGS) and sum(got[i][1] == lang for i, _, lang in rows) > 2500
