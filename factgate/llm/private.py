@@ -5,18 +5,23 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, durable, slices
 
-#: Key of the surrogates; whoever runs this on real data passes a secret one.
+#: Key of the registered query and of the pipeline over the synthetic tables. Operators take theirs as an argument.
 KEY = b"surrogate-key"
 ROUNDS = 8
+#: Names, and values whose surrogate had to be drawn again, that tasks are handed as they are; more are joined by row.
+HANDED = 100_000
 
 EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|bearer)\b\s*[:=]?\s*[\"']?([A-Za-z0-9_\-+/]{16,})")
@@ -37,9 +42,11 @@ GIVEN = {
 }
 #: Syllables that family names are made of.
 SYLLABLES = {"latin": ("bar", "den", "fal", "gor", "hel", "kem", "lun", "mor", "nis", "pol", "ran", "sel", "tor", "vik", "wen", "zan"), "cyrillic": ("бар", "ден", "фал", "гор", "кем", "лун", "мор", "нис", "пол", "ран", "сел", "тор", "вик", "зан")}
-NAMED = re.compile(r"\b(" + "|".join(TITLES) + r")\.? (\p{Lu}\p{Ll}+)(?: (?!TITLE\b)(\p{Lu}\p{Ll}+))?".replace("TITLE", "(?:" + "|".join(TITLES) + ")").replace(r"\p{Lu}", "[A-ZÀ-ÖØ-ÞА-ЯЁ]").replace(r"\p{Ll}", "[a-zß-öø-ÿа-яё]"))
-#: The same test for Spark's filter, which tells the rows that may hold names.
-NAMED_ROWS = r"(?:^|[^\p{L}])(?:" + "|".join(TITLES) + r")\.? \p{Lu}\p{Ll}"
+# Country calling codes of two digits; those that begin with 1 or 7 have one, all others three.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+#: A title, initials perhaps, and up to three names: capitals of any script, apostrophes and hyphens inside.
+NAMED = regex.compile(r"(?<![\p{L}\p{N}])(TITLE)\.? (?:\p{Lu}\. ?){0,2}(?:(?!(?:TITLE)(?!\p{L}))(\p{Lu}(?:[\p{L}'’-]*\p{L}))(?:\p{M}|(?![\p{L}\p{N}])) ?){1,3}".replace("TITLE", "|".join(TITLES)))
 
 
 def draw(key: bytes, *parts: object) -> bytes:
@@ -64,20 +71,31 @@ def permute(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list
     return out
 
 
-LOWER, UPPER, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+HEX = "0123456789abcdef"
+
+
+@lru_cache(4096)
+def alphabet(c: str) -> str:
+    """What may stand for a character: digits for a digit, for a letter those of its kind in its 64 code points; nothing for others."""
+    if "0" <= c <= "9":
+        return "0123456789"
+    if not c.isalpha():
+        return ""
+    kind, block = unicodedata.category(c), ord(c) // 64 * 64
+    return "".join(x for x in map(chr, range(block, block + 64)) if unicodedata.category(x) == kind and len(x.lower()) == len(x.upper()) == 1)
 
 
-def same_shape(text: str, key: bytes, kind: str, keep: int = 0) -> str:
-    """Another text of the same shape: digits for digits, letters for letters of the same case, all else and the first ``keep`` characters unchanged.
+def same_shape(text: str, key: bytes, kind: str) -> str:
+    """Another text of the same shape: digits for digits, letters for letters of the same script and case, all else unchanged.
 
     Among texts of one shape this is a bijection, so different texts never get the same one, and a text always the same.
     """
     hexa = kind == "secret" and all(c in HEX for c in text)
-    kinds = [None if i < keep else HEX if hexa else "0123456789" if "0" <= c <= "9" else LOWER if c in LOWER else UPPER if c in UPPER else None for i, c in enumerate(text)]
-    at = [i for i, k in enumerate(kinds) if k]
+    kinds = [HEX if hexa else a if c in (a := alphabet(c)) else "" for c in text]
+    at = [i for i, k in enumerate(kinds) if len(k) > 1]
     if not at:
         return text
-    tweak = kind + "|" + "".join(c if not k else "hex" if k is HEX else k[0] for c, k in zip(text, kinds))
+    tweak = kind + "|" + "".join(c if len(k) < 2 else "hex" if k is HEX else k[0] for c, k in zip(text, kinds))
     got = permute([kinds[i].index(text[i]) for i in at], [len(kinds[i]) for i in at], key, tweak)
     out = list(text)
     for i, v in zip(at, got):
@@ -94,25 +112,70 @@ def luhn(digits: list[int]) -> int:
     return -total % 10
 
 
-def surrogate(kind: str, text: str, key: bytes) -> str:
-    """The replacement of an entity; different entities of a kind get different ones."""
+def bank_check(country: str, body: str) -> int:
+    """The two check digits of a bank number, as a number."""
+    return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+
+
+def country_code(text: str, digits: str) -> int:
+    """How many leading digits of a phone number are its country's."""
+    return 0 if not text.startswith("+") else 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3
+
+
+def canonical(kind: str, text: str) -> str:
+    """What all ways to write an entity have in common: digits, letters of one case. Surrogates are drawn for this."""
+    if kind == "email":
+        return low if len(low := text.lower()) == len(text) else text
+    if kind in ("card", "national"):
+        return "".join(c for c in text if c.isdigit())
+    if kind == "phone":
+        digits = "".join(c for c in text if c.isdigit())
+        return digits[country_code(text, digits) :]
+    if kind == "address":
+        return ".".join(str(int(x)) for x in text.split("."))
+    return text.replace(" ", "") if kind == "iban" else text
+
+
+def renewed(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
+    """The surrogate of a canonical value: a keyed bijection, of its own for each attempt."""
+    key = draw(key, "attempt", attempt) if attempt else key
     if kind == "address":
-        return ".".join(map(str, permute([int(x) for x in text.split(".")], [256] * 4, key, kind)))
+        return ".".join(map(str, permute([int(x) for x in value.split(".")], [256] * 4, key, kind)))
     if kind == "card":  # valid numbers stay valid: what the last digit is off the check digit is kept
-        digits = [int(c) for c in text if c.isdigit()]
+        digits = [int(c) for c in value]
         new = permute(digits[:-1], [10] * (len(digits) - 1), key, f"card{len(digits)}")
         new.append((luhn(new) + digits[-1] - luhn(digits[:-1])) % 10)
-        it = iter(new)
-        return "".join(str(next(it)) if c.isdigit() else c for c in text)
-    if kind == "phone":
-        lead = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        return same_shape(text, key, kind, lead.end() if lead else 0)
-    if kind == "iban":
-        return same_shape(text, key, kind, 2)
+        return "".join(map(str, new))
+    if kind == "iban":  # the same for its check digits
+        country, check, body = value[:2], int(value[2:4]), value[4:]
+        new = same_shape(body, key, f"iban{country}")
+        return f"{country}{(bank_check(country, new) + check - bank_check(country, body) - 2) % 97 + 2:02d}{new}"
     if kind == "email":
-        stem, _, top = text.rpartition(".")
+        stem, _, top = value.rpartition(".")
         return same_shape(stem, key, kind) + "." + top
-    return same_shape(text, key, kind)
+    return same_shape(value, key, kind)
+
+
+def dressed(kind: str, text: str, new: str) -> str:
+    """A canonical surrogate written as the text was: the same separators, case and country code."""
+    if kind in ("address", "secret"):
+        return new
+    if kind == "email":
+        return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(text, new))
+    skip = country_code(text, "".join(c for c in text if c.isdigit())) if kind == "phone" else 0
+    out, it = [], iter(new)
+    for c in text:
+        if c.isalnum() and skip:
+            skip -= 1
+        elif c.isalnum():
+            c = next(it)
+        out.append(c)
+    return "".join(out)
+
+
+def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
+    """The replacement of an entity: different entities of a kind get different ones, ways to write one entity the same."""
+    return dressed(kind, text, renewed(kind, canonical(kind, text), key, attempt))
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -138,120 +201,184 @@ def find(text: str) -> list[tuple[int, int, str]]:
 def names(text: str) -> list[tuple[int, int, str, str, str]]:
     """Spans of names after a title, as (start, end, part, gender, script); part is given or family."""
     out = []
+    if not any(t in text for t in TITLES):
+        return out
     for m in NAMED.finditer(text):
-        gender = TITLES[m[1]]
-        for g in (2, 3):
-            if m[g]:
-                script = "cyrillic" if m[g][0] > "Ѐ" else "latin"
-                known = next((x for (s, x), v in GIVEN.items() if s == script and m[g] in v), "")
-                part = "given" if (g == 2 and m[3]) or known else "family"
-                out.append((*m.span(g), part, (known or gender) if part == "given" else "", script))
+        gender, spans = TITLES[m[1]], m.spans(2)
+        for k, (i, j) in enumerate(spans):
+            script = unicodedata.name(text[i], "latin").split()[0].lower()
+            known = next((x for (s, x), v in GIVEN.items() if s == script and text[i:j].capitalize() in v), "")
+            part = "given" if k + 1 < len(spans) or known else "family"
+            out.append((i, j, part, (known or gender) if part == "given" else "", script))
     return out
 
 
+def mentions(text: str, new: dict[str, str]) -> list[tuple[int, int, str]]:
+    """Spans of all mentions of the names in a text, titled or not, as they are or in capitals, and what replaces them."""
+    forms = {f: v for name, v in new.items() for f, v in ((name, v), (name.upper(), v.upper()))}
+    found = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(regex.escape, sorted(forms, key=len, reverse=True))) + r")(?![\p{L}\p{M}\p{N}])")
+    return [(*m.span(), forms[m[0]]) for m in found.finditer(text)]
+
+
 def invented(part: str, gender: str, script: str, name: str, attempt: int, key: bytes) -> str:
     """A made-up name of the same part, gender and script; later attempts draw from ever larger sets."""
     seed = draw(key, part, gender, script, name, attempt)
-    if part == "given":
+    if part == "given" and any(s == script for s, _ in GIVEN):
         lists = [v for (s, g), v in GIVEN.items() if s == script and gender in (g, "n", "")]
         pool = [x for v in lists for x in v]
         return "-".join(pool[seed[k] % len(pool)] for k in range(1 + min(attempt // 2, 8)))
-    pool = SYLLABLES[script]
-    return "".join(pool[seed[k] % len(pool)] for k in range(2 + min(attempt // 2, 8))).capitalize()
+    if script in SYLLABLES:
+        pool = SYLLABLES[script]
+        return "".join(pool[seed[k] % len(pool)] for k in range(2 + min(attempt // 2, 8))).capitalize()
+    shape = name[0].upper() + name[1:] + name[-1:] * min(attempt // 4, 8)  # no lists for this script: letters for letters
+    return same_shape(shape, seed, "name")
+
+
+NAME = ("part", "gender", "script", "value")
 
 
-def name_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
-    """(part, gender, script, name, new): every name of the rows with a surrogate of its own, none of which is a name there.
+def name_surrogates(found: DataFrame, key: bytes) -> DataFrame:
+    """(part, gender, script, value, new): every different name of ``found``, in small letters, with a surrogate of its own that is no name there.
 
     Each round draws for those still without; a drawn name goes to the smallest of those that drew it, if no other has
     it and it does not occur itself. Rounds end when all have one, as the sets drawn from grow.
     """
+    left = durable(found.select(*NAME).distinct())
+    taken = left.select(F.col("value").alias("low")).distinct()
+    done, attempt = None, 0
+    while not left.isEmpty():
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = {(p, g, s, t[i:j]) for t in batch.column(0).to_pylist() if t for i, j, p, g, s in names(t)}
-            yield pa.RecordBatch.from_pylist([dict(zip(("part", "gender", "script", "name"), x)) for x in sorted(got)], pa.schema([(c, pa.string()) for c in ("part", "gender", "script", "name")]))
+        def propose(batches: Iterator[pa.RecordBatch], attempt: int = attempt) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                new = [invented(*(r[c] for c in NAME), attempt, key) for r in batch.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*NAME, "new"])
 
-    fields = "part string, gender string, script string, name string"
-    left = durable(rows.select("text").mapInArrow(extract, fields).distinct())
-    taken = left.select(F.col("name").alias("new")).distinct()
-    done, attempt = None, 0
+        drawn = left.mapInArrow(propose, "part string, gender string, script string, value string, new string").withColumn("low", F.lower("new")).join(taken, "low", "left_anti")
+        won = durable(drawn.groupBy("low").agg(F.min(F.struct(*NAME, "new")).alias("who")).select("who.*", "low"))
+        done = won if done is None else done.unionByName(won)
+        taken = durable(taken.unionByName(won.select("low")))
+        left = durable(left.join(won, list(NAME), "left_anti"))
+        attempt += 1
+    return done.drop("low") if done is not None else left.withColumn("new", F.lit(""))
+
+
+def redrawn(found: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, new): the values whose first surrogate is a value that occurs, with one that neither occurs nor is another's.
+
+    The first surrogates (column ``new``) are a bijection, so they can only clash with real values.
+    """
+    drawn = durable(found.select("kind", "value", "new").distinct())
+    real = drawn.select("kind", F.col("value").alias("new"))
+    left = durable(drawn.join(real, ["kind", "new"], "left_semi").select("kind", "value"))
+    taken, done, attempt = real.unionByName(drawn.select("kind", "new")).distinct(), None, 1
     while not left.isEmpty():
 
         def propose(batches: Iterator[pa.RecordBatch], attempt: int = attempt) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                new = [invented(r["part"], r["gender"], r["script"], r["name"], attempt, key) for r in batch.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*batch.schema.names, "new"])
+                new = [renewed(k, v, key, attempt) for k, v in zip(*(c.to_pylist() for c in batch.columns))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "value", "new"])
 
-        drawn = left.mapInArrow(propose, fields + ", new string").join(taken, "new", "left_anti")
-        won = durable(drawn.groupBy("new").agg(F.min(F.struct("part", "gender", "script", "name")).alias("who")).select("who.*", "new"))
+        free = left.mapInArrow(propose, "kind string, value string, new string").join(taken, ["kind", "new"], "left_anti")
+        won = durable(free.groupBy("kind", "new").agg(F.min("value").alias("value")).select("kind", "value", "new"))
         done = won if done is None else done.unionByName(won)
-        taken = durable(taken.unionByName(won.select("new")))
-        left = durable(left.join(won, ["part", "gender", "script", "name"], "left_anti"))
+        taken = durable(taken.unionByName(won.select("kind", "new")))
+        left = durable(left.join(won, ["kind", "value"], "left_anti"))
         attempt += 1
     return done if done is not None else left.withColumn("new", F.lit(""))
 
 
-def replace(text: str, key: bytes, given: dict[tuple[str, str, str, str], str]) -> tuple[str, list[str]]:
-    spans = [(i, j, kind, surrogate(kind, text[i:j], key)) for i, j, kind in find(text)]
-    for i, j, part, gender, script in names(text) if given else ():
-        new = given.get((part, gender, script, text[i:j]))
-        if new and all(j <= a or i >= b for a, b, *_ in spans):
-            spans.append((i, j, "name", new))
+def replace(text: str, key: bytes, given: dict[tuple[str, ...], str]) -> tuple[str, list[str]]:
+    """A text with its entities replaced, and their kinds. ``given`` has surrogates of names by NAME, and those drawn again by (kind, canonical value)."""
+    spans = []
+    for i, j, kind in find(text):
+        again = given.get((kind, canonical(kind, text[i:j]))) if given else None
+        spans.append((i, j, kind, dressed(kind, text[i:j], again) if again else surrogate(kind, text[i:j], key)))
+    new: dict[str, str] = {}
+    for i, j, *who in names(text) if given else ():
+        if found := given.get((*who, text[i:j].lower())):
+            new.setdefault(text[i:j], found.upper() if j - i > 1 and text[i:j].isupper() else found)
+    if new:
+        held = sorted((i, j) for i, j, *_ in spans)
+        spans += [(i, j, "name", to) for i, j, to in mentions(text, new) if all(j <= a or i >= b for a, b in held)]
     if not spans:
         return text, []
     out, at = [], 0
-    for i, j, _, new in sorted(spans):
-        out += [text[at:i], new]
+    for i, j, _, to in sorted(spans):
+        out += [text[at:i], to]
         at = j
     return "".join(out) + text[at:], [k for _, _, k, _ in sorted(spans)]
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """The rows with entities in ``text`` replaced, and ``__kinds``, the kinds of those, in order.
+FOUND = ("row", "kind", *NAME, "new")
+
 
-    E-mail and network addresses, card, bank, phone and national numbers and secrets are replaced by a keyed bijection
-    in the task that holds the row. Names after a title draw surrogates in rounds over the whole table's different
-    names; only rows that Spark's filter finds to hold a title are joined with them.
+def entities(rows: DataFrame, key: bytes) -> DataFrame:
+    """FOUND of the rows (row, text): every different entity of a row in canonical form, with its first surrogate; names without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            got = set()
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i, j, kind in find(text or ""):
+                    value = canonical(kind, text[i:j])
+                    got.add((row, kind, "", "", "", value, renewed(kind, value, key)))
+                for i, j, *who in names(text or ""):
+                    got.add((row, "name", *who, text[i:j].lower(), ""))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sorted(got)) if got else [[]] * 7, [pa.int64(), *[pa.string()] * 6])], list(FOUND))
+
+    return rows.mapInArrow(run, "row long, kind string, part string, gender string, script string, value string, new string")
+
+
+def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
+    """The rows with entities in ``text`` replaced, and as the last column, ``kinds``, the kinds of those, in order.
+
+    The texts are read twice. First every task lists the different entities of its rows. E-mail and network addresses,
+    card, bank, phone and national numbers and secrets get a keyed bijection of their canonical form, so that two ways to
+    write one number keep saying the same; what clashes with a value of the table is drawn again. Names after a title
+    draw surrogates in rounds over the whole table's different names. Then every task replaces what it finds, a name at
+    all its mentions in the text. Up to HANDED names and values drawn again are handed to the tasks; if there are more,
+    each row is joined with its own.
+
+    Null and empty texts, other columns, whatever their names, and row count stay; texts of any length are read whole;
+    repeated rows get equal replacements; an empty table stays empty.
     """
-    where, width, columns = docs.columns.index("text"), len(docs.columns), [*docs.columns, "__kinds"]
-    fields = T.StructType([*docs.schema.fields, T.StructField("__kinds", T.ArrayType(T.StringType()))])
+    where, width = docs.columns.index("text"), len(docs.columns)
+    inner = docs.toDF(*[f"c{k}" for k in range(width)]).withColumn("row", F.xxhash64(f"c{where}"))
+    fields = T.StructType([*(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)), T.StructField("kinds", T.ArrayType(T.StringType()))])
+    found = durable(entities(inner.select("row", F.col(f"c{where}").alias("text")), key))
+    named, others = found.where("kind = 'name'"), found.where("kind != 'name'")
+    people, again = durable(name_surrogates(named, key)), redrawn(others, key)
+    handed: dict[tuple[str, ...], str] | None = None
+    if people.count() + again.count() <= HANDED:
+        handed = {tuple(r[c] for c in NAME): r["new"] for r in people.collect()} | {(r["kind"], r["value"]): r["new"] for r in again.collect()}
+    else:
+        own = named.drop("new").join(people, list(NAME)).select(*FOUND).unionByName(others.drop("new").join(again, ["kind", "value"]).select(*FOUND))
+        inner = inner.join(own.groupBy("row").agg(F.collect_set(F.struct(*FOUND[1:])).alias("own")), "row", "left").select(*inner.columns, "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, where):
             texts, kinds = [], []
-            given_ = batch.column(width).to_pylist() if batch.num_columns > width else [None] * batch.num_rows
-            for t, given in zip(batch.column(where).to_pylist(), given_):
-                new, found = replace(t, key, {(g["part"], g["gender"], g["script"], g["name"]): g["new"] for g in given or ()}) if t else (t, [])
-                texts.append(new), kinds.append(found)
-            out = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
-            yield pa.RecordBatch.from_arrays([*out.columns[:width], pa.array(kinds, pa.list_(pa.string()))], columns)
-
-    titled = F.coalesce(F.col("text").rlike(NAMED_ROWS), F.lit(False))
-    rows = docs.where(titled).withColumn("__row", F.xxhash64("text"))
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = {(h, p, g, s, t[i:j]) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, j, p, g, s in names(t)}
-            yield pa.RecordBatch.from_pylist([dict(zip(("__row", "part", "gender", "script", "name"), x)) for x in sorted(got)], pa.schema([("__row", pa.int64()), *((c, pa.string()) for c in ("part", "gender", "script", "name"))]))
+            lists = batch.column(width + 1).to_pylist() if handed is None else [None] * batch.num_rows
+            for t, own in zip(batch.column(where).to_pylist(), lists):
+                given = handed if handed is not None else {tuple(g[c] for c in NAME) if g["kind"] == "name" else (g["kind"], g["value"]): g["new"] for g in own or ()}
+                new, said = replace(t, key, given) if t else (t, [])
+                texts.append(new), kinds.append(said)
+            columns = [pa.array(texts, batch.schema.field(where).type) if k == where else batch.column(k) for k in range(width)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], [*(f"c{k}" for k in range(width)), "kinds"])
 
-    cols = ["part", "gender", "script", "name"]
-    found = rows.select("__row", "text").mapInArrow(tokens, "__row long, part string, gender string, script string, name string").distinct()
-    given = found.join(name_surrogates(rows, key), cols).groupBy("__row").agg(F.collect_list(F.struct(*cols, "new")).alias("__given"))
-    named = rows.join(given, "__row", "left").select(*docs.columns, "__given")
-    return docs.where(~titled).mapInArrow(run, fields).unionByName(named.mapInArrow(run, fields))
+    return inner.mapInArrow(run, fields)
 
 
-def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Documents with entities in ``text`` replaced by surrogates. Null and empty texts, other columns and row count stay."""
-    return with_surrogates(docs, key).drop("__kinds")
+def replaced(docs: DataFrame, key: bytes) -> DataFrame:
+    """Documents with entities in ``text`` replaced by surrogates; all else as in ``with_surrogates``."""
+    return with_surrogates(docs, key).drop("kinds").toDF(*docs.columns)
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_entities, kinds, text): every document with what was replaced in it. Repeated rows get a row each."""
+def surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_entities, kinds, text): every document with what was replaced in it; all else as in ``with_surrogates``."""
     found = with_surrogates(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), key)
-    return found.select("doc_id", F.size("__kinds").cast("long").alias("n_entities"), F.col("__kinds").alias("kinds"), "text")
+    return found.toDF("doc_id", "text", "kinds").select("doc_id", F.size("kinds").cast("long").alias("n_entities"), "kinds", "text")
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(documents(spark, sf_dir))
+    return surrogates(documents(spark, sf_dir), KEY)

@@ -185,7 +185,7 @@ def entity_text(i):
 def test_surrogates_hide_and_keep_apart(spark):
     rows = [(i, entity_text(i)) for i in range(60)] + [(100, None), (101, ""), (102, "nothing here to hide, 12 eggs"), (60, entity_text(3)), (3, entity_text(3)), (None, entity_text(4))]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kinds string")
-    got = private.surrogates(df).collect()
+    got = private.surrogates(df, b"a key").collect()
     assert len(got) == len(rows)
     by = {}
     for r in got:
@@ -199,7 +199,7 @@ def test_surrogates_hide_and_keep_apart(spark):
         assert set(r.kinds) == {"email", "phone", "card", "address", "name"}
     family = {entity_text(i).split()[-1]: by[i].text.split()[-1] for i in range(60)}
     assert len(set(family.values())) == len(family) == 10 and not set(family.values()) & set(family)
-    assert private.surrogates(df.limit(0)).count() == 0
+    assert private.surrogates(df.limit(0), b"a key").count() == 0
 
 
 def test_replacements_are_bijections():
@@ -217,6 +217,6 @@ def test_replacements_are_bijections():
 
 def test_names_stay_apart_when_draws_collide(spark, monkeypatch):
     monkeypatch.setattr(private, "invented", lambda part, gender, script, name, attempt, key: f"X{len(name) % 2}{attempt}")
-    rows = spark.createDataFrame([(f"Mr. {a} Dr. {b}",) for a, b in (("Ab", "Abc"), ("Abcd", "Abcde"), ("Xy", "Xyz"))], "text string")
-    got = {r.name: r.new for r in private.name_surrogates(rows, b"k").collect()}
+    rows = spark.createDataFrame([(k, f"Mr. {a} Dr. {b}") for k, (a, b) in enumerate((("Ab", "Abc"), ("Abcd", "Abcde"), ("Xy", "Xyz")))], "row long, text string")
+    got = {r.value: r.new for r in private.name_surrogates(private.entities(rows, b"k"), b"k").collect()}
     assert len(got) == 6 and len(set(got.values())) == 6
