@@ -16,8 +16,10 @@ from .words import MIX, Stretches, covered, mix, word_hashes, word_spans
 
 #: Words of a repeat at least, and of the grams among which minimisers are chosen.
 LENGTH, GRAM = 50, 8
-#: Suffixes of one gram that are sorted in one task; those of a more frequent gram meet by the names of their stretches.
-RUN = 4096
+#: Suffixes of one gram that are sorted in one task (their words take 50 MB); those of a more frequent gram meet by the names of their stretches.
+RUN = 1 << 16
+#: Buckets of doc_ids that are broadcast to leave out documents before their texts are shuffled.
+BUCKETS = 1 << 20
 
 
 def minimisers(words: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -181,7 +183,9 @@ def named_stretches(docs: DataFrame, edges: DataFrame, length: int, gram: int) -
     on storage before it is joined back, so that a stretch which very many documents share can be split.
     """
     wide = length - gram
-    both = docs.join(edges.groupBy("doc_id", "h").agg(F.collect_set("at").alias("__at")), ["doc_id", "h"])
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    few = docs.join(F.broadcast(edges.select(bucket.alias("__bucket")).distinct()), bucket == F.col("__bucket"), "left_semi")
+    both = few.join(edges.groupBy("doc_id", "h").agg(F.collect_set("at").alias("__at")), ["doc_id", "h"])
     where = [both.columns.index(c) for c in ("doc_id", "h", "text", "__at")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
