@@ -76,11 +76,11 @@ class Judge:
     """
 
     def __init__(self, texts: dict[str, bytes], margin: float):
-        most = max(map(len, texts.values()), default=0)
-        self.names, self.margin = [k for k in texts if len(texts[k]) >= COMMON * most], margin
+        chars = {k: len(t.decode()) for k, t in texts.items()}
+        self.names, self.margin = [k for k in texts if chars[k] >= COMMON * max(chars.values())], margin
         self.coders = [self.coder(texts[k]) for k in self.names]
-        short = lambda c, t: last_chars(texts[c].decode(), len(t.decode())).encode()
-        self.rare = [(k, self.coder(t), [self.coder(short(c, t)) for c in self.names]) for k, t in texts.items() if k not in self.names]
+        short = lambda c, k: last_chars(texts[c].decode(), chars[k]).encode()
+        self.rare = [(k, self.coder(t), [self.coder(short(c, k)) for c in self.names]) for k, t in texts.items() if k not in self.names]
 
     @staticmethod
     def coder(text: bytes) -> zstandard.ZstdCompressor:

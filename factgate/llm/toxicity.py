@@ -14,8 +14,20 @@ from pyspark.sql import functions as F
 from .common import buffers, chunks, documents, durable, slices
 from .langid import held_out
 
-# Common English insults that the first lexicon voter looks for.
-INSULTS = ("clown", "disgusting", "dumb", "fool", "freak", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "shut up", "stupid", "trash", "ugly", "useless", "vermin", "worthless")
+# Common English insults, by what they are about, and phrases; INSULT stands for any of the insults.
+INSULTS = {
+    "mind": ("clown", "dumb", "fool", "idiot", "imbecile", "moron", "stupid"),
+    "worth": ("garbage", "loser", "pathetic", "scum", "trash", "useless", "vermin", "worthless"),
+    "person": ("creep", "disgusting", "filthy", "freak", "jerk", "pig", "ugly"),
+}
+PHRASES = {
+    "order": r"\b(?:shut up|get lost|go away|drop dead|go to hell|go die|kill yourself)\b",
+    "hate": r"\b(?:(?:i|we|they|all) hate|hates? (?:you|them|him|her)|nobody (?:likes|wants) you)\b",
+    "addressed": r"\b(?:you|your|you're|u)\b(?:\W+\w+){0,3}?\W+(?:INSULT)",
+    "stressed": r"\b(?:such|what|total|complete|utter|absolute)\W+(?:an?\W+)?(?:INSULT)|\b(?:INSULT)s?\s*!",
+}
+#: Words without which no phrase is there, besides the insults.
+ANCHORS = ("away", "dead", "die", "hate", "hates", "hell", "lost", "nobody", "up", "yourself")
 
 #: Labelled rows, of each label, that lexicons and classifier are fitted on (about).
 SAMPLE = {1: 6000, 0: 12000}
@@ -38,10 +50,12 @@ def keys(text: str) -> Iterator[str]:
 
 
 class Terms:
-    """Counts of given terms in texts."""
+    """Counts of given terms in texts; a term given twice has two columns."""
 
     def __init__(self, terms: list[str]):
-        self.at = {t: k for k, t in enumerate(terms)}
+        self.width, self.at = len(terms), {}
+        for k, t in enumerate(terms):
+            self.at[t] = (*self.at.get(t, ()), k)
         self.seen: dict[bytes, tuple[int, ...]] = {}
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +68,7 @@ class Terms:
         for b in coded.dictionary.to_pylist():
             hit = self.seen.get(b)
             if hit is None:
-                hit = self.seen[b] = tuple(k for t in keys(b.decode()) if (k := self.at.get(t)) is not None)
+                hit = self.seen[b] = tuple(k for t in keys(b.decode()) for k in self.at.get(t, ()))
             found.append(hit)
         sizes = np.array([len(h) for h in found], np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
@@ -66,8 +80,8 @@ class Terms:
         n = sizes[codes]
         inner = np.concatenate(([0], np.cumsum(n)))
         term = flat[np.repeat(ends[codes] - inner[:-1], n) + np.arange(inner[-1])]
-        counts = np.bincount(np.repeat(doc, n) * len(self.at) + term, minlength=len(column) * len(self.at))
-        return counts.reshape(len(column), len(self.at)), np.diff(at)
+        counts = np.bincount(np.repeat(doc, n) * self.width + term, minlength=len(column) * self.width)
+        return counts.reshape(len(column), self.width), np.diff(at)
 
 
 def train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -103,21 +117,36 @@ def mine(rows: DataFrame) -> list[str]:
     return [r["term"] for r in found.orderBy(F.desc("gain"), "term").limit(TERMS).collect()]
 
 
-def votes_of(counts: np.ndarray, size: np.ndarray, terms: list[str]) -> np.ndarray:
-    """Rows x voters: 1 toxic, 0 clean, 2 abstains.
+ALL_INSULTS = [w for words in INSULTS.values() for w in words]
+#: Terms that the voters look for besides the mined ones: whole words.
+SAID = ["=" + w for w in [*ALL_INSULTS, *ANCHORS]]
+FOUND = [re.compile(p.replace("INSULT", "|".join(ALL_INSULTS))) for p in PHRASES.values()]
 
-    Voters: the insult list; ``LEXICONS`` lexicons that the mined terms are dealt to; two density patterns and one of
-    repetition. A lexicon voter says clean if nothing of its lexicon occurs.
+
+def votes_of(counts: np.ndarray, size: np.ndarray, mined: int, column: pa.Array) -> np.ndarray:
+    """Rows x voters: 1 toxic, 0 clean, 2 abstains. ``counts`` are of the mined terms, then of SAID.
+
+    Voters that know no labels: all insults (clean if there is none), those about each thing, and each kind of phrase,
+    which abstain where they find nothing. Voters from the mined terms: LEXICONS lexicons that these are dealt to, two
+    of density and one of repetition, each of which says clean if nothing of its own occurs.
     """
-    seeds = np.array([t[1:] in INSULTS for t in terms], bool)
-    group = np.arange(len(terms)) % LEXICONS
-    out = [np.where(counts[:, seeds].sum(1) > 0, 1, 0)]
+    own, said = counts[:, :mined], counts[:, mined : mined + len(ALL_INSULTS)]
+    out, at = [np.where(said.sum(1) > 0, 1, 0)], 0
+    for words in INSULTS.values():
+        out.append(np.where(said[:, at : at + len(words)].sum(1) > 0, 1, 2))
+        at += len(words)
+    phrases = np.full((len(counts), len(FOUND)), 2)
+    for row in np.flatnonzero(counts[:, mined:].sum(1)).tolist():
+        text = (column[row].as_py() or "").lower()
+        phrases[row] = [1 if p.search(text) else 2 for p in FOUND]
+    out += list(phrases.T)
+    group = np.arange(mined) % LEXICONS
     for g in range(LEXICONS):
-        hit = (counts[:, (group == g) & ~seeds] > 0).sum(1)
+        hit = (own[:, group == g] > 0).sum(1)
         out.append(np.where(hit >= 2, 1, np.where(hit == 1, 2, 0)))
-    share = counts.sum(1) / np.maximum(1, size)
+    share = own.sum(1) / np.maximum(1, size)
     out += [np.where(share >= 0.02, 1, np.where(share == 0, 0, 2)), np.where(share >= 0.08, 1, np.where(share < 0.01, 0, 2))]
-    most = counts.max(1, initial=0)
+    most = own.max(1, initial=0)
     out.append(np.where(most >= 3, 1, np.where(most == 0, 0, 2)))
     return np.stack(out, 1).astype(np.int64)
 
@@ -195,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray] | No
     """(terms, coefficients), or None where there is nothing to learn from.
 
     1. Lexicons are mined from the sample of labelled rows. 2. All voters vote on every row that may be learned from,
-    labelled or not; at most 3 ** voters different patterns and their counts reach the driver. 3. The label model is
+    labelled or not; the different patterns of votes, of which only few occur, and their counts reach the driver. 3. The label model is
     fitted on them. 4. The classifier learns the posteriors on the sample; its scale and offset are set on the
     sample's labels, weighted back to the shares they have among all labelled rows.
     """
@@ -205,28 +234,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray] | No
         return None
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = Terms(terms), Counter()
+        count, seen = Terms(terms + SAID), Counter()
         for batch in slices(batches, 0):
-            made, n = np.unique(votes_of(*count(batch.column(0)), terms), axis=0, return_counts=True)
+            made, n = np.unique(votes_of(*count(batch.column(0)), len(terms), batch.column(0)), axis=0, return_counts=True)
             for v, k in zip(made.tolist(), n.tolist()):
                 seen[bytes(v)] += k
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Terms(terms)
+        count = Terms(terms + SAID)
         for batch in slices(batches, 0):
             made, size = count(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([r.astype("<u2").tobytes() for r in np.minimum(made, 65535)], pa.binary()), pa.array(size), batch.column(1)], ["counts", "size", "toxic"])
+            said = votes_of(made, size, len(terms), batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([r.astype("<u2").tobytes() for r in np.minimum(made[:, : len(terms)], 65535)], pa.binary()), pa.array(size), batch.column(1), pa.array([bytes(v) for v in said.tolist()], pa.binary())], ["counts", "size", "toxic", "votes"])
 
     kinds = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).agg(F.avg("toxic")).first()[0] or 0.1
     found = docs.where(~held_out()).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(patterns, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     model = LabelModel(np.array([list(r["votes"]) for r in found]), np.array([r["n"] for r in found], float), float(np.clip(kinds, 0.01, 0.5)))
-    got = rows.select("text", "toxic").mapInArrow(sample, "counts binary, size long, toxic int").collect()
+    got = rows.select("text", "toxic").mapInArrow(sample, "counts binary, size long, toxic int, votes binary").collect()
     counts = np.stack([np.frombuffer(r["counts"], "<u2") for r in got]).astype(np.int64)
     size, y = np.array([r["size"] for r in got]), np.array([r["toxic"] for r in got], float)
     weight = np.where(y == 1, kinds / max(y.mean(), 1e-9), (1 - kinds) / max(1 - y.mean(), 1e-9))
     x = features(counts, size)
-    w = logistic(x, model(votes_of(counts, size, terms)), weight)
+    w = logistic(x, model(np.array([list(r["votes"]) for r in got])), weight)
     line = np.stack((np.ones(len(x)), x @ w), 1)
     a, b = logistic(line, y, weight, 1e-3)
     w = w * b
@@ -237,8 +267,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray] | No
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, predicted) for every whole text; a higher score means toxic is likelier.
 
-    Null and empty texts get the score of a text without any hit. Without labels, or if nothing tells them apart,
-    every score is the share of toxic rows (0 if unknown). Repeated rows get a row each; other columns aren't read.
+    Null and empty texts get the score of a text without any hit. Without labels, or if nothing tells them apart, every
+    score is 0. Repeated rows get a row each, texts of any length count whole, an empty table gives no rows; other
+    columns aren't read.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     model = fit(docs, labels)

@@ -220,3 +220,84 @@ def test_names_stay_apart_when_draws_collide(spark, monkeypatch):
     rows = spark.createDataFrame([(k, f"Mr. {a} Dr. {b}") for k, (a, b) in enumerate((("Ab", "Abc"), ("Abcd", "Abcde"), ("Xy", "Xyz")))], "row long, text string")
     got = {r.value: r.new for r in private.name_surrogates(private.entities(rows, b"k"), b"k").collect()}
     assert len(got) == 6 and len(set(got.values())) == 6
+
+
+def test_voters_that_know_no_labels():
+    import pyarrow as pa
+
+    texts = ["a calm word", "you are such an idiot", "shut up now", "we hate them all", "what a moron!", "lost and found", None, "sjerk clownfish", "the pig is ugly"]
+    column = pa.array(texts)
+    counts, size = toxicity.Terms(["=zorb", *toxicity.SAID])(column)
+    votes = toxicity.votes_of(counts, size, 1, column)
+    kinds = 1 + len(toxicity.INSULTS)
+    any_, by, phrases = votes[:, 0], votes[:, 1:kinds], votes[:, kinds : kinds + len(toxicity.PHRASES)]
+    assert any_.tolist() == [0, 1, 0, 0, 1, 0, 0, 0, 1]
+    assert by[1].tolist() == [1, 2, 2] and by[8].tolist() == [2, 2, 1]
+    assert phrases.tolist() == [[2, 2, 2, 2], [2, 2, 1, 1], [1, 2, 2, 2], [2, 1, 2, 2], [2, 2, 2, 1], [2, 2, 2, 2], [2] * 4, [2] * 4, [2] * 4]
+    assert set(votes[:, kinds + len(toxicity.PHRASES) :].ravel().tolist()) == {0}
+
+
+def test_toxicity_query_against_one_text_at_a_time(spark, sf):
+    """Scores made again by a plain loop from the fitted coefficients; labels of held-out rows change nothing."""
+    from pyspark.sql import functions as F
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    terms, w = toxicity.fit(docs, labels)
+    turned = toxicity.fit(docs, labels.withColumn("toxic", F.when(langid.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    assert turned[0] == terms and np.allclose(turned[1], w)
+    got = {r.doc_id: r for r in toxicity.op2_toxicity(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        n = [words.count(t[1:]) if t[0] == "=" else sum(x[: len(t)] == t for x in words) for t in terms]
+        stretches = len(re.findall(r"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+$", r.text or ""))
+        x = [1.0, np.log1p(sum(n)), np.log1p(sum(k > 0 for k in n)), min(1.0, 10 * sum(n) / max(1, stretches)), *np.log1p(n)]
+        score = 1 / (1 + np.exp(-np.clip(np.dot(x, w), -30, 30)))
+        assert abs(got[r.doc_id].score - score) < 1e-9
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and got[r.doc_id].predicted == int(score >= 0.3)
+
+
+def test_toxicity_reads_long_texts_and_no_other_column(spark):
+    rows = [(i, "idiot zorbax " * 3 if i % 5 == 0 else "calm words here", "x", 1.0) for i in range(400)] + [(1001, "calm words " * 100_000 + "idiot zorbax " * 5000, "y", 2.0), (1001, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted double")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels).collect()
+    assert len(got) == len(rows) and max(r.score for r in got if r.doc_id == 1001) > 0.5
+
+
+def test_languages_against_one_text_at_a_time(spark, sf):
+    """The query's rows by plain compression of one text after the other."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {k: t.decode() for k, t in sorted(langid.dictionaries(docs).items())}
+
+    def coder(text):
+        held = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=6)
+        return zstandard.ZstdCompressor(level=6, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(c, low):
+        return sum(len(c.compress(low[k : k + 4096])) for k in range(0, len(low), 4096))
+
+    common = {k: coder(t) for k, t in texts.items() if 2 * len(t) >= max(map(len, texts.values()))}
+    rare = {k: (coder(t), {c: coder(texts[c][-len(t) :]) for c in common}) for k, t in texts.items() if k not in common}
+    got = {r.doc_id: r for r in langid.op10_language_id(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        low = re.sub(r"[\W\d_]+", " ", (r.text or "").lower()).encode()
+        if not low.strip():
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        low += b" "
+        n = -(-len(low) // 4096)
+        low = (low * (n * 4096 // len(low) + 1))[: n * 4096]
+        sizes = sorted((size(c, low), name) for name, c in common.items())
+        want = sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
+        saved = sorted((1 - size(own, low) / size(cut[want[0]], low), name) for name, (own, cut) in rare.items())
+        if saved and saved[-1][0] >= langid.MARGIN:
+            want = saved[-1][1], saved[-1][0]
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == pytest.approx(want)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
