@@ -13,5 +13,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (pack.op1_packing, toxicity.op2_toxicity, imatch.op3_imatch, suffixes.op4_suffix_array_dedup, simhash.op5_simhash_near_dedup, vectors.op6_embedding_near_dedup, private.op7_pii_surrogates, recompress.op8_recompression_dedup, bpe.op9_byte_bpe, langid.op10_language_id)}
 
 
+#: Words of every document and what follows each, by place; then the windows of so many words that a smaller document has.
+WORDS = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS t FROM documents),
+     win AS (SELECT doc_id, i, array_to_string(w[i : i + {last}], ' ') AS s
+             FROM (SELECT doc_id, w, unnest(range(1, len(w) - {last} + 1)) AS i FROM d)),
+     lo AS (SELECT s, min(doc_id) AS lo FROM win GROUP BY s),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {last} + 1)) AS p FROM win JOIN lo USING (s) WHERE lo < doc_id),
+     word AS (SELECT doc_id, unnest(w) AS w, unnest(t) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+     kept AS (SELECT word.* FROM word ANTI JOIN gone USING (doc_id, p)),
+     lost AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE p - 1 NOT IN (SELECT p FROM gone g WHERE g.doc_id = gone.doc_id)) AS spans FROM gone GROUP BY doc_id)
+"""
+OP4 = WORDS.format(last=49) + r"""
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(CASE WHEN n IS NULL THEN text ELSE coalesce(rest, '') END) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN (
+  SELECT doc_id, string_agg(s, chr(10) ORDER BY k) AS rest FROM (
+    SELECT doc_id, p - r AS k, rtrim(string_agg(t, '' ORDER BY p), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM kept) GROUP BY doc_id, p - r) GROUP BY doc_id) USING (doc_id)
+"""
+OP8 = WORDS.format(last=12) + r"""
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS rest FROM kept GROUP BY doc_id) USING (doc_id)
+"""
+OP6 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pair AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM reach r JOIN pair p ON r.b = p.a),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+many AS (SELECT a AS vec_id, count(*) AS n FROM pair GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN low USING (vec_id) LEFT JOIN many USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for those that it can express; the others hash with XXH64, compress, tokenise, learn or draw by keys."""
+    return {"op4_suffix_array_dedup": OP4, "op6_embedding_near_dedup": OP6, "op8_recompression_dedup": OP8}

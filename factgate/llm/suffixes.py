@@ -322,4 +322,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "spans", "sources", "kept_sha256")
+    return without_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

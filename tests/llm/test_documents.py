@@ -295,7 +295,7 @@ def test_languages_against_one_text_at_a_time(spark, sf):
         n = -(-len(low) // 4096)
         low = (low * (n * 4096 // len(low) + 1))[: n * 4096]
         sizes = sorted((size(c, low), name) for name, c in common.items())
-        want = sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
+        want = sizes[0][1], 1 - sizes[0][0] / [*sizes, (float("inf"), "")][1][0]
         saved = sorted((1 - size(own, low) / size(cut[want[0]], low), name) for name, (own, cut) in rare.items())
         if saved and saved[-1][0] >= langid.MARGIN:
             want = saved[-1][1], saved[-1][0]
