@@ -42,9 +42,26 @@ def digest(*parts: Column | str) -> Column:
     return F.sha2(composite(*parts), 256)
 
 
+def composite_text(*parts: str) -> str:
+    """The same join of texts that are known on the driver."""
+    return "".join(f"{len(p.encode())}:{p}" for p in parts)
+
+
+def composite_list(values: Column) -> Column:
+    """Injective join of a list of texts; null has a mark of its own."""
+    return F.array_join(F.transform(values, lambda v: F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-"))), "")
+
+
 def order_free(*parts: Column) -> Column:
     """Identity of a combination that doesn't depend on the order of its parts."""
-    return F.sha2(F.array_join(F.array_sort(F.array(*parts)), "|"), 256)
+    return F.sha2(composite_list(F.array_sort(F.array(*parts))), 256)
+
+
+def canonical_row(types: dict[str, str]) -> Column:
+    """Injective text of a row's values by column name; floating-point values, which are no facts, by their shortest text."""
+    kind = lambda c: base_type(types[c])
+    text = lambda c: canonical(F.col(c), types[c]) if kind(c) in TAGS else F.coalesce(F.concat(F.lit(kind(c) + ":"), F.col(c).cast("string")), F.lit("null"))
+    return composite(*[text(c) for c in sorted(types)])
 
 
 def row_fact(namespace: str, snapshot: str, key: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names that a request may use unless its product says otherwise.
+# Names that a request may use unless its product says otherwise.
 ALLOWED = {
     "math": ("abs", "ceil", "ceiling", "floor", "round"),
     "string": ("btrim", "ltrim", "rtrim", "trim", "char_length", "length", "lower", "upper", "concat", "concat_ws", "replace", "substring"),
@@ -19,9 +19,13 @@ ALLOWED = {
 TO_CHAR = {"YYYY-MM-DD": "yyyy-MM-dd", "YYYY-MM": "yyyy-MM", "YYYY": "yyyy", "MM": "MM", "DD": "dd", "HH24:MI:SS": "HH:mm:ss", "YYYY-MM-DD HH24:MI:SS": "yyyy-MM-dd HH:mm:ss"}
 
 
+# What the allowed names that Spark calls otherwise are there.
+SPARK_NAMES = ("json_array_length", "get_json_object", "coalesce", "nullif", "case_when", "date_format", "between", "in", "and", "or", "not", "isnull", "isnotnull", "like", "ilike")
+
+
 def check_allowed(names: list[str], granted: tuple[str, ...] = ()) -> None:
     """Refuses names that are neither allowed by default nor granted by the product."""
-    known = {n for group in ALLOWED.values() for n in group} | set(granted)
+    known = {n for group in ALLOWED.values() for n in group} | set(SPARK_NAMES) | set(granted)
     bad = sorted(set(names) - known)
     if bad:
         raise PermissionError(f"not allowed: {', '.join(bad)}")

@@ -14,40 +14,61 @@ def event_hash(prev: Column, seq: Column, actor: Column, kind: Column, payload:
     return digest("audit", prev, seq.cast("string"), actor, kind, payload)
 
 
-def link(events: DataFrame, prev: str = START) -> DataFrame:
+def segment_start(segment: Column) -> Column:
+    return F.sha2(F.concat(F.lit("segment:"), segment.cast("string")), 256)
+
+
+def link(events: DataFrame, prev: str = START, size: int | None = None) -> DataFrame:
     """Events (seq, actor, event_type, payload) with prev_hash and hash, linked from a head.
 
-    Linking is sequential by nature, so this is for one micro-batch: its rows come in order to one task, which folds
-    them. Verification has no such limit.
+    Linking is sequential by nature. Without ``size`` the events are one micro-batch, which goes through one task. With
+    it a log of any length is linked in segments of so many numbers, each from a start of its own, by as many tasks as
+    there are; ``heads`` then links the segments. Verification has no limit either way.
     """
     import hashlib
 
     def fold(batches):
         import pandas as pd
 
-        head = prev
+        head, segment = prev, None
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
+                if size and r.seq // size != segment:
+                    segment = r.seq // size
+                    head = hashlib.sha256(f"segment:{segment}".encode()).hexdigest()
                 parts = ["audit", head, str(r.seq), r.actor, r.event_type, r.payload]
                 h = hashlib.sha256("".join(f"{len(p.encode())}:{p}" for p in parts).encode()).hexdigest()
                 out.append((r.seq, r.actor, r.event_type, r.payload, head, h))
                 head = h
             yield pd.DataFrame(out, columns=["seq", "actor", "event_type", "payload", "prev_hash", "hash"])
 
-    return events.select("seq", "actor", "event_type", "payload").repartition(1).sortWithinPartitions("seq").mapInPandas(fold, "seq long, actor string, event_type string, payload string, prev_hash string, hash string")
+    rows = events.select("seq", "actor", "event_type", "payload")
+    rows = rows.repartition(F.floor(F.col("seq") / size)).sortWithinPartitions("seq") if size else rows.repartition(1).sortWithinPartitions("seq")
+    return rows.mapInPandas(fold, "seq long, actor string, event_type string, payload string, prev_hash string, hash string")
+
+
+def heads(chain: DataFrame, size: int) -> DataFrame:
+    """The last hash of each segment as an event of a chain of its own, a ``size``-th as long: linking it binds the segments together."""
+    last = chain.groupBy(F.floor(F.col("seq") / size).cast("long").alias("seq")).agg(F.max_by("hash", "seq").alias("payload"))
+    return last.select("seq", F.lit("audit").alias("actor"), F.lit("segment").alias("event_type"), "payload")
 
 
-def breaks(chain: DataFrame, start: str = START) -> DataFrame:
+def breaks(chain: DataFrame, start: str = START, size: int | None = None) -> DataFrame:
     """(seq, problem) wherever a chain doesn't hold: a wrong hash, a wrong link, a gap or a repeated number.
 
-    Each event is joined with the one before by number, so no task sorts the whole log.
+    Each event is joined with the one before by number, so no task sorts the whole log. ``size`` is that of its segments.
     """
     own = event_hash(F.col("prev_hash"), F.col("seq"), F.col("actor"), F.col("event_type"), F.col("payload"))
     first = chain.agg(F.min("seq").alias("lo"))
     before = chain.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("__before")).dropDuplicates(["seq"])
     rows = chain.join(before, "seq", "left").crossJoin(F.broadcast(first))
-    problem = F.when(F.col("hash") != own, "hash").when((F.col("seq") == F.col("lo")) & (F.col("prev_hash") != start), "link").when((F.col("seq") > F.col("lo")) & F.col("__before").isNull(), "gap").when((F.col("seq") > F.col("lo")) & (F.col("prev_hash") != F.col("__before")), "link")
+    inner = F.col("seq") > F.col("lo")
+    wanted = F.when(inner, F.col("__before")).otherwise(F.lit(start))
+    if size:
+        opens = (F.col("seq") % size == 0) | ~inner
+        wanted = F.when(opens, segment_start(F.floor(F.col("seq") / size))).otherwise(wanted)
+    problem = F.when(F.col("hash") != own, "hash").when(inner & F.col("__before").isNull(), "gap").when(F.col("prev_hash") != wanted, "link")
     out = rows.select("seq", problem.alias("problem")).where("problem is not null")
     repeated = chain.groupBy("seq").agg(F.count("*").alias("n")).where("n > 1").select("seq", F.lit("repeated").alias("problem"))
     return out.unionByName(repeated)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical, cell_fact, composite, derived_fact, digest, row_fact
-from ..plans.build import name, paged_provenance, provenance, visible
+from ..functions.canonical import canonical, cell_fact, composite, composite_text, derived_fact, digest, order_free, row_fact
+from ..plans.build import name, paged_provenance, visible
 from ..plans.plan import Plan, base, output_type
 from ..sources.products import PRODUCTS
 from .digest import set_digest
@@ -69,19 +71,23 @@ def fact_of() -> Column:
     return F.when(F.col("c.field") == "", digest("row", *where)).otherwise(digest("cell", *where, F.col("c.field"), F.col("c.type"), F.col("c.value")))
 
 
+def row_identity(plan: Plan) -> Column:
+    """Identity of a joined row from those of its sources' rows, whichever was joined to which."""
+    return order_free(*[row(plan, role) for role in plan.sources])
+
+
 def bundle(plan: Plan) -> str:
     """The snapshots a plan reads, one per namespace."""
     return "|".join(sorted(f"{PRODUCTS[p].namespace}@{PRODUCTS[p].snapshot}" for p in plan.sources.values()))
 
 
 def influence(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
-    """(fact_hash): base rows and cells that took part in any result row.
+    """(fact_hash): base rows and cells that took part in any delivered row, group or distinct row.
 
     Each source's contributing rows are made distinct before cells are exploded, so the joined rows are never multiplied
     by their evidence, and are joined once for all sources.
     """
-    paged = (plan.limit or plan.offset) and not plan.aggregates and not plan.union
-    proofs = paged_provenance(spark, sf_dir, plan, scope) if paged else provenance(spark, sf_dir, plan, scope)
+    proofs = paged_provenance(spark, sf_dir, plan, scope)
     parts = row_witness(plan)
     union = [f.column for b in plan.union for f in b]
     for c in [*plan.columns, *plan.distinct_on, *plan.group_by, *[a.column for a in plan.aggregates if a.column != "*"], *union]:
@@ -116,15 +122,11 @@ def group_key(plan: Plan) -> Column:
     return composite("group-row", *[canonical(F.col(name(c)), plan.type_of(c)) for c in plan.group_by])
 
 
-def composite_text(*parts: str) -> str:
-    return "".join(f"{len(p.encode())}:{p}" for p in parts)
-
-
 def derived(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
-    """(group_key, output, fact_hash): the fact that each visible cell of a grouped result reveals."""
-    proofs = provenance(spark, sf_dir, plan, scope)
+    """(group_key, output, fact_hash): the fact that each visible cell of a delivered group reveals."""
+    proofs = paged_provenance(spark, sf_dir, plan, scope)
     commit = set_digest(witnesses(proofs, plan), "fact_hash", ["group_key", "output"], "n").select("group_key", "output", F.col("digest").alias("commitment"))
-    full = Plan(plan.sources, plan.group_by, plan.joins, plan.filters, plan.group_by, plan.aggregates, aliases={c: name(c) for c in plan.group_by})
+    full = Plan(plan.sources, plan.group_by, plan.joins, plan.filters, plan.group_by, plan.aggregates, plan.order_by, plan.limit, plan.offset, aliases={c: name(c) for c in plan.group_by})
     shown = visible(spark, sf_dir, full, scope)
     cells = [F.struct(F.lit(c).alias("output"), F.lit(f"key:{c}").alias("expression"), F.lit(plan.type_of(c)).alias("type"), canonical(F.col(name(c)), plan.type_of(c)).alias("value")) for c in plan.columns]
     cells += [F.struct(F.lit(a.name).alias("output"), F.lit(f"{a.function}:{a.column}").alias("expression"), F.lit(output_type(plan, a)).alias("type"), canonical(F.col(a.name), output_type(plan, a)).alias("value")) for a in plan.aggregates]
@@ -139,8 +141,7 @@ def release(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, objec
         return derived(spark, sf_dir, plan, scope).select("fact_hash").distinct()
     if plan.union:
         return union_release(spark, sf_dir, plan, scope)
-    paged = plan.limit or plan.offset
-    proofs = paged_provenance(spark, sf_dir, plan, scope) if paged else provenance(spark, sf_dir, plan, scope)
+    proofs = paged_provenance(spark, sf_dir, plan, scope)
     return proofs.select(F.explode(F.array(*[cell(plan, c) for c in plan.columns])).alias("fact_hash")).distinct()
 
 
@@ -154,7 +155,7 @@ def union_witnesses(proofs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def union_release(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
-    proofs = provenance(spark, sf_dir, plan, scope)
+    proofs = paged_provenance(spark, sf_dir, plan, scope)
     commit = set_digest(union_witnesses(proofs, plan), "fact_hash", ["tuple"], "n").select("tuple", F.col("digest").alias("commitment"))
     whole = composite("tuple", *[canonical(F.col(name(c)), plan.type_of(c)) for c in plan.tuple_columns])
     cells = [F.struct(F.lit(c).alias("field"), F.lit(plan.type_of(c)).alias("type"), canonical(F.col(name(c)), plan.type_of(c)).alias("value"), cell(plan, c).alias("base")) for c in plan.columns]
@@ -195,11 +196,15 @@ def reconcile(shown: DataFrame, proven: DataFrame, key: list[str], value: str) -
     return both.where("in_shown is null or in_proven is null or not (shown <=> proven)").select(*[F.coalesce(a[k], b[k]).alias(k) for k in key], "shown", "proven")
 
 
+# The kinds of facts.
+KINDS = ("base-row", "base-cell", "derived", "outcome", "predicate-atom", "composite-outcome")
+
+
 def violations(facts: DataFrame) -> DataFrame:
     """Facts that break the rules of their kind, with the rule."""
     rule = (
         F.when(F.col("fact_hash").isNull() | ~F.col("fact_hash").rlike("^[0-9a-f]{64}$"), "hash")
-        .when(~F.col("kind").isin("base-row", "base-cell", "derived", "outcome", "predicate-atom", "composite-outcome"), "kind")
+        .when(~F.col("kind").isin(*KINDS), "kind")
         .when((F.col("kind") == "base-row") & F.col("field").isNotNull(), "row with a field")
         .when((F.col("kind") == "base-cell") & F.col("field").isNull(), "cell without a field")
         .when(F.col("kind").startswith("base") & F.col("entity_key").isNull(), "no entity")
@@ -212,9 +217,17 @@ def collisions(facts: DataFrame, payload: str = "payload") -> DataFrame:
     return facts.groupBy("fact_hash").agg(F.min(payload).alias("lo"), F.max(payload).alias("hi")).where("lo <> hi")
 
 
-def upper_bound(spark: SparkSession, sf_dir: str, plan: Plan) -> int:
-    """Base facts that a plan can touch at most: rows of each source times its evidence columns and one."""
+def cardinality_problems(observed: DataFrame) -> DataFrame:
+    """(root, seq, atoms, composites): requests (root, seq, kind, fact_hash) whose outcome isn't their atoms and one composite."""
+    n = lambda k: F.count_distinct(F.when(F.col("kind") == k, F.col("fact_hash")))
+    found = observed.groupBy("root", "seq").agg(n("predicate-atom").alias("atoms"), n("composite-outcome").alias("composites"), F.count_distinct("fact_hash").alias("n"))
+    return found.where("composites <> 1 or n <> atoms + 1").select("root", "seq", "atoms", "composites")
+
+
+def upper_bound(spark: SparkSession, sf_dir: str, plan: Plan) -> DataFrame:
+    """(most): base facts that a plan can touch at most: rows of each source times its evidence columns and one."""
     from ..plans.build import evidence
     from ..sources.products import load
 
-    return sum(load(spark, sf_dir, p).count() * (1 + sum(1 for c in evidence(plan) if role_of(c) == r)) for r, p in plan.sources.items())
+    parts = [load(spark, sf_dir, p).agg((F.count("*") * (1 + sum(1 for c in evidence(plan) if role_of(c) == r))).alias("most")) for r, p in plan.sources.items()]
+    return reduce(DataFrame.unionByName, parts).agg(F.sum("most").alias("most"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import composite, digest
+from ..functions.canonical import composite, composite_list, composite_text, digest
 from ..plans.plan import Filter, Plan
 from .digest import set_digest
 
@@ -22,41 +22,54 @@ def atoms_of(plan: Plan) -> list[tuple[str, str, str]]:
 
 
 def _tests(f: Filter) -> list[tuple[str, str]]:
+    literal = lambda v: "null" if v is None else f"v:{v}"
     if f.op in ("is_null", "is_not_null"):
         return [(f.op, "")]
     if f.op in ("in", "not_in"):
-        return [("=" if f.op == "in" else "<>", "null" if v is None else str(v)) for v in f.value]
-    return [("<>" if f.op == "!=" else f.op, "null" if f.value is None else str(f.value))]
+        return [("=" if f.op == "in" else "<>", literal(v)) for v in f.value]
+    return [("<>" if f.op == "!=" else f.op, literal(f.value))]
 
 
 def context(plan: Plan, scope: dict[str, object] | None = None) -> str:
     """Where a predicate is asked: the publications, the join graph and the scope, whatever their order."""
     from .facts import bundle
 
-    graph = sorted("&".join(sorted("=".join(sorted(pair)) for pair in j.on)) for j in plan.joins)
-    limits = sorted(f"{k}={v}" for k, v in (scope or {}).items())
-    return "\n".join([bundle(plan), *graph, *limits])
+    graph = sorted(composite_text(*sorted(composite_text(*sorted(pair)) for pair in j.on)) for j in plan.joins)
+    limits = sorted(composite_text(k, repr(v)) for k, v in (scope or {}).items())
+    return composite_text(bundle(plan), composite_text(*graph), composite_text(*limits))
 
 
 def plan_text(plan: Plan) -> str:
-    """A plan's canonical text: aliases are gone, conjunctions, projections, aggregates and group keys are sorted."""
-    parts = [
-        ",".join(f"{r}={p}" for r, p in sorted(plan.sources.items())),
-        ",".join(sorted(plan.columns)),
-        ",".join(sorted(f"{a.function}({a.column})" for a in plan.aggregates)),
-        ",".join(sorted(plan.group_by)),
-        ";".join(f"{c} {o} {v}" for c, o, v in atoms_of(plan)),
-        ";".join(f"{o.column} {'desc' if o.descending else 'asc'}" for o in plan.order_by) if plan.limit or plan.offset else "",
-        f"{plan.limit},{plan.offset}",
-        "|".join(sorted(";".join(sorted(f"{f.column} {o} {v}" for f in b for o, v in _tests(f))) for b in plan.union)),
-    ]
-    return "\n".join(parts)
+    """A plan's canonical text: aliases are gone, conjunctions, projections, aggregates and group keys are sorted.
+
+    Every part and every part of a part is preceded by its length, so different plans have different texts.
+    """
+    each = lambda found: composite_text(*sorted({composite_text(*x) for x in found}))
+    tests = lambda filters: [(f.column, o, v) for f in filters for o, v in _conjuncts(f)]
+    order = [composite_text(o.column, "desc" if o.descending else "asc") for o in plan.order_by] if plan.limit or plan.offset else []
+    return composite_text(
+        each(plan.sources.items()),
+        each([(c,) for c in plan.columns]),
+        each([(a.function, a.column) for a in plan.aggregates]),
+        each([(c,) for c in plan.group_by]),
+        each([(c,) for c in plan.distinct_on]),
+        each(tests(plan.filters)),
+        composite_text(*order),
+        composite_text(str(plan.limit), str(plan.offset)),
+        composite_text(*sorted(each(tests(b)) for b in plan.union)),
+    )
+
+
+def _conjuncts(f: Filter) -> list[tuple[str, str]]:
+    """A filter as conjuncts: a list of alternatives is one, as they are not asked each for itself."""
+    tests = _tests(f)
+    return [("in", composite_text(*sorted({v for _, v in tests})))] if f.op == "in" and len(set(tests)) > 1 else tests
 
 
 def outcome(spark: SparkSession, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
     """(kind, fact_hash): one fact per tested literal and one for the whole question."""
     where = context(plan, scope)
-    rows = [("predicate-atom", f"{c} {o} {v}") for c, o, v in atoms_of(plan)]
+    rows = [("predicate-atom", composite_text(*x)) for x in atoms_of(plan)]
     if len(rows) > MOST_ATOMS:
         raise ValueError("too many literals")
     rows.append(("composite-outcome", plan_text(plan)))
@@ -87,9 +100,9 @@ def log_predicate_sets(log: DataFrame) -> DataFrame:
 
 def log_plan_keys(log: DataFrame) -> DataFrame:
     """(query_id, plan_key): equal for queries that differ only in the order of terms, columns, aggregates or group keys."""
-    terms = F.transform("filters", lambda f: F.concat_ws(" ", f["col"], F.when(f["op"] == "!=", "<>").otherwise(f["op"]), F.array_join(F.array_sort(F.array_distinct(f["values"])), ",", "null")))
-    text = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    key = composite(F.col("product"), text(F.col("columns")), text(F.col("aggregates")), text(F.col("group_by")), F.array_join(F.array_sort(F.array_distinct(terms)), ";"), F.col("limit").cast("string"), F.col("offset").cast("string"))
+    put = lambda c: composite_list(F.array_sort(F.array_distinct(c)))
+    terms = F.transform("filters", lambda f: composite(f["col"], F.when(f["op"] == "!=", "<>").otherwise(f["op"]), put(f["values"])))
+    key = composite(F.col("product"), put(F.col("columns")), put(F.col("aggregates")), put(F.col("group_by")), put(terms), F.col("limit").cast("string"), F.col("offset").cast("string"))
     return log.select("query_id", F.sha2(key, 256).alias("plan_key"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import digest
+from ..functions.canonical import composite_list, digest
 from ..streaming.shared import durable
 from .digest import set_digest
 
@@ -110,24 +112,30 @@ def delegated_budget(candidate: DataFrame, parent: DataFrame, columns: list[str]
     return candidate.join(p, "parent").select("task", *[F.least(c, f"p_{c}").alias(c) for c in columns])
 
 
-def closure(edges: DataFrame, a: str = "view", b: str = "depends_on", most: int = 64) -> DataFrame:
-    """(view, base, depth): everything that each view reaches, with its greatest distance. Cycles and deeper stacks are refused."""
-    step = durable(edges.select(F.col(a).alias("view"), F.col(b).alias("base"), F.lit(1).alias("depth")).distinct())
-    every, nexts = step, edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
+def closure(edges: DataFrame, a: str = "view", b: str = "depends_on", most: int = 64, start: DataFrame | None = None) -> DataFrame:
+    """(view, base, depth): everything that each view reaches, with its greatest distance. Cycles and deeper stacks are refused.
+
+    Each step is written once and they are united at the end. ``start`` (view) limits whose reach is followed.
+    """
+    nexts = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
+    first = edges.select(F.col(a).alias("view"), F.col(b).alias("base"), F.lit(1).alias("depth")).distinct()
+    steps = [durable(first.join(start, "view", "left_semi") if start is not None else first)]
     for depth in range(2, most + 2):
-        step = durable(step.join(nexts, F.col("base") == F.col("__a")).select("view", F.col("__b").alias("base"), F.lit(depth).alias("depth")).distinct())
-        if step.isEmpty():
-            return every.groupBy("view", "base").agg(F.max("depth").alias("depth"))
-        if depth > most or not step.where("view = base").isEmpty():
+        step = durable(steps[-1].join(nexts, F.col("base") == F.col("__a")).select("view", F.col("__b").alias("base"), F.lit(depth).alias("depth")).distinct())
+        state = step.agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("view") == F.col("base")), F.lit(False)).alias("cycle")).first()
+        if not state["n"]:
+            break
+        if depth > most or state["cycle"]:
             raise ValueError("the views form a cycle or are stacked too deep")
-        every = durable(every.unionByName(step))
-    return every
+        steps.append(step)
+    return reduce(DataFrame.unionByName, steps).repartition("view", "base").groupBy("view", "base").agg(F.max("depth").alias("depth"))
 
 
 def inactive_ancestors(tasks: DataFrame, most: int = 64) -> DataFrame:
-    """(task, ancestor): tasks with an ancestor that isn't active, following parents of (task, parent, state)."""
-    up = closure(tasks.where("parent is not null").select(F.col("task").alias("view"), F.col("parent").alias("depends_on")), most=most)
-    return up.join(tasks.where("state <> 'active'").select(F.col("task").alias("base")), "base").select(F.col("view").alias("task"), F.col("base").alias("ancestor"))
+    """(task, ancestor): tasks with an ancestor that isn't active, following (task, parent, state) down from those."""
+    down = tasks.where("parent is not null").select(F.col("parent").alias("view"), F.col("task").alias("depends_on"))
+    found = closure(down, most=most, start=tasks.where("state <> 'active'").select(F.col("task").alias("view")))
+    return found.select(F.col("base").alias("task"), F.col("view").alias("ancestor"))
 
 
 def schema_digest(fields: DataFrame) -> DataFrame:
@@ -142,6 +150,27 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, ["table_name", "column"], "full").select("table_name", "column", change.alias("change")).where("change is not null")
 
 
+def view_drift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(view, change): what changed of views (view, interface, definition, depends_on array) between two registries.
+
+    The interface is what callers see, the definition how it is made, the dependencies what it is made from.
+    """
+    made = lambda df: df.select("view", digest("interface", F.col("interface")).alias("i"), digest("definition", F.col("definition")).alias("d"), F.sha2(composite_list(F.array_sort(F.array_distinct("depends_on"))), 256).alias("p"))
+    x, y = made(old), made(new)
+    both = x.select("view", *[F.col(c).alias(f"was_{c}") for c in "idp"]).join(y, "view", "full")
+    rules = [("interface", "i"), ("definition", "d"), ("dependencies", "p")]
+    changed = F.array_compact(F.array(*[F.when(F.col(f"was_{c}") != F.col(c), F.lit(name)) for name, c in rules]))
+    found = F.when(F.col("was_i").isNull(), F.array(F.lit("added"))).when(F.col("i").isNull(), F.array(F.lit("dropped"))).otherwise(changed)
+    return both.select("view", F.explode(found).alias("change"))
+
+
+def delegated_lifetime(candidate: DataFrame, parent: DataFrame, now: str) -> DataFrame:
+    """(task, seconds): what a delegate (task, parent, seconds) may live: no longer than its parent (task, expires) still does, and not below 0."""
+    left = F.unix_timestamp("expires") - F.unix_timestamp(F.lit(now).cast("timestamp"))
+    p = parent.select(F.col("task").alias("parent"), F.greatest(left, F.lit(0)).alias("__left"))
+    return candidate.join(p, "parent").select("task", F.least(F.col("seconds").cast("bigint"), "__left").alias("seconds"))
+
+
 def view_gaps(edges: DataFrame, view_scopes: DataFrame, required: DataFrame, sensitivity: DataFrame) -> DataFrame:
     """(view, base, reason): base tables whose required scope a view lacks, or that are more sensitive than the view.
 

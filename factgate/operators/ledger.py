@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest
+from ..streaming.shared import durable
 from .digest import set_digest
 
 DIMS = ("release", "influence", "outcome")
@@ -31,6 +34,28 @@ def charges(stream: DataFrame) -> DataFrame:
     return actual.join(new, ["root", "seq", "dim"], "left").select("root", "seq", "dim", "actual", F.coalesce("charged", F.lit(0)).alias("charged"))
 
 
+def outcome_charges(stream: DataFrame) -> DataFrame:
+    """(root, seq, atoms, charged_atoms, charged_composite) of outcomes (root, seq, kind, fact_hash): tested literals apart from whole questions.
+
+    A question made of known literals only is still new once; a literal is charged with the first question that tests it.
+    """
+    each = charges(stream.select("root", "seq", F.col("kind").alias("dim"), "fact_hash"))
+    of = lambda k, c: F.coalesce(F.sum(F.when(F.col("dim") == k, F.col(c))), F.lit(0)).cast("long")
+    return each.groupBy("root", "seq").agg(of("predicate-atom", "actual").alias("atoms"), of("predicate-atom", "charged").alias("charged_atoms"), of("composite-outcome", "charged").alias("charged_composite"))
+
+
+def by_root(tasks: DataFrame, stream: DataFrame) -> DataFrame:
+    """A stream (task, ...) under the root that each task (task, root) accounts to."""
+    return stream.join(tasks.select("task", "root"), "task")
+
+
+def linked(stream: DataFrame, settled: DataFrame) -> DataFrame:
+    """(root, seq, dim, fact_hash, new): the facts that each accepted request showed, and whether it was the first to."""
+    shown = stream.select("root", "seq", "dim", "fact_hash").distinct().join(settled.where("accepted").select("root", "seq"), ["root", "seq"], "left_semi")
+    first = first_seen(shown).withColumnRenamed("seq", "first")
+    return shown.join(first, ["root", "dim", "fact_hash"]).select("root", "seq", "dim", "fact_hash", (F.col("seq") == F.col("first")).alias("new"))
+
+
 def settle(stream: DataFrame, caps: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """(root, seq, accepted, charged_release, charged_influence, charged_outcome) in order of seq within each root.
 
@@ -38,9 +63,11 @@ def settle(stream: DataFrame, caps: DataFrame, ledger: DataFrame | None = None)
     root's cap the request is refused whole and teaches nothing. A request without new facts always passes. A request
     is a (root, seq); ``caps`` is (root, max_release, max_influence, max_outcome); roots without caps accept nothing new.
 
-    A refusal changes what later requests are charged, so a root's requests are folded in order: rows are dealt by root,
-    sorted by the shuffle, and streamed through a task that holds the facts the root has learned, never more than its
-    caps, and those of one request. What the ledger already has is taken out before, so replays send no facts.
+    A root whose new facts fit its caps altogether is never refused, so its requests are charged by grouped minima
+    (``charges``), in no order. For the others a refusal changes what later requests are charged, so their requests are
+    folded in order: rows are dealt by root, sorted by the shuffle, and streamed through a task that holds the facts the
+    root has learned, never more than its caps, and those of one request. What the ledger already has is taken out
+    before, so replays send no facts.
     """
     facts = stream.select("root", "seq", "dim", "fact_hash").distinct()
     limits = caps.select("root", *[F.col(f"max_{d}").cast("long").alias(f"room_{d}") for d in DIMS])
@@ -49,10 +76,19 @@ def settle(stream: DataFrame, caps: DataFrame, ledger: DataFrame | None = None)
         used = ledger.groupBy("root").agg(*[F.sum(F.when(F.col("dim") == d, 1).otherwise(0)).alias(f"used_{d}") for d in DIMS])
         limits = limits.join(used, "root", "left").select("root", *[(F.col(f"room_{d}") - F.coalesce(f"used_{d}", F.lit(0))).alias(f"room_{d}") for d in DIMS])
     marks = stream.select("root", "seq").distinct().select("root", "seq", F.lit(None).cast("string").alias("dim"), F.lit(None).cast("string").alias("fact_hash"))
-    rows = facts.unionByName(marks).join(limits, "root", "left").select("root", "seq", "dim", "fact_hash", *[F.coalesce(f"room_{d}", F.lit(0)).cast("long").alias(f"room_{d}") for d in DIMS])
+    total = facts.groupBy("root").agg(*[F.count_distinct(F.when(F.col("dim") == d, F.col("fact_hash"))).alias(f"n_{d}") for d in DIMS])
+    fits = reduce(Column.__and__, [F.coalesce(f"n_{d}", F.lit(0)) <= F.greatest(F.coalesce(f"room_{d}", F.lit(0)), F.lit(0)) for d in DIMS])
+    state = durable(marks.select("root").distinct().join(total, "root", "left").join(limits, "root", "left").select("root", fits.alias("free")))
+    free, bound = state.where("free").select("root"), state.where("not free").select("root")
+    some = lambda d: F.sum(F.when(F.col("dim") == d, F.col("charged"))).alias(f"charged_{d}")
+    easy = charges(facts.join(free, "root", "left_semi")).groupBy("root", "seq").agg(*[some(d) for d in DIMS])
+    easy = marks.select("root", "seq").join(free, "root", "left_semi").join(easy, ["root", "seq"], "left").select("root", "seq", F.lit(True).alias("accepted"), *[F.coalesce(f"charged_{d}", F.lit(0)).cast("long").alias(f"charged_{d}") for d in DIMS])
+    rows = facts.unionByName(marks).join(bound, "root", "left_semi").join(limits, "root", "left").select("root", "seq", "dim", "fact_hash", *[F.coalesce(f"room_{d}", F.lit(0)).cast("long").alias(f"room_{d}") for d in DIMS])
+    # by a hash of the root: a repartition by what a join has dealt by already would be dropped, and the join may be broadcast
+    dealt = rows.withColumn("__deal", F.xxhash64("root")).repartition("__deal")
     kinds = {c: dict(stream.dtypes)[c] for c in ("root", "seq")}
     schema = f"root {kinds['root']}, seq {kinds['seq']}, accepted boolean, " + ", ".join(f"charged_{d} long" for d in DIMS)
-    return rows.repartition("root").sortWithinPartitions("root", "seq").mapInArrow(_fold, schema)
+    return easy.unionByName(dealt.sortWithinPartitions("root", "seq").select(rows.columns).mapInArrow(_fold, schema))
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +159,10 @@ def replays(stream: DataFrame) -> DataFrame:
 
 
 def touched_difference(candidate: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Candidate hashes that a ledger partitioned by ``prefix`` lacks; Spark prunes to the prefixes that the candidate has."""
+    """Candidate hashes that a ledger partitioned by ``prefix``, two hex digits, lacks; only the folders of the candidate's prefixes are read."""
     c = candidate.withColumn("prefix", F.substring("fact_hash", 1, 2))
+    asked = [r["prefix"] for r in c.select("prefix").distinct().limit(257).collect()]
+    ledger = ledger.where(F.col("prefix").isin(asked)) if len(asked) <= 256 else ledger
     return c.join(ledger.select("prefix", "fact_hash"), ["prefix", "fact_hash"], "left_anti").drop("prefix")
 
 
@@ -170,8 +208,8 @@ def unusable(cache: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def binding_key(*columns: str):
-    """The reuse key over all columns that an answer depends on."""
-    return digest("result-binding", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
+    """The reuse key over all columns that an answer depends on; null is no text."""
+    return digest("result-binding", *[F.coalesce(F.concat(F.lit("v:"), F.col(c).cast("string")), F.lit("null")) for c in columns])
 
 
 def baselines(log: DataFrame) -> DataFrame:

@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash prefix (hex digits) by which ordinals are dealt out; counts per prefix give the offsets.
-PREFIX = 3
-
-
+from ..streaming.shared import durable
 def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
-    """Rows numbered from 0 in the order of the columns, without a sort in one task.
+    """Rows numbered from 0 in the order of the columns, without a sort in one task. Nulls come first.
 
-    Rows are dealt by the first column: texts (hashes, mostly) by their leading characters, numbers and dates by equal
-    slices of their span. A task sorts one such part; the sizes of all earlier parts, at most a few thousand numbers, are
-    added. Nulls come first.
+    Rows are dealt to ranges by samples of their values, whatever these look like, and sorted within each; a row's place
+    in its range is where Spark's running number within the partition puts it, and the sizes of all earlier ranges, a
+    number each, are added. The sorted rows stand on storage, so that a repeated task sees the same ranges.
     """
-    first = order[0]
-    kind = dict(df.dtypes)[first]
-    if kind == "string":
-        bucket: Column = F.substring(first, 1, PREFIX)
-    else:
-        value = F.unix_date(first) if kind == "date" else F.col(first).cast("double")
-        lo, hi = df.select(value.cast("double").alias("v")).agg(F.min("v"), F.max("v")).first()
-        bucket = F.lit(0) if lo is None else F.when(value.isNull(), -1).otherwise(F.width_bucket(value.cast("double"), F.lit(lo), F.lit(hi + 1), F.lit(4096)))
-    rows = df.withColumn("__b", bucket)
-    sizes = rows.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = sizes.select("__b", (F.sum("__n").over(Window.orderBy(F.col("__b").asc_nulls_first())) - F.col("__n")).alias("__o"))
-    within = F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
-    return rows.withColumn("__i", within).join(before, rows["__b"].eqNullSafe(before["__b"])).select(*df.columns, (F.col("__i") + F.coalesce("__o", F.lit(0))).cast("bigint").alias(name))
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    rows = durable(sorted_)
+    part, at = F.shiftrightunsigned("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__o"))
+    return rows.withColumn("__p", part).join(before, "__p").select(*df.columns, (at + F.col("__o")).cast("bigint").alias(name))
 
 
 def snapshot_facts(df: DataFrame, namespace: str, snapshot: str, key: Column, columns: dict[str, str]) -> DataFrame:
@@ -69,6 +61,29 @@ def novelty(candidate: DataFrame, history: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("u")).crossJoin(cardinality(history)).select((F.col("u") - F.col("n")).alias("novel"))
 
 
+def contains(pages: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ordinal, held): which ordinals a set of pages has."""
+    at = refs.select("ordinal").distinct()
+    return at.join(expand(pages, at).withColumn("held", F.lit(True)), "ordinal", "left").select("ordinal", F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def unequal_pages(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Buckets whose pages differ; none if the sets are equal. A page without a bit is no page."""
+    some = lambda p, c: p.where(F.bitmap_count("bits") > 0).select("bucket", F.col("bits").alias(c))
+    return some(a, "a").join(some(b, "b"), "bucket", "full").where("not (a <=> b)").select("bucket")
+
+
+def portable(pages: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by..., bucket, n, digest): each page's size and the digest of its bits, by which pages can be compared elsewhere."""
+    return pages.select(*by, "bucket", F.bitmap_count("bits").alias("n"), F.sha2("bits", 256).alias("digest"))
+
+
+def merged_index(*dictionaries: DataFrame) -> DataFrame:
+    """(fact_hash, segments, position): the hashes of several dictionaries (segment, fact_hash) in hash order, each once with all that have it."""
+    every = reduce(DataFrame.unionByName, [d.select("segment", "fact_hash") for d in dictionaries])
+    return numbered(every.groupBy("fact_hash").agg(F.array_sort(F.collect_set("segment")).alias("segments")), ["fact_hash"], "position")
+
+
 def expand(pages: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The facts of a set of pages: bits are tested against the dictionary's rows of the same page."""
     at = dictionary.withColumn("bucket", F.bitmap_bucket_number("ordinal")).withColumn("bit", F.bitmap_bit_position("ordinal"))

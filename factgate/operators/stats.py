@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import composite
+from ..functions.canonical import canonical_row
 from .digest import set_digest
 
 
-def row_hash(columns: list[str]) -> Column:
-    return F.sha2(composite(*[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]), 256)
+def row_hash(df: DataFrame, without: str | None = None) -> Column:
+    """Identity of a row's values by column name and type; null is no text."""
+    return F.sha2(canonical_row({c: t for c, t in df.dtypes if c != without}), 256)
 
 
 def equal_unordered(a: DataFrame, b: DataFrame) -> DataFrame:
     """(only_a, only_b): rows, counted with repetition, that only one result has."""
-    n = lambda df, x: df.select(row_hash(sorted(df.columns)).alias("h")).groupBy("h").agg(F.count("*").alias(x))
+    n = lambda df, x: df.select(row_hash(df).alias("h")).groupBy("h").agg(F.count("*").alias(x))
     both = n(a, "a").join(n(b, "b"), "h", "full").select(F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
     return both.agg(F.coalesce(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))), F.lit(0)).alias("only_b"))
 
 
 def equal_ordered(a: DataFrame, b: DataFrame, position: str) -> DataFrame:
     """Positions at which two ordered results differ; each has its position as a column."""
-    h = lambda df, x: df.select(position, row_hash(sorted(c for c in df.columns if c != position)).alias(x))
+    h = lambda df, x: df.select(position, row_hash(df, position).alias(x))
     return h(a, "a").join(h(b, "b"), position, "full").where("not (a <=> b)").select(position)
 
 
 def content_digest(df: DataFrame) -> DataFrame:
     """(n, digest) of a table's distinct rows, whatever their order."""
-    return set_digest(df.select(row_hash(sorted(df.columns)).alias("h")), "h")
+    return set_digest(df.select(row_hash(df).alias("h")), "h")
 
 
 def quantiles(samples: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
@@ -53,7 +54,3 @@ def overlap(candidate: DataFrame, history: DataFrame, key: str) -> DataFrame:
     both = candidate.select(key).distinct().withColumn("c", F.lit(1)).join(history.select(key).distinct().withColumn("h", F.lit(1)), key, "full")
     out = both.agg(F.count("c").alias("candidate"), F.count("h").alias("history"), F.count(F.when(F.col("c").isNotNull() & F.col("h").isNotNull(), 1)).alias("shared"))
     return out.withColumn("percent", F.when(F.col("candidate") > 0, F.round(F.col("shared") * 100.0 / F.col("candidate"), 4)))
-
-
-def ordered_positions(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

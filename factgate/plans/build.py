@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.products import PRODUCTS, scan
-from .plan import Filter, Plan, PlanError, join_order, output_type, validate
+from .plan import Filter, Plan, Rule, join_order, output_type, validate
 
 #: Literal lists longer than this are joined instead of written into the filter.
 LONG_LIST = 200
@@ -51,14 +51,16 @@ def apply_filter(df: DataFrame, plan: Plan, f: Filter) -> DataFrame:
 
 
 def scope_filters(plan: Plan, scope: dict[str, object]) -> list[Filter]:
-    """Mandatory filters: a value is equality, a list is membership, a pair under a date range is both bounds."""
+    """Mandatory filters: a Rule as it says, else a value is equality, a list membership, a pair under a date range both bounds."""
     out = []
     for role, product in plan.sources.items():
         for s in PRODUCTS[product].scopes:
             if s.name not in scope:
                 continue
             v, c = scope[s.name], f"{role}.{s.column}"
-            if s.kind == "date_range":
+            if isinstance(v, Rule):
+                out.append(Filter(c, v.op, v.value))
+            elif s.kind == "date_range":
                 out += [Filter(c, ">=", v[0]), Filter(c, "<=", v[1])]
             elif isinstance(v, (list, tuple)):
                 out.append(Filter(c, "in", tuple(v)))
@@ -87,8 +89,8 @@ def provenance(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, ob
     df = joined(spark, sf_dir, plan, scope)
     keep = [f"{r}__key" for r in plan.sources] + [name(c) for c in evidence(plan)]
     if plan.union:
-        parts = [reduce(lambda d, f: apply_filter(d, plan, f), branch, df).select(*keep, F.lit(k).alias("branch")) for k, branch in enumerate(plan.union)]
-        return parts[0].unionByName(parts[1])
+        parts = [reduce(lambda d, f: apply_filter(d, plan, f), branch, df).select(*keep, F.lit(k).alias("branch")) for k, branch in enumerate(plan.branches)]
+        return reduce(DataFrame.unionByName, parts)
     return df.select(*keep)
 
 
@@ -112,21 +114,33 @@ def visible(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, objec
     """The result a caller sees: columns under their aliases, in a total order if one is asked for or paging needs it."""
     validate(plan)
     df = joined(spark, sf_dir, plan, scope)
+    df, keys = results(df, plan)
+    shown = [*plan.columns, *(a.name for a in plan.aggregates)]
+    if plan.order_by or plan.limit or plan.offset:
+        df = page(df, plan, keys)
+    return df.select([F.col(name(c)).alias(plan.aliases.get(c, c.rpartition(".")[2])) for c in shown])
+
+
+def results(df: DataFrame, plan: Plan) -> tuple[DataFrame, list[str]]:
+    """Groups, distinct rows or plain rows of the joined rows, and what tells them apart."""
     if plan.aggregates:
         aggs = [aggregate(plan, a.function, a.column).cast(output_type(plan, a)).alias(a.name) for a in plan.aggregates]
-        df = df.groupBy(*[name(c) for c in plan.group_by]).agg(*aggs) if plan.group_by else df.agg(*aggs)
-        shown = [*plan.columns, *(a.name for a in plan.aggregates)]
         keys = [name(c) for c in plan.group_by]
-    elif plan.union:
-        parts = [reduce(lambda d, f: apply_filter(d, plan, f), b, df) for b in plan.union]
+        return (df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)), keys
+    if plan.union:
         whole = [name(c) for c in plan.tuple_columns]
-        df = parts[0].select(*whole).unionByName(parts[1].select(*whole)).distinct()
-        shown, keys = list(plan.columns), whole
-    else:
-        shown, keys = list(plan.columns), [f"{r}__key" for r in sorted(plan.sources)]
-    if plan.order_by or plan.limit or plan.offset:
-        df = page(df, plan, keys)
-    return df.select([F.col(name(c)).alias(plan.aliases.get(c, c.rpartition(".")[2])) for c in shown])
+        parts = [reduce(lambda d, f: apply_filter(d, plan, f), b, df).select(*whole) for b in plan.branches]
+        return reduce(DataFrame.unionByName, parts).distinct(), whole
+    return df, [f"{r}__key" for r in sorted(plan.sources)]
+
+
+def delivered(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
+    """Plain rows of a join with their ``position`` in delivery order, that of all entity keys, without a sort in one task."""
+    from ..operators.snapshots import numbered
+
+    validate(plan)
+    rows = numbered(joined(spark, sf_dir, plan, scope), [f"{r}__key" for r in sorted(plan.sources)], "position")
+    return rows.select(*[F.col(name(c)).alias(plan.aliases.get(c, c.rpartition(".")[2])) for c in plan.columns], "position")
 
 
 def page(df: DataFrame, plan: Plan, keys: list[str]) -> DataFrame:
@@ -134,16 +148,23 @@ def page(df: DataFrame, plan: Plan, keys: list[str]) -> DataFrame:
     order = [F.col(name(o.column)).desc_nulls_first() if o.descending else F.col(name(o.column)).asc_nulls_last() for o in plan.order_by]
     if plan.limit or plan.offset:
         order += [F.col(k).asc_nulls_last() for k in keys]
-    df = df.orderBy(*order)
+    df = df.orderBy(*order) if order else df  # a global aggregate is one row
     if plan.offset:
         df = df.offset(plan.offset)
     return df.limit(plan.limit) if plan.limit else df
 
 
 def paged_provenance(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
-    """Provenance of the rows of a page only: the page's keys are found first, then the proofs are semi-joined."""
-    if plan.aggregates or plan.union:
-        raise PlanError("only plain rows are paged with their proofs")
-    keys = [f"{r}__key" for r in sorted(plan.sources)]
-    held = page(joined(spark, sf_dir, plan, scope), plan, keys).select(*keys)
-    return provenance(spark, sf_dir, plan, scope).join(held, keys, "left_semi")
+    """Provenance of what a page delivers only: its rows, groups or distinct rows are found first, then the proofs semi-joined.
+
+    Nulls are equal here, as they are in groups. A global aggregate is one row, which an offset passes over.
+    """
+    validate(plan)
+    proofs = provenance(spark, sf_dir, plan, scope)
+    if not (plan.limit or plan.offset):
+        return proofs
+    df, keys = results(joined(spark, sf_dir, plan, scope), plan)
+    if not keys:
+        return proofs.where(F.lit(not plan.offset))
+    held = page(df, plan, keys).select([F.col(k).alias(f"__{k}") for k in keys])
+    return proofs.join(held, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_semi")

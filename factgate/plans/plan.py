@@ -28,6 +28,14 @@ class Filter:
     leaf: bool = True
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A mandatory scope: one of OPERATORS and its value, for a list of values, or nothing."""
+
+    op: str
+    value: object = None
+
+
 @dataclass(frozen=True)
 class Join:
     """Equalities between two roles: pairs of (left role.column, right role.column)."""
@@ -68,6 +76,11 @@ class Plan:
     distinct_on: tuple[str, ...] = ()
     aliases: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def branches(self) -> tuple[tuple[Filter, ...], ...]:
+        """The branches of a union; two with the same conjunction, in whatever order, are one."""
+        return tuple({frozenset((f.column, f.op, repr(f.value)) for f in b): b for b in reversed(self.union)}.values())[::-1]
+
     @property
     def tuple_columns(self) -> tuple[str, ...]:
         return self.distinct_on or self.columns
@@ -117,7 +130,8 @@ def output_type(plan: Plan, a: Aggregate) -> str:
         return "bigint"
     kind = plan.type_of(a.column)
     if a.function == "sum":
-        return {"smallint": "bigint", "int": "bigint", "bigint": "decimal(38,0)"}.get(base(kind), "decimal(38,2)")
+        whole = {"smallint": "bigint", "int": "bigint", "bigint": "decimal(38,0)"}
+        return whole.get(base(kind)) or f"decimal(38,{kind.partition(',')[2].strip(' )') or 0})"
     return kind
 
 

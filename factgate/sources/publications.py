@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest
-from ..operators.digest import set_digest
+from ..operators.stats import content_digest
+from .products import Product, entity_key
 
 
 def write_result(df: DataFrame, path: str, result_id: str, order: list[str]) -> None:
@@ -27,6 +28,7 @@ def read_page(spark: SparkSession, path: str, offset: int, limit: int) -> DataFr
 
 
 def preview(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
+    """The first rows of a stored result, 100 at most."""
     return read_page(spark, path, 0, min(limit, 100))
 
 
@@ -41,7 +43,7 @@ def publish(df: DataFrame, key: str, base: str, name: str, snapshot: str) -> Non
     path = f"{base}/{name}/snapshot={snapshot}"
     df.write.mode("errorifexists").parquet(f"{path}/rows")
     rows = df.sparkSession.read.parquet(f"{path}/rows")
-    content = set_digest(rows.select(digest(*[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in sorted(rows.columns)]).alias("h")), "h")
+    content = content_digest(rows)
     manifest = content.select(F.lit(name).alias("name"), F.lit(snapshot).alias("snapshot"), F.lit(key).alias("key"), F.col("n").alias("rows"), F.col("digest").alias("content_digest"))
     manifest.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
 
@@ -51,3 +53,31 @@ def published(spark: SparkSession, base: str, name: str, snapshot: str) -> DataF
     path = f"{base}/{name}/snapshot={snapshot}"
     spark.read.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/rows")
+
+
+def publish_indexed(df: DataFrame, p: Product, base: str, snapshot: str) -> None:
+    """An immutable version with its index: what settlement needs apart from what decoding needs.
+
+    ``cold`` has the rows by ordinal, ``hot`` the ordinals of row facts in folders by hash prefix, so that a lookup reads
+    only those of its hashes, and ``sidecar`` the entity key of every row handle. The manifest comes last: a version
+    without one, from a writer that was cut off, isn't there for readers.
+    """
+    from ..operators.snapshots import hot_and_cold, numbered
+
+    path = f"{base}/{p.name}/snapshot={snapshot}"
+    rows = df.withColumn("entity_key", entity_key(p)).withColumn("fact_hash", digest("row", p.namespace, snapshot, F.col("entity_key")))
+    hot, cold = hot_and_cold(numbered(rows, ["fact_hash"]))
+    cold.drop("entity_key").write.mode("errorifexists").parquet(f"{path}/cold")
+    hot.withColumn("prefix", F.substring("fact_hash", 1, 1)).repartition("prefix").write.mode("errorifexists").partitionBy("prefix").parquet(f"{path}/hot")
+    cold.select(F.col("ordinal").alias("handle"), "entity_key").write.mode("errorifexists").parquet(f"{path}/sidecar")
+    content = content_digest(df.sparkSession.read.parquet(f"{path}/sidecar"))
+    manifest = content.select(F.lit(p.name).alias("name"), F.lit(snapshot).alias("snapshot"), F.col("n").alias("rows"), F.col("digest").alias("content_digest"))
+    manifest.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
+
+
+def indexed(spark: SparkSession, base: str, p: Product, snapshot: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hot, cold, sidecar) of a finished version; raises if it has no manifest."""
+    path = f"{base}/{p.name}/snapshot={snapshot}"
+    spark.read.parquet(f"{path}/manifest")
+    hot = spark.read.schema("ordinal long, fact_hash string, prefix string").parquet(f"{path}/hot")
+    return hot, spark.read.parquet(f"{path}/cold"), spark.read.parquet(f"{path}/sidecar")

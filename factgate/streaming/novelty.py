@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ledger import learned, settle
+from ..operators.ledger import idempotent, learned, settle
+from .shared import durable
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def off_heap(spark: SparkSession) -> None:
+    """Keeps the state of streams started from now on in RocksDB, not on the executors' heaps."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
 def first_seen(requests: DataFrame) -> DataFrame:
     """The facts of a request stream (root, dim, fact_hash, ...) that are new to their root; state grows with distinct facts only."""
     return requests.dropDuplicates(["root", "dim", "fact_hash"])
@@ -20,6 +27,39 @@ def once(requests: DataFrame) -> DataFrame:
     return requests.dropDuplicates(["task", "request_id"])
 
 
+def once_or_conflict(requests: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
+    """Settles request ids (task, request_id, seq, payload): the first request of an id wins, repeats of its payload are replays.
+
+    Others are conflicts and go to a side output, ``conflicts``; winners go to ``first``, replays to ``replays``. A
+    batch that is run again overwrites its own folders only, and reads the winners of earlier batches.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        log, known = batch.select("task", "request_id", "seq", "payload"), winners_before(spark, base, number)
+        new = log
+        if known is not None:
+            old = known.select("task", "request_id", F.col("payload").alias("won"))
+            met = log.join(old, ["task", "request_id"])
+            new = log.join(old, ["task", "request_id"], "left_anti")
+        done = idempotent(new)
+        if known is not None:
+            done = done.unionByName(met.select("task", "request_id", "seq", "payload", F.when(F.col("payload").eqNullSafe(F.col("won")), "replay").otherwise("conflict").alias("status")))
+        done = durable(done)
+        for status, folder in (("first", "first"), ("replay", "replays"), ("conflict", "conflicts")):
+            done.where(F.col("status") == status).drop("status").write.mode("overwrite").parquet(f"{base}/{folder}/batch={number}")
+
+    return requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def winners_before(spark: SparkSession, base: str, number: int) -> DataFrame | None:
+    """The winning requests of batches before ``number``."""
+    if number == 0:
+        return None
+    first = spark.read.parquet(f"{base}/first")
+    return first.where(first["batch"] < number).select("task", "request_id", "payload")
+
+
 def settle_batches(requests: DataFrame, caps: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
     """Settles a request stream (root, seq, dim, fact_hash) against a ledger in Parquet, all or nothing per request.
 

@@ -8,15 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def base_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session without that setting gets a temporary one; on a cluster it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp("shared")
+    return base
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder of ``spark.checkpoint.dir``; a session without that setting gets a temporary one."""
+    """The same rows with their lineage cut, written to the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
+        sc.setCheckpointDir(base_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written tables where all executors see it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("shared")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"

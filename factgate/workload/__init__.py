@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import exposure, governance, history, more, relational  # noqa: F401
+    from . import exposure, further, governance, history, more, relational  # noqa: F401
 
     return dict(QUERIES), dict(SQL)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import digest
+from ..functions.canonical import digest, sql_digest
+from ..operators.digest import sql_set_digest
 from ..operators import facts, footprint, governance, ledger, lineage, snapshots, stats
 from ..plans.build import provenance, visible
 from ..plans.plan import Filter, Join, Plan
@@ -14,9 +17,9 @@ from ..sources.products import PRODUCTS, entity_key, load, read_json, schema_mis
 from ..streaming import novelty
 from ..streaming.shared import durable, shared_folder
 from . import query
-from .history import STREAM, requests
+from .history import CAPPED, STREAM, requests, root_caps
 from .relational import O, join2_plan
-from .tables import ORDERS
+from .tables import ORDERS, cell, row
 
 
 @query(f"SELECT o_orderkey, o_totalprice, p AS position FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM {ORDERS}) WHERE p >= 40 AND p < 65")
@@ -107,19 +110,28 @@ def lineage_observed(spark: SparkSession, sf: str) -> DataFrame:
 # -- rewrites, keys, replays ------------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second FROM region LIMIT 1")
+REWRITTEN = f"(SELECT * FROM {ORDERS} JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND c_mktsegment = 'BUILDING')"
+
+
+@query(f"SELECT 'release' AS dim, count(DISTINCT o_orderkey) + count(DISTINCT c_custkey) AS n, CAST(0 AS BIGINT) AS different FROM {REWRITTEN} UNION ALL SELECT 'influence', count(DISTINCT o_orderkey) * 4 + count(DISTINCT c_custkey) * 4, 0 FROM {REWRITTEN} UNION ALL SELECT 'outcome', 3, 0")
 def rewrite_invariance(spark: SparkSession, sf: str) -> DataFrame:
-    """Two spellings of a join have the same facts: sources, terms and the equality turned around."""
+    """Two spellings of a join, its sources, terms and the equality turned around: facts by dimension, and those that only one has."""
     a = Plan({"orders": "orders", "customer": "customer"}, ("customer.c_name", "orders.o_totalprice"), (Join((("orders.o_custkey", "customer.c_custkey"),)),), (Filter("orders.o_orderstatus", "=", "P"), Filter("customer.c_mktsegment", "=", "BUILDING")))
     b = Plan({"customer": "customer", "orders": "orders"}, ("orders.o_totalprice", "customer.c_name"), (Join((("customer.c_custkey", "orders.o_custkey"),)),), tuple(reversed(a.filters)))
     x, y = facts.observation(spark, sf, a), facts.observation(spark, sf, b)
-    return x.exceptAll(y).agg(F.count("*").alias("only_first")).crossJoin(y.exceptAll(x).agg(F.count("*").alias("only_second")))
+    both = x.withColumn("x", F.lit(1)).join(y.withColumn("y", F.lit(1)), ["dim", "fact_hash"], "full")
+    return both.groupBy("dim").agg(F.count("x").alias("n"), F.count(F.when(F.col("x").isNull() | F.col("y").isNull(), 1)).alias("different"))
 
 
-@query("SELECT o_orderkey % 4 AS kind, count(*) AS nodes, CAST(1 AS BIGINT) AS keys FROM orders WHERE o_orderkey <= 400 GROUP BY 1")
+SCANS = tuple(sql_digest("'scan'", f"'{t}'") for t in ("orders", "lineitem"))
+SCAN_PAIR = f"(least({SCANS[0]}, {SCANS[1]}) || ',' || greatest({SCANS[0]}, {SCANS[1]}))"
+NODE_KEY = f"CASE o_orderkey % 4 WHEN 1 THEN {sql_digest(chr(39) + 'union' + chr(39), chr(39) * 2, SCAN_PAIR)} WHEN 2 THEN {sql_digest(chr(39) + 'filter' + chr(39), chr(39) * 2, SCANS[0])} WHEN 3 THEN {sql_digest(chr(39) + 'join' + chr(39), chr(39) + 'on' + chr(39), SCAN_PAIR)} ELSE {sql_digest(chr(39) + 'join' + chr(39), chr(39) * 2, SCAN_PAIR)} END"
+
+
+@query(f"SELECT key, count(*) AS nodes FROM (SELECT {NODE_KEY} AS key FROM orders) GROUP BY key")
 def algebra_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested algebra under order-free keys: joins of the same two scans are one, whichever comes first."""
-    return keys_by_kind(spark, load(spark, sf, "orders").where("o_orderkey <= 400").select("o_orderkey"))
+    """Nested algebra with a node for every order under order-free keys: joins of the same two scans are one, whichever comes first."""
+    return node_keys(spark, load(spark, sf, "orders").select("o_orderkey")).groupBy("key").agg(F.count("*").alias("nodes"))
 
 
 @query("SELECT o_orderkey % 4 AS kind, count(*) AS nodes, CAST(1 AS BIGINT) AS keys FROM orders GROUP BY 1")
@@ -128,40 +140,47 @@ def algebra_keys_whole(spark: SparkSession, sf: str) -> DataFrame:
     return keys_by_kind(spark, load(spark, sf, "orders").select("o_orderkey"))
 
 
-def keys_by_kind(spark: SparkSession, o: DataFrame) -> DataFrame:
+def node_keys(spark: SparkSession, o: DataFrame) -> DataFrame:
     scans = spark.createDataFrame([(-1, "scan", "orders", []), (-2, "scan", "lineitem", [])], "node long, kind string, text string, children array<long>")
     kind = F.element_at(F.array(F.lit("join"), F.lit("union"), F.lit("filter"), F.lit("join")), (F.col("o_orderkey") % 4 + 1).cast("int"))
     pair = F.when(F.col("o_orderkey") % 8 < 4, F.array(F.lit(-1), F.lit(-2))).otherwise(F.array(F.lit(-2), F.lit(-1)))
     children = F.when(F.col("o_orderkey") % 4 == 2, F.array(F.lit(-1))).otherwise(pair).cast("array<long>")
     nodes = o.select(F.col("o_orderkey").alias("node"), kind.alias("kind"), F.when(F.col("o_orderkey") % 4 == 3, "on").otherwise("").alias("text"), children.alias("children"))
-    keys = footprint.algebra_keys(scans.unionByName(nodes)).where("node >= 0")
-    return keys.groupBy((F.col("node") % 4).alias("kind")).agg(F.count("*").alias("nodes"), F.count_distinct("key").alias("keys"))
+    return footprint.algebra_keys(scans.unionByName(nodes)).where("node >= 0")
+
+
+def keys_by_kind(spark: SparkSession, o: DataFrame) -> DataFrame:
+    return node_keys(spark, o).groupBy((F.col("node") % 4).alias("kind")).agg(F.count("*").alias("nodes"), F.count_distinct("key").alias("keys"))
+
+
+SHOWN = f"SELECT {cell('orders', 'o_totalprice')} AS h FROM {ORDERS} WHERE o_orderstatus = 'P'"
+SEEN = " UNION ALL ".join(f"SELECT {x} AS h FROM {ORDERS} WHERE o_orderstatus = 'P'" for x in (row("orders"), cell("orders", "o_orderstatus"), cell("orders", "o_totalprice")))
 
 
-@query("SELECT 'release' AS dim, count(*) * 1 AS n FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'influence', count(*) * 3 FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'outcome', 2")
+@query(f"SELECT 'release' AS dim, n, digest FROM ({sql_set_digest(f'SELECT h, h AS t FROM ({SHOWN})')}) UNION ALL SELECT 'influence', n, digest FROM ({sql_set_digest(f'SELECT h, h AS t FROM ({SEEN})')}) UNION ALL SELECT 'outcome', 2, NULL")
 def observation_digests(spark: SparkSession, sf: str) -> DataFrame:
-    """A digest for each dimension of an observation; here its sizes."""
+    """Size and digest of each dimension of an observation; of the question, whose facts are made on the driver, the size."""
     o = facts.observation(spark, sf, Plan(O, ("orders.o_totalprice",), filters=(Filter("orders.o_orderstatus", "=", "P"),)))
-    return facts.observation_digest(o).select("dim", "n")
+    return facts.observation_digest(o).select("dim", "n", F.when(F.col("dim") != "outcome", F.col("digest")).alias("digest"))
 
 
-@query("SELECT g AS page, CASE WHEN g = 0 THEN n * 2 ELSE CAST(0 AS BIGINT) END AS charged FROM (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P') CROSS JOIN (VALUES (0), (1)) v(g)")
+@query("""SELECT seq, 'release' AS dim, CASE seq WHEN 0 THEN p WHEN 2 THEN f ELSE 0 END AS charged FROM (SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS p, count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders) CROSS JOIN (VALUES (0), (1), (2), (3)) v(seq)
+  UNION ALL SELECT seq, 'influence', CASE seq WHEN 0 THEN p * 3 WHEN 2 THEN f * 3 ELSE 0 END FROM (SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS p, count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders) CROSS JOIN (VALUES (0), (1), (2), (3)) v(seq)
+  UNION ALL SELECT seq, 'outcome', n FROM (VALUES (0, 2), (1, 0), (2, 2), (3, 1)) v(seq, n)""")
 def replay_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    """The same question asked twice, its terms in another order: the repeat reveals and charges nothing."""
-    plan = lambda f: Plan(O, ("orders.o_totalprice",), filters=f)
-    f = (Filter("orders.o_orderstatus", "=", "P"), Filter("orders.o_orderkey", ">", 0))
-    ask = lambda k, g: facts.observation(spark, sf, plan(g)).where("dim <> 'outcome'").select(F.lit("root").alias("root"), F.lit(k).alias("seq"), "dim", "fact_hash")
-    both = ledger.charges(ask(0, f).unionByName(ask(1, f[::-1])))
-    # of the influence facts only rows and shown cells are counted here, as the filtered cells follow from the filters
-    total = both.groupBy(F.col("seq").alias("page")).agg(F.sum(F.when(F.col("dim") == "release", F.col("charged") * 2).otherwise(0)).alias("charged"))
-    return total
+    """A sequence of questions and what each is charged by dimension: one status, the same under another alias, two statuses, the second alone."""
+    plan = lambda f, **more: Plan(O, ("orders.o_totalprice",), filters=(f,), **more)
+    status = lambda op, v: Filter("orders.o_orderstatus", op, v)
+    asked = [plan(status("=", "P")), plan(status("=", "P"), aliases={"orders.o_totalprice": "price"}), plan(status("in", ("P", "F"))), plan(status("=", "F"))]
+    stream = [facts.observation(spark, sf, p).select(F.lit("root").alias("root"), F.lit(k).alias("seq"), "dim", "fact_hash") for k, p in enumerate(asked)]
+    return ledger.charges(reduce(DataFrame.unionByName, stream)).select("seq", "dim", "charged")
 
 
 @query("SELECT page, dim, CASE WHEN page = 0 THEN n * facts ELSE CAST(0 AS BIGINT) END AS charged FROM (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P') CROSS JOIN (VALUES ('release', 1), ('influence', 4)) d(dim, facts) CROSS JOIN (VALUES (0), (1)) v(page)")
 def replay_charges(spark: SparkSession, sf: str) -> DataFrame:
     """The same question asked twice: what is charged in each dimension, an order's row and its three cells as influence."""
     plan = lambda f: Plan(O, ("orders.o_totalprice",), filters=f)
-    f = (Filter("orders.o_orderstatus", "=", "P"), Filter("orders.o_orderkey", ">", 0))
+    f = (Filter("orders.o_orderstatus", "=", "P"), Filter("orders.o_orderkey", ">=", 0))
     ask = lambda k, g: facts.observation(spark, sf, plan(g)).where("dim <> 'outcome'").select(F.lit("root").alias("root"), F.lit(k).alias("seq"), "dim", "fact_hash")
     both = ledger.charges(ask(0, f).unionByName(ask(1, f[::-1])))
     return both.groupBy(F.col("seq").alias("page"), "dim").agg(F.sum("charged").alias("charged"))
@@ -206,14 +225,17 @@ def snapshot_routing(spark: SparkSession, sf: str) -> DataFrame:
 # -- governance -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT c_custkey AS view, c_custkey // 2 AS base, 'scope segment' AS reason FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey // 2 BETWEEN 1 AND 3 AND c_custkey // 2 % 2 = 1 AND c_custkey BETWEEN 4 AND 7 UNION ALL SELECT c_custkey, c_custkey // 2, 'sensitivity' FROM customer WHERE c_custkey BETWEEN 4 AND 7 AND c_custkey // 2 % 4 > c_custkey % 4")
+REACH = "WITH RECURSIVE up AS (SELECT c_custkey AS view, c_custkey // 2 AS base FROM customer WHERE c_custkey > 1 UNION ALL SELECT view, base // 2 FROM up WHERE base > 1)"
+
+
+@query(f"{REACH} SELECT view, base, 'scope segment' AS reason FROM up WHERE view % 3 <> 0 AND base % 16 = 1 UNION ALL SELECT view, base, 'sensitivity' FROM up WHERE base % 4 > view % 4")
 def view_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Views over base tables whose scope they lack or that are more sensitive than they are."""
-    c = load(spark, sf, "customer").where("c_custkey between 4 and 7").select(F.col("c_custkey").alias("view"), F.floor(F.col("c_custkey") / 2).alias("depends_on"))
-    bases = c.select(F.col("depends_on").alias("base")).distinct()
-    names = c.select("view").unionByName(bases.select(F.col("base").alias("view"))).select(F.col("view").alias("name"))
+    """Views, one for each customer on that of half its number, over those at any depth whose scope they lack or that are more sensitive."""
+    c = load(spark, sf, "customer").where("c_custkey > 1").select(F.col("c_custkey").alias("view"), F.floor(F.col("c_custkey") / 2).alias("depends_on"))
+    every = c.select(F.col("view").alias("name")).unionByName(c.select(F.col("depends_on").alias("name"))).distinct()
     level = F.element_at(F.array(*[F.lit(x) for x in governance.LEVELS]), (F.col("name") % 4 + 1).cast("int"))
-    return governance.view_gaps(c, c.where("view % 3 = 0").select("view", F.lit("segment").alias("name")), bases.where("base % 2 = 1").withColumn("name", F.lit("segment")), names.withColumn("level", level))
+    required = every.where("name % 16 = 1").select(F.col("name").alias("base"), F.lit("segment").alias("name"))
+    return governance.view_gaps(c, c.where("view % 3 = 0").select("view", F.lit("segment").alias("name")), required, every.withColumn("level", level))
 
 
 @query("SELECT c_custkey AS view, -1 - c_custkey // 2 AS base, 'scope segment' AS reason FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey // 2 % 2 = 1 UNION ALL SELECT c_custkey, -1 - c_custkey // 2, 'sensitivity' FROM customer WHERE c_custkey // 2 % 4 > c_custkey % 4")
@@ -238,38 +260,43 @@ def task_policy(spark: SparkSession, sf: str) -> DataFrame:
     return governance.task_policy(r, products, routes, defaults, budgets).select("request", "route", "max_rows")
 
 
-@query("SELECT p_brand AS table_name, count(DISTINCT p_type) AS n FROM part GROUP BY p_brand")
+TYPE_COLUMN = sql_digest("p_type", "'text'")
+
+
+@query(sql_set_digest(f"SELECT DISTINCT p_brand AS table_name, {TYPE_COLUMN} AS h, {TYPE_COLUMN} AS t FROM part", "table_name"))
 def schema_digests(spark: SparkSession, sf: str) -> DataFrame:
-    """A digest for each table of a registry, whatever the order of its columns; here with their numbers."""
+    """Size and digest of each table of a registry, whatever the order of its columns."""
     f = load(spark, sf, "part").select(F.col("p_brand").alias("table_name"), F.col("p_type").alias("column"), F.lit("text").alias("type"))
-    return governance.schema_digest(f).select("table_name", "n")
+    return governance.schema_digest(f)
 
 
 # -- streams and results ----------------------------------------------------------------------------------------------
 
 
-def event_stream(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame, str]:
-    base = shared_folder(spark, name)
-    spark.read.parquet(f"{sf}/events.parquet").write.parquet(f"{base}/in")
-    return spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in"), base
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a file stream, read where it stands."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-@query(f"SELECT dim, count(*) AS facts FROM (SELECT DISTINCT root, dim, f FROM {STREAM}) GROUP BY dim")
+@query(f"{CAPPED} SELECT root, count(*) FILTER (WHERE accepted) AS accepted, CAST(sum(charged_release) AS BIGINT) AS charged_release, CAST(sum(charged_influence) AS BIGINT) AS charged_influence, CAST(sum(charged_outcome) AS BIGINT) AS charged_outcome FROM settled GROUP BY root")
 def stream_settlement(spark: SparkSession, sf: str) -> DataFrame:
-    """A request stream settled per micro-batch under caps that are never reached: what is learned is what a batch finds."""
-    events, base = event_stream(spark, sf, "settlement")
-    cents = F.floor(F.round("value", 2).cast("decimal(18,2)")).cast("string")
-    asked = F.array(F.struct(F.lit("release").alias("dim"), digest(F.col("event_type"), cents).alias("fact_hash")), F.struct(F.lit("influence").alias("dim"), digest("user", F.col("user_id").cast("string")).alias("fact_hash")), F.struct(F.lit("outcome").alias("dim"), digest(F.col("event_type")).alias("fact_hash")))
-    stream = events.select((F.col("user_id") % 10).alias("root"), F.col("event_id").alias("seq"), F.explode(asked).alias("f")).select("root", "seq", "f.dim", "f.fact_hash")
-    caps = spark.range(10).select(F.col("id").alias("root"), *[F.lit(1 << 40).alias(f"max_{d}") for d in ledger.DIMS])
-    novelty.settle_batches(stream, caps, base, f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/facts").groupBy("dim").agg(F.count("*").alias("facts"))
+    """A request stream settled over several micro-batches, each with the ledger of those before, under caps that refuse requests."""
+    base = shared_folder(spark, "settlement")
+    asked = requests(spark, sf)
+    most = asked.agg(F.max("seq")).first()[0] or 0
+    for k in range(3):  # three files, written one after the other: as many batches, in order
+        asked.where((F.col("seq") * 3 >= k * (most + 1)) & (F.col("seq") * 3 < (k + 1) * (most + 1))).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    novelty.settle_batches(stream, root_caps(spark), base, f"{base}/checkpoint").awaitTermination()
+    done = spark.read.parquet(f"{base}/settled")
+    return done.groupBy("root").agg(F.count_if("accepted").alias("accepted"), *[F.sum(f"charged_{d}").alias(f"charged_{d}") for d in ledger.DIMS])
 
 
 @query("SELECT count(*) AS requests FROM (SELECT DISTINCT user_id % 20, event_id % 50 FROM events)")
 def stream_exactly_once(spark: SparkSession, sf: str) -> DataFrame:
-    events, base = event_stream(spark, sf, "once")
-    asked = events.select((F.col("user_id") % 20).alias("task"), (F.col("event_id") % 50).alias("request_id"))
+    novelty.off_heap(spark)
+    base = shared_folder(spark, "once")
+    asked = event_stream(spark, sf).select((F.col("user_id") % 20).alias("task"), (F.col("event_id") % 50).alias("request_id"))
     q = novelty.once(asked).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("task long, request_id long").parquet(f"{base}/out").agg(F.count("*").alias("requests"))
@@ -311,10 +338,13 @@ def publication_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.resolve(asked, known).groupBy("name").agg(F.count_if("ok").alias("pinned"), F.count("*").alias("asked"))
 
 
-@query("SELECT count(DISTINCT p_partkey) AS n FROM part")
+PUBLICATION = sql_digest("p_brand", "CAST(p_partkey AS VARCHAR)", "p_type")
+
+
+@query(sql_set_digest(f"SELECT DISTINCT {PUBLICATION} AS h, {PUBLICATION} AS t FROM part"))
 def manifest_digests(spark: SparkSession, sf: str) -> DataFrame:
     p = load(spark, sf, "part").select(F.col("p_brand").alias("name"), F.col("p_partkey").cast("string").alias("snapshot"), F.col("p_type").alias("content_digest"))
-    return snapshots.manifest_digest(p).select("n")
+    return snapshots.manifest_digest(p)
 
 
 @query(f"SELECT o_orderkey, [o_orderstatus, o_orderpriority][2] AS second, (o_orderstatus, o_orderkey) < ('F', 100) AS before, CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18,2)) AS again FROM {ORDERS}")

@@ -82,9 +82,9 @@ def agg_min_max(spark: SparkSession, sf: str) -> DataFrame:
     return visible(spark, sf, Plan(O, ("orders.o_orderpriority",), group_by=("orders.o_orderpriority",), aggregates=aggs))
 
 
-@query(f"SELECT c_mktsegment, CAST(sum(c_acctbal) AS DOUBLE) / count(c_acctbal) AS mean FROM {CUSTOMER} GROUP BY c_mktsegment")
+@query(f"SELECT c_mktsegment, round(CAST(sum(c_acctbal) AS DOUBLE) / count(c_acctbal), 4) AS mean FROM {CUSTOMER} GROUP BY c_mktsegment")
 def agg_avg(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "customer").groupBy("c_mktsegment").agg((F.sum("c_acctbal").cast("double") / F.count("c_acctbal")).alias("mean"))
+    return load(spark, sf, "customer").groupBy("c_mktsegment").agg(F.round(F.avg("c_acctbal"), 4).cast("double").alias("mean"))
 
 
 @query(f"SELECT CAST(sum(o_totalprice) AS DECIMAL(38,2)) AS total FROM {ORDERS} GROUP BY o_orderpriority")
@@ -125,10 +125,11 @@ def join5_graph(spark: SparkSession, sf: str) -> DataFrame:
     return visible(spark, sf, Plan({x: x for x in ("orders", "lineitem", "customer", "nation", "region")}, keys, joins, group_by=keys, aggregates=(Aggregate("sum", "lineitem.l_extendedprice", "total"), Aggregate("count", "*", "n"))))
 
 
-@query(f"SELECT c_custkey, s_suppkey, n_name FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON n_nationkey = c_nationkey AND n_nationkey = s_nationkey WHERE c_custkey % 10 < 2 AND n_name <> 'x' AND c_custkey <= 400")
+@query("SELECT c_custkey, s_name, c_name FROM customer JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey")
 def join_composite_key(spark: SparkSession, sf: str) -> DataFrame:
-    c, s, n = load(spark, sf, "customer").where("c_custkey % 10 < 2 and c_custkey <= 400"), load(spark, sf, "supplier"), load(spark, sf, "nation")
-    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).join(n, (F.col("n_nationkey") == F.col("c_nationkey")) & (F.col("n_nationkey") == F.col("s_nationkey"))).select("c_custkey", "s_suppkey", "n_name")
+    """An edge of two equalities: customers with the supplier of the same number and nation."""
+    on = Join((("customer.c_custkey", "supplier.s_suppkey"), ("customer.c_nationkey", "supplier.s_nationkey")))
+    return visible(spark, sf, Plan({"customer": "customer", "supplier": "supplier"}, ("customer.c_custkey", "supplier.s_name", "customer.c_name"), (on,)))
 
 
 @query("SELECT n_name, count(*) AS pairs FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON n_nationkey = c_nationkey AND n_nationkey = s_nationkey GROUP BY n_name")
@@ -229,10 +230,11 @@ def left_outer(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
-@query("SELECT n_name, s.n AS suppliers, c.n AS customers FROM (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1) s FULL JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey % 50 = 0 GROUP BY 1) c ON s_nationkey = c_nationkey RIGHT JOIN nation ON n_nationkey = coalesce(s_nationkey, c_nationkey)")
+@query(f"SELECT n_name, s.n AS suppliers, c.n AS customers FROM (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal < 0 GROUP BY 1) s FULL JOIN (SELECT c_nationkey, count(*) AS n FROM {CUSTOMER} WHERE c_acctbal < 0 GROUP BY 1) c ON s_nationkey = c_nationkey RIGHT JOIN nation ON n_nationkey = coalesce(s_nationkey, c_nationkey)")
 def full_and_right_outer(spark: SparkSession, sf: str) -> DataFrame:
-    s = load(spark, sf, "supplier").where("s_suppkey % 3 = 0").groupBy("s_nationkey").agg(F.count("*").alias("suppliers"))
-    c = load(spark, sf, "customer").where("c_custkey % 50 = 0").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    """Suppliers and customers in debt by nation; some nations have neither, some one of them."""
+    s = load(spark, sf, "supplier").where("s_acctbal < 0").groupBy("s_nationkey").agg(F.count("*").alias("suppliers"))
+    c = load(spark, sf, "customer").where("c_acctbal < 0").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
     both = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"), "full").withColumn("k", F.coalesce("s_nationkey", "c_nationkey"))
     return both.join(load(spark, sf, "nation"), F.col("n_nationkey") == F.col("k"), "right").select("n_name", "suppliers", "customers")
 
