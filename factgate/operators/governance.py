@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import composite_list, digest
-from ..streaming.shared import durable
+from ..streaming.shared import shared_folder
 from .digest import set_digest
 
 #: From least to most sensitive.
@@ -117,18 +115,21 @@ def closure(edges: DataFrame, a: str = "view", b: str = "depends_on", most: int
 
     Each step is written once and they are united at the end. ``start`` (view) limits whose reach is followed.
     """
+    spark, base = edges.sparkSession, shared_folder(edges.sparkSession, "closure")
     nexts = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
-    first = edges.select(F.col(a).alias("view"), F.col(b).alias("base"), F.lit(1).alias("depth")).distinct()
-    steps = [durable(first.join(start, "view", "left_semi") if start is not None else first)]
-    for depth in range(2, most + 2):
-        step = durable(steps[-1].join(nexts, F.col("base") == F.col("__a")).select("view", F.col("__b").alias("base"), F.lit(depth).alias("depth")).distinct())
+    step = edges.select(F.col(a).alias("view"), F.col(b).alias("base")).distinct()
+    step = step.join(start, "view", "left_semi") if start is not None else step
+    kind = ", ".join(f"{c} {t}" for c, t in step.dtypes)
+    for depth in range(1, most + 2):
+        step.withColumn("depth", F.lit(depth)).write.parquet(f"{base}/step={depth}")
+        step = spark.read.schema(kind).parquet(f"{base}/step={depth}")
         state = step.agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("view") == F.col("base")), F.lit(False)).alias("cycle")).first()
         if not state["n"]:
             break
         if depth > most or state["cycle"]:
             raise ValueError("the views form a cycle or are stacked too deep")
-        steps.append(step)
-    return reduce(DataFrame.unionByName, steps).repartition("view", "base").groupBy("view", "base").agg(F.max("depth").alias("depth"))
+        step = step.join(nexts, F.col("base") == F.col("__a")).select("view", F.col("__b").alias("base")).distinct()
+    return spark.read.schema(f"{kind}, depth int").parquet(base).groupBy("view", "base").agg(F.max("depth").alias("depth"))
 
 
 def inactive_ancestors(tasks: DataFrame, most: int = 64) -> DataFrame:
