@@ -110,14 +110,15 @@ class Packer:
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long"
 
 
-def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, doc_id: str = "doc_id", text: str = "text", prompt_tokens: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None) -> DataFrame:
     """One row per piece: which ids of which document stand where in which sequence.
 
     Documents are tokenised and packed in the task that reads them, so no ids are shuffled: a task keeps the rests of
     at most ``POOL`` documents, and full sequences of long documents leave at once. Every task packs to the end of its
-    rows without padding, so how rows are dealt to tasks doesn't matter. ``prompt_tokens`` names a column with the
-    number of leading ids that bear no loss (null or not given: none). Null and empty texts are the end id alone;
-    repeated rows are packed each; an empty table gives no rows.
+    rows without padding, so how rows are dealt to tasks doesn't matter. ``prompt`` names a column of texts that come
+    before ``text`` in the example and bear no loss (null or not given: none). Null and empty texts are the end id
+    alone; texts of any length are packed whole; repeated rows are packed each; an empty table gives no rows; other
+    columns, whatever their names, are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,21 +150,36 @@ def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGME
         key = 0
         for part in slices(batches, 1):
             ids, at = words.encode(part.column(1))
-            ids = ids.astype("<u4")
-            for doc, prompt, i, j in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                own = np.append(ids[i:j], np.uint32(END_ID)).astype("<u4")
+            asked, start = words.encode(part.column(2)) if prompt else (ids[:0], np.zeros(len(at), np.int64))
+            for k, doc in enumerate(part.column(0).to_pylist()):
+                question = asked[start[k] : start[k + 1]]
+                own = np.concatenate((question, ids[at[k] : at[k + 1]], [END_ID])).astype("<u4")
                 held[key] = [doc, own, len(own)]
-                place(packer.add(key, len(own), prompt or 0))
+                place(packer.add(key, len(own), len(question)))
                 key += 1
             yield batch()
         place(packer.flush())
         yield batch()
 
-    prompt = F.col(prompt_tokens).cast("long") if prompt_tokens else F.lit(None).cast("long")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), prompt.alias("prompt")).mapInArrow(run, FIELDS)
+    columns = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.col(prompt).alias("prompt")] if prompt else [])]
+    return docs.select(*columns).mapInArrow(run, FIELDS)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: Loss-bearing tokens that a sequence of instruction data holds at most.
+ANSWERED = 1536
+
+
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with the turns that they answer, packed under all three limits: only an answer's tokens bear loss."""
+    import public_tokenizers
+
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    asked = said.where("role <> 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    both = said.where("role = 'assistant'").join(asked, ["conv_id", "turn"]).select("conv_id", "prompt", "text")
+    return pack(both, public_tokenizers.path("word_bpe_49k.json"), loss=ANSWERED, doc_id="conv_id", prompt="prompt")

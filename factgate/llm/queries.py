@@ -10,7 +10,7 @@ from . import bpe, imatch, langid, pack, private, recompress, simhash, suffixes,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pack.op1_packing, toxicity.op2_toxicity, imatch.op3_imatch, suffixes.op4_suffix_array_dedup, simhash.op5_simhash_near_dedup, vectors.op6_embedding_near_dedup, private.op7_pii_surrogates, recompress.op8_recompression_dedup, bpe.op9_byte_bpe, langid.op10_language_id)}
+    return {f.__name__: f for f in (pack.op1_packing, pack.packing_conversations, toxicity.op2_toxicity, imatch.op3_imatch, suffixes.op4_suffix_array_dedup, simhash.op5_simhash_near_dedup, vectors.op6_embedding_near_dedup, private.op7_pii_surrogates, recompress.op8_recompression_dedup, bpe.op9_byte_bpe, langid.op10_language_id)}
 
 
 #: Words of every document and what follows each, by place; then the windows of so many words that a smaller document has.

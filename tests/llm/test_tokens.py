@@ -145,3 +145,41 @@ def test_all_limits_hold(items, segments, loss):
             assert s == at
             at += m
         assert at == n
+
+
+def test_prompts_bear_no_loss(spark, words):
+    """Examples of a prompt and an answer: pieces make them up whole, and no sequence passes any limit."""
+    draw = random.Random(8)
+    say = lambda n: " ".join(draw.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    rows = [(i, say(draw.randrange(80)), say(draw.randrange(120)), "x") for i in range(200)] + [(500, None, None, "x")] + [(501, say(9000), "", "x")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt string, offset string").repartition(2)
+    got = pack.pack(df, WORDS, tokens=256, segments=6, loss=100, prompt="prompt").collect()
+    ids = {}
+    for i, text, prompt, _ in rows:
+        asked = words.encode(prompt or "", add_special_tokens=False).ids
+        ids[i] = (len(asked), asked + words.encode(text or "", add_special_tokens=False).ids + [1])
+    sequences, seen = {}, {}
+    for r in got:
+        asked, own = ids[r.doc_id]
+        assert r.doc_tokens == len(own)
+        assert r.ids_crc32 == zlib.crc32(np.array(own[r.start : r.start + r.length], "<u4").tobytes())
+        sequences.setdefault(r.sequence_id, []).append((r.length, max(0, r.start + r.length - max(r.start, asked))))
+        seen[r.doc_id] = seen.get(r.doc_id, 0) + r.length
+    assert seen == {i: len(own) * (2 if i == 501 else 1) for i, (_, own) in ids.items()}
+    for pieces in sequences.values():
+        assert sum(n for n, _ in pieces) <= 256 and sum(loss for _, loss in pieces) <= 100 and len(pieces) <= 6
+    assert max(sum(loss for _, loss in p) for p in sequences.values()) == 100
+    assert pack.pack(df.limit(0), WORDS, prompt="prompt").count() == 0
+
+
+def test_conversations_are_packed_whole(spark, sf, words):
+    said = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    want = {}
+    for (conv, turn), r in said.items():
+        if r.role == "assistant" and (conv, turn - 1) in said and said[conv, turn - 1].role != "assistant":
+            n = sum(len(words.encode(x.text or "", add_special_tokens=False).ids) for x in (r, said[conv, turn - 1]))
+            want[conv] = want.get(conv, 0) + n + 1
+    got = {}
+    for r in pack.packing_conversations(spark, sf).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == want and len(want) > 10
