@@ -112,7 +112,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     The edited text has the last floor(n/2) of n code points replaced by as many from the start of the next document.
     Null texts count as empty. A text without a term in the band (an empty one, say) has a fingerprint of its hash
     alone, alike only to equal texts. Rows that repeat a doc_id keep a row each; rows without doc_id have no next
-    document and are edited with nothing. An empty table gives no rows.
+    document and are edited with nothing. An empty table gives no rows; texts of any length count whole; other columns,
+    whatever their names, are not read.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     words = lexicon(docs)

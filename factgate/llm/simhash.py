@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Equal fingerprints are handled as one, so a large group of copies is a single node. ``component_id`` is the
     smallest doc_id reached, itself included; a row without doc_id keeps its row and can be in a component but is never
-    its name. Repeated rows each keep their row. An empty table gives no rows.
+    its name. Repeated rows each keep their row. An empty table gives no rows; texts of any length are read whole; other
+    columns are not read.
     """
     marked = durable(fingerprints(docs, doc_id, text, size))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))

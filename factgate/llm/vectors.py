@@ -170,7 +170,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, vec_id: str
     coordinate into stripes; only pairs of stripes whose boxes of leading coordinates and suffix norms can reach the
     threshold meet, and within them tiles stop early. A task returns counts and a spanning forest, never all pairs.
     Vectors that are null, zero, empty, or hold null or non-finite components, and rows without vec_id, link with
-    nothing and are their own component; vectors of different lengths never link. Repeated rows count as others.
+    nothing and are their own component; vectors of different lengths never link. Repeated rows count as others. An
+    empty table gives no rows; other columns, whatever their names, are not read.
     """
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
