@@ -321,6 +321,27 @@ def shingle_sets(docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
     return durable(docs.select("text").mapInArrow(run, "name long, shingles binary").groupBy("name").agg(F.first("shingles").alias("shingles")))
 
 
+def rarest(names: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(name, n, bands): the sets that ``names`` lists with those of their rarest shingles of which two alike share one.
+
+    Sets of similarity J or more differ in so few shingles that, whatever the order of shingles, they share one of the
+    first n - J * n + 1 of each. Rarest first, what very many texts share comes last and is left out, and texts that
+    are not alike have enough of their own to share none. Counts are combined before the shuffle and stand on storage.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            data, offsets = buffers(batch.column(1))
+            rows = np.repeat(batch.column(0).to_numpy(), np.diff(offsets) // 8)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.frombuffer(data.tobytes(), np.int64))], ["name", "shingle"])
+
+    each = sets.join(names.select("name").distinct(), "name", "left_semi").select("name", "shingles").mapInArrow(spread, "name long, shingle long")
+    many = durable(each.groupBy("shingle").agg(F.count("*").alias("f")))
+    held = each.join(many, "shingle").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("x")).withColumn("n", F.size("x").cast("long"))
+    first = F.slice("x", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
+    return durable(held.select("name", "n", F.transform(F.filter(first, lambda p: p["f"] > 1), lambda p: p["shingle"]).alias("bands")))
+
+
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs of set names whose shingle sets have a Jaccard similarity of at least ``similarity``."""
 
@@ -361,9 +382,10 @@ def keep_one_alike(docs: DataFrame, size: int = 5, similarity: float = LEAST_SIM
     or if their SimHashes differ in at most ``bits`` bits. For the first, the index is that of a wider fingerprint,
     WIDE positional bytes of least hashes: texts that share four neighbouring least hashes share a list; the positional
     bytes that a pair shares are tallied, pairs that reach the least for the similarity are verified on whole sets. A
-    list of over ALL_PAIRS different sets is not paired up: members that its largest component has not reached are
-    compared with all others, ever more of them in each round, until every two are in one component or were compared.
-    So what can be missed is a pair that shares no band or too few bytes (chances at BANDS and MISSED), no more.
+    list of over ALL_PAIRS different sets is not paired up. Its members are listed again by their rarest shingles
+    (``rarest``), which loses no pair; where such a list is long, too, members that its largest component has not
+    reached are compared with all others, ever more of them in each round, until every two are in one component or
+    were compared. So what can be missed is a pair that shares no band or too few bytes (chances at BANDS and MISSED), no more.
 
     Rows as in ``keep_one_each``: different texts under one doc_id are judged each on its own, of repeated rows one
     stays, rows with null doc_id all stay; an empty table stays empty. Long texts count whole.
@@ -375,8 +397,11 @@ def keep_one_alike(docs: DataFrame, size: int = 5, similarity: float = LEAST_SIM
     sets = durable(marked.groupBy("name").agg(*first, least_row().alias("rep")))
     lists = lists_of(sets)
     pairs = durable(candidates(short_pairs(lists), sets, similarity))
+    long_ = lists.where(F.col("m") > ALL_PAIRS).select("name").distinct()
+    held = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(long_), size)
+    lists = lists_of(rarest(long_, held, similarity))
+    pairs = pairs.unionByName(candidates(short_pairs(lists), sets, similarity)).distinct()
     long_ = lists.where(F.col("m") > ALL_PAIRS).select("key", "name", "n")
-    held = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(long_.select("name")), size)
     # what repeats shingles may share a set and no fingerprint, or the other way round: documents link the two
     heads = marked.groupBy("fp").agg(F.min("name").alias("head"))
     same = marked.select("fp", "name").distinct().join(heads, "fp").select(F.col("head").alias("a"), F.col("name").alias("b"))
