@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, langid, pack, private, recompress, simhash, suffixes, toxicity, vectors
+from . import bpe, fim, imatch, langid, pack, partitions, private, recompress, search, simhash, suffixes, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pack.op1_packing, pack.packing_conversations, toxicity.op2_toxicity, imatch.op3_imatch, suffixes.op4_suffix_array_dedup, simhash.op5_simhash_near_dedup, vectors.op6_embedding_near_dedup, private.op7_pii_surrogates, recompress.op8_recompression_dedup, bpe.op9_byte_bpe, langid.op10_language_id)}
+    return {f.__name__: f for f in (pack.op1_packing, pack.packing_conversations, toxicity.op2_toxicity, imatch.op3_imatch, suffixes.op4_suffix_array_dedup, simhash.op5_simhash_near_dedup, vectors.op6_embedding_near_dedup, private.op7_pii_surrogates, recompress.op8_recompression_dedup, bpe.op9_byte_bpe, langid.op10_language_id, partitions.op11_learned_partitions, fim.op12_fill_in_middle, search.op13_lexical_search)}
 
 
 #: Words of every document and what follows each, by place; then the windows of so many words that a smaller document has.
@@ -46,8 +46,21 @@ low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 many AS (SELECT a AS vec_id, count(*) AS n FROM pair GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN low USING (vec_id) LEFT JOIN many USING (vec_id)
 """
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = rf"""
+WITH has AS (SELECT * FROM (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS t FROM documents) WHERE len(t) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS length FROM has),
+post AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM has) GROUP BY r, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, total GROUP BY term),
+item AS (SELECT row_number() OVER () AS i, item_id, {TERMS} AS t FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+asked AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(t) AS term FROM item) GROUP BY i, item_id, term),
+scored AS (SELECT i, item_id, doc_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(t) * docs) // length)))) AS BIGINT) AS score
+           FROM asked JOIN weight USING (term) JOIN post USING (term) JOIN has USING (r), total WHERE doc_id IS NOT NULL GROUP BY i, item_id, doc_id, r),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for those that it can express; the others hash with XXH64, compress, tokenise, learn or draw by keys."""
-    return {"op4_suffix_array_dedup": OP4, "op6_embedding_near_dedup": OP6, "op8_recompression_dedup": OP8}
+    """SQL for those that it can express; the others hash with XXH64, compress, tokenise, learn, cut by hashes of ids or draw by keys."""
+    return {"op4_suffix_array_dedup": OP4, "op6_embedding_near_dedup": OP6, "op8_recompression_dedup": OP8, "op13_lexical_search": OP13}
