@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +35,28 @@ def canonical(value: Column, sql_type: str) -> Column:
     return F.coalesce(F.concat(F.lit(TAGS[kind] + ":"), text), F.lit("null"))
 
 
+def canonical_literal(value: object, sql_type: str) -> str:
+    """The same text of a literal that is known on the driver: however it is written, equal values of the type share it."""
+    kind = base_type(sql_type)
+    if value is None:
+        return "null"
+    if kind == "decimal":
+        text = format(Decimal(str(value)), "f")
+        text = (text.rstrip("0").rstrip(".") if "." in text else text).removeprefix("+") or "0"
+        text = "0" if text in ("-0", "") else text
+    elif kind in ("smallint", "int", "bigint"):
+        text = str(int(value))
+    elif kind == "date":
+        text = (value if isinstance(value, date) else datetime.fromisoformat(str(value))).strftime("%Y-%m-%d")
+    elif kind in ("timestamp", "timestamp_ntz"):
+        text = (value if isinstance(value, datetime) else datetime.fromisoformat(str(value))).isoformat(" ", "microseconds")
+    elif kind == "boolean":
+        text = str(value).lower()
+    else:
+        text = value.hex() if isinstance(value, bytes) else str(value)
+    return f"{TAGS[kind]}:{text}"
+
+
 def composite(*parts: Column | str) -> Column:
     """Injective join of texts: each is preceded by its length in bytes. Strings given are literals."""
     cols = [F.lit(p) if isinstance(p, str) else p for p in parts]

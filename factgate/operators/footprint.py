@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import composite, composite_list, composite_text, digest
+from ..functions.canonical import canonical, canonical_literal, composite, composite_list, composite_text, digest
 from ..plans.plan import Filter, Plan
 from .digest import set_digest
 
@@ -17,12 +17,13 @@ def atoms_of(plan: Plan) -> list[tuple[str, str, str]]:
     """(column, op, literal) of each tested literal: membership is one equality each, exclusion one inequality each."""
     out = set()
     for f in (*plan.filters, *[f for b in plan.union for f in b]):
-        out |= {(f.column, op, literal) for op, literal in _tests(f)}
+        out |= {(f.column, op, literal) for op, literal in _tests(f, plan.type_of(f.column))}
     return sorted(out)
 
 
-def _tests(f: Filter) -> list[tuple[str, str]]:
-    literal = lambda v: "null" if v is None else f"v:{v}"
+def _tests(f: Filter, kind: str) -> list[tuple[str, str]]:
+    """(op, literal) of a filter; a literal is its value as the column's type, so 50000 and 50000.00 are one, and null is no text."""
+    literal = lambda v: canonical_literal(v, kind)
     if f.op in ("is_null", "is_not_null"):
         return [(f.op, "")]
     if f.op in ("in", "not_in"):
@@ -45,7 +46,7 @@ def plan_text(plan: Plan) -> str:
     Every part and every part of a part is preceded by its length, so different plans have different texts.
     """
     each = lambda found: composite_text(*sorted({composite_text(*x) for x in found}))
-    tests = lambda filters: [(f.column, o, v) for f in filters for o, v in _conjuncts(f)]
+    tests = lambda filters: [(f.column, o, v) for f in filters for o, v in _conjuncts(f, plan.type_of(f.column))]
     order = [composite_text(o.column, "desc" if o.descending else "asc") for o in plan.order_by] if plan.limit or plan.offset else []
     return composite_text(
         each(plan.sources.items()),
@@ -60,9 +61,9 @@ def plan_text(plan: Plan) -> str:
     )
 
 
-def _conjuncts(f: Filter) -> list[tuple[str, str]]:
+def _conjuncts(f: Filter, kind: str) -> list[tuple[str, str]]:
     """A filter as conjuncts: a list of alternatives is one, as they are not asked each for itself."""
-    tests = _tests(f)
+    tests = _tests(f, kind)
     return [("in", composite_text(*sorted({v for _, v in tests})))] if f.op == "in" and len(set(tests)) > 1 else tests
 
 
@@ -85,16 +86,35 @@ def outcome_fact(plan_digest: Column, outcome_digest: Column, rows: Column) -> C
 # -- over a log of queries: (query_id, product, columns, filters array<struct<col, op, values>>, group_by, ...) -------
 
 
+def typed(log: DataFrame, types: dict[str, str]) -> DataFrame:
+    """The log with each literal as the canonical text of its column's type (a text if it isn't of that type, or of a column without one)."""
+
+    def one(column: Column, value: Column) -> Column:
+        out = canonical(value, "string")
+        for name, kind in types.items():
+            cast = value.try_cast(kind)
+            out = F.when((column == name) & cast.isNotNull(), canonical(cast, kind)).otherwise(out)
+        return out
+
+    return log.withColumn("filters", F.transform("filters", lambda f: F.struct(f["col"].alias("col"), f["op"].alias("op"), F.transform(f["values"], lambda v: one(f["col"], v)).alias("values"))))
+
+
+def atom_hash(*before: str) -> Column:
+    """The hash of an atom (col, op, literal); a null literal has one of its own, which no text has."""
+    parts = [*before, F.col("col"), F.col("op")]
+    return F.when(F.col("literal").isNull(), digest(*parts)).otherwise(digest(*parts, F.col("literal")))
+
+
 def log_atoms(log: DataFrame) -> DataFrame:
-    """(query_id, col, op, literal): the distinct tested literals of each query."""
+    """(query_id, col, op, literal): the distinct tested literals of each query; null is a literal, too."""
     f = log.select("query_id", F.explode("filters").alias("f")).select("query_id", "f.col", "f.op", F.explode("f.values").alias("literal"))
     op = F.when(F.col("op") == "in", "=").when(F.col("op") == "not_in", "<>").when(F.col("op") == "!=", "<>").otherwise(F.col("op"))
-    return f.select("query_id", "col", op.alias("op"), F.coalesce("literal", F.lit("null")).alias("literal")).distinct()
+    return f.select("query_id", "col", op.alias("op"), "literal").distinct()
 
 
 def log_predicate_sets(log: DataFrame) -> DataFrame:
     """(query_id, n, digest): the set of atoms of each query, independent of their order and repetition."""
-    atoms = log_atoms(log).select("query_id", digest(F.col("col"), F.col("op"), F.col("literal")).alias("h"))
+    atoms = log_atoms(log).select("query_id", atom_hash().alias("h"))
     return set_digest(atoms, "h", ["query_id"])
 
 

@@ -56,7 +56,11 @@ def linked(stream: DataFrame, settled: DataFrame) -> DataFrame:
     return shown.join(first, ["root", "dim", "fact_hash"]).select("root", "seq", "dim", "fact_hash", (F.col("seq") == F.col("first")).alias("new"))
 
 
-def settle(stream: DataFrame, caps: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+#: Rounds in which requests are decided together; what is left after them is folded in order, as are roots of few new facts.
+ROUNDS, FOLDED = 12, 1_000_000
+
+
+def settle(stream: DataFrame, caps: DataFrame, ledger: DataFrame | None = None, used: DataFrame | None = None, folded: int = FOLDED) -> DataFrame:
     """(root, seq, accepted, charged_release, charged_influence, charged_outcome) in order of seq within each root.
 
     A request is charged the facts that its root hasn't learned, in each dimension; if any dimension would pass the
@@ -64,31 +68,85 @@ def settle(stream: DataFrame, caps: DataFrame, ledger: DataFrame | None = None)
     is a (root, seq); ``caps`` is (root, max_release, max_influence, max_outcome); roots without caps accept nothing new.
 
     A root whose new facts fit its caps altogether is never refused, so its requests are charged by grouped minima
-    (``charges``), in no order. For the others a refusal changes what later requests are charged, so their requests are
-    folded in order: rows are dealt by root, sorted by the shuffle, and streamed through a task that holds the facts the
-    root has learned, never more than its caps, and those of one request. What the ledger already has is taken out
-    before, so replays send no facts.
+    (``charges``), in no order. For the others a refusal changes what later requests are charged. A root with at most
+    ``folded`` new facts is folded in order in one task (``in_order``), which is cheap and bounded; larger ones are decided in
+    rounds (``in_rounds``), each of which charges and refuses very many requests at once, however many one root has.
+    What the ledger already has is taken out before, so replays send no facts. ``used`` (root, used_release, ...) says
+    how much of its caps each root has used, where the ledger given is only the part of it that the stream touches.
     """
     facts = stream.select("root", "seq", "dim", "fact_hash").distinct()
     limits = caps.select("root", *[F.col(f"max_{d}").cast("long").alias(f"room_{d}") for d in DIMS])
     if ledger is not None:
         facts = novel(facts, ledger)
-        used = ledger.groupBy("root").agg(*[F.sum(F.when(F.col("dim") == d, 1).otherwise(0)).alias(f"used_{d}") for d in DIMS])
+        used = used or ledger.groupBy("root").agg(*[F.sum(F.when(F.col("dim") == d, 1).otherwise(0)).alias(f"used_{d}") for d in DIMS])
+    if used is not None:
         limits = limits.join(used, "root", "left").select("root", *[(F.col(f"room_{d}") - F.coalesce(f"used_{d}", F.lit(0))).alias(f"room_{d}") for d in DIMS])
     marks = stream.select("root", "seq").distinct().select("root", "seq", F.lit(None).cast("string").alias("dim"), F.lit(None).cast("string").alias("fact_hash"))
     total = facts.groupBy("root").agg(*[F.count_distinct(F.when(F.col("dim") == d, F.col("fact_hash"))).alias(f"n_{d}") for d in DIMS])
     fits = reduce(Column.__and__, [F.coalesce(f"n_{d}", F.lit(0)) <= F.greatest(F.coalesce(f"room_{d}", F.lit(0)), F.lit(0)) for d in DIMS])
-    state = durable(marks.select("root").distinct().join(total, "root", "left").join(limits, "root", "left").select("root", fits.alias("free")))
-    free, bound = state.where("free").select("root"), state.where("not free").select("root")
+    state = durable(marks.select("root").distinct().join(total, "root", "left").join(limits, "root", "left").select("root", fits.alias("free"), reduce(Column.__add__, [F.coalesce(f"n_{d}", F.lit(0)) for d in DIMS]).alias("n")))
+    free, bound = state.where("free").select("root"), state.where("not free").select("root", (F.col("n") > folded).alias("large"))
     some = lambda d: F.sum(F.when(F.col("dim") == d, F.col("charged"))).alias(f"charged_{d}")
     easy = charges(facts.join(free, "root", "left_semi")).groupBy("root", "seq").agg(*[some(d) for d in DIMS])
     easy = marks.select("root", "seq").join(free, "root", "left_semi").join(easy, ["root", "seq"], "left").select("root", "seq", F.lit(True).alias("accepted"), *[F.coalesce(f"charged_{d}", F.lit(0)).cast("long").alias(f"charged_{d}") for d in DIMS])
-    rows = facts.unionByName(marks).join(bound, "root", "left_semi").join(limits, "root", "left").select("root", "seq", "dim", "fact_hash", *[F.coalesce(f"room_{d}", F.lit(0)).cast("long").alias(f"room_{d}") for d in DIMS])
+    rooms = bound.join(limits, "root", "left").select("root", "large", *[F.coalesce(f"room_{d}", F.lit(0)).cast("long").alias(f"room_{d}") for d in DIMS])
+    out = easy
+    for large, decide in ((False, in_order), (True, in_rounds)):
+        own = durable(rooms.where(F.col("large") == large).drop("large"))
+        if not own.isEmpty():
+            out = out.unionByName(decide(facts.join(own, "root", "left_semi"), marks.select("root", "seq").join(own, "root", "left_semi"), own))
+    return out
+
+
+def in_rounds(facts: DataFrame, requests: DataFrame, rooms: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Decides requests (root, seq) of new facts (root, seq, dim, fact_hash) in order of seq, as ``settle`` does, without folding them.
+
+    A round takes all open requests for accepted and charges each fact to the first of them that shows it, by grouped
+    minima. Before the first request of a root that would pass a cap nothing was refused, so all these are settled as
+    charged; that one is refused. Later ones learn no more than this assumes, so none can be charged less: those that
+    would not fit even so in what the settled ones have left are refused with it. What was learned and what the refused
+    showed is dropped, and the rest goes on. A root's running sums are over three numbers a request; its facts are
+    never together. Roots that stay open after so many rounds are folded in order.
+    """
+    left, open_, rooms, done = durable(facts), durable(requests), rooms, []
+    sum_of = lambda d: F.coalesce(F.sum(F.when(F.col("dim") == d, F.col("n"))), F.lit(0)).cast("long").alias(f"new_{d}")
+    for _ in range(rounds):
+        first = durable(left.groupBy("root", "dim", "fact_hash").agg(F.min("seq").alias("seq")))
+        new = first.groupBy("root", "seq", "dim").agg(F.count("*").alias("n")).groupBy("root", "seq").agg(*[sum_of(d) for d in DIMS])
+        each = open_.join(new, ["root", "seq"], "left").join(rooms, "root").na.fill(0, [f"new_{d}" for d in DIMS])
+        upto = Window.partitionBy("root").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        each = each.select("*", *[F.sum(f"new_{d}").over(upto).alias(f"sum_{d}") for d in DIMS])
+        passes = reduce(Column.__or__, [(F.col(f"new_{d}") > 0) & (F.col(f"sum_{d}") > F.col(f"room_{d}")) for d in DIMS])
+        each = durable(each.withColumn("passes", passes))
+        stops = each.where("passes").groupBy("root").agg(F.min("seq").alias("stop"))
+        each = each.join(stops, "root", "left")
+        before = F.col("stop").isNull() | (F.col("seq") < F.col("stop"))
+        spent = each.where(before).groupBy("root").agg(*[F.sum(f"new_{d}").alias(f"spent_{d}") for d in DIMS])
+        each = each.join(spent, "root", "left").na.fill(0, [f"spent_{d}" for d in DIMS])
+        hopeless = reduce(Column.__or__, [(F.col(f"new_{d}") > 0) & (F.col(f"new_{d}") > F.col(f"room_{d}") - F.col(f"spent_{d}")) for d in DIMS])
+        state = F.when(before, "accepted").when((F.col("seq") == F.col("stop")) | hopeless, "refused").otherwise("open")
+        each = durable(each.withColumn("state", state))
+        done.append(each.where("state <> 'open'").select("root", "seq", (F.col("state") == "accepted").alias("accepted"), *[F.when(F.col("state") == "accepted", F.col(f"new_{d}")).otherwise(0).cast("long").alias(f"charged_{d}") for d in DIMS]))
+        open_ = each.where("state = 'open'")
+        rooms = open_.select("root", *[(F.col(f"room_{d}") - F.col(f"spent_{d}")).alias(f"room_{d}") for d in DIMS]).distinct()
+        open_ = open_.select("root", "seq")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        learned_ = first.join(stops, "root").where("seq < stop").select("root", "dim", "fact_hash")
+        left = durable(left.join(open_, ["root", "seq"], "left_semi").join(learned_, ["root", "dim", "fact_hash"], "left_anti"))
+    return reduce(DataFrame.unionByName, [*done, in_order(left, open_, rooms)])
+
+
+def in_order(facts: DataFrame, requests: DataFrame, rooms: DataFrame) -> DataFrame:
+    """The same decisions by a fold: rows are dealt by root, sorted by the shuffle, and streamed through a task that holds
+    the facts the root has learned, never more than its rooms, and those of one request."""
+    marks = requests.select("root", "seq", F.lit(None).cast("string").alias("dim"), F.lit(None).cast("string").alias("fact_hash"))
+    rows = facts.select("root", "seq", "dim", "fact_hash").unionByName(marks).join(rooms, "root")
     # by a hash of the root: a repartition by what a join has dealt by already would be dropped, and the join may be broadcast
-    dealt = rows.withColumn("__deal", F.xxhash64("root")).repartition("__deal")
-    kinds = {c: dict(stream.dtypes)[c] for c in ("root", "seq")}
+    dealt = rows.select("root", "seq", "dim", "fact_hash", *[f"room_{d}" for d in DIMS]).withColumn("__deal", F.xxhash64("root")).repartition("__deal")
+    kinds = {c: dict(requests.dtypes)[c] for c in ("root", "seq")}
     schema = f"root {kinds['root']}, seq {kinds['seq']}, accepted boolean, " + ", ".join(f"charged_{d} long" for d in DIMS)
-    return easy.unionByName(dealt.sortWithinPartitions("root", "seq").select(rows.columns).mapInArrow(_fold, schema))
+    return dealt.sortWithinPartitions("root", "seq").drop("__deal").mapInArrow(_fold, schema)
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.wide import check_allowed
 from ..plans.build import apply_filter, scope_filters
-from ..plans.plan import Filter, Plan, PlanError
+from ..plans.plan import Aggregate, Filter, Plan, PlanError
 from .products import PRODUCTS, scan
+from .statements import FUNCTIONS as FUNCTIONS_ALLOWED
+from .statements import check_shape, parsed
 
 #: Views that may stand on one another.
 DEEPEST = 16
@@ -27,9 +29,14 @@ def scoped_view(spark: SparkSession, sf_dir: str, product: str, columns: tuple[s
     held = reduce(lambda d, f: apply_filter(d, plan, f), scope_filters(plan, scope), scan(spark, sf_dir, product))
     out = held.select([F.col(f"{product}__{c}").alias(c) for c in columns])
     out.createOrReplaceTempView(view)
+    _held.add(view.lower())
     return out
 
 
+#: Names of the views that ``scoped_view`` has made.
+_held: set[str] = set()
+
+
 def functions_of(spark: SparkSession, sql: str) -> list[str]:
     """The functions that a statement names, as Spark's own parser reads it; the statement isn't analysed or run."""
     parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
@@ -37,7 +44,11 @@ def functions_of(spark: SparkSession, sql: str) -> list[str]:
 
 
 def run_scoped(spark: SparkSession, sql: str, most: int, granted: tuple[str, ...] = ()) -> DataFrame:
-    """A statement over scoped views: its functions must be allowed, and at most ``most`` rows come."""
+    """A statement over scoped views: a query of known nodes over these views and nothing else, of allowed functions; at most ``most`` rows come.
+
+    ``statements.authorize`` also follows which product each value comes from, in a session of its own.
+    """
+    check_shape(parsed(spark, sql), frozenset(_held), FUNCTIONS_ALLOWED | {f.lower() for f in granted})
     check_allowed([f.lower() for f in functions_of(spark, sql)], granted)
     return spark.sql(sql).limit(most)
 
@@ -112,6 +123,39 @@ def query_view(spark: SparkSession, sf_dir: str, views: dict[str, View], top: st
     return applied(compiled(spark, sf_dir, views, top), replace(question, source=top))
 
 
+def composed(views: dict[str, View], top: str, question: View) -> Plan:
+    """A question over a view as a plan over the product below: its facts name base rows and cells, however many levels lie between.
+
+    Levels are composed from the product upwards. What a level filters by testifies for every row above it. A level
+    that aggregates is a barrier: what stands above it may pick its groups' keys and values, whose facts are derived ones
+    of the base rows that took part.
+    """
+    levels = [*stack(views, top), replace(question, source=top)]
+    product = levels[0].source if len(levels) > 1 else top
+    role = lambda c: c if c == "*" else f"{product}.{c}"
+    seen: tuple[str, ...] = tuple(PRODUCTS[product].columns)
+    filters: list[Filter] = []
+    keys: tuple[str, ...] = ()
+    made: dict[str, Aggregate] = {}
+    for v in levels:
+        used = (*v.columns, *v.group_by, *(f.column for f in v.filters), *(c for _, c, _ in v.aggregates if c != "*"))
+        lost = [c for c in used if c not in seen]
+        if lost:
+            raise PlanError(f"{v.name}: {lost[0]} is not visible")
+        if made and (v.filters or v.aggregates):
+            raise PlanError(f"{v.name}: only columns can be picked above an aggregate")
+        filters += [replace(f, column=role(f.column)) for f in v.filters]
+        if v.aggregates:
+            keys, made = v.group_by, {n: Aggregate(f, role(c), n) for f, c, n in v.aggregates}
+            seen = (*keys, *made)
+        else:
+            seen = v.columns
+    if made and not any(c in made for c in seen):
+        raise PlanError(f"{top}: at least one aggregate must be picked")
+    plain = tuple(role(c) for c in seen if c not in made)
+    return Plan({product: product}, plain, filters=tuple(filters), group_by=tuple(map(role, keys)), aggregates=tuple(made[c] for c in seen if c in made))
+
+
 def lineage(views: dict[str, View], top: str, column: str) -> list[str]:
     """The product columns that a view's column is made of, filters included, found by composing the levels."""
     levels, wanted = stack(views, top), {column}

@@ -117,3 +117,29 @@ def test_quantiles_interpolate(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     r = stats.quantiles(df, [], "x", [0.25, 0.95]).first()
     assert (round(r.p25, 9), round(r.p95, 9)) == (round(float(np.quantile(values, 0.25)), 9), round(float(np.quantile(values, 0.95)), 9))
+
+
+@pytest.mark.parametrize("rounds", [1, 12])
+def test_one_root_with_all_requests(spark, monkeypatch, rounds):
+    """A hot root is settled in rounds, and by the fold where rounds run out."""
+    monkeypatch.setattr(ledger.in_rounds, "__defaults__", (rounds,))
+    draw = random.Random(rounds)
+    rows = [("a", draw.randrange(200), draw.choice(ledger.DIMS), f"f{int(draw.expovariate(0.01))}") for _ in range(2000)]
+    caps = {"a": (60, 90, 200)}
+    c = spark.createDataFrame([(k, *v) for k, v in caps.items()], CAPS)
+    got = sorted(tuple(r) for r in ledger.settle(spark.createDataFrame(rows, STREAM).repartition(3), c, folded=0).collect())
+    assert got == sequential(rows, caps)
+    assert 0 < sum(r[2] for r in got) < len(got)
+
+
+def test_batches_read_what_they_touch(spark, tmp_path):
+    """The rows that a batch reads of the stored ledger don't grow with the batches before it."""
+    c = spark.createDataFrame([("a", 10**6, 10**6, 10**6)], CAPS)
+    for k in range(4):
+        rows = [("a", k, "release", f"f{k}-{j}") for j in range(300 if k < 3 else 20)] + [("a", k, "influence", "f0-1")]
+        spark.createDataFrame(rows, STREAM).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        novelty.settle_batches(spark.readStream.schema(STREAM).parquet(f"{tmp_path}/in"), c, f"{tmp_path}/book", f"{tmp_path}/checkpoint", 4).awaitTermination()
+    changes = [r.asDict() for r in spark.read.parquet(f"{tmp_path}/book/changes").orderBy("batch").collect()]
+    assert [r["new"] for r in changes] == [301, 300, 300, 20]
+    assert changes[3]["read"] <= 4 * 21 and changes[3]["leaves"] <= 8 * 21
+    assert spark.read.parquet(f"{tmp_path}/book/settled").agg({"charged_release": "sum"}).first()[0] == 920

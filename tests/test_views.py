@@ -118,3 +118,29 @@ def test_bootstrap_against_a_loop(spark):
         at = [(x - (1 << 64) if x >> 63 else x) % len(values) for x in at]
         medians.append(np.median([ordered[k] for k in at]))
     assert np.allclose(tuple(got.first()), (np.quantile(medians, 0.025), np.quantile(medians, 0.975)))
+
+
+def test_literals_are_compared_as_values():
+    ask = lambda c, v, op="=": Plan(O, ("orders.o_orderkey",), filters=(Filter(f"orders.{c}", op, v),))
+    same = [("o_totalprice", (50000, "50000.00", "5E4", "050000.0")), ("o_orderdate", ("1995-01-01", "1995-01-01T00:00:00")), ("o_orderkey", (7, "7", "007"))]
+    for column, values in same:
+        assert len({footprint.plan_text(ask(column, v)) for v in values}) == len({tuple(footprint.atoms_of(ask(column, v))) for v in values}) == 1
+    assert len({footprint.plan_text(ask("o_orderstatus", v)) for v in ("7", "7.0", "null", None)}) == 4
+    assert footprint.plan_text(ask("o_totalprice", (1, "1.0", 2), "in")) == footprint.plan_text(ask("o_totalprice", ("2.00", 1), "in"))
+
+
+def test_null_literals_in_a_log(spark):
+    schema = "query_id long, filters array<struct<col: string, op: string, values: array<string>>>"
+    log = spark.createDataFrame([(1, [("c", "=", [None])]), (2, [("c", "=", ["null"])]), (3, [("c", "=", ["1.0"])]), (4, [("c", "=", ["1"])])], schema)
+    sets = {r.query_id: r.digest for r in footprint.log_predicate_sets(log).collect()}
+    assert len(set(sets.values())) == 4 and all(sets.values())
+    sets = {r.query_id: r.digest for r in footprint.log_predicate_sets(footprint.typed(log, {"c": "decimal(9,2)"})).collect()}
+    assert sets[3] == sets[4] and len(set(sets.values())) == 3
+
+
+def test_questions_over_views_that_are_refused():
+    v = {"a": View("a", "orders", ("o_orderkey", "o_custkey")), "g": View("g", "a", group_by=("o_custkey",), aggregates=(("count", "*", "n"),))}
+    assert views.composed(v, "a", View("q", "", ("o_orderkey",))).columns == ("orders.o_orderkey",)
+    for top, q in (("a", View("q", "", ("o_totalprice",))), ("g", View("q", "", ("n",), (Filter("n", ">", 2),))), ("g", View("q", "", ("o_custkey",))), ("g", View("q", "", ("o_orderkey",)))):
+        with pytest.raises(PlanError):
+            views.composed(v, top, q)
