@@ -81,6 +81,15 @@ def bundle(plan: Plan) -> str:
     return "|".join(sorted(f"{PRODUCTS[p].namespace}@{PRODUCTS[p].snapshot}" for p in plan.sources.values()))
 
 
+def influence_columns(plan: Plan) -> dict[str, list[str | None]]:
+    """By role, the row (None) and the columns whose cells a result depends on."""
+    parts = row_witness(plan)
+    union = [f.column for b in plan.union for f in b]
+    for c in [*plan.columns, *plan.distinct_on, *plan.group_by, *[a.column for a in plan.aggregates if a.column != "*"], *union]:
+        parts[role_of(c)].append(c)
+    return parts
+
+
 def influence(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
     """(fact_hash): base rows and cells that took part in any delivered row, group or distinct row.
 
@@ -88,10 +97,7 @@ def influence(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, obj
     by their evidence, and are joined once for all sources.
     """
     proofs = paged_provenance(spark, sf_dir, plan, scope)
-    parts = row_witness(plan)
-    union = [f.column for b in plan.union for f in b]
-    for c in [*plan.columns, *plan.distinct_on, *plan.group_by, *[a.column for a in plan.aggregates if a.column != "*"], *union]:
-        parts[role_of(c)].append(c)
+    parts = influence_columns(plan)
     wanted = {role: [("", c) for c in dict.fromkeys(cols)] for role, cols in parts.items()}
     once = by_source(proofs, plan, wanted, []).distinct()
     return once.select("namespace", "snapshot", "key", F.explode("cells").alias("c")).select(fact_of().alias("fact_hash")).distinct()

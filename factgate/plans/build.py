@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,10 @@ from .plan import Filter, Plan, Rule, join_order, output_type, validate
 LONG_LIST = 200
 
 
+#: Scans a product under a role: (session, place, product, role).
+Reader = Callable[[SparkSession, str, str, str], DataFrame]
+
+
 def name(column: str) -> str:
     return column.replace(".", "__")
 
@@ -69,12 +74,15 @@ def scope_filters(plan: Plan, scope: dict[str, object]) -> list[Filter]:
     return out
 
 
-def joined(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
-    """Scanned, scoped, filtered and joined rows with every column and key; Catalyst prunes and pushes down."""
+def joined(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None, read: Reader = scan) -> DataFrame:
+    """Scanned, scoped, filtered and joined rows with every column and key; Catalyst prunes and pushes down.
+
+    ``read`` scans a product under a role; ``sf_dir`` is whatever it reads from.
+    """
     leaf = [f for f in plan.filters if f.leaf] + scope_filters(plan, scope or {})
     frames = {}
     for role, product in plan.sources.items():
-        df = scan(spark, sf_dir, product, role)
+        df = read(spark, sf_dir, product, role)
         frames[role] = reduce(lambda d, f: apply_filter(d, plan, f), [f for f in leaf if f.column.startswith(role + ".")], df)
     order = join_order(plan)
     df = frames[order[0][0]]
@@ -83,11 +91,11 @@ def joined(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object
     return reduce(lambda d, f: apply_filter(d, plan, f), [f for f in plan.filters if not f.leaf], df)
 
 
-def provenance(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
-    """One row per proof: keys and evidence columns of every source, without aggregation; with ``branch`` for a union."""
+def provenance(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None, read: Reader = scan, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per proof: keys (and ``more`` that the reader gives of each source) and evidence columns, without aggregation; with ``branch`` for a union."""
     validate(plan)
-    df = joined(spark, sf_dir, plan, scope)
-    keep = [f"{r}__key" for r in plan.sources] + [name(c) for c in evidence(plan)]
+    df = joined(spark, sf_dir, plan, scope, read)
+    keep = [f"{r}__{c}" for r in plan.sources for c in ("key", *more)] + [name(c) for c in evidence(plan)]
     if plan.union:
         parts = [reduce(lambda d, f: apply_filter(d, plan, f), branch, df).select(*keep, F.lit(k).alias("branch")) for k, branch in enumerate(plan.branches)]
         return reduce(DataFrame.unionByName, parts)
@@ -154,16 +162,16 @@ def page(df: DataFrame, plan: Plan, keys: list[str]) -> DataFrame:
     return df.limit(plan.limit) if plan.limit else df
 
 
-def paged_provenance(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
+def paged_provenance(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None, read: Reader = scan, more: tuple[str, ...] = ()) -> DataFrame:
     """Provenance of what a page delivers only: its rows, groups or distinct rows are found first, then the proofs semi-joined.
 
     Nulls are equal here, as they are in groups. A global aggregate is one row, which an offset passes over.
     """
     validate(plan)
-    proofs = provenance(spark, sf_dir, plan, scope)
+    proofs = provenance(spark, sf_dir, plan, scope, read, more)
     if not (plan.limit or plan.offset):
         return proofs
-    df, keys = results(joined(spark, sf_dir, plan, scope), plan)
+    df, keys = results(joined(spark, sf_dir, plan, scope, read), plan)
     if not keys:
         return proofs.where(F.lit(not plan.offset))
     held = page(df, plan, keys).select([F.col(k).alias(f"__{k}") for k in keys])
