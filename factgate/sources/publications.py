@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest
-from ..operators.stats import content_digest
+from ..operators.digest import set_digest
+from ..operators.stats import content_digest, row_hash
 from .products import Product, entity_key
 
 
@@ -32,10 +34,17 @@ def preview(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
     return read_page(spark, path, 0, min(limit, 100))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A few rows that are looked at twice."""
+    from ..streaming.shared import durable
+
+    return durable(df)
+
+
 def bounded(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
     """At most ``most`` rows and whether there were more."""
-    held = df.limit(most + 1)
-    return df.limit(most), held.count() > most
+    held = kept(df.limit(most + 1))  # one more than asked for, so that the query runs once
+    return held.limit(most), held.count() > most
 
 
 def publish(df: DataFrame, key: str, base: str, name: str, snapshot: str) -> None:
@@ -55,29 +64,79 @@ def published(spark: SparkSession, base: str, name: str, snapshot: str) -> DataF
     return spark.read.parquet(f"{path}/rows")
 
 
-def publish_indexed(df: DataFrame, p: Product, base: str, snapshot: str) -> None:
+#: Rows of a shard of a published part.
+SHARD_ROWS = 1 << 20
+PARTS = ("hot", "cold", "sidecar")
+
+
+def publish_indexed(df: DataFrame, p: Product, base: str, snapshot: str, shard_rows: int = SHARD_ROWS) -> None:
     """An immutable version with its index: what settlement needs apart from what decoding needs.
 
     ``cold`` has the rows by ordinal, ``hot`` the ordinals of row facts in folders by hash prefix, so that a lookup reads
-    only those of its hashes, and ``sidecar`` the entity key of every row handle. The manifest comes last: a version
-    without one, from a writer that was cut off, isn't there for readers.
+    only those of its hashes, and ``sidecar`` the entity key of every row handle. Prefixes are as long as the number of rows
+    asks for, the other parts are sharded by ranges of ordinals of the same size. Every shard of every part is attested
+    (``attested``), and the manifest binds all of them.
+
+    All of it is written under a name of its own and renamed at the end, in one step of the file system: a writer that is
+    cut off leaves no version behind, and one that comes second fails.
     """
     from ..operators.snapshots import hot_and_cold, numbered
 
-    path = f"{base}/{p.name}/snapshot={snapshot}"
+    spark, path = df.sparkSession, f"{base}/{p.name}/snapshot={snapshot}"
+    stage = f"{base}/staged-{uuid.uuid4().hex}"
     rows = df.withColumn("entity_key", entity_key(p)).withColumn("fact_hash", digest("row", p.namespace, snapshot, F.col("entity_key")))
     hot, cold = hot_and_cold(numbered(rows, ["fact_hash"]))
-    cold.drop("entity_key").write.mode("errorifexists").parquet(f"{path}/cold")
-    hot.withColumn("prefix", F.substring("fact_hash", 1, 1)).repartition("prefix").write.mode("errorifexists").partitionBy("prefix").parquet(f"{path}/hot")
-    cold.select(F.col("ordinal").alias("handle"), "entity_key").write.mode("errorifexists").parquet(f"{path}/sidecar")
-    content = content_digest(df.sparkSession.read.parquet(f"{path}/sidecar"))
-    manifest = content.select(F.lit(p.name).alias("name"), F.lit(snapshot).alias("snapshot"), F.col("n").alias("rows"), F.col("digest").alias("content_digest"))
-    manifest.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
+    shard = F.floor(F.col("ordinal") / shard_rows).cast("string").alias("shard")
+    cold.select("*", shard).drop("entity_key").repartitionByRange("ordinal").write.partitionBy("shard").parquet(f"{stage}/cold")
+    count, depth = spark.read.parquet(f"{stage}/cold").count(), 1
+    while count > shard_rows << (4 * depth):
+        depth += 1
+    hot.withColumn("prefix", F.substring("fact_hash", 1, depth)).repartitionByRange("prefix", "fact_hash").write.partitionBy("prefix").parquet(f"{stage}/hot")
+    cold.select(F.col("ordinal").alias("handle"), "entity_key", shard).repartitionByRange("handle").write.partitionBy("shard").parquet(f"{stage}/sidecar")
+    attested(spark, stage, snapshot).write.parquet(f"{stage}/shards")
+    shards = spark.read.parquet(f"{stage}/shards")
+    whole = set_digest(shards.select(digest(F.col("part"), F.col("shard"), F.col("n").cast("string"), F.col("digest")).alias("h")), "h")
+    manifest = whole.select(F.lit(p.name).alias("name"), F.lit(snapshot).alias("snapshot"), F.lit(count).cast("long").alias("rows"), F.lit(depth).alias("depth"), F.col("digest").alias("content_digest"))
+    manifest.coalesce(1).write.parquet(f"{stage}/manifest")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    source, target = jvm.Path(stage), jvm.Path(path)
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(source, target):
+        fs.delete(source, True)
+        raise FileExistsError(f"{p.name} has a version {snapshot} already")
+
+
+def stored(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """A part's rows with ``shard``, the folder that they stand in, as text."""
+    kinds = {"hot": "ordinal long, fact_hash string, prefix string", "sidecar": "handle long, entity_key string, shard string"}
+    rows = (spark.read.schema(kinds[part]) if part in kinds else spark.read).parquet(f"{path}/{part}")
+    return rows.withColumn("shard", F.col("prefix" if part == "hot" else "shard").cast("string"))
+
+
+def attested(spark: SparkSession, path: str, snapshot: str) -> DataFrame:
+    """(part, shard, n, digest): the rows of every shard of a version as they are now."""
+    out = None
+    for part in PARTS:
+        rows = stored(spark, path, part)
+        each = set_digest(rows.select("shard", digest(part, snapshot, row_hash(rows, "shard")).alias("h")), "h", ["shard"]).select(F.lit(part).alias("part"), "shard", "n", "digest")
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+def tampered(spark: SparkSession, base: str, p: Product, snapshot: str) -> DataFrame:
+    """(part, shard) of a version that is not as it was published; part 'manifest' if the record of the shards itself was changed."""
+    path = f"{base}/{p.name}/snapshot={snapshot}"
+    shards = spark.read.parquet(f"{path}/shards")
+    now = attested(spark, path, snapshot).select("part", "shard", F.col("n").alias("m"), F.col("digest").alias("d"))
+    bad = shards.join(now, ["part", "shard"], "full").where("n is null or m is null or n <> m or digest <> d").select("part", "shard")
+    whole = set_digest(shards.select(digest(F.col("part"), F.col("shard"), F.col("n").cast("string"), F.col("digest")).alias("h")), "h").select(F.col("digest").alias("w"))
+    manifest = spark.read.parquet(f"{path}/manifest").join(whole, F.col("content_digest") == F.col("w"), "left_anti")
+    return bad.unionByName(manifest.select(F.lit("manifest").alias("part"), F.lit("").alias("shard")))
 
 
 def indexed(spark: SparkSession, base: str, p: Product, snapshot: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(hot, cold, sidecar) of a finished version; raises if it has no manifest."""
+    """(hot, cold, sidecar) of a finished version; raises if it has no manifest. ``hot`` has a ``prefix``, as many digits as the manifest's ``depth``."""
     path = f"{base}/{p.name}/snapshot={snapshot}"
     spark.read.parquet(f"{path}/manifest")
-    hot = spark.read.schema("ordinal long, fact_hash string, prefix string").parquet(f"{path}/hot")
-    return hot, spark.read.parquet(f"{path}/cold"), spark.read.parquet(f"{path}/sidecar")
+    return stored(spark, path, "hot").drop("shard"), stored(spark, path, "cold").drop("shard"), stored(spark, path, "sidecar").drop("shard")
