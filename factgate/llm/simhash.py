@@ -178,10 +178,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows that ``found`` (doc_id, h) names, h being the hash of the text; of equal ones one, and all without doc_id."""
-    found = found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    rows = docs.where("doc_id is not null").select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text"))
-    rows = rows.join(found, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text") == F.col("__h")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(docs.where("doc_id is null"))
+    found = found.select(F.struct(F.col("doc_id").cast("long").alias("id"), "h").alias("k")).distinct()
+    # the columns of documents, whatever their names, travel in one of their own, so that helper columns clash with none
+    rows = docs.where("doc_id is not null").select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(found, "k", "left_semi").dropDuplicates(["k"]).select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def keep_one_each(docs: DataFrame, size: int = 5, bits: int = 2) -> DataFrame:

@@ -114,3 +114,12 @@ def test_shared_bytes_are_counted(spark):
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
     assert df.where(simhash.shared_bytes("a", "b") != F.col("n")).count() == 0
     assert 50 <= simhash.least_shared(0.8) <= 60
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", "x", 5, "p", "q"), (2, "a b c d e f g", "y", 6, None, "q"), (3, "other words here that stand for themselves", "z", 7, "p", "q"), (None, "a b c d e f g", "w", 8, "p", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, __h int, `k` string, `row` string").withColumnRenamed("row", "a.b")
+    for keep in (simhash.keep_one_each, simhash.keep_one_alike):
+        got = keep(docs)
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], rows[2], rows[3]], key=repr)
