@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..streaming.shared import durable
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """Rows numbered from 0 in the order of the columns, without a sort in one task. Nulls come first.
 
@@ -57,8 +59,9 @@ def cardinality(pages: DataFrame) -> DataFrame:
 
 def novelty(candidate: DataFrame, history: DataFrame) -> DataFrame:
     """How many ordinals of the candidate the history lacks: what the union has more than the history."""
-    both = bitmap_union(candidate, history)
-    return both.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("u")).crossJoin(cardinality(history)).select((F.col("u") - F.col("n")).alias("novel"))
+    both = candidate.select("bucket", "bits", F.lit(0).cast("long").alias("known")).unionByName(history.select("bucket", "bits", F.bitmap_count("bits").alias("known")))
+    page = both.groupBy("bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("u"), F.sum("known").alias("n"))
+    return page.agg(F.coalesce(F.sum(F.col("u") - F.col("n")), F.lit(0)).alias("novel"))
 
 
 def contains(pages: DataFrame, refs: DataFrame) -> DataFrame:
