@@ -91,6 +91,8 @@ def settle(stream: DataFrame, caps: DataFrame, ledger: DataFrame | None = None,
     easy = marks.select("root", "seq").join(free, "root", "left_semi").join(easy, ["root", "seq"], "left").select("root", "seq", F.lit(True).alias("accepted"), *[F.coalesce(f"charged_{d}", F.lit(0)).cast("long").alias(f"charged_{d}") for d in DIMS])
     rooms = bound.join(limits, "root", "left").select("root", "large", *[F.coalesce(f"room_{d}", F.lit(0)).cast("long").alias(f"room_{d}") for d in DIMS])
     out = easy
+    if bound.isEmpty():
+        return out
     for large, decide in ((False, in_order), (True, in_rounds)):
         own = durable(rooms.where(F.col("large") == large).drop("large"))
         if not own.isEmpty():
