@@ -209,6 +209,9 @@ MISSED = 1e-6
 ALL_PAIRS = 16
 #: Members of a longer list that all its others are compared with in the first round, and how many times more in each later one.
 PIVOTS, MORE = 8, 4
+#: Members, and pivots, of a list that one task compares; shingles of pivots, and cells of a 0-1 matrix, that it holds at once.
+MEMBERS, TAKEN = 1024, 512
+SHINGLES, CELLS = 1 << 16, 1 << 23
 #: Buckets of the filter for sets that stand in a list.
 FILTER = 1 << 22
 _draw = np.random.default_rng(SEED)
@@ -322,11 +325,13 @@ def shingle_sets(docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
 
 
 def rarest(names: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(name, n, bands): the sets that ``names`` lists with those of their rarest shingles of which two alike share one.
+    """(key, name, n, at, m): the sets that ``names`` lists by those of their rarest shingles of which two alike share one.
 
     Sets of similarity J or more differ in so few shingles that, whatever the order of shingles, they share one of the
-    first n - J * n + 1 of each. Rarest first, what very many texts share comes last and is left out, and texts that
-    are not alike have enough of their own to share none. Counts are combined before the shuffle and stand on storage.
+    first n - J * n + 1 of each; the smaller of the two has it among its first n - 2J / (1 + J) * n + 1. Rarest first,
+    what very many texts share comes last and is left out, and texts that are not alike have enough of their own to
+    share none. ``at`` is the shingle's place, m the length of its list; lists in which nothing stands early enough are
+    left out, as is what is too late or too large for all that do. Counts are combined before the shuffle.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,11 +340,16 @@ def rarest(names: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             rows = np.repeat(batch.column(0).to_numpy(), np.diff(offsets) // 8)
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.frombuffer(data.tobytes(), np.int64))], ["name", "shingle"])
 
+    n, share = F.col("n"), similarity / (1 + similarity)
     each = sets.join(names.select("name").distinct(), "name", "left_semi").select("name", "shingles").mapInArrow(spread, "name long, shingle long")
     many = durable(each.groupBy("shingle").agg(F.count("*").alias("f")))
     held = each.join(many, "shingle").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("x")).withColumn("n", F.size("x").cast("long"))
-    first = F.slice("x", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
-    return durable(held.select("name", "n", F.transform(F.filter(first, lambda p: p["f"] > 1), lambda p: p["shingle"]).alias("bands")))
+    first = held.select("name", "n", F.posexplode(F.slice("x", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))).alias("at", "e")).where("e.f > 1")
+    posted = durable(first.select(F.col("e.shingle").alias("key"), "name", "n", "at", (F.col("at") <= n - F.ceil(2 * share * n - 1e-9)).alias("early")))
+    size = lambda f: f(F.when(F.col("early"), n))
+    lists = posted.groupBy("key").agg(F.count("*").alias("m"), size(F.min).alias("lo"), size(F.max).alias("hi")).where("m > 1 and lo is not null")
+    able = F.col("early") | ((n * similarity <= F.col("hi") + 1e-9) & (n - F.col("at") >= share * (n + F.col("lo")) - 1e-9))
+    return durable(posted.join(lists, "key").where(able).select("key", "name", "n", "at", "m"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -358,21 +368,84 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
 
 
-def pivot_pairs(state: DataFrame, used: DataFrame | None, many: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, na, b, nb) of a round over the long lists (key, name, n, component), and the (key, name) compared with all.
+def pivots(state: DataFrame, used: DataFrame | None, many: int) -> DataFrame:
+    """(key, parts, piece, name, n, at, component): members of long lists (key, name, n, at, component) to compare in a round.
 
     Only lists of several components have work left: up to ``many`` members outside of the list's largest component
-    that were not taken before are compared with all members of other components. When none is left, every two
-    members of different components have been compared.
+    that were not taken before. A list's members are compared in ``parts``, its pivots in pieces of TAKEN at most.
     """
-    sizes = state.groupBy("key", "component").agg(F.count("*").alias("n"))
-    open_ = durable(sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "component")).alias("most")).where("k > 1").select("key", F.col("most.component").alias("most")))
+    sizes = state.groupBy("key", "component").agg(F.count("*").alias("c"))
+    open_ = sizes.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("most")).where("k > 1")
+    open_ = durable(open_.select("key", F.ceil(F.col("m") / MEMBERS).cast("int").alias("parts"), F.col("most.component").alias("most")))
     rest = state.join(open_, "key").where("component != most")
     rest = rest.join(used, ["key", "name"], "left_anti") if used is not None else rest
-    taken = rest.groupBy("key", F.pmod(F.xxhash64("name"), F.lit(many)).alias("deal")).agg(F.min(F.struct("name", "n", "component")).alias("p"))
-    taken = durable(taken.select("key", F.col("p.name").alias("b"), F.col("p.n").alias("nb"), F.col("p.component").alias("of")))
-    pairs = state.join(taken, "key").where("component != of").select(F.col("name").alias("a"), F.col("n").alias("na"), "b", "nb")
-    return pairs, taken.select("key", F.col("b").alias("name"))
+    taken = rest.groupBy("key", "parts", F.pmod(F.xxhash64("name"), F.lit(many)).alias("deal")).agg(F.min(F.struct("name", "n", "at", "component")).alias("p"))
+    return durable(taken.select("key", "parts", F.floor(F.col("deal") / TAKEN).cast("int").alias("piece"), "p.*"))
+
+
+def pivot_links(state: DataFrame, taken: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): components of which a pivot and a member of one list are alike.
+
+    No pair is written: a task gets the shingles of a piece of a list's pivots, then streams a part of the list's members past
+    them, so what is shuffled is every member once a piece, not once a pair. Pairs in one component, or whose sizes or
+    places in the list rule the similarity out, are not looked at; those left are verified on whole sets, many at once, by a
+    product of 0-1 matrices.
+    """
+    rows = ["name", "n", "at", "component"]
+    pivot = taken.select("key", "piece", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), *rows)
+    member = state.join(taken.select("key", "parts", "piece").distinct(), "key").select("key", "piece", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), *rows)
+    both = pivot.unionByName(member).join(sets, "name").select(F.xxhash64("key", "piece", "part").alias("group"), "kind", "n", "at", "component", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in slices(batches, 5):
+            number = batch.column(0).to_numpy()
+            kind, n, at, of = (batch.column(k).to_numpy() for k in (1, 2, 3, 4))
+            shingle = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(5)]
+            links = set()
+            for k in np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))).tolist():
+                if number[k] != group:
+                    group, held = number[k], []
+                end = k + int(np.searchsorted(number[k:], number[k], "right"))
+                split = k + int(np.searchsorted(kind[k:end], 1))
+                held += [(n[i], at[i], of[i], shingle[i]) for i in range(k, split)]
+                if held and split < end:
+                    links |= met([(n[i], at[i], of[i], shingle[i]) for i in range(split, end)], held, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
+
+    return both.repartition("group").sortWithinPartitions("group", "kind").mapInArrow(run, "a long, b long").distinct()
+
+
+Member = tuple[int, int, int, np.ndarray]
+
+
+def met(members: list[Member], others: list[Member], similarity: float) -> set[tuple[int, int]]:
+    """Pairs of components that a member and another of one list link; each is (size, place in the list, component, shingles)."""
+    n, at, of = (np.array([x[k] for x in members], np.int64) for k in range(3))
+    m, to, at_ = (np.array([x[k] for x in others], np.int64) for k in (0, 2, 1))
+    least = np.ceil(similarity / (1 + similarity) * (n[:, None] + m) - 1e-9)
+    able = (of[:, None] != to) & (np.minimum(n[:, None], m) >= similarity * np.maximum(n[:, None], m) - 1e-9) & (np.minimum((n - at)[:, None], m - at_) >= least)
+    out, k = set(), 0
+    while k < len(others):  # so many others at once that their shingles stay within bounds
+        end = k + max(1, int(np.searchsorted(np.cumsum(m[k:]), SHINGLES, "right")))
+        rows = np.flatnonzero(able[:, k:end].any(1))
+        if len(rows):
+            tokens, place = np.unique(np.concatenate([x[3] for x in others[k:end]]), return_inverse=True)
+            theirs = np.zeros((len(tokens), end - k), np.float32)
+            theirs[place, np.repeat(np.arange(end - k), m[k:end])] = 1
+            step = max(1, CELLS // len(tokens))
+            for r in range(0, len(rows), step):
+                some = rows[r : r + step]
+                flat = np.concatenate([members[i][3] for i in some])
+                where = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+                hit = tokens[where] == flat
+                own = np.zeros((len(some), len(tokens)), np.float32)
+                own[np.repeat(np.arange(len(some)), n[some])[hit], where[hit]] = 1
+                shared = (own @ theirs).astype(np.float64)
+                i, j = np.nonzero(able[some, k:end] & (shared >= similarity * (n[some][:, None] + m[k:end] - shared)))
+                out |= set(zip(of[some][i].tolist(), to[k:end][j].tolist()))
+        k = end
+    return out
 
 
 def keep_one_alike(docs: DataFrame, size: int = 5, similarity: float = LEAST_SIMILARITY, bits: int = 2) -> DataFrame:
@@ -384,8 +457,8 @@ def keep_one_alike(docs: DataFrame, size: int = 5, similarity: float = LEAST_SIM
     bytes that a pair shares are tallied, pairs that reach the least for the similarity are verified on whole sets. A
     list of over ALL_PAIRS different sets is not paired up. Its members are listed again by their rarest shingles
     (``rarest``), which loses no pair; where such a list is long, too, members that its largest component has not
-    reached are compared with all others, ever more of them in each round, until every two are in one component or
-    were compared. So what can be missed is a pair that shares no band or too few bytes (chances at BANDS and MISSED), no more.
+    reached are compared with all others by blocks (``pivot_links``), ever more of them in each round, until every two
+    are in one component or were compared; only links between components are written. So what can be missed is a pair that shares no band or too few bytes (chances at BANDS and MISSED), no more.
 
     Rows as in ``keep_one_each``: different texts under one doc_id are judged each on its own, of repeated rows one
     stays, rows with null doc_id all stay; an empty table stays empty. Long texts count whole.
@@ -399,23 +472,28 @@ def keep_one_alike(docs: DataFrame, size: int = 5, similarity: float = LEAST_SIM
     pairs = durable(candidates(short_pairs(lists), sets, similarity))
     long_ = lists.where(F.col("m") > ALL_PAIRS).select("name").distinct()
     held = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(long_), size)
-    lists = lists_of(rarest(long_, held, similarity))
+    lists = rarest(long_, held, similarity)
     pairs = pairs.unionByName(candidates(short_pairs(lists), sets, similarity)).distinct()
-    long_ = lists.where(F.col("m") > ALL_PAIRS).select("key", "name", "n")
     # what repeats shingles may share a set and no fingerprint, or the other way round: documents link the two
     heads = marked.groupBy("fp").agg(F.min("name").alias("head"))
     same = marked.select("fp", "name").distinct().join(heads, "fp").select(F.col("head").alias("a"), F.col("name").alias("b"))
     near = near_fingerprints(heads, bits).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     names = components(alike(pairs, held, similarity).unionByName(same).unionByName(near)).withColumnRenamed("node", "name")
-    used, many = None, PIVOTS
-    while not long_.isEmpty():
-        state = durable(long_.join(names, "name", "left").withColumn("component", F.coalesce("component", "name")))
-        pairs, taken = pivot_pairs(state, used, many)
-        if taken.isEmpty():
-            break
-        found = alike(candidates(pairs, sets, similarity), held, similarity)
-        names = components(found.unionByName(names.select(F.col("name").alias("a"), F.col("component").alias("b")))).withColumnRenamed("node", "name")
-        used = taken if used is None else durable(used.unionByName(taken))
+    first = durable(lists.where(F.col("m") > ALL_PAIRS).join(names, "name", "left").select("key", "name", "n", "at", F.coalesce("component", "name").alias("component")))
+    state, used, found, roots, many = first, None, None, None, PIVOTS
+    while not (taken := pivots(state, used, many)).isEmpty():
+        new = pivot_links(state, taken, held, similarity)
+        found = durable(new if found is None else new.unionByName(found))
+        roots = components(found)
+        state = renamed(first, roots)
+        used = taken.select("key", "name") if used is None else used.unionByName(taken.select("key", "name"))
         many *= MORE
     classes = sets.select("name", "rep").join(names, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    classes = classes if roots is None else renamed(classes, roots)
     return one_of_each(docs, classes.groupBy("component").agg(F.min("rep").alias("rep")).where("rep is not null").select("rep.*"))
+
+
+def renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows with their ``component`` as what ``roots`` (node, component) makes of it."""
+    to = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return rows.join(to, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")

@@ -66,22 +66,64 @@ def test_against_all_pairs(docs, rows, none, spark, sf):
     assert {r.doc_id for r in simhash.keep_one_alike(table).collect()} == kept([(r.doc_id, r.text) for r in table.collect()])
 
 
-def test_a_long_list_gives_few_pairs(spark, monkeypatch):
+def test_a_long_list_gives_few_links(spark, monkeypatch):
+    """What a round writes is links between components, however many pairs its tasks look at."""
     monkeypatch.setattr(simhash, "ALL_PAIRS", 4)
     base = [f"w{k}" for k in range(400)]
     rows = [(i, " ".join([*base[: 3 * i], "edited", *base[3 * i + 1 :]])) for i in range(60)]
-    sets = simhash.marks(spark.createDataFrame(rows, "doc_id long, text string"), 5)
-    lists = simhash.lists_of(sets)
-    state = lists.where(F.col("m") > 4).select("key", "name", "n", F.col("name").alias("component"))
-    pairs, _ = simhash.pivot_pairs(state, None, simhash.PIVOTS)
-    assert simhash.candidates(pairs.unionByName(simhash.short_pairs(lists)), sets, 0.8).count() <= 60 * simhash.BANDS
-    assert [r.doc_id for r in simhash.keep_one_alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = simhash.marks(docs, 5)
+    held = simhash.shingle_sets(docs, sets.select("name"), 5)
+    lists = simhash.rarest(sets.select("name"), held, 0.8)
+    state = lists.where(F.col("m") > 4).select("key", "name", "n", "at", F.lit(1).cast("long").alias("component"))
+    assert simhash.pivots(state, None, simhash.PIVOTS).isEmpty()
+    state = state.withColumn("component", F.pmod("name", F.lit(2)))
+    taken = simhash.pivots(state, None, simhash.PIVOTS)
+    assert {tuple(sorted(r)) for r in simhash.pivot_links(state, taken, held, 0.8).collect()} == {(0, 1)}
+    assert [r.doc_id for r in simhash.keep_one_alike(docs).collect()] == [0]
+
+
+def test_links_of_blocks_are_those_of_all_pairs(monkeypatch):
+    """Members and pivots of many sizes, in small blocks, against sets compared one by one."""
+    draw = np.random.default_rng(4)
+    base = np.sort(draw.choice(1 << 40, 90, replace=False).astype(np.uint64))
+    own = lambda: np.unique(np.concatenate([draw.choice(base, int(draw.integers(40, 90)), replace=False), draw.integers(1 << 41, 1 << 42, int(draw.integers(0, 12))).astype(np.uint64)]))
+    rows = [(len(s), 0, c, s) for c, s in enumerate(own() for _ in range(120))]
+    want = {(a[2], b[2]) for a in rows[:90] for b in rows[60:] if a[2] != b[2] and 10 * len(np.intersect1d(a[3], b[3])) >= 8 * len(np.union1d(a[3], b[3]))}
+    assert 20 < len(want)
+    for shingles, cells in ((1 << 16, 1 << 23), (100, 1000), (1, 1)):
+        monkeypatch.setattr(simhash, "SHINGLES", shingles)
+        monkeypatch.setattr(simhash, "CELLS", cells)
+        assert simhash.met(rows[:90], rows[60:], 0.8) == want
+
+
+def test_recall_of_planted_pairs(spark):
+    """1,200 pairs alike at 0.8 to 0.95: every one is found, and texts alike at less than 0.75 stay apart."""
+    draw = random.Random(9)
+    say = lambda n: [f"w{draw.randrange(20000)}" for _ in range(n)]
+    rows, alike = [], 0
+    while alike < 1200:
+        words = say(draw.randrange(60, 160))
+        other = list(words)
+        for _ in range(draw.randrange(1, 4)):
+            other[draw.randrange(len(words))] = "edited"
+        s, t = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+        if 0.8 <= len(s & t) / len(s | t) <= 0.95:
+            rows += [(2 * alike, " ".join(words)), (2 * alike + 1, " ".join(other))]
+            alike += 1
+    for k in range(100):
+        words = say(60)
+        rows += [(100_000 + 2 * k, " ".join(words)), (100_001 + 2 * k, " ".join(words[:45] + say(15)))]
+    got = {r.doc_id for r in simhash.keep_one_alike(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {2 * k for k in range(1200)} | {100_000 + k for k in range(200)}
 
 
 def test_long_lists_lose_no_link(spark, monkeypatch):
     """A chain of texts, each like its neighbours only, whose lists are all long, and many texts that share half of theirs."""
     monkeypatch.setattr(simhash, "ALL_PAIRS", 2)
     monkeypatch.setattr(simhash, "PIVOTS", 1)
+    monkeypatch.setattr(simhash, "MEMBERS", 8)
+    monkeypatch.setattr(simhash, "TAKEN", 3)
     draw = random.Random(5)
     say = lambda n: [f"w{draw.randrange(9000)}" for _ in range(n)]
     words, rows = say(300), []
