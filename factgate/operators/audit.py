@@ -74,6 +74,30 @@ def breaks(chain: DataFrame, start: str = START, size: int | None = None) -> Dat
     return out.unionByName(repeated)
 
 
+def listed(log: DataFrame, after: int = -1, limit: int = 100, **wanted: str) -> DataFrame:
+    """A page of a log in order of ``seq``: what comes after a number and has the wanted values, ``limit`` events at most.
+
+    ``wanted`` names columns (task, query, actor, event_type); an empty value asks for nothing. A page has 1 to 500 events.
+    All conditions reach the scan, and the page is the least numbers of every task's rows, so nothing is sorted as a whole.
+    """
+    if not 1 <= limit <= 500:
+        raise ValueError("a page has 1 to 500 events")
+    unknown = set(wanted) - set(log.columns)
+    if unknown:
+        raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
+    for column, value in wanted.items():
+        if value != "":
+            log = log.where(F.col(column) == F.lit(value))
+    return log.where(F.col("seq") > F.lit(after)).orderBy("seq").limit(limit)
+
+
+def between(log: DataFrame, after: int, through: int) -> DataFrame:
+    """All events after one number up to another, itself included."""
+    if after < 0 or through < after:
+        raise ValueError("not a range of numbers")
+    return log.where((F.col("seq") > F.lit(after)) & (F.col("seq") <= F.lit(through)))
+
+
 def included(chain: DataFrame, seq: int, checkpoint_seq: int, checkpoint_hash: str) -> bool:
     """Whether an event is linked without a break to a checkpoint."""
     part = chain.where((F.col("seq") >= seq) & (F.col("seq") <= checkpoint_seq))

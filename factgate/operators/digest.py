@@ -38,3 +38,14 @@ def same_set(a: DataFrame, b: DataFrame, hash_col: str) -> DataFrame:
     """Hashes that only one side has, with the side; empty if the sets are equal."""
     left, right = a.select(hash_col).distinct().withColumn("in_a", F.lit(True)), b.select(hash_col).distinct().withColumn("in_b", F.lit(True))
     return left.join(right, hash_col, "full").where("in_a is null or in_b is null").select(hash_col, F.when(F.col("in_a").isNull(), "b").otherwise("a").alias("only_in"))
+
+
+def unverified(claims: DataFrame, members: DataFrame, hash_col: str, by: list[str]) -> DataFrame:
+    """(by..., problem): sets whose claim (by..., n, digest) is not what their members give: count, digest, empty or unclaimed.
+
+    Digests are made again from all members; sets meet their claims by key, so only two numbers and a text a set are joined.
+    """
+    now = set_digest(members, hash_col, by).select(*by, F.col("n").alias("__n"), F.col("digest").alias("__d"))
+    both = claims.select(*by, F.col("n"), F.col("digest"), F.lit(True).alias("__c")).join(now, by, "full")
+    problem = F.when(F.col("__c").isNull(), "unclaimed").when(F.col("__n").isNull() & (F.col("n") != 0), "empty").when(F.col("n") != F.col("__n"), "count").when(F.col("digest") != F.col("__d"), "digest")
+    return both.select(*by, problem.alias("problem")).where("problem is not null")

@@ -125,6 +125,17 @@ def next_version(df: DataFrame, key: str, price: str, percent: int) -> DataFrame
     return df.withColumn(price, F.when(F.col(key) % 100 < percent, F.col(price) + F.lit(1)).otherwise(F.col(price)).cast(kind))
 
 
+def churned(df: DataFrame, key: str, percent: int) -> DataFrame:
+    """A later version: rows whose key modulo 100 is below ``percent`` are gone, and as many new ones have their values under new keys.
+
+    New keys are the old ones moved beyond the largest, so they clash with none; that largest key is all that is computed first.
+    """
+    leaving = F.col(key) % 100 < percent
+    top = df.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    new = df.where(leaving).withColumn(key, (F.col(key) + F.lit(top + 1)).cast(dict(df.dtypes)[key]))
+    return df.where(~leaving).unionByName(new)
+
+
 def hot_and_cold(dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A dictionary's hashes with their ordinals, which settlement needs, apart from the payloads, which only decoding needs."""
     rest = [c for c in dictionary.columns if c not in ("fact_hash", "ordinal")]

@@ -107,6 +107,21 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
     return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=options)
 
 
+def attested_jdbc(spark: SparkSession, url: str, p: Product, partition_column: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
+    """A product's snapshot over JDBC; raises if the table there lacks a column, or has it in a form that cannot hold its type.
+
+    The schema is looked at before any row is read. Names in other letters are taken as the product's. Only the product's
+    columns are asked for; values are cast as ``load`` does.
+    """
+    df = read_jdbc(spark, url, p.table, partition_column, lower, upper, partitions, **options)
+    names = {c.lower(): c for c in df.columns}
+    df = df.select(*[F.col(f"`{names[c]}`").alias(c) for c in p.columns if c in names])
+    wrong = schema_mismatches(df, p)
+    if wrong:
+        raise ValueError(f"{p.name} is not as declared: " + "; ".join(f"{c} is {found}, not {kind}" for c, kind, found in wrong))
+    return df.select([typed(F.col(c), t).alias(c) for c, t in p.columns.items()])
+
+
 def read_json(spark: SparkSession, path: str, p: Product) -> DataFrame:
     """A snapshot given as JSON lines; the schema is declared, never inferred. Decimals are read from text, not floats."""
     ddl = ", ".join(f"{c} {t}" for c, t in p.columns.items())

@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import attested, composed, exposure, further, governance, history, invariants, more, ordinals, radix, relational, sequences, statements  # noqa: F401
+    from . import attested, composed, exposure, further, governance, history, invariants, kept, more, ordinals, radix, relational, sequences, statements  # noqa: F401
 
     return dict(QUERIES), dict(SQL)
