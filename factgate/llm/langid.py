@@ -22,8 +22,8 @@ MARGIN = 0.01
 LEVEL = 6
 #: Dictionaries of at least this share of the longest text are cut to one size; rarer languages keep what they have.
 COMMON = 0.5
-#: A language with less text than this (or a quarter of the longest, in small tables) is not learned: 8 KB tell no language from a wrong label.
-LEAST_BYTES = 8192
+#: A rarer language is learned if one half of its passages saves this share of the other half's size against every common language.
+VOUCHED = 0.05
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 NAMES = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -41,8 +41,9 @@ def dictionaries(docs: DataFrame, chars: int = SAMPLE_CHARS, passage: int = PASS
     likely to be drawn. The driver holds languages x chars characters however many documents there are.
 
     Common languages, those with at least COMMON of the longest text, get as many characters each. What rarer ones have
-    doesn't change those: it is kept whole, for ``Judge`` to compare at its own size, or dropped under LEAST_BYTES.
-    No rows to learn from, an empty table among them, give no dictionaries.
+    doesn't change those: it is kept whole, for ``Judge`` to compare at its own size, however little it is, if its passages
+    vouch for each other (``vouched``); a label given to texts of other languages by mistake does not pass, nor one that has a
+    single passage. No rows to learn from, an empty table among them, give no dictionaries.
     """
     learn = docs.where(~held_out(doc_id) & (F.length(text) > 0) & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     total = {r[lang]: r["n"] for r in learn.groupBy(lang).agg(F.sum(F.length(text)).alias("n")).collect()}
@@ -58,9 +59,25 @@ def dictionaries(docs: DataFrame, chars: int = SAMPLE_CHARS, passage: int = PASS
         out.setdefault(r["lang"], []).append(NOT_LETTERS.sub(" ", r["t"].lower()))
     texts = {k: " ".join(v) for k, v in sorted(out.items())}
     most = max(map(len, texts.values()), default=0)
-    size = min((len(t) for t in texts.values() if len(t) >= COMMON * most), default=0)
-    held = {k: last_chars(t, size if len(t) >= COMMON * most else len(t)).encode() for k, t in texts.items()}
-    return {k: v for k, v in held.items() if len(v) >= min(LEAST_BYTES, max(map(len, held.values())) / 4)}
+    common = [k for k, t in texts.items() if len(t) >= COMMON * most]
+    size = min((len(texts[k]) for k in common), default=0)
+    held = {k: last_chars(t, size if k in common else len(t)) for k, t in texts.items()}
+    return {k: t.encode() for k, t in held.items() if k in common or vouched(out[k], [held[c] for c in common])}
+
+
+def vouched(passages: list[str], others: list[str], least: float = VOUCHED) -> bool:
+    """Whether different passages are more like each other than like any of the other texts.
+
+    Every second passage fills a dictionary, with which each of the rest is compressed; together they must save the share
+    ``least`` against what each is with the best dictionary of as many characters of another text. So texts of several
+    languages under one label, each of which has a dictionary of its own, don't vouch for each other.
+    """
+    passages = list(dict.fromkeys(" ".join(p.split()) for p in passages))
+    held, rest = " ".join(passages[::2]), [p.encode() for p in passages[1::2]]
+    if not rest:
+        return False
+    own, *cut = [Judge.coder(t.encode()) for t in (held, *[last_chars(t, len(held)) for t in others])]
+    return sum(len(own.compress(p)) for p in rest) <= (1 - least) * sum(min(len(c.compress(p)) for c in cut) for p in rest)
 
 
 def last_chars(text: str, n: int) -> str:

@@ -59,3 +59,33 @@ def test_short_rows_are_learned_from(spark):
     rows = [(i, spoken(draw, list(LANGS)[i % 3], 3), list(LANGS)[i % 3]) for i in range(3000)]
     got, texts = judged(spark, rows)
     assert set(texts) == set(LANGS) and sum(got[i][1] == lang for i, _, lang in rows) > 2500
+
+
+@pytest.mark.parametrize("count, words", [(40, 60), (8, 60), (200, 60)])
+def test_every_language_is_predicted_however_rare(spark, count, words):
+    """Few rows of a third language are found, and those of the others stay what they are."""
+    draw = np.random.default_rng(5)
+    rows = [(i, spoken(draw, ["en", "de"][i % 2], 60), ["en", "de"][i % 2]) for i in range(600)]
+    rows += [(1000 + i, spoken(draw, "it", words), "it") for i in range(count)]
+    got, texts = judged(spark, rows)
+    assert set(texts) == {"en", "de", "it"}
+    assert sum(got[i][1] == lang and not got[i][3] for i, _, lang in rows[600:]) >= 0.9 * count
+    assert all(got[i][1] == lang and not got[i][3] for i, _, lang in rows[:600])
+
+
+@pytest.mark.parametrize("count", [4, 40, 150])
+def test_a_wrong_label_is_no_language(spark, count):
+    """Rows of two languages under a third label, of clashing column names: nothing is predicted to be of it."""
+    draw = np.random.default_rng(6)
+    rows = [(i, spoken(draw, ["en", "de"][i % 2], 60), ["en", "de"][i % 2]) for i in range(600)]
+    wrong = [(3000 + i, spoken(draw, ["en", "de"][i % 2], 60), "xx") for i in range(count)]
+    got, texts = judged(spark, [*rows, *wrong])
+    assert set(texts) == {"en", "de"}
+    assert all(got[i][1] == lang for i, _, lang in rows)
+
+
+def test_helper_names_may_be_columns(spark, rows):
+    df = spark.createDataFrame([(*r, "a", 1.0, "b") for r in rows[:120]], "doc_id long, text string, lang string, __k string, rejected double, lang_pred string")
+    assert langid.keep_identified(df).columns == df.columns
+    got = langid.identify(df, langid.dictionaries(df))
+    assert got.columns == ["doc_id", "lang_pred", "score", "rejected"] and got.count() == 120
