@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,8 +18,9 @@ from pyspark.sql import types as T
 
 from .common import documents, durable, slices
 
-#: Key of the registered query and of the pipeline over the synthetic tables. Operators take theirs as an argument.
-KEY = b"surrogate-key"
+#: Setting of the session with the key of the registered query and of the pipeline, and the key that they use over the
+#: synthetic tables where it is not set. Operators take theirs as an argument.
+KEY_SETTING, KEY = "factgate.surrogates.key", b"surrogate-key"
 ROUNDS = 8
 #: Names, and values whose surrogate had to be drawn again, that tasks are handed as they are; more are joined by row.
 HANDED = 100_000
@@ -42,11 +44,23 @@ GIVEN = {
 }
 #: Syllables that family names are made of.
 SYLLABLES = {"latin": ("bar", "den", "fal", "gor", "hel", "kem", "lun", "mor", "nis", "pol", "ran", "sel", "tor", "vik", "wen", "zan"), "cyrillic": ("бар", "ден", "фал", "гор", "кем", "лун", "мор", "нис", "пол", "ран", "сел", "тор", "вик", "зан")}
+# Endings of family names that tell a woman's, with the man's.
+ENDINGS = {"cyrillic": {"ова": "ов", "ева": "ев", "ёва": "ёв", "ина": "ин", "ына": "ын", "ская": "ский", "цкая": "цкий"}}
+# What stands in the line before a signature.
+CLOSINGS = ("Best regards", "Kind regards", "Regards", "Sincerely", "Yours sincerely", "Best wishes", "Mit freundlichen Grüßen", "Viele Grüße", "Cordialement", "Bien à vous", "Atentamente", "Saludos", "С уважением")
 # Country calling codes of two digits; those that begin with 1 or 7 have one, all others three.
 TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
-#: A title, initials perhaps, and up to three names: capitals of any script, apostrophes and hyphens inside.
-NAMED = regex.compile(r"(?<![\p{L}\p{N}])(TITLE)\.? (?:\p{Lu}\. ?){0,2}(?:(?!(?:TITLE)(?!\p{L}))(\p{Lu}(?:[\p{L}'’-]*\p{L}))(?:\p{M}|(?![\p{L}\p{N}])) ?){1,3}".replace("TITLE", "|".join(TITLES)))
+#: A word of a name: capitals of any script, apostrophes and hyphens inside.
+WORD = r"\p{Lu}(?:[\p{L}'’-]*\p{L})(?:\p{M}|(?![\p{L}\p{N}]))"
+INITIALS = r"(?:\p{Lu}\. ?){0,2}"
+LISTED = {name: (script, gender) for (script, gender), all_names in GIVEN.items() for name in all_names}
+#: A title, initials perhaps, and up to three names.
+NAMED = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(TITLE)\.? {INITIALS}(?:(?!(?:TITLE)(?!\p{{L}}))({WORD}) ?){{1,3}}".replace("TITLE", "|".join(TITLES)))
+#: A common given name, initials perhaps, and a family name.
+KNOWN = regex.compile(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(LISTED)}) {INITIALS}({WORD})")
+#: A line of two or three names after a closing formula.
+SIGNED = regex.compile(rf"(?m)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(CLOSINGS)}),?[ \t]*\r?\n(?:[ \t]*\r?\n)?[ \t]*({WORD})(?: {INITIALS}({WORD})){{1,2}}[ \t]*\r?$")
 
 
 def draw(key: bytes, *parts: object) -> bytes:
@@ -178,6 +192,12 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
     return dressed(kind, text, renewed(kind, canonical(kind, text), key, attempt))
 
 
+def apart(i: int, j: int, held: list[tuple]) -> bool:
+    """Whether a span overlaps none of ``held``, which are in order and overlap none of each other."""
+    k = bisect_left(held, (j,))
+    return not k or held[k - 1][1] <= i
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans of entities other than names, in order and without overlaps; where two overlap, the earlier kind in this list wins."""
     found: list[tuple[int, int, str]] = []
@@ -189,77 +209,115 @@ def find(text: str) -> list[tuple[int, int, str]]:
     elif ":" in text or "=" in text:
         tries.append(("secret", SECRET, 1))
     for kind, pattern, group in tries:
-        for m in pattern.finditer(text):
-            i, j = m.span(group)
-            if kind == "secret" and not DIGIT.search(text, i, j):
-                continue
-            if all(j <= a or i >= b for a, b, _ in found):
-                found.append((i, j, kind))
-    return sorted(found)
+        spans = [m.span(group) for m in pattern.finditer(text)]
+        new = [(i, j, kind) for i, j in spans if (kind != "secret" or DIGIT.search(text, i, j)) and apart(i, j, found)]
+        found = sorted(found + new)
+    return found
+
+
+def masculine(script: str, part: str, low: str) -> str:
+    """The form of a name, in small letters, that is the same for women and men."""
+    if part == "family":
+        for f, m in ENDINGS.get(script, {}).items():
+            if low.endswith(f):
+                return low[: -len(f)] + m
+    return low
+
+
+def forms(name: str, script: str, part: str, new: str) -> dict[str, str]:
+    """A name, and its form of the other gender if it has one, with their surrogates; ``new`` is that of the masculine form."""
+    up = str.upper if len(name) > 1 and name.isupper() else str
+    if part == "family":
+        for f, m in ENDINGS.get(script, {}).items():
+            own = next((e for e in (f, m) if name.lower().endswith(e)), "")
+            if own and new.endswith(m):
+                return {name[: -len(own)] + up(e): up(new[: -len(m)] + e) for e in (f, m)}
+    return {name: up(new)}
 
 
 def names(text: str) -> list[tuple[int, int, str, str, str]]:
-    """Spans of names after a title, as (start, end, part, gender, script); part is given or family."""
-    out = []
-    if not any(t in text for t in TITLES):
-        return out
-    for m in NAMED.finditer(text):
-        gender, spans = TITLES[m[1]], m.spans(2)
-        for k, (i, j) in enumerate(spans):
-            script = unicodedata.name(text[i], "latin").split()[0].lower()
-            known = next((x for (s, x), v in GIVEN.items() if s == script and text[i:j].capitalize() in v), "")
-            part = "given" if k + 1 < len(spans) or known else "family"
-            out.append((i, j, part, (known or gender) if part == "given" else "", script))
+    """Spans of names, in order, as (start, end, part, script, gender); part is given or family, gender what title or name tell (n: nothing).
+
+    Names stand after a title, or are a common given name with a family name, or sign a letter.
+    """
+    out: list[tuple[int, int, str, str, str]] = []
+
+    def add(people: list[tuple[list[tuple[int, int]], str]]) -> None:
+        new = []
+        for spans, gender in people:
+            if not all(apart(i, j, out) for i, j in spans):
+                continue
+            for k, (i, j) in enumerate(spans):
+                script = unicodedata.name(text[i], "latin").split()[0].lower()
+                listed = LISTED.get(text[i:j].capitalize(), ("", ""))
+                part = "given" if k + 1 < len(spans) or listed[0] == script else "family"
+                new.append((i, j, part, script, "" if part == "family" else listed[1] if listed[0] == script else gender))
+        out[:] = sorted(out + new)
+
+    if any(t in text for t in TITLES):
+        add([(m.spans(2), TITLES[m[1]]) for m in NAMED.finditer(text)])
+    if any(c in text for c in CLOSINGS):
+        add([([m.span(1), *m.spans(2)], "n") for m in SIGNED.finditer(text)])
+    if any(n in text for n in LISTED):
+        add([([m.span(1), m.span(2)], "n") for m in KNOWN.finditer(text)])
     return out
 
 
 def mentions(text: str, new: dict[str, str]) -> list[tuple[int, int, str]]:
-    """Spans of all mentions of the names in a text, titled or not, as they are or in capitals, and what replaces them."""
-    forms = {f: v for name, v in new.items() for f, v in ((name, v), (name.upper(), v.upper()))}
-    found = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(regex.escape, sorted(forms, key=len, reverse=True))) + r")(?![\p{L}\p{M}\p{N}])")
-    return [(*m.span(), forms[m[0]]) for m in found.finditer(text)]
+    """Spans of all mentions of the names in a text, as they are or in capitals, and what replaces them."""
+    said = {f: v for name, v in new.items() for f, v in ((name, v), (name.upper(), v.upper()))}
+    found = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(regex.escape, sorted(said, key=len, reverse=True))) + r")(?![\p{L}\p{M}\p{N}])")
+    return [(*m.span(), said[m[0]]) for m in found.finditer(text)]
 
 
-def invented(part: str, gender: str, script: str, name: str, attempt: int, key: bytes) -> str:
-    """A made-up name of the same part, gender and script; later attempts draw from ever larger sets."""
-    seed = draw(key, part, gender, script, name, attempt)
+def invented(part: str, script: str, name: str, gender: str, attempt: int, key: bytes) -> str:
+    """A made-up name of the same part, script, gender and ending; later attempts draw from ever larger sets."""
+    seed = draw(key, part, script, name, attempt)
     if part == "given" and any(s == script for s, _ in GIVEN):
         lists = [v for (s, g), v in GIVEN.items() if s == script and gender in (g, "n", "")]
         pool = [x for v in lists for x in v]
         return "-".join(pool[seed[k] % len(pool)] for k in range(1 + min(attempt // 2, 8)))
     if script in SYLLABLES:
         pool = SYLLABLES[script]
-        return "".join(pool[seed[k] % len(pool)] for k in range(2 + min(attempt // 2, 8))).capitalize()
+        ending = next((m for m in ENDINGS.get(script, {}).values() if part == "family" and name.endswith(m)), "")
+        return "".join(pool[seed[k] % len(pool)] for k in range(2 + min(attempt // 2, 8))).capitalize() + ending
     shape = name[0].upper() + name[1:] + name[-1:] * min(attempt // 4, 8)  # no lists for this script: letters for letters
     return same_shape(shape, seed, "name")
 
 
-NAME = ("part", "gender", "script", "value")
+#: What tells a name from others: the gender that a title tells doesn't, so that all titles of a person lead to one surrogate.
+NAME = ("part", "script", "value")
 
 
 def name_surrogates(found: DataFrame, key: bytes) -> DataFrame:
-    """(part, gender, script, value, new): every different name of ``found``, in small letters, with a surrogate of its own that is no name there.
+    """(part, script, value, new): every different name of ``found``, in small letters and its masculine form, with a surrogate of its own that is no name there.
 
-    Each round draws for those still without; a drawn name goes to the smallest of those that drew it, if no other has
-    it and it does not occur itself. Rounds end when all have one, as the sets drawn from grow.
+    A given name has the gender that all its titles in the table tell; where they disagree or tell none, either. Each
+    round draws for those still without; a drawn name goes to the smallest of those that drew it, if no other has it and
+    it does not occur itself. Rounds end when all have one, as the sets drawn from grow.
     """
-    left = durable(found.select(*NAME).distinct())
-    taken = left.select(F.col("value").alias("low")).distinct()
+    told = F.collect_set(F.when(F.col("gender").isin("m", "f"), F.col("gender")))
+    left = durable(found.groupBy(*NAME).agg(told.alias("told")).select(*NAME, F.when(F.size("told") == 1, F.col("told")[0]).otherwise("n").alias("gender")))
+    alone = F.col("value")
+    for pairs in ENDINGS.values():
+        for f, m in pairs.items():
+            alone = F.regexp_replace(alone, f"{f}$", m)
+    taken = left.select(F.explode(F.array("value", alone)).alias("low")).distinct()
     done, attempt = None, 0
     while not left.isEmpty():
 
         def propose(batches: Iterator[pa.RecordBatch], attempt: int = attempt) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                new = [invented(*(r[c] for c in NAME), attempt, key) for r in batch.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*NAME, "new"])
+                new = [invented(*(r[c] for c in NAME), r["gender"], attempt, key) for r in batch.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*NAME, "gender", "new"])
 
-        drawn = left.mapInArrow(propose, "part string, gender string, script string, value string, new string").withColumn("low", F.lower("new")).join(taken, "low", "left_anti")
+        drawn = left.mapInArrow(propose, "part string, script string, value string, gender string, new string").withColumn("low", F.lower("new")).join(taken, "low", "left_anti")
         won = durable(drawn.groupBy("low").agg(F.min(F.struct(*NAME, "new")).alias("who")).select("who.*", "low"))
         done = won if done is None else done.unionByName(won)
         taken = durable(taken.unionByName(won.select("low")))
         left = durable(left.join(won, list(NAME), "left_anti"))
         attempt += 1
-    return done.drop("low") if done is not None else left.withColumn("new", F.lit(""))
+    return done.drop("low") if done is not None else left.select(*NAME, F.lit("").alias("new"))
 
 
 def redrawn(found: DataFrame, key: bytes) -> DataFrame:
@@ -294,12 +352,13 @@ def replace(text: str, key: bytes, given: dict[tuple[str, ...], str]) -> tuple[s
         again = given.get((kind, canonical(kind, text[i:j]))) if given else None
         spans.append((i, j, kind, dressed(kind, text[i:j], again) if again else surrogate(kind, text[i:j], key)))
     new: dict[str, str] = {}
-    for i, j, *who in names(text) if given else ():
-        if found := given.get((*who, text[i:j].lower())):
-            new.setdefault(text[i:j], found.upper() if j - i > 1 and text[i:j].isupper() else found)
+    for i, j, part, script, _ in names(text) if given else ():
+        if found := given.get((part, script, masculine(script, part, text[i:j].lower()))):
+            for form, to in forms(text[i:j], script, part, found).items():
+                new.setdefault(form, to)
     if new:
         held = sorted((i, j) for i, j, *_ in spans)
-        spans += [(i, j, "name", to) for i, j, to in mentions(text, new) if all(j <= a or i >= b for a, b in held)]
+        spans += [(i, j, "name", to) for i, j, to in mentions(text, new) if apart(i, j, held)]
     if not spans:
         return text, []
     out, at = [], 0
@@ -309,7 +368,7 @@ def replace(text: str, key: bytes, given: dict[tuple[str, ...], str]) -> tuple[s
     return "".join(out) + text[at:], [k for _, _, k, _ in sorted(spans)]
 
 
-FOUND = ("row", "kind", *NAME, "new")
+FOUND = ("row", "kind", *NAME, "gender", "new")
 
 
 def entities(rows: DataFrame, key: bytes) -> DataFrame:
@@ -321,12 +380,12 @@ def entities(rows: DataFrame, key: bytes) -> DataFrame:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for i, j, kind in find(text or ""):
                     value = canonical(kind, text[i:j])
-                    got.add((row, kind, "", "", "", value, renewed(kind, value, key)))
-                for i, j, *who in names(text or ""):
-                    got.add((row, "name", *who, text[i:j].lower(), ""))
+                    got.add((row, kind, "", "", value, "", renewed(kind, value, key)))
+                for i, j, part, script, gender in names(text or ""):
+                    got.add((row, "name", part, script, masculine(script, part, text[i:j].lower()), gender, ""))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sorted(got)) if got else [[]] * 7, [pa.int64(), *[pa.string()] * 6])], list(FOUND))
 
-    return rows.mapInArrow(run, "row long, kind string, part string, gender string, script string, value string, new string")
+    return rows.mapInArrow(run, "row long, kind string, part string, script string, value string, gender string, new string")
 
 
 def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
@@ -334,8 +393,9 @@ def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
 
     The texts are read twice. First every task lists the different entities of its rows. E-mail and network addresses,
     card, bank, phone and national numbers and secrets get a keyed bijection of their canonical form, so that two ways to
-    write one number keep saying the same; what clashes with a value of the table is drawn again. Names after a title
-    draw surrogates in rounds over the whole table's different names. Then every task replaces what it finds, a name at
+    write one number keep saying the same; what clashes with a value of the table is drawn again. Names (after a title,
+    of a common given name with a family name, or signing a letter) draw surrogates in rounds over the whole table's
+    different names, whatever title they have and, of family names that differ by gender, in either form. Then every task replaces what it finds, a name at
     all its mentions in the text. Up to HANDED names and values drawn again are handed to the tasks; if there are more,
     each row is joined with its own.
 
@@ -380,5 +440,10 @@ def surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
     return found.toDF("doc_id", "text", "kinds").select("doc_id", F.size("kinds").cast("long").alias("n_entities"), "kinds", "text")
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session sets; over the synthetic tables a known one."""
+    return said.encode() if (said := spark.conf.get(KEY_SETTING, None)) else KEY
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(documents(spark, sf_dir), KEY)
+    return surrogates(documents(spark, sf_dir), key_of(spark))

@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
 
     assert set(rows[4]) == set(rows[3])
     named = private.entities(spark.createDataFrame([(i, r["text"]) for i, r in rows[3].items()], "row long, text string"), private.KEY).where("kind = 'name'")
-    given = {(r.part, r.gender, r.script, r.value): r.new for r in private.name_surrogates(named, private.KEY).collect()}
+    given = {tuple(r[c] for c in private.NAME): r.new for r in private.name_surrogates(named, private.KEY).collect()}
     hidden = 0
     for i, r in rows[4].items():
         before = rows[3][i]["text"]
