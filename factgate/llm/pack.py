@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
@@ -110,13 +110,14 @@ class Packer:
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long"
 
 
-def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece: which ids of which document stand where in which sequence.
 
     Documents are tokenised and packed in the task that reads them, so no ids are shuffled: a task keeps the rests of
     at most ``POOL`` documents, and full sequences of long documents leave at once. Every task packs to the end of its
     rows without padding, so how rows are dealt to tasks doesn't matter. ``prompt`` names a column of texts that come
-    before ``text`` in the example and bear no loss (null or not given: none). Null and empty texts are the end id
+    before ``text`` in the example and bear no loss (null or not given: none). ``keys`` are whole numbers that come back,
+    as long, with every piece, where ``doc_id`` alone doesn't tell an example. Null and empty texts are the end id
     alone; texts of any length are packed whole; repeated rows are packed each; an empty table gives no rows; other
     columns, whatever their names, are not read.
     """
@@ -134,7 +135,7 @@ def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGME
                 for segment, (key, start, length) in enumerate(pieces):
                     doc = held[key]
                     ids = doc[1][start : start + length]
-                    rows.append((doc[0], start, length, zlib.crc32(ids), len(doc[1]), number, offset, segment))
+                    rows.append((doc[0], start, length, zlib.crc32(ids), len(doc[1]), number, offset, segment, *doc[3]))
                     offset += length
                     doc[2] -= length
                     if not doc[2]:
@@ -142,7 +143,7 @@ def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGME
                 number += 1
 
         def batch() -> pa.RecordBatch:
-            names = [f.split(" ")[0] for f in FIELDS.split(", ")]
+            names = [f.split(" ")[0] for f in FIELDS.split(", ")] + list(keys)
             out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names)
             rows.clear()
             return out
@@ -151,18 +152,19 @@ def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGME
         for part in slices(batches, 1):
             ids, at = words.encode(part.column(1))
             asked, start = words.encode(part.column(2)) if prompt else (ids[:0], np.zeros(len(at), np.int64))
+            told = list(zip(*(c.to_pylist() for c in part.columns[len(part.columns) - len(keys) :]))) if keys else [()] * len(part)
             for k, doc in enumerate(part.column(0).to_pylist()):
                 question = asked[start[k] : start[k + 1]]
                 own = np.concatenate((question, ids[at[k] : at[k + 1]], [END_ID])).astype("<u4")
-                held[key] = [doc, own, len(own)]
+                held[key] = [doc, own, len(own), told[k]]
                 place(packer.add(key, len(own), len(question)))
                 key += 1
             yield batch()
         place(packer.flush())
         yield batch()
 
-    columns = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.col(prompt).alias("prompt")] if prompt else [])]
-    return docs.select(*columns).mapInArrow(run, FIELDS)
+    columns = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.col(prompt).alias("prompt")] if prompt else []), *(F.col(c).cast("long").alias(c) for c in keys)]
+    return docs.select(*columns).mapInArrow(run, ", ".join([FIELDS, *(f"`{c}` long" for c in keys)]))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,11 +177,31 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWERED = 1536
 
 
+def answers(said: DataFrame) -> DataFrame:
+    """(conv_id, turn, repeat, prompt, text): every answer, and all that was said in its conversation before it, joined by line breaks.
+
+    Turns go by their number; rows of one number by role and text. ``repeat`` counts answers of one number from 0, so
+    that (conv_id, turn, repeat) is unique. A turn without text says nothing, an answer without text is empty, one that
+    nothing precedes has an empty prompt. Rows without conv_id have no conversation: they have no prompt, and are told
+    apart by ``repeat`` alone. An empty table gives no rows; other columns, whatever their names, are not read.
+
+    What an example holds is all that was said before, so results grow with the square of a conversation's turns; one of
+    very many turns is one task's, which spills.
+    """
+    rows = said.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    told = rows.where("conv_id is not null").withColumn("prompt", F.concat_ws("\n", F.collect_list("text").over(before)))
+    lost = rows.where("conv_id is null").withColumn("prompt", F.lit(""))
+    numbered = told.where("role = 'assistant'").withColumn("repeat", F.row_number().over(same).cast("long") - 1)
+    alone = lost.where("role = 'assistant'").withColumn("repeat", F.monotonically_increasing_id())
+    return numbered.unionByName(alone).select("conv_id", "turn", "repeat", F.when(F.col("prompt") != "", F.concat("prompt", F.lit("\n"))).otherwise("").alias("prompt"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers with the turns that they answer, packed under all three limits: only an answer's tokens bear loss."""
+    """Answers with all turns before them, packed under all three limits: only an answer's tokens bear loss."""
     import public_tokenizers
 
-    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    asked = said.where("role <> 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
-    both = said.where("role = 'assistant'").join(asked, ["conv_id", "turn"]).select("conv_id", "prompt", "text")
-    return pack(both, public_tokenizers.path("word_bpe_49k.json"), loss=ANSWERED, doc_id="conv_id", prompt="prompt")
+    both = answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return pack(both, public_tokenizers.path("word_bpe_49k.json"), loss=ANSWERED, doc_id="conv_id", prompt="prompt", keys=("turn", "repeat"))

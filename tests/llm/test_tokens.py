@@ -173,13 +173,40 @@ def test_prompts_bear_no_loss(spark, words):
 
 
 def test_conversations_are_packed_whole(spark, sf, words):
+    """Every answer is an example of all that was said before it; pieces of an example are told by conversation, turn and repeat."""
     said = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    count = lambda t: len(words.encode(t, add_special_tokens=False).ids)
     want = {}
     for (conv, turn), r in said.items():
-        if r.role == "assistant" and (conv, turn - 1) in said and said[conv, turn - 1].role != "assistant":
-            n = sum(len(words.encode(x.text or "", add_special_tokens=False).ids) for x in (r, said[conv, turn - 1]))
-            want[conv] = want.get(conv, 0) + n + 1
-    got = {}
+        if r.role == "assistant":
+            asked = "".join(said[conv, k].text + "\n" for k in range(turn) if (conv, k) in said)
+            want[conv, turn, 0] = (count(asked), count(asked) + count(r.text) + 1)
+    got, sequences = {}, {}
     for r in pack.packing_conversations(spark, sf).collect():
-        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
-    assert got == want and len(want) > 10
+        key = r.doc_id, r.turn, r.repeat
+        got.setdefault(key, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.length, max(0, r.start + r.length - max(r.start, want[key][0]))))
+    assert set(got) == set(want) and len(want) > 10 and max(n for n, _ in want.values()) > 0
+    for key, pieces in got.items():
+        at = 0
+        for start, length in sorted(pieces):
+            assert start == at
+            at += length
+        assert at == want[key][1]
+    for pieces in sequences.values():
+        assert sum(n for n, _ in pieces) <= 2048 and sum(loss for _, loss in pieces) <= pack.ANSWERED
+
+
+def test_odd_conversations(spark):
+    rows = [
+        (1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 3, "user", None), (1, 4, "assistant", None),
+        (2, 0, "assistant", "first"), (2, 0, "assistant", "first"), (2, 1, "assistant", "then"),
+        (None, 0, "user", "lost"), (None, 1, "assistant", "who"), (None, 1, "assistant", "who"), (3, None, "user", "early"), (3, 0, "assistant", "late"), (4, 0, None, "x"),
+    ]
+    df = spark.createDataFrame([(*r, 9, "z") for r in rows], "conv_id long, turn int, role string, text string, prompt int, repeat string")
+    out = pack.answers(df)
+    got = sorted((tuple(r) for r in out.where("conv_id is not null").collect()), key=str)
+    assert got == sorted([(1, 2, 0, "be kind\nhi\n", "hello"), (1, 4, 0, "be kind\nhi\nhello\n", ""), (2, 0, 0, "", "first"), (2, 0, 1, "first\n", "first"), (2, 1, 0, "first\nfirst\n", "then"), (3, 0, 0, "early\n", "late")], key=str)
+    lost = out.where("conv_id is null").collect()
+    assert [(r.turn, r.prompt, r.text) for r in lost] == [(1, "", "who")] * 2 and len({r.repeat for r in lost}) == 2
+    assert pack.answers(df.limit(0)).count() == 0
