@@ -17,7 +17,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("language_id", lambda spark, docs, sf_dir: langid.keep_identified(docs)),
     ("simhash_near_dedup", lambda spark, docs, sf_dir: simhash.keep_one_alike(docs)),
     ("suffix_array_dedup", lambda spark, docs, sf_dir: suffixes.cut_repeats(docs)),
-    ("pii_surrogates", lambda spark, docs, sf_dir: private.replaced(docs, private.KEY)),
+    ("pii_surrogates", lambda spark, docs, sf_dir: private.replaced(docs, private.key_of(spark))),
     ("packing", lambda spark, docs, sf_dir: pack.pack(docs, public_tokenizers.path("word_bpe_49k.json"))),
 ]
 
