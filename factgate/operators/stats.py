@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_row
@@ -39,13 +41,31 @@ def quantiles(samples: DataFrame, by: list[str], value: str, at: list[float]) ->
 
 
 def bootstrap_median(samples: DataFrame, value: str, draws: int = 200, seed: int = 1) -> DataFrame:
-    """(lo, hi): a 95 % interval of the median from resamples; draws are hashes of (resample, position), so they repeat."""
+    """(lo, hi): a 95 % interval of the median from resamples; draws are hashes of (resample, position), so they repeat.
+
+    Positions are in order of the values, so the middle of a resample is found among the positions drawn: these are tallied
+    by stretches of about the root of their number, then those in the stretch with the middle one by one. Draws are made
+    where they are tallied and never meet the values; only the two middle positions of each resample do. Nulls, which come
+    first, are no values.
+    """
     from .snapshots import numbered
 
-    rows = numbered(samples.select(value), [value], "at")
-    n = rows.count()
-    picks = rows.select(F.col("at").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("resample")).select("resample", F.pmod(F.xxhash64("resample", "k", F.lit(seed)), F.lit(max(n, 1))).alias("at"))
-    medians = picks.join(rows, "at").groupBy("resample").agg(F.percentile(value, 0.5).alias("m"))
+    spark, rows = samples.sparkSession, numbered(samples.select(value), [value], "at")
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col(value).isNull())).first()
+    picks = spark.range(n).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("resample")).select("resample", F.pmod(F.xxhash64("resample", "k", F.lit(seed)), F.lit(max(n, 1))).alias("at"))
+    picks = picks.where(F.col("at") >= nulls).withColumn("stretch", F.floor(F.col("at") / (math.isqrt(n) + 1)))
+    whole = Window.partitionBy("resample")
+    upto = lambda c: F.sum("c").over(whole.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    tally = picks.groupBy("resample", "stretch").agg(F.count("*").alias("c")).select("*", F.sum("c").over(whole).alias("m"), upto("stretch").alias("before"))
+    tally = tally.select("resample", "stretch", "c", "before", F.expr("(m - 1) div 2").alias("low"), F.expr("m div 2").alias("high"))
+    middle = tally.where("before <= high and before + c > low").select("resample", "stretch", "before", "low", "high")
+    near = picks.join(F.broadcast(middle), ["resample", "stretch"])  # two rows a resample at most
+    each = near.groupBy("resample", "at").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("before", "low", "high")])
+    # of two stretches the second begins where the first ends
+    each = each.select("*", (upto("at") + F.min("before").over(whole)).alias("from"))
+    at = lambda c: F.max(F.when((F.col("from") <= F.col(c)) & (F.col("from") + F.col("c") > F.col(c)), F.col("at")))
+    places = each.groupBy("resample").agg(F.array(at("low"), at("high")).alias("at")).select("resample", F.explode("at").alias("at"))
+    medians = rows.join(F.broadcast(places), "at").groupBy("resample").agg(F.sum(F.col(value).cast("double") * 0.5).alias("m"))
     return medians.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 

@@ -144,3 +144,22 @@ def test_questions_over_views_that_are_refused():
     for top, q in (("a", View("q", "", ("o_totalprice",))), ("g", View("q", "", ("n",), (Filter("n", ">", 2),))), ("g", View("q", "", ("o_custkey",))), ("g", View("q", "", ("o_orderkey",)))):
         with pytest.raises(PlanError):
             views.composed(v, top, q)
+
+def test_bootstrap_median_meets_no_values_with_draws(spark):
+    """Nulls are drawn but are no values; only the middle positions are looked up, so no group holds all that a resample drew."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from factgate.operators import snapshots
+
+    draw = random.Random(3)
+    for n, nulls in ((1, 0), (2, 1), (501, 40), (1200, 0)):
+        values = [None] * nulls + [float(draw.randrange(90)) for _ in range(n - nulls)]
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        got = stats.bootstrap_median(df, "x", 30)
+        assert "percentile(x#" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = snapshots.numbered(df, ["x"], "at")
+        picks = rows.select(F.col("at").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("resample")).select("resample", F.pmod(F.xxhash64("resample", "k", F.lit(1)), F.lit(n)).alias("at"))
+        medians = picks.join(rows, "at").groupBy("resample").agg(F.percentile("x", 0.5).alias("m"))
+        assert got.first() == medians.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")).first()
