@@ -147,7 +147,8 @@ def facts_of(spark: SparkSession, base: str, pages: DataFrame) -> DataFrame:
     rows, out = ordinals_of(pages), None
     for name in sorted(r["product"] for r in pages.select("product").distinct().collect()):  # products of one set: a few
         p = PRODUCTS[name]
-        held = rows.where(F.col("product") == name).select("ordinal", "planes").join(spark.read.parquet(f"{base}/{name}"), "ordinal")
+        # a page is small, the rows that it stands for are not: by the pages' size Spark would broadcast them
+        held = rows.where(F.col("product") == name).select("ordinal", "planes").hint("merge").join(spark.read.parquet(f"{base}/{name}"), "ordinal")
         key = F.col("k")
 
         def fact(plane: Column) -> Column:

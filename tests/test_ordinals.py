@@ -42,3 +42,13 @@ def test_novelty_and_charges(spark):
 def test_no_pages(spark):
     none = frame(spark, [1]).limit(0)
     assert ordinals.packed(none).isEmpty() and ordinals.facts_of(spark, "/nowhere", none).isEmpty()
+
+
+def test_rows_of_pages_are_not_broadcast(spark, sf, tmp_path):
+    """However small the pages are, the rows read out of them are joined by a shuffle."""
+    ordinals.publish(spark, sf, "orders", str(tmp_path))
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    got = ordinals.facts_of(spark, str(tmp_path), frame(spark, range(n), "", "orders"))
+    assert got.distinct().count() == n
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
