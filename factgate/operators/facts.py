@@ -103,6 +103,20 @@ def influence(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, obj
     return once.select("namespace", "snapshot", "key", F.explode("cells").alias("c")).select(fact_of().alias("fact_hash")).distinct()
 
 
+def base_cells(spark: SparkSession, sf_dir: str, plan: Plan, scope: dict[str, object] | None = None) -> DataFrame:
+    """(namespace, snapshot, key, cells): the base facts of an observation by their source rows, not hashed yet.
+
+    A cell's ``output`` is its dimension. Of grouped and distinct rows only the influence is here; what they release is
+    derived (``release``). Rows of a join may be repeated, so these are made distinct.
+    """
+    wanted = {role: [("influence", c) for c in dict.fromkeys(cols)] for role, cols in influence_columns(plan).items()}
+    if not (plan.aggregates or plan.union):
+        for c in dict.fromkeys(plan.columns):
+            wanted[role_of(c)].append(("release", c))
+    rows = by_source(paged_provenance(spark, sf_dir, plan, scope), plan, wanted, [])
+    return rows.distinct() if plan.joins or plan.union else rows
+
+
 def witnesses(proofs: DataFrame, plan: Plan) -> DataFrame:
     """(group_key, output, fact_hash, n): how often each fact testifies for each visible cell of each group.
 

@@ -42,12 +42,14 @@ def influence_pages(spark: SparkSession, base: str, plan: Plan, scope: dict[str,
     """(product, plane, bucket, bits): the facts of ``facts.influence``, of all sources in one pass over the proofs.
 
     A source's evidence is the same columns of all its rows that took part, so one set of ordinals is made for each source,
-    combined before the shuffle, and stands for all its planes.
+    and stands for all its planes. Ordinals are made distinct, then dealt by pages and only then combined: a join deals
+    rows by its own keys, so that pages combined before would be nearly all pages in nearly every task.
     """
     wanted = {role: list(dict.fromkeys(role_column(c) if c else ROWS for c in cols)) for role, cols in influence_columns(plan).items()}
     proofs = paged_provenance(spark, base, plan, scope, indexed, ("ordinal",))
     rows = proofs.select(F.explode(F.array(*[F.struct(F.lit(plan.sources[r]).alias("product"), F.col(f"{r}__ordinal").alias("ordinal")) for r in wanted])).alias("s")).select("s.*")
-    pages = rows.groupBy("product", F.bitmap_bucket_number("ordinal").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("ordinal")).alias("bits"))
+    rows = rows.distinct().withColumn("bucket", F.bitmap_bucket_number("ordinal")).repartition("product", "bucket")
+    pages = rows.groupBy("product", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("ordinal")).alias("bits"))
     planes = F.lit(None)
     for role, columns in wanted.items():
         planes = F.when(F.col("product") == plan.sources[role], F.array(*[F.lit(c) for c in columns])).otherwise(planes)

@@ -52,3 +52,16 @@ def test_rows_of_pages_are_not_broadcast(spark, sf, tmp_path):
     assert got.distinct().count() == n
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_pages_are_built_where_they_belong(spark, sf, tmp_path):
+    """Every page leaves one task only, whatever the join has dealt its rows by: no bitmap is shuffled."""
+    from factgate.workload.relational import join2_plan
+
+    for p in ("orders", "lineitem"):
+        ordinals.publish(spark, sf, p, str(tmp_path))
+    pages = ordinals.influence_pages(spark, str(tmp_path), join2_plan())
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Exchange")]
+    assert above.count("bitmap_construct_agg") >= 2 and "bitmap_construct_agg" not in plan[len(above) :]
+    assert not pages.groupBy(*ordinals.PAGE).count().where("count > 1").count()
