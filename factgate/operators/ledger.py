@@ -107,20 +107,22 @@ def in_rounds(facts: DataFrame, requests: DataFrame, rooms: DataFrame, rounds: i
     minima. Before the first request of a root that would pass a cap nothing was refused, so all these are settled as
     charged; that one is refused. Later ones learn no more than this assumes, so none can be charged less: those that
     would not fit even so in what the settled ones have left are refused with it. What was learned and what the refused
-    showed is dropped, and the rest goes on. A root's running sums are over three numbers a request; its facts are
-    never together. Roots that stay open after so many rounds are folded in order.
+    showed is dropped. Where a dimension has no room left nothing more is learned in it, so every request that still shows a
+    fact of it is refused at once, not only the first to show it, and the rest goes on. A root's running sums are over
+    the requests that bring something new, three numbers each; its facts are never together. Roots that stay open after so
+    many rounds are folded in order.
     """
     left, open_, rooms, done = durable(facts), durable(requests), rooms, []
     sum_of = lambda d: F.coalesce(F.sum(F.when(F.col("dim") == d, F.col("n"))), F.lit(0)).cast("long").alias(f"new_{d}")
     for _ in range(rounds):
         first = durable(left.groupBy("root", "dim", "fact_hash").agg(F.min("seq").alias("seq")))
         new = first.groupBy("root", "seq", "dim").agg(F.count("*").alias("n")).groupBy("root", "seq").agg(*[sum_of(d) for d in DIMS])
-        each = open_.join(new, ["root", "seq"], "left").join(rooms, "root").na.fill(0, [f"new_{d}" for d in DIMS])
+        new = durable(new)
         upto = Window.partitionBy("root").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        each = each.select("*", *[F.sum(f"new_{d}").over(upto).alias(f"sum_{d}") for d in DIMS])
+        summed = new.join(rooms, "root").select("*", *[F.sum(f"new_{d}").over(upto).alias(f"sum_{d}") for d in DIMS])
         passes = reduce(Column.__or__, [(F.col(f"new_{d}") > 0) & (F.col(f"sum_{d}") > F.col(f"room_{d}")) for d in DIMS])
-        each = durable(each.withColumn("passes", passes))
-        stops = each.where("passes").groupBy("root").agg(F.min("seq").alias("stop"))
+        stops = durable(summed.where(passes).groupBy("root").agg(F.min("seq").alias("stop")))
+        each = open_.join(new, ["root", "seq"], "left").join(rooms, "root").na.fill(0, [f"new_{d}" for d in DIMS])
         each = each.join(stops, "root", "left")
         before = F.col("stop").isNull() | (F.col("seq") < F.col("stop"))
         spent = each.where(before).groupBy("root").agg(*[F.sum(f"new_{d}").alias(f"spent_{d}") for d in DIMS])
@@ -130,12 +132,20 @@ def in_rounds(facts: DataFrame, requests: DataFrame, rooms: DataFrame, rounds: i
         each = durable(each.withColumn("state", state))
         done.append(each.where("state <> 'open'").select("root", "seq", (F.col("state") == "accepted").alias("accepted"), *[F.when(F.col("state") == "accepted", F.col(f"new_{d}")).otherwise(0).cast("long").alias(f"charged_{d}") for d in DIMS]))
         open_ = each.where("state = 'open'")
-        rooms = open_.select("root", *[(F.col(f"room_{d}") - F.col(f"spent_{d}")).alias(f"room_{d}") for d in DIMS]).distinct()
+        rooms = durable(open_.select("root", *[(F.col(f"room_{d}") - F.col(f"spent_{d}")).alias(f"room_{d}") for d in DIMS]).distinct())
         open_ = open_.select("root", "seq")
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, done)
         learned_ = first.join(stops, "root").where("seq < stop").select("root", "dim", "fact_hash")
-        left = durable(left.join(open_, ["root", "seq"], "left_semi").join(learned_, ["root", "dim", "fact_hash"], "left_anti"))
+        left = left.join(open_, ["root", "seq"], "left_semi").join(learned_, ["root", "dim", "fact_hash"], "left_anti")
+        full = reduce(Column.__or__, [(F.col("dim") == d) & (F.col(f"room_{d}") <= 0) for d in DIMS])
+        left = durable(left.join(rooms, "root").withColumn("full", full).select("root", "seq", "dim", "fact_hash", "full"))
+        never = durable(left.where("full").select("root", "seq").distinct())
+        done.append(never.select("root", "seq", F.lit(False).alias("accepted"), *[F.lit(0).cast("long").alias(f"charged_{d}") for d in DIMS]))
+        open_ = durable(open_.join(never, ["root", "seq"], "left_anti"))
+        left = durable(left.drop("full").join(never, ["root", "seq"], "left_anti"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
     return reduce(DataFrame.unionByName, [*done, in_order(left, open_, rooms)])
 
 

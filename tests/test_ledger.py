@@ -143,3 +143,17 @@ def test_batches_read_what_they_touch(spark, tmp_path):
     assert [r["new"] for r in changes] == [301, 300, 300, 20]
     assert changes[3]["read"] <= 4 * 21 and changes[3]["leaves"] <= 8 * 21
     assert spark.read.parquet(f"{tmp_path}/book/settled").agg({"charged_release": "sum"}).first()[0] == 920
+
+
+def test_a_full_dimension_refuses_at_once(spark, monkeypatch):
+    """Users of whom the root may learn two, with very many requests each: decided in rounds, none is left to be folded."""
+    rows = [("r", s, "influence", f"u{s % 9}") for s in range(400)] + [("r", s, "release", f"x{s % 3}") for s in range(400)]
+    stream = spark.createDataFrame(rows, "root string, seq long, dim string, fact_hash string")
+    caps = spark.createDataFrame([("r", 9, 2, 9)], "root string, max_release long, max_influence long, max_outcome long")
+    want = sorted(map(tuple, ledger.settle(stream, caps).collect()))
+
+    def folded(*_):
+        raise AssertionError("requests were left after the rounds")
+
+    monkeypatch.setattr(ledger, "in_order", folded)
+    assert sorted(map(tuple, ledger.settle(stream, caps, folded=0).collect())) == want
