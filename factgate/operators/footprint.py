@@ -126,11 +126,16 @@ def log_plan_keys(log: DataFrame) -> DataFrame:
     return log.select("query_id", F.sha2(key, 256).alias("plan_key"))
 
 
+#: Nodes over one child beyond which its key is sent to all tasks.
+SHARED = 100_000
+
+
 def algebra_keys(nodes: DataFrame, most: int = 64) -> DataFrame:
     """(node, key) of nested algebra given as rows (node, kind, text, children array<long>): keys of children first.
 
     Children of joins and unions are put in order, those of a union also once each, so that order doesn't matter there.
-    Levels are hashed bottom-up, a join per level; a cycle or more levels than ``most`` is refused.
+    Levels are hashed bottom-up, a join per level; a cycle or more levels than ``most`` is refused. Children that very many
+    nodes share, of which there are few, go to their nodes and not the nodes to them.
     """
     from ..streaming.shared import durable
 
@@ -140,7 +145,10 @@ def algebra_keys(nodes: DataFrame, most: int = 64) -> DataFrame:
         if left.isEmpty():
             return done
         each = left.select("node", "kind", "text", F.size("children").alias("n"), F.posexplode("children").alias("at", "child"))
-        ready = each.join(done.select(F.col("node").alias("child"), "key"), "child").groupBy("node", "kind", "text", "n").agg(F.sort_array(F.collect_list(F.struct("at", "key"))).alias("k")).where(F.size("k") == F.col("n"))
+        keyed = done.select(F.col("node").alias("child"), "key")
+        shared = durable(each.groupBy("child").agg(F.count("*").alias("m")).where(F.col("m") > SHARED).join(keyed, "child").select("child", "key"))
+        met = each.join(F.broadcast(shared), "child").unionByName(each.join(F.broadcast(shared.select("child")), "child", "left_anti").join(keyed, "child"))
+        ready = met.groupBy("node", "kind", "text", "n").agg(F.sort_array(F.collect_list(F.struct("at", "key"))).alias("k")).where(F.size("k") == F.col("n"))
         keys = F.transform("k", lambda x: x["key"])
         keys = F.when(F.col("kind") == "join", F.array_sort(keys)).when(F.col("kind") == "union", F.array_sort(F.array_distinct(keys))).otherwise(keys)
         new = ready.withColumn("keys", keys)
