@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..streaming.shared import durable
@@ -41,30 +41,38 @@ class Change:
 
 
 def union(spark: SparkSession, path: str, candidates: DataFrame, base: int | None, version: int, split: int = LEAF) -> Change:
-    """Writes ``version`` of the set: that of ``base`` (None: empty) and the column ``fact_hash`` of the candidates."""
-    asked = durable(candidates.select("fact_hash").where(F.col("fact_hash").isNotNull()).distinct().withColumn("block", F.substring("fact_hash", 1, BLOCK)))
+    """Writes ``version`` of the set: that of ``base`` (None: empty) and the column ``fact_hash`` of the candidates.
+
+    Everything about a block is settled where its rows meet: candidates, the names of its leaves and their members are
+    shuffled once, by block; what is new, which leaves that changes and how they divide follows from their order there.
+    """
+    asked = candidates.select("fact_hash").where(F.col("fact_hash").isNotNull()).withColumn("block", F.substring("fact_hash", 1, BLOCK))
     old = nodes_of(spark, path, base, asked) if base is not None else None
-    placed = in_leaves(asked, old)
-    held = None
+    rows = asked.select("block", F.col("fact_hash").alias("at"), F.lit(None).cast("string").alias("leaf"), F.lit(True).alias("asked"), F.lit(False).alias("held"))
     if old is not None:
-        placed = durable(placed)
-        held = members_of(spark, path, placed)
-        held = held and durable(held)
-    new = placed.join(held, "fact_hash", "left_anti") if held is not None else placed
-    new = durable(new) if old is not None else new
-    changed = new.select("leaf").distinct()
-    rows = new.select(F.col("leaf").alias("was"), "fact_hash")
-    if held is not None:
-        rows = rows.unionByName(held.join(changed, "leaf", "left_semi").withColumnRenamed("leaf", "was"))
-    done = divided(rows.withColumn("leaf", F.col("was")), split).select("leaf", "fact_hash", F.substring("leaf", 1, 1).alias("part"))
+        leaves_then = durable(old.where("written is not null"))
+        rows = rows.unionByName(leaves_then.select("block", F.col("prefix").alias("at"), F.col("prefix").alias("leaf"), F.lit(False).alias("asked"), F.lit(False).alias("held")))
+        few = asked.limit(leaves_then.count()).count() < leaves_then.count()
+        wanted = in_leaves(asked, old).where("written is not null") if few else leaves_then.withColumnRenamed("prefix", "leaf")
+        held = members_of(spark, path, wanted)
+        if held is not None:
+            rows = rows.unionByName(held.select(F.substring("leaf", 1, BLOCK).alias("block"), F.col("fact_hash").alias("at"), "leaf", F.lit(False).alias("asked"), F.lit(True).alias("held")))
+    rows = rows.repartition("block").groupBy("block", "at").agg(F.max("leaf").alias("leaf"), F.max("asked").alias("asked"), F.max("held").alias("held"))
+    placed = neighboured(rows) if old is not None else rows.withColumn("leaf", F.col("block"))
+    own = Window.partitionBy("block", "was")
+    fresh = F.max(F.col("asked") & ~F.col("held")).over(own).alias("fresh")
+    met = placed.withColumnRenamed("leaf", "was").select("*", fresh, F.max("asked").over(own).alias("touched")).where("touched and (asked or held)")
+    groups = divided(met.withColumnRenamed("at", "fact_hash"), split).groupBy("block", "was", "leaf", "fresh").agg(F.count_if("held").alias("before"), F.sort_array(F.collect_list(F.when(F.col("fresh"), F.col("fact_hash")))).alias("hashes"))
+    groups = durable(groups)
+    done = groups.where("fresh")
     mine = f"{path}/members/version={version}"
-    done.repartitionByRange("leaf").sortWithinPartitions("leaf").write.mode("overwrite").partitionBy("part").parquet(mine)
-    written = spark.read.schema("leaf string, fact_hash string, part string").option("basePath", mine).parquet(mine)
-    leaves = durable(written.groupBy(F.col("leaf").alias("prefix")).agg(F.count("*").alias("n"), join_sorted("fact_hash").alias("digest")).withColumn("written", F.lit(version)))
+    done.select("leaf", F.explode("hashes").alias("fact_hash"), F.substring("leaf", 1, 1).alias("part")).sortWithinPartitions("part", "leaf").write.mode("overwrite").partitionBy("part").parquet(mine)
+    leaves = durable(done.select(F.col("leaf").alias("prefix"), F.size("hashes").cast("long").alias("n"), F.sha2(F.array_join("hashes", ""), 256).alias("digest"), F.lit(version).alias("written")))
     leaves_now = leaves
     if old is not None:
-        blocks = changed.select(F.substring("leaf", 1, BLOCK).alias("block")).distinct()
-        kept = old.where("written is not null").join(changed, F.col("prefix") == F.col("leaf"), "left_anti").join(blocks, "block", "left_semi")
+        changed = done.select(F.col("was").alias("prefix")).distinct()
+        blocks = done.select("block").distinct()
+        kept = leaves_then.join(changed, "prefix", "left_anti").join(blocks, "block", "left_semi")
         leaves_now = durable(leaves.unionByName(kept.select("prefix", "n", "digest", "written")))
     tree = with_inner(leaves_now)
     tree.repartitionByRange("prefix").sortWithinPartitions("prefix").write.mode("overwrite").parquet(f"{path}/nodes/version={version}")
@@ -75,7 +83,8 @@ def union(spark: SparkSession, path: str, candidates: DataFrame, base: int | Non
         top = top.unionByName(manifest(spark, path, base).join(nodes.select("block").distinct(), "block", "left_anti"))
     top.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
     sizes = leaves.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct(F.substring("prefix", 1, BLOCK))).first()
-    return Change(new.count(), sizes[0], sizes[1], sizes[2], held.count() if held is not None else 0)
+    read, replaced = groups.agg(F.coalesce(F.sum("before"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("fresh"), F.col("before"))), F.lit(0))).first()
+    return Change(sizes[1] - replaced, sizes[0], sizes[1], sizes[2], read)
 
 
 def manifest(spark: SparkSession, path: str, version: int) -> DataFrame:
@@ -106,14 +115,39 @@ def nodes_of(spark: SparkSession, path: str, version: int, asked: DataFrame | No
 def in_leaves(asked: DataFrame, nodes: DataFrame | None) -> DataFrame:
     """(fact_hash, block, leaf, n, written): the leaf where each hash belongs; one that doesn't exist yet has no members."""
     if nodes is None:
-        return asked.select("fact_hash", "block", F.col("block").alias("leaf"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("written"))
-    deepest = nodes.agg(F.max(F.length("prefix"))).first()[0]
-    prefixes = F.explode(F.transform(F.sequence(F.lit(BLOCK), F.lit(deepest)), lambda k: F.substring("fact_hash", F.lit(1), k)))
-    met = asked.select("fact_hash", "block", prefixes.alias("prefix")).join(nodes.drop("block"), "prefix", "left")
-    best = met.groupBy("fact_hash", "block").agg(F.max(F.when(F.col("n").isNotNull(), F.struct(F.length("prefix").alias("k"), "prefix", "n", "written"))).alias("b"))
-    leaf = F.when(F.col("b").isNull(), F.col("block")).when(F.col("b.written").isNotNull(), F.col("b.prefix")).otherwise(F.substring("fact_hash", F.lit(1), F.col("b.k") + 1))
-    held = F.col("b.written").isNotNull()
-    return best.select("fact_hash", "block", leaf.alias("leaf"), F.when(held, F.col("b.n")).otherwise(0).alias("n"), F.when(held, F.col("b.written")).alias("written"))
+        return asked.select("fact_hash", "block", F.col("block").alias("leaf"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("written")).distinct()
+    names = nodes.where("written is not null").select("block", F.col("prefix").alias("at"), F.struct("prefix", "n", "written").alias("stored"), F.lit(False).alias("asked"))
+    hashes = asked.select("block", F.col("fact_hash").alias("at"), F.lit(None).cast(names.schema["stored"].dataType).alias("stored"), F.lit(True).alias("asked"))
+    rows = hashes.unionByName(names).repartition("block").groupBy("block", "at").agg(F.max("stored").alias("stored"), F.max("asked").alias("asked"))
+    upto = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    met = neighboured(rows.select("*", F.col("stored.prefix").alias("leaf"), F.last("stored", True).over(upto).alias("near"))).where("asked")
+    inside = F.col("near.prefix") == F.col("leaf")
+    return met.select(F.col("at").alias("fact_hash"), "block", "leaf", F.when(inside, F.col("near.n")).otherwise(0).alias("n"), F.when(inside, F.col("near.written")).alias("written"))
+
+
+def neighboured(rows: DataFrame) -> DataFrame:
+    """Rows (block, at, leaf, ...), of which the leaves' names have their ``leaf`` and hashes none, with the leaf where each hash belongs.
+
+    No leaf's name begins another's. So if any leaf holds a hash, it is the last whose name isn't after the hash. If none
+    does, the inner node below which its leaf would be is what the hash shares with the leaf before it or the one after.
+    """
+    upto = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("block").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("__after", F.last("leaf", True).over(down)).withColumn("__before", F.last("leaf", True).over(upto))
+    inside = F.coalesce(F.col("leaf"), F.when(F.col("at").startswith(F.col("__before")), F.col("__before")))
+    met = met.withColumn("leaf", inside).withColumn("__at", F.when(F.col("leaf").isNull(), F.col("at")))
+    missing = F.substring("at", F.lit(1), F.greatest(shared("__at", "__before"), shared("__at", "__after"), F.lit(BLOCK - 1)) + 1)
+    return met.withColumn("leaf", F.when(F.col("leaf").isNull(), missing).otherwise(F.col("leaf"))).select(*rows.columns)
+
+
+def shared(a: str, b: str) -> Column:
+    """The number of leading digits that two columns share, 127 at most; 0 where one is null. Beyond 8 they are compared in halves."""
+    first = lambda k: F.substring(a, 1, k) == F.substring(b, 1, k)
+    piece = lambda c, k, step: F.substring(c, k + 1, step)
+    same = lambda k, step: (F.length(piece(a, k, step)) == step) & (piece(a, k, step) == piece(b, k, step))
+    far = F.aggregate(F.array(*[F.lit(2**j) for j in range(6, -1, -1)]), F.lit(0), lambda k, step: F.when(same(k, step), k + step).otherwise(k))
+    near = reduce(Column.__add__, [(F.length(a) >= k).cast("int") * (F.length(b) >= k).cast("int") * first(k).cast("int") for k in range(1, 8)])
+    return F.when(F.col(a).isNull() | F.col(b).isNull(), 0).when(first(8), far).otherwise(near)
 
 
 def members_of(spark: SparkSession, path: str, placed: DataFrame) -> DataFrame | None:
@@ -133,32 +167,22 @@ def members_of(spark: SparkSession, path: str, placed: DataFrame) -> DataFrame |
 
 
 def divided(rows: DataFrame, split: int) -> DataFrame:
-    """(leaf, fact_hash, was): every row under the shortest prefix of at least its leaf's length that holds ``split`` rows or fewer.
+    """Rows (block, was, fact_hash, ...) with ``leaf``: the shortest prefix, of at least the length of ``was``, that ``split`` rows or fewer of it share.
 
-    Rows of leaves that are too large are counted by prefixes deep enough for these to be small, then the counts are added
-    up towards the leaf, so that the rows are read once for all levels between.
+    More than ``split`` rows share a prefix where, in their order, a row and the one ``split`` places on do. So a row's
+    leaf has one digit more than the most that such two share among those that it stands between. That most is over a
+    sliding stretch of rows, found as running maxima from both ends of blocks as long, so that it is one pass for any split.
     """
-    while True:
-        sizes = rows.groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > split)
-        most = sizes.agg(F.max("size")).first()[0]
-        if most is None:
-            return rows
-        span = 1
-        while most > split << (4 * span):
-            span += 1
-        span += 1
-        deep = F.substring("fact_hash", F.lit(1), F.length("leaf") + span)
-        large = rows.join(sizes.select("leaf"), "leaf", "left_semi")
-        counts = durable(large.groupBy("leaf", deep.alias("deep")).agg(F.count("*").alias("c")))
-        found: Column = F.col("deep")
-        for k in range(span, 0, -1):
-            at = F.substring("deep", F.lit(1), F.length("leaf") + k)
-            sums = counts.groupBy("leaf", at.alias("at")).agg(F.sum("c").alias(f"c{k}"))
-            counts = counts.withColumn("at", at).join(sums, ["leaf", "at"]).drop("at")
-            found = F.when(F.col(f"c{k}") <= split, at).otherwise(found)
-        names = counts.select("deep", found.alias("new"))
-        moved = rows.withColumn("deep", deep).join(names, "deep", "left")
-        rows = durable(moved.select(F.coalesce("new", "leaf").alias("leaf"), "fact_hash", "was"))
+    own = Window.partitionBy("block", "was").orderBy("fact_hash")
+    met = rows.select("*", (F.row_number().over(own) - 1).alias("__r"), F.lead("fact_hash", split).over(own).alias("__far"))
+    met = met.withColumn("__k", F.when(F.col("__far").isNotNull(), shared("fact_hash", "__far"))).drop("__far").withColumn("__s", F.floor(F.col("__r") / (split + 1)))
+    stretch = Window.partitionBy("block", "was", "__s")
+    met = met.withColumn("__down", F.max("__k").over(stretch.orderBy(F.desc("fact_hash")).rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.withColumn("__up", F.max("__k").over(stretch.orderBy("fact_hash").rowsBetween(Window.unboundedPreceding, 0)))
+    most = F.greatest(F.col("__up"), F.lag("__down", split).over(own))
+    met = met.withColumn("__k", most)
+    depth = F.greatest(F.length("was"), F.col("__k") + 1)
+    return met.withColumn("leaf", F.substring("fact_hash", F.lit(1), depth)).select(*rows.columns, "leaf")
 
 
 def with_inner(leaves: DataFrame) -> DataFrame:

@@ -104,3 +104,16 @@ def test_one_more_counts_the_block(spark):
     n = facts.where(f"substr(fact_hash, 1, 2) = '{block}'").count()
     got = one_more(spark, facts, 4).first()
     assert n > 4 and (got.new, got.blocks, got["read"], got.written) == (1, 1, n, n + 1)
+
+
+def test_divided_reads_rows_once(spark):
+    """However deep the prefixes that very many hashes share, dividing them joins nothing with counts by level."""
+    hashes = [f"ab{k % 3}0000{k:057x}" for k in range(40)] + some(0, 40)
+    rows = frame(spark, hashes).selectExpr("substr(fact_hash, 1, 2) as block", "substr(fact_hash, 1, 2) as was", "fact_hash").repartition("block")
+    done = radix.divided(rows, 5)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    for r in done.collect():
+        like = lambda k: sum(h.startswith(r.fact_hash[:k]) for h in hashes)  # noqa: E731, B023
+        k = len(r.leaf)
+        assert like(k) <= 5 and (k == 2 or like(k - 1) > 5)
