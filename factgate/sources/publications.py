@@ -67,14 +67,17 @@ def published(spark: SparkSession, base: str, name: str, snapshot: str) -> DataF
 #: Rows of a shard of a published part.
 SHARD_ROWS = 1 << 20
 PARTS = ("hot", "cold", "sidecar")
+#: Shards of a folder, and digits of a folder of hashes at most; so folders are few however small shards are.
+FOLDER, FOLDER_DIGITS = 1024, 2
 
 
 def publish_indexed(df: DataFrame, p: Product, base: str, snapshot: str, shard_rows: int = SHARD_ROWS) -> None:
     """An immutable version with its index: what settlement needs apart from what decoding needs.
 
-    ``cold`` has the rows by ordinal, ``hot`` the ordinals of row facts in folders by hash prefix, so that a lookup reads
-    only those of its hashes, and ``sidecar`` the entity key of every row handle. Prefixes are as long as the number of rows
-    asks for, the other parts are sharded by ranges of ordinals of the same size. Every shard of every part is attested
+    ``cold`` has the rows by ordinal, ``hot`` the ordinals of row facts by hash prefix, so that a lookup reads only those
+    of its hashes, and ``sidecar`` the entity key of every row handle. Prefixes are as long as the number of rows asks for, the
+    other parts are sharded by ranges of ordinals of the same size. A folder holds many shards in order, and each row names
+    its own, so that the number of files doesn't grow with that of the shards. Every shard of every part is attested
     (``attested``), and the manifest binds all of them.
 
     All of it is written under a name of its own and renamed at the end, in one step of the file system: a writer that is
@@ -87,12 +90,14 @@ def publish_indexed(df: DataFrame, p: Product, base: str, snapshot: str, shard_r
     rows = df.withColumn("entity_key", entity_key(p)).withColumn("fact_hash", digest("row", p.namespace, snapshot, F.col("entity_key")))
     hot, cold = hot_and_cold(numbered(rows, ["fact_hash"]))
     shard = F.floor(F.col("ordinal") / shard_rows).cast("string").alias("shard")
-    cold.select("*", shard).drop("entity_key").repartitionByRange("ordinal").write.partitionBy("shard").parquet(f"{stage}/cold")
+    folder = F.floor(F.col("ordinal") / (shard_rows * FOLDER)).cast("string").alias("folder")
+    write = lambda df, part, *order: df.repartitionByRange(*order).sortWithinPartitions("folder", *order).write.partitionBy("folder").parquet(f"{stage}/{part}")
+    write(cold.select("*", shard, folder).drop("entity_key"), "cold", "ordinal")
     count, depth = spark.read.parquet(f"{stage}/cold").count(), 1
     while count > shard_rows << (4 * depth):
         depth += 1
-    hot.withColumn("prefix", F.substring("fact_hash", 1, depth)).repartitionByRange("prefix", "fact_hash").write.partitionBy("prefix").parquet(f"{stage}/hot")
-    cold.select(F.col("ordinal").alias("handle"), "entity_key", shard).repartitionByRange("handle").write.partitionBy("shard").parquet(f"{stage}/sidecar")
+    write(hot.select("*", F.substring("fact_hash", 1, depth).alias("prefix"), F.substring("fact_hash", 1, min(depth, FOLDER_DIGITS)).alias("folder")), "hot", "fact_hash")
+    write(cold.select(F.col("ordinal").alias("handle"), "entity_key", shard, folder), "sidecar", "handle")
     attested(spark, stage, snapshot).write.parquet(f"{stage}/shards")
     shards = spark.read.parquet(f"{stage}/shards")
     whole = set_digest(shards.select(digest(F.col("part"), F.col("shard"), F.col("n").cast("string"), F.col("digest")).alias("h")), "h")
@@ -108,17 +113,17 @@ def publish_indexed(df: DataFrame, p: Product, base: str, snapshot: str, shard_r
 
 
 def stored(spark: SparkSession, path: str, part: str) -> DataFrame:
-    """A part's rows with ``shard``, the folder that they stand in, as text."""
-    kinds = {"hot": "ordinal long, fact_hash string, prefix string", "sidecar": "handle long, entity_key string, shard string"}
+    """A part's rows with ``shard``, that they belong to, and ``folder``, where they stand, as text."""
+    kinds = {"hot": "ordinal long, fact_hash string, prefix string, folder string", "sidecar": "handle long, entity_key string, shard string, folder string"}
     rows = (spark.read.schema(kinds[part]) if part in kinds else spark.read).parquet(f"{path}/{part}")
-    return rows.withColumn("shard", F.col("prefix" if part == "hot" else "shard").cast("string"))
+    return rows.withColumn("shard", F.col("prefix" if part == "hot" else "shard").cast("string")).withColumn("folder", F.col("folder").cast("string"))
 
 
 def attested(spark: SparkSession, path: str, snapshot: str) -> DataFrame:
     """(part, shard, n, digest): the rows of every shard of a version as they are now."""
     out = None
     for part in PARTS:
-        rows = stored(spark, path, part)
+        rows = stored(spark, path, part).drop("folder")
         each = set_digest(rows.select("shard", digest(part, snapshot, row_hash(rows, "shard")).alias("h")), "h", ["shard"]).select(F.lit(part).alias("part"), "shard", "n", "digest")
         out = each if out is None else out.unionByName(each)
     return out
@@ -139,4 +144,4 @@ def indexed(spark: SparkSession, base: str, p: Product, snapshot: str) -> tuple[
     """(hot, cold, sidecar) of a finished version; raises if it has no manifest. ``hot`` has a ``prefix``, as many digits as the manifest's ``depth``."""
     path = f"{base}/{p.name}/snapshot={snapshot}"
     spark.read.parquet(f"{path}/manifest")
-    return stored(spark, path, "hot").drop("shard"), stored(spark, path, "cold").drop("shard"), stored(spark, path, "sidecar").drop("shard")
+    return stored(spark, path, "hot").drop("shard", "folder"), stored(spark, path, "cold").drop("shard", "folder"), stored(spark, path, "sidecar").drop("shard", "folder")

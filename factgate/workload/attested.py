@@ -16,10 +16,12 @@ HELD = f"(SELECT *, row_number() OVER (ORDER BY h) - 1 AS ordinal FROM (SELECT c
 
 
 def changed(spark: SparkSession, path: str, part: str, shard: str, change) -> None:
-    """Rewrites a shard's file as somebody might who knows nothing of its attestation."""
-    column = "prefix" if part == "hot" else "shard"
-    rows = durable(publications.stored(spark, path, part).where(F.col("shard") == shard))
-    change(rows.drop(*{"shard", column})).coalesce(1).write.mode("overwrite").parquet(f"{path}/{part}/{column}={shard}")
+    """Rewrites a shard within its folder as somebody might who knows nothing of its attestation."""
+    every = publications.stored(spark, path, part)
+    folder = every.where(F.col("shard") == shard).select("folder").first()[0]
+    rows = durable(every.where(F.col("folder") == folder))
+    mine = change(rows.where(F.col("shard") == shard)).unionByName(rows.where(F.col("shard") != shard))
+    mine.drop("folder", *(["shard"] if part == "hot" else [])).coalesce(1).write.mode("overwrite").parquet(f"{path}/{part}/folder={folder}")
 
 
 @query(f"SELECT 'hot' AS part, substr(min(h), 1, CASE WHEN count(*) > {SHARD * 16 ** 3} THEN 4 WHEN count(*) > {SHARD * 16 ** 2} THEN 3 WHEN count(*) > {SHARD * 16} THEN 2 ELSE 1 END) AS shard FROM {HELD} UNION ALL SELECT 'cold', '0' UNION ALL SELECT 'sidecar', CAST((count(*) - 1) // {SHARD} AS VARCHAR) FROM {HELD}")

@@ -35,3 +35,14 @@ def test_a_version_is_written_once_and_whole(spark, sf, tmp_path):
         publications.publish_indexed(broken, p, str(tmp_path), "day1")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         publications.indexed(spark, str(tmp_path), p, "day1")
+
+
+def test_files_do_not_grow_with_shards(spark, sf, tmp_path):
+    """Very small shards share folders and files; each is attested and found on its own all the same."""
+    p = products.PRODUCTS["customer"]
+    publications.publish_indexed(products.load(spark, sf, "customer"), p, str(tmp_path), "day0", 1)
+    path = tmp_path / "customer" / "snapshot=day0"
+    shards = {r.part: r.n for r in spark.read.parquet(f"{path}/shards").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    for part in ("cold", "sidecar"):
+        assert shards[part] > 100 and len(list((path / part).rglob("*.parquet"))) <= 16
+    assert publications.tampered(spark, str(tmp_path), p, "day0").isEmpty()
