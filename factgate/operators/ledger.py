@@ -68,7 +68,7 @@ def settle(stream: DataFrame, caps: DataFrame, ledger: DataFrame | None = None,
     is a (root, seq); ``caps`` is (root, max_release, max_influence, max_outcome); roots without caps accept nothing new.
 
     A root whose new facts fit its caps altogether is never refused, so its requests are charged by grouped minima
-    (``charges``), in no order. For the others a refusal changes what later requests are charged. A root with at most
+    (``first_seen``), in no order. For the others a refusal changes what later requests are charged. A root with at most
     ``folded`` new facts is folded in order in one task (``in_order``), which is cheap and bounded; larger ones are decided in
     rounds (``in_rounds``), each of which charges and refuses very many requests at once, however many one root has.
     What the ledger already has is taken out before, so replays send no facts. ``used`` (root, used_release, ...) says
@@ -82,12 +82,13 @@ def settle(stream: DataFrame, caps: DataFrame, ledger: DataFrame | None = None,
     if used is not None:
         limits = limits.join(used, "root", "left").select("root", *[(F.col(f"room_{d}") - F.coalesce(f"used_{d}", F.lit(0))).alias(f"room_{d}") for d in DIMS])
     marks = stream.select("root", "seq").distinct().select("root", "seq", F.lit(None).cast("string").alias("dim"), F.lit(None).cast("string").alias("fact_hash"))
-    total = facts.groupBy("root").agg(*[F.count_distinct(F.when(F.col("dim") == d, F.col("fact_hash"))).alias(f"n_{d}") for d in DIMS])
+    first = first_seen(facts)
+    count = lambda d: F.count(F.when(F.col("dim") == d, F.col("fact_hash")))
+    total = first.groupBy("root").agg(*[count(d).alias(f"n_{d}") for d in DIMS])
     fits = reduce(Column.__and__, [F.coalesce(f"n_{d}", F.lit(0)) <= F.greatest(F.coalesce(f"room_{d}", F.lit(0)), F.lit(0)) for d in DIMS])
     state = durable(marks.select("root").distinct().join(total, "root", "left").join(limits, "root", "left").select("root", fits.alias("free"), reduce(Column.__add__, [F.coalesce(f"n_{d}", F.lit(0)) for d in DIMS]).alias("n")))
     free, bound = state.where("free").select("root"), state.where("not free").select("root", (F.col("n") > folded).alias("large"))
-    some = lambda d: F.sum(F.when(F.col("dim") == d, F.col("charged"))).alias(f"charged_{d}")
-    easy = charges(facts.join(free, "root", "left_semi")).groupBy("root", "seq").agg(*[some(d) for d in DIMS])
+    easy = first.join(free, "root", "left_semi").groupBy("root", "seq").agg(*[count(d).alias(f"charged_{d}") for d in DIMS])
     easy = marks.select("root", "seq").join(free, "root", "left_semi").join(easy, ["root", "seq"], "left").select("root", "seq", F.lit(True).alias("accepted"), *[F.coalesce(f"charged_{d}", F.lit(0)).cast("long").alias(f"charged_{d}") for d in DIMS])
     rooms = bound.join(limits, "root", "left").select("root", "large", *[F.coalesce(f"room_{d}", F.lit(0)).cast("long").alias(f"room_{d}") for d in DIMS])
     out = easy

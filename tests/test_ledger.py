@@ -3,12 +3,14 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factgate.operators import audit, digest, governance, ledger, snapshots, stats
 from factgate.streaming import novelty
 
 CAPS = "root string, max_release long, max_influence long, max_outcome long"
 STREAM = "root string, seq long, dim string, fact_hash string"
+ROOMS = "max_release long, max_influence long, max_outcome long"
 
 
 def sequential(rows, caps):
@@ -157,3 +159,16 @@ def test_a_full_dimension_refuses_at_once(spark, monkeypatch):
 
     monkeypatch.setattr(ledger, "in_order", folded)
     assert sorted(map(tuple, ledger.settle(stream, caps, folded=0).collect())) == want
+
+
+def test_free_roots_are_charged_by_minima_only(spark):
+    """What fits altogether is neither counted apart by dimension nor joined with the sizes of requests."""
+    rows = [(k % 2, k, d, f"{d}{k // 3}") for k in range(30) for d in ledger.DIMS]
+    done = ledger.settle(spark.createDataFrame(rows, "root long, seq long, dim string, fact_hash string"), spark.createDataFrame([(0, 99, 99, 99), (1, 99, 99, 99)], "root long, " + ROOMS))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == 1 and "Expand" not in plan
+    first = {}
+    for root, seq, d, f in rows:
+        first.setdefault((root, d, f), seq)
+    got = {(r.root, r.seq): (r.accepted, r.charged_release, r.charged_influence, r.charged_outcome) for r in done.collect()}
+    assert got == {(r, s): (True, *[int(first[r, d, f"{d}{s // 3}"] == s) for d in ledger.DIMS]) for r, s, _, _ in rows}
