@@ -278,16 +278,23 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
+def settle_next(asked: DataFrame, caps: DataFrame, base: str) -> None:
+    """Writes requests to the stream's input and settles them as its next micro-batch."""
+    spark = asked.sparkSession
+    asked.write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(asked.schema).parquet(f"{base}/in")
+    novelty.settle_batches(stream, caps, base, f"{base}/checkpoint").awaitTermination()
+
+
 @query(f"{CAPPED} SELECT root, count(*) FILTER (WHERE accepted) AS accepted, CAST(sum(charged_release) AS BIGINT) AS charged_release, CAST(sum(charged_influence) AS BIGINT) AS charged_influence, CAST(sum(charged_outcome) AS BIGINT) AS charged_outcome FROM settled GROUP BY root")
 def stream_settlement(spark: SparkSession, sf: str) -> DataFrame:
     """A request stream settled over several micro-batches, each with the ledger of those before, under caps that refuse requests."""
     base = shared_folder(spark, "settlement")
     asked = requests(spark, sf)
     most = asked.agg(F.max("seq")).first()[0] or 0
-    for k in range(3):  # three files, written one after the other: as many batches, in order
-        asked.where((F.col("seq") * 3 >= k * (most + 1)) & (F.col("seq") * 3 < (k + 1) * (most + 1))).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    novelty.settle_batches(stream, root_caps(spark), base, f"{base}/checkpoint").awaitTermination()
+    for k in range(3):  # what is there when the stream starts is a batch, of as many files as its rows are dealt to
+        third = asked.where((F.col("seq") * 3 >= k * (most + 1)) & (F.col("seq") * 3 < (k + 1) * (most + 1)))
+        settle_next(third, root_caps(spark), base)
     done = spark.read.parquet(f"{base}/settled")
     return done.groupBy("root").agg(F.count_if("accepted").alias("accepted"), *[F.sum(f"charged_{d}").alias(f"charged_{d}") for d in ledger.DIMS])
 

@@ -172,3 +172,16 @@ def test_free_roots_are_charged_by_minima_only(spark):
         first.setdefault((root, d, f), seq)
     got = {(r.root, r.seq): (r.accepted, r.charged_release, r.charged_influence, r.charged_outcome) for r in done.collect()}
     assert got == {(r, s): (True, *[int(first[r, d, f"{d}{s // 3}"] == s) for d in ledger.DIMS]) for r, s, _, _ in rows}
+
+
+def test_a_batch_may_have_many_files(spark, tmp_path):
+    """Requests of a micro-batch are not drawn together in one task."""
+    from factgate.workload.more import settle_next
+
+    c, base = spark.createDataFrame([("a", 99, 99, 99)], "root string, " + ROOMS), str(tmp_path / "book")
+    for k in range(2):
+        rows = [("a", s, d, f"{d}{s // 2}") for s in range(20 * k, 20 * k + 20) for d in ledger.DIMS]
+        settle_next(spark.createDataFrame(rows, STREAM).repartition(3), c, base)
+    assert len(list((tmp_path / "book" / "in").rglob("*.parquet"))) == 6
+    done = spark.read.parquet(f"{base}/settled")
+    assert {tuple(r) for r in done.groupBy("batch").agg(F.count("*"), F.sum("charged_release")).collect()} == {(0, 20, 10), (1, 20, 10)}
