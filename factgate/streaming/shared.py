@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def base_folder(spark: SparkSession) -> str:
@@ -27,6 +27,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a task gets of what ``spread`` deals out.
+ROWS = 200_000
+
+
+def spread(df: DataFrame, *keys: Column | str, parts: int | None = None) -> DataFrame:
+    """The rows dealt by keys to as many partitions as give each about ROWS of them, so that tasks don't grow with the input.
+
+    AQE merges no partitions whose number is given; joins and groupings by the keys, or more, deal nothing anew.
+    """
+    return df.repartition(parts or parts_of(df), *keys)
+
+
+def parts_of(df: DataFrame) -> int:
+    """How many partitions ``spread`` deals these rows to."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written tables where all executors see it."""
     return f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"

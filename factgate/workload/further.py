@@ -16,7 +16,7 @@ from ..plans.plan import Aggregate, Filter, Join, Order, Plan, Rule
 from ..sources import publications, views
 from ..sources.products import PRODUCTS, entity_key, load
 from ..streaming import novelty
-from ..streaming.shared import durable, shared_folder
+from ..streaming.shared import durable, parts_of, shared_folder, spread
 from . import query
 from .exposure import UNION, query_log
 from .relational import O
@@ -107,11 +107,17 @@ def payload_collisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asked_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """(root, seq, kind, fact_hash): the literals and the whole question of each logged query, by root."""
+    """(root, seq, kind, fact_hash): the literals and the whole question of each logged query, by root.
+
+    The log is dealt by query before it is taken apart, so its facts are never shuffled by query, and no task has more of
+    them than a bounded number of queries has.
+    """
     log = query_log(spark, sf)
+    parts = parts_of(log)
+    log = spread(log, "query_id", parts=parts)
     atoms = footprint.log_atoms(log).select("query_id", F.lit("predicate-atom").alias("kind"), footprint.atom_hash("atom").alias("fact_hash"))
     whole = footprint.log_plan_keys(log).select("query_id", F.lit("composite-outcome").alias("kind"), digest("question", F.col("plan_key")).alias("fact_hash"))
-    users = load(spark, sf, "events").select(F.col("event_id").alias("query_id"), (F.col("user_id") % 10).alias("root"))
+    users = spread(load(spark, sf, "events").select(F.col("event_id").alias("query_id"), (F.col("user_id") % 10).alias("root")), "query_id", parts=parts)
     return atoms.unionByName(whole).join(users, "query_id").select("root", F.col("query_id").alias("seq"), "kind", "fact_hash")
 
 
