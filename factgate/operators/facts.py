@@ -239,8 +239,10 @@ def collisions(facts: DataFrame, payload: str = "payload") -> DataFrame:
 
 def cardinality_problems(observed: DataFrame) -> DataFrame:
     """(root, seq, atoms, composites): requests (root, seq, kind, fact_hash) whose outcome isn't their atoms and one composite."""
-    n = lambda k: F.count_distinct(F.when(F.col("kind") == k, F.col("fact_hash")))
-    found = observed.groupBy("root", "seq").agg(n("predicate-atom").alias("atoms"), n("composite-outcome").alias("composites"), F.count_distinct("fact_hash").alias("n"))
+    of = lambda k: F.coalesce(F.max(F.col("kind") == k), F.lit(False))
+    each = observed.groupBy("root", "seq", "fact_hash").agg(of("predicate-atom").alias("atom"), of("composite-outcome").alias("composite"))
+    n = lambda c=None: F.count(F.when(F.col(c), F.col("fact_hash")) if c else "fact_hash")
+    found = each.groupBy("root", "seq").agg(n("atom").alias("atoms"), n("composite").alias("composites"), n().alias("n"))
     return found.where("composites <> 1 or n <> atoms + 1").select("root", "seq", "atoms", "composites")
 
 
