@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest
+from ..streaming.shared import parts_of, spread
 
 START = "0" * 64
 
@@ -44,7 +45,7 @@ def link(events: DataFrame, prev: str = START, size: int | None = None) -> DataF
             yield pd.DataFrame(out, columns=["seq", "actor", "event_type", "payload", "prev_hash", "hash"])
 
     rows = events.select("seq", "actor", "event_type", "payload")
-    rows = rows.repartition(F.floor(F.col("seq") / size)).sortWithinPartitions("seq") if size else rows.repartition(1).sortWithinPartitions("seq")
+    rows = spread(rows, F.floor(F.col("seq") / size)).sortWithinPartitions("seq") if size else rows.repartition(1).sortWithinPartitions("seq")
     return rows.mapInPandas(fold, "seq long, actor string, event_type string, payload string, prev_hash string, hash string")
 
 
@@ -57,18 +58,21 @@ def heads(chain: DataFrame, size: int) -> DataFrame:
 def breaks(chain: DataFrame, start: str = START, size: int | None = None) -> DataFrame:
     """(seq, problem) wherever a chain doesn't hold: a wrong hash, a wrong link, a gap or a repeated number.
 
-    Each event is joined with the one before by number, so no task sorts the whole log. ``size`` is that of its segments.
+    Each event is joined with the one before by number, so no task sorts the whole log. Hashes are checked before that,
+    so payloads aren't shuffled, and events are dealt to as many tasks as they need. ``size`` is that of its segments.
     """
     own = event_hash(F.col("prev_hash"), F.col("seq"), F.col("actor"), F.col("event_type"), F.col("payload"))
     first = chain.agg(F.min("seq").alias("lo"))
-    before = chain.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("__before")).dropDuplicates(["seq"])
-    rows = chain.join(before, "seq", "left").crossJoin(F.broadcast(first))
+    parts = parts_of(chain)
+    dealt = spread(chain.select("seq", "prev_hash", "hash", (F.col("hash") != own).alias("__wrong")), "seq", parts=parts)
+    before = spread(chain.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("__before")), "seq", parts=parts).dropDuplicates(["seq"])
+    rows = dealt.join(before, "seq", "left").crossJoin(F.broadcast(first))
     inner = F.col("seq") > F.col("lo")
     wanted = F.when(inner, F.col("__before")).otherwise(F.lit(start))
     if size:
         opens = (F.col("seq") % size == 0) | ~inner
         wanted = F.when(opens, segment_start(F.floor(F.col("seq") / size))).otherwise(wanted)
-    problem = F.when(F.col("hash") != own, "hash").when(inner & F.col("__before").isNull(), "gap").when(F.col("prev_hash") != wanted, "link")
+    problem = F.when(F.col("__wrong"), "hash").when(inner & F.col("__before").isNull(), "gap").when(F.col("prev_hash") != wanted, "link")
     out = rows.select("seq", problem.alias("problem")).where("problem is not null")
     repeated = chain.groupBy("seq").agg(F.count("*").alias("n")).where("n > 1").select("seq", F.lit("repeated").alias("problem"))
     return out.unionByName(repeated)
