@@ -45,8 +45,11 @@ def outcome_charges(stream: DataFrame) -> DataFrame:
 
 
 def by_root(tasks: DataFrame, stream: DataFrame) -> DataFrame:
-    """A stream (task, ...) under the root that each task (task, root) accounts to."""
-    return stream.join(tasks.select("task", "root"), "task")
+    """A stream (task, ...) under the root that each task (task, root) accounts to.
+
+    Both are shuffled: were the tasks broadcast once the stream is shuffled, a task would read all that one task has written.
+    """
+    return stream.join(tasks.select("task", "root").hint("shuffle_hash"), "task")
 
 
 def linked(stream: DataFrame, settled: DataFrame) -> DataFrame:
