@@ -113,7 +113,8 @@ def delegated_budget(candidate: DataFrame, parent: DataFrame, columns: list[str]
 def closure(edges: DataFrame, a: str = "view", b: str = "depends_on", most: int = 64, start: DataFrame | None = None) -> DataFrame:
     """(view, base, depth): everything that each view reaches, with its greatest distance. Cycles and deeper stacks are refused.
 
-    Each step is written once and they are united at the end. ``start`` (view) limits whose reach is followed.
+    Each step is written once and they are united at the end. ``start`` (view) limits whose reach is followed. Steps are
+    joined by a merge, as a broadcast would send the edges through the driver again for each.
     """
     spark, base = edges.sparkSession, shared_folder(edges.sparkSession, "closure")
     nexts = edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
@@ -128,7 +129,7 @@ def closure(edges: DataFrame, a: str = "view", b: str = "depends_on", most: int
             break
         if depth > most or state["cycle"]:
             raise ValueError("the views form a cycle or are stacked too deep")
-        step = step.join(nexts, F.col("base") == F.col("__a")).select("view", F.col("__b").alias("base")).distinct()
+        step = step.join(nexts.hint("merge"), F.col("base") == F.col("__a")).select("view", F.col("__b").alias("base")).distinct()
     return spark.read.schema(f"{kind}, depth int").parquet(base).groupBy("view", "base").agg(F.max("depth").alias("depth"))
 
 
