@@ -28,7 +28,10 @@ def order_facts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT fact_hash, kind, field, row_number() OVER (ORDER BY fact_hash) - 1 AS ordinal FROM ({FACTS})")
 def snapshot_ordinals(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of a snapshot with dense ordinals in hash order."""
-    return snapshots.compile_ordinals(order_facts(spark, sf)).select("fact_hash", "kind", "field", "ordinal")
+    # sorted and stored with the number of the field; a row fact, which has none, with 0
+    facts = order_facts(spark, sf).select("fact_hash", F.coalesce(F.array_position(F.array(*[F.lit(c) for c in COLS]), F.col("field")), F.lit(0)).cast("tinyint").alias("at"))
+    of = lambda *names: F.element_at(F.array(*[F.lit(x) for x in names]), F.col("at") + 1)
+    return snapshots.compile_ordinals(facts).select("fact_hash", of("base-row", *["base-cell"] * len(COLS)).alias("kind"), of(None, *COLS).alias("field"), "ordinal")
 
 
 @query(f"SELECT o_orderkey, ordinal AS handle FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {row('orders')}) - 1 AS ordinal FROM {ORDERS})")
