@@ -134,16 +134,65 @@ def ordered_ranges(df: DataFrame, column: str, parts: int) -> tuple[DataFrame, i
 # -- connected components -------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): every node of an edge list with the smallest node that it reaches.
+#: Links that one task unites at once (their two ends take 4 MB).
+LINKS = 1 << 18
+
+
+def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Unites the sets of i and j in a forest of smallest labels, in place."""
+    while True:
+        a, b = labels[i], labels[j]
+        on = a != b
+        if not on.any():
+            return
+        low = np.minimum(a[on], b[on])
+        np.minimum.at(labels, a[on], low)
+        np.minimum.at(labels, b[on], low)
+        while (up := labels[labels]).tobytes() != labels.tobytes():
+            labels[:] = up
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the given ones do, each from a node to the smallest of its component."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    labels = np.arange(len(nodes))
+    join_labels(labels, at[: len(u)], at[len(u) :])
+    on = np.flatnonzero(labels != np.arange(len(nodes)))
+    return nodes[on], nodes[labels[on]]
+
+
+def contracted(edges: DataFrame, most: int) -> DataFrame:
+    """(u, v): each task's links as stars around the smallest nodes, about ``most`` links united at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= most:
+                held = [stars(*map(np.concatenate, zip(*held)))]
+                n = len(held[0][0])
+                if 2 * n >= most:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, held[0])], ["u", "v"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, stars(*map(np.concatenate, zip(*held))))], ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
 
-    Alternates the large-star and small-star steps, each a grouped minimum and an equi-join, until the edges form
-    stars around their minima. Every round is written to the checkpoint folder, so a lost executor costs one round.
-    A node with very many edges is a skewed join key, which AQE splits; the minima are combined before the shuffle.
-    Self-links and repeated links are allowed; null ends are ignored. No edges give no rows.
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): every node of an edge list, whose ends are integers, with the smallest node that it reaches.
+
+    Each task first makes stars of its own links, so paths get short before anything is shuffled. Then the large-star and
+    small-star steps alternate, each a grouped minimum and an equi-join, until the edges form stars around their minima.
+    Links that are, or have become, no more than LINKS go to as many tasks as they need, one, without further rounds.
+    Every round is written to the checkpoint folder, so a lost executor costs one round. A node with very many edges is
+    a skewed join key, which AQE splits; the minima are combined before the shuffle. Self-links and repeated links are
+    allowed; null ends are ignored. No edges give no rows.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
-    e = durable(e)
+    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
+    e = durable(contracted(e, LINKS))
     seen = None
     while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -152,6 +201,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = mark
         if not mark[0]:
             break
+        if mark[0] <= LINKS:
+            e = durable(contracted(e.coalesce(1), LINKS + 1))
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -12,8 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, components, documents, durable, slices
-from .vectors import join_labels
+from .common import buffers, components, documents, durable, join_labels, slices
 
 SEED = 42
 
@@ -480,12 +479,11 @@ def keep_one_alike(docs: DataFrame, size: int = 5, similarity: float = LEAST_SIM
     near = near_fingerprints(heads, bits).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     names = components(alike(pairs, held, similarity).unionByName(same).unionByName(near)).withColumnRenamed("node", "name")
     first = durable(lists.where(F.col("m") > ALL_PAIRS).join(names, "name", "left").select("key", "name", "n", "at", F.coalesce("component", "name").alias("component")))
-    state, used, found, roots, many = first, None, None, None, PIVOTS
+    state, used, roots, many = first, None, None, PIVOTS
     while not (taken := pivots(state, used, many)).isEmpty():
         new = pivot_links(state, taken, held, similarity)
-        found = durable(new if found is None else new.unionByName(found))
-        roots = components(found)
-        state = renamed(first, roots)
+        roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        state = durable(renamed(first, roots))
         used = taken.select("key", "name") if used is None else used.unionByName(taken.select("key", "name"))
         many *= MORE
     classes = sets.select("name", "rep").join(names, "name", "left").withColumn("component", F.coalesce("component", "name"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, durable, ordered_ranges
+from .common import components, durable, join_labels, ordered_ranges
 
 THRESHOLD = 0.9
 #: Vectors in a stripe (two stripes are in a task's memory at once) and in a tile within it.
@@ -80,20 +80,6 @@ def alike(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshol
     return np.concatenate(keep_i), np.concatenate(keep_j)
 
 
-def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Unites the sets of i and j in a forest of smallest labels, in place."""
-    while True:
-        a, b = labels[i], labels[j]
-        on = a != b
-        if not on.any():
-            return
-        low = np.minimum(a[on], b[on])
-        np.minimum.at(labels, a[on], low)
-        np.minimum.at(labels, b[on], low)
-        while (up := labels[labels]).tobytes() != labels.tobytes():
-            labels[:] = up
-
-
 def compare(left: pa.Table, right: pa.Table | None, axes: np.ndarray, threshold: float) -> pa.Table:
     """Within one stripe (right is None) or between two: each vector's number of links, and links that keep its components."""
     ids, copies, x = left["rep"].to_numpy(), left["copies"].to_numpy(), matrix(left["embedding"])

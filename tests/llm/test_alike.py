@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factgate.llm import simhash
+from factgate.llm import common, simhash
 
 from test_documents import SPACE, fingerprint
 
@@ -165,3 +166,23 @@ def test_columns_of_any_name(spark):
         got = keep(docs)
         assert got.columns == docs.columns
         assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], rows[2], rows[3]], key=repr)
+
+
+# -- the pipeline's check: rounds over links
+
+
+@pytest.mark.parametrize("most", [8, 1 << 18])
+def test_links_that_one_task_can_unite_take_no_rounds(spark, monkeypatch, most):
+    rng, written, keep = np.random.default_rng(3), [], common.durable
+    monkeypatch.setattr(common, "durable", lambda df: (written.append(1), keep(df))[1])
+    monkeypatch.setattr(common, "LINKS", most)
+    ends = np.concatenate((np.column_stack((np.arange(300), np.arange(1, 301))), rng.integers(1000, 1300, (150, 2)))) - 700
+    want = list(range(-700, 700))
+    for a, b in ends.tolist():
+        low, high = sorted((want[a + 700], want[b + 700]))
+        want = [low if x == high else x for x in want]
+    links = spark.createDataFrame([*ends.tolist(), (None, 5), (9, 9)], "a long, b long").repartition(7)
+    got = {r.node: r.component for r in common.components(links).collect()}
+    assert got == {int(k): want[k + 700] for k in np.unique(ends[ends[:, 0] != ends[:, 1]])}
+    assert most == 8 or len(written) <= 2
+    assert common.components(links.where("a is null")).count() == 0
