@@ -21,8 +21,9 @@ def violations(rows: DataFrame, cells: DataFrame, support: DataFrame, witness: D
     * ``releases`` (row_key, field, fact_hash, kind, type, value, expression, commitment): the fact that a cell reveals, if any,
       either a base cell among its support, or a derived fact that is bound to its witness.
 
-    ``bundle`` names the snapshot of each namespace. Each check is one join or grouping on the keys that the tables share;
-    a row or cell with very many facts is grouped by fact, never gathered but for the digests of its witness.
+    ``bundle`` names the snapshot of each namespace. The tables meet once for each key that they
+    share: all by place, support, witnesses and releases by fact, releases and cells by place. A row or cell with very many facts
+    is grouped by fact, never gathered but for the digests of its witness.
     """
     known = F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])
     pinned = F.create_map(*[F.lit(x) for pair in bundle.items() for x in pair])
@@ -31,34 +32,70 @@ def violations(rows: DataFrame, cells: DataFrame, support: DataFrame, witness: D
     def breach(rule: str, found: DataFrame, field: Column | str = "field") -> None:
         out.append(found.select(F.lit(rule).alias("rule"), "row_key", (F.col(field) if isinstance(field, str) else field).alias("field")))
 
-    names = rows.groupBy("row_key").agg(F.count("*").alias("n"))
-    breach("row twice", names.where("n > 1"), F.lit(""))
-    each = cells.groupBy(*AT).agg(F.count("*").alias("n"))
-    breach("cell twice", each.where("n > 1"))
-    breach("cell without a row", each.join(names, "row_key", "left_anti"))
-    breach("unknown field", each.where(~F.col("field").isin(list(fields))))
-    wanted = names.select("row_key", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"))
-    breach("no cell", wanted.join(each, AT, "left_anti"))
+    def breaches(found: DataFrame, rules: dict[str, Column], *more: Column) -> None:
+        named = F.array_compact(F.array(*[F.when(when, F.lit(rule)) for rule, when in rules.items()]))
+        out.append(found.select(F.explode(F.concat(named, *more)).alias("rule"), *AT))
+
+    no = F.lit(0).cast("long")
+    here, known_field = F.col("row_key").isNotNull() & F.col("field").isNotNull(), F.coalesce(F.col("field").isin(list(fields)), F.lit(False))
+    # rows, cells, support and releases meet once by place
+    names = rows.groupBy("row_key").agg(F.count("*").alias("r"))
+    at = names.select("row_key", F.explode(F.array(*[F.lit(f) for f in ("", *fields)])).alias("field"), "r", no.alias("c"), no.alias("s"), no.alias("x"))
+    at = at.unionByName(cells.select(*AT, no.alias("r"), F.lit(1).cast("long").alias("c"), no.alias("s"), no.alias("x")))
+    at = at.unionByName(support.select(*AT, no.alias("r"), no.alias("c"), F.lit(1).cast("long").alias("s"), no.alias("x")))
+    at = at.unionByName(releases.select(*AT, no.alias("r"), no.alias("c"), no.alias("s"), F.lit(1).cast("long").alias("x")))
+    at = at.groupBy(*AT).agg(*[F.sum(k).alias(k) for k in ("r", "c", "s", "x")])
+    r, c = F.col("r") > 0, F.col("c") > 0
+    breaches(
+        at,
+        {
+            "row twice": (F.col("field") == "") & (F.col("r") > 1),
+            "cell twice": F.col("c") > 1,
+            "cell without a row": c & known_field & ~(r & here),
+            "unknown field": c & ~F.col("field").isin(list(fields)),
+            "no cell": r & known_field & ~(c & here),
+            "support of nothing": (F.col("s") > 0) & ~(here & (c | r & (F.col("field") == ""))),
+            "release twice": F.col("x") > 1,
+        },
+    )
+    breach("cell without a row", cells.where(~known_field).select(*AT).distinct().join(rows.select("row_key"), "row_key", "left_anti"))
     breach("wrong type", cells.where(F.col("type") != F.try_element_at(known, F.col("field"))))
-    owners = names.select("row_key", F.lit("").alias("field")).unionByName(each.select(*AT))
-    breach("support of nothing", support.select(*AT).distinct().join(owners, AT, "left_anti"))
     breach("not a base fact", support.where(~F.col("kind").isin("base-row", "base-cell") | ~F.col("fact_hash").rlike("^[0-9a-f]{64}$")))
     breach("another snapshot", support.where(~F.coalesce(F.try_element_at(pinned, F.col("namespace")) == F.col("snapshot"), F.lit(False))))
-    keys = [*AT, "fact_hash"]
-    behind, testified = support.groupBy(*keys).agg(F.count("*").alias("s")), witness.groupBy(*keys).agg(F.count("*").alias("w"), F.min("n").alias("least"))
-    both = behind.join(testified, keys, "full")
-    breach("support without witness", both.where("w is null"))
-    breach("witness without support", both.where("s is null"))
-    breach("fact twice", both.where("s > 1 or w > 1"))
-    breach("no multiplicity", both.where("least is null and w is not null or least < 1"))
+    # support, witnesses and releases of base cells meet once by fact; null keys match nothing
+    none = F.lit(None).cast("long")
+    facts = support.select(*AT, short_hash("fact_hash").alias("h"), F.lit(1).alias("s"), F.lit(0).alias("w"), none.alias("least"), (F.col("kind") == "base-cell").cast("int").alias("base"), F.lit(0).alias("x"))
+    facts = facts.unionByName(witness.select(*AT, short_hash("fact_hash").alias("h"), F.lit(0).alias("s"), F.lit(1).alias("w"), F.col("n").alias("least"), F.lit(0).alias("base"), F.lit(0).alias("x")))
+    facts = facts.unionByName(releases.where("kind = 'base-cell'").select(*AT, short_hash("fact_hash").alias("h"), F.lit(0).alias("s"), F.lit(0).alias("w"), none.alias("least"), F.lit(0).alias("base"), F.lit(1).alias("x")))
+    facts = facts.groupBy(*AT, "h").agg(*[F.sum(k).alias(k) for k in ("s", "w", "base", "x")], F.min("least").alias("least"))
+    s, w, met = F.col("s") > 0, F.col("w") > 0, here & F.col("h").isNotNull()
+    breaches(
+        facts,
+        {
+            "support without witness": s & ~(w & met),
+            "witness without support": w & ~(s & met),
+            "fact twice": (F.col("s") > 1) | (F.col("w") > 1),
+            "no multiplicity": w & F.coalesce(F.col("least") < 1, F.lit(True)),
+        },
+        F.array_repeat(F.lit("fact twice"), (~met & (F.col("s") > 1) & (F.col("w") > 1)).cast("int")),
+        F.array_repeat(F.lit("release without support"), F.when((F.coalesce("base", F.lit(0)) > 0) & met, 0).otherwise(F.col("x")).cast("int")),
+    )
     revealed = releases.join(cells.select(*AT, F.col("type").alias("cell_type"), F.col("value").alias("cell_value"), F.col("expression").alias("cell_expression")), AT, "left")
-    breach("release of nothing", revealed.where("cell_type is null"))
-    breach("release twice", releases.groupBy(*AT).agg(F.count("*").alias("n")).where("n > 1"))
-    breach("release of another value", revealed.where("type <> cell_type or not (value <=> cell_value)"))
+    breaches(
+        revealed,
+        {
+            "release of nothing": F.col("cell_type").isNull(),
+            "release of another value": F.expr("type <> cell_type or not (value <=> cell_value)"),
+            "release of another expression": F.expr("kind = 'derived' and not (expression <=> cell_expression)"),
+        },
+    )
     breach("release of another kind", releases.where("kind not in ('base-cell', 'derived')"))
-    breach("release without support", releases.where("kind = 'base-cell'").join(support.where("kind = 'base-cell'"), keys, "left_anti"))
-    derived = revealed.where("kind = 'derived'")
+    derived = revealed.where("kind = 'derived'").select(*AT, "commitment")
     bound = set_digest(witness.join(derived.select(*AT).distinct(), AT, "left_semi"), "fact_hash", AT, "n").select(*AT, "digest")
-    breach("release of another expression", derived.where("not (expression <=> cell_expression)"))
     breach("another commitment", derived.join(bound, AT, "left").where("not (commitment <=> digest)"))
     return reduce(DataFrame.unionByName, out)
+
+
+def short_hash(text: str) -> Column:
+    """The 32 bytes of a hash in hexadecimal digits; any other text as more bytes than that, so that different texts stay so."""
+    return F.when((F.length(text) == 64) & F.col(text).rlike("^[0-9a-f]{64}$"), F.unhex(text)).otherwise(F.encode(F.concat(F.lit("-" * 33), F.col(text)), "UTF-8"))
